@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import mixing, quality, sharding, simhash
+from facetry.llm import mixing, packing, quality, sharding, simhash, wavelet
 from facetry.session import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -20,10 +26,18 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_quality_llr, op5_simhash_components, op7_hypergeometric_shards)}
+def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_quality_llr, op5_simhash_components, op6_packed_sequences, op7_hypergeometric_shards, op8_wavelet_shards)}
 
 SQL: dict[str, str] = {}
