@@ -63,9 +63,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, most: float = 3.0, bl
     """doc_id, source, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text)."""
     sized = written(docs.select("doc_id", "source", n_words().alias("size")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(totals, weights, most))
+    targets = cut(source_targets(totals, weights, most).withColumn("_all", F.lit(0)))
     many = targets.count()
-    blocks = targets.withColumn("_all", F.lit(0)).withColumn("_seats", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words).cast("long"))
+    blocks = targets.withColumn("_seats", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words).cast("long"))
     quotas = cut(
         sainte_lague(blocks, "_all", "sid", "target", "_seats", "quota").select(
             "source", "sid", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards")

@@ -131,10 +131,10 @@ def settled(found: DataFrame, key: str) -> DataFrame:
         cores = judged.select("type", "norm", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt"))
 
 
-def replaced(docs: DataFrame, key: str = "set-a-secret-key", text: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text`` and a column n_entities (long)."""
+def replaced(docs: DataFrame, key: str = "set-a-secret-key", text: str = "text", count: str = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in ``text`` and a column ``count`` (long): the entities found."""
     hinted = docs.where(F.col(text).rlike(HINT))
-    rest = docs.where(~F.coalesce(F.col(text).rlike(HINT), F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
+    rest = docs.where(~F.coalesce(F.col(text).rlike(HINT), F.lit(False))).withColumn(count, F.lit(0).cast("long"))
     hits = F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0)
     keyed = hinted.withColumn("_key", F.xxhash64(F.col(text)))
     spots = cut(keyed.select("_key", F.explode(F.array_distinct(hits)).alias("surface")).distinct())
@@ -148,8 +148,8 @@ def replaced(docs: DataFrame, key: str = "set-a-secret-key", text: str = "text")
     maps = spots.join(small(stand_ins, stand_ins.count()), "surface").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("surface", "stand_in"))).alias("_map"))
     done = (
         keyed.join(maps, "_key", "left").withColumn("_hits", F.when(F.col("_map").isNotNull(), hits))
-        .withColumn("n_entities", F.coalesce(F.size("_hits"), F.lit(0)).cast("long"))
+        .withColumn(count, F.coalesce(F.size("_hits"), F.lit(0)).cast("long"))
         .withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(F.array_join(
             F.zip_with(F.split(F.col(text), PATTERN, -1), F.col("_hits"), lambda p, h: F.concat(p, F.when(h.isNull(), "").otherwise(F.coalesce(F.try_element_at("_map", h), h)))), "")))
     )
-    return done.select(*docs.columns, "n_entities").unionAll(rest.select(*docs.columns, "n_entities"))
+    return done.select(*docs.columns, count).unionAll(rest.select(*docs.columns, count))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import mixing, packing, quality, sharding, simhash, wavelet
+from facetry.llm import ann, mixing, packing, pii, quality, sharding, simhash, suffixes, warc, wavelet
 from facetry.session import table
 
 
@@ -18,10 +18,18 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_audit(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,37 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_quality_llr, op5_simhash_components, op6_packed_sequences, op7_hypergeometric_shards, op8_wavelet_shards)}
-
-SQL: dict[str, str] = {}
+def op9_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix, op2_surrogates, op3_quality_llr, op4_merkle_audit, op5_simhash_components, op6_packed_sequences, op7_hypergeometric_shards,
+        op8_wavelet_shards, op9_multiprobe_neighbours, op10_repeated_bytes,
+    )
+}
+
+SQL: dict[str, str] = {
+    "op4_merkle_audit": """
+        WITH marked AS (
+            SELECT page_id, coalesce(html, '') AS body, substr(md5(coalesce(url, '')), 1, 2) AS mark,
+                'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'WARC-Target-URI: '
+                || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head, chr(13) || chr(10) || chr(13) || chr(10) AS tail
+            FROM pages),
+        records AS (
+            SELECT page_id, mark, strlen(head || body || tail) AS record_length, sha256(head || body || tail) AS digest_left,
+                sha256(head || CASE mark WHEN '00' THEN '~' || substr(body, 2) WHEN '01' THEN left(body, length(body) - 1) ELSE body END || tail) AS digest_other
+            FROM marked),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id, digest_left) AS copy, greatest(1, (count(*) OVER () + 1023) // 1024) AS files FROM records),
+        placed AS (SELECT *, ('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null') || '#' || copy), 1, 8))::BIGINT % files AS file FROM numbered),
+        laid AS (SELECT *, sum(record_length) OVER (PARTITION BY file ORDER BY page_id, digest_left, copy ROWS UNBOUNDED PRECEDING) - record_length AS record_offset FROM placed)
+        SELECT page_id AS record_id, CASE WHEN mark = '02' THEN 'missing' ELSE 'changed' END AS kind, CAST(file AS BIGINT) AS file, CAST(record_offset AS BIGINT) AS record_offset,
+            CAST(record_length AS BIGINT) AS record_length, digest_left, CASE WHEN mark <> '02' THEN digest_other END AS digest_right
+        FROM laid WHERE mark IN ('00', '01', '02') AND (mark = '02' OR digest_left <> digest_other)""",
+}
