@@ -10,7 +10,7 @@ follow, for each place, how far to the left and right it agrees with some other
 ``length`` bytes.
 
 Exact copies of texts are found first and are removed whole; one of them stands for all in the
-search. Groups of more than ``most`` places are dealt out by the windows themselves instead, so no
+search. Groups of more than ``most`` contexts are dealt out by the windows themselves instead, so no
 group has to fit one task. Edge cases: null texts are empty; texts under ``length`` bytes keep every
 byte; periodic texts pick many equal places, of which one a document is sent on.
 """
@@ -210,7 +210,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts, spans, texts): facts row, doc_id, n_bytes, whole_sha256, copies a row of ``docs``; spans row, spans
     array<struct<start,end>> (merged) of texts without copies; texts row, text of the rows that have spans or were searched."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -220,16 +220,21 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: in
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [places(x.as_py(), length, gram) for x in b.column(2).cast(pa.binary())]
-            sizes = np.array([len(f[0]) for f in found])
-            who = pa.array(np.repeat(np.arange(len(found)), sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), *(pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64)) for i in (0, 1))], names=["k1", "k2", "pos", "h"])
+            rows = []
+            for k1, k2, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                at, hashes = places(x.as_py(), length, gram)
+                order = np.argsort(hashes, kind="stable")
+                ends = np.flatnonzero(np.r_[np.diff(hashes[order]) != 0, True]) + 1 if len(at) else []
+                rows += [(k1, k2, int(hashes[order[e - 1]]), at[order[s:e]].tolist()) for s, e in zip([0, *ends[:-1]], ends)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["k1", "k2", "h", "at"])
 
     facts = written(marked.select("doc_id", "row", "k1", "k2", "n_bytes", F.sha2(F.encode("text", "UTF-8"), 256).alias("whole_sha256")), "facts")
     texts = facts.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
-    picked = written(long_texts.select("k1", "k2", "text").mapInArrow(pick, "k1 long, k2 long, pos long, h long").distinct(), "places")
-    shared = picked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chosen = picked.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h", "n")).alias("at")).join(texts, ["k1", "k2"]).select("row", "copies", "at")
+    picked = written(long_texts.select("k1", "k2", "text").mapInArrow(pick, "k1 long, k2 long, h long, at array<long>").dropDuplicates(["k1", "k2", "h"]), "places")
+    # n bounds the contexts of a group: periodic texts hold many places, of which few differ.
+    shared = picked.groupBy("h").agg(F.sum(F.size("at")).alias("c"), F.sum(F.least(F.size("at"), F.lit(64))).cast("long").alias("n")).where("c > 1").drop("c")
+    chosen = picked.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "h", "n")).alias("at")).join(texts, ["k1", "k2"]).select("row", "copies", "at")
     searched = written(long_texts.select("row", "text").join(chosen, "row").dropDuplicates(["row"]), "searched")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +245,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: in
                 for row, data, at in zip(b.column(0).to_pylist()[x : x + 64], b.column(1).slice(x, 64).cast(pa.binary()), b.column(2).slice(x, 64).to_pylist()):
                     data, alike = data.as_py(), defaultdict(list)
                     for p in at:
-                        a = p["pos"]
-                        alike[p["h"], p["n"], data[max(0, a - length + gram) : a][::-1], data[a : a + length]].append(a)
+                        for a in p["at"]:
+                            alike[p["h"], p["n"], data[max(0, a - length + gram) : a][::-1], data[a : a + length]].append(a)
                     rows += [(h, n, row, where, left, right) for (h, n, left, right), where in alike.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["h", "n", "row", "at", "left", "right"])
