@@ -1 +1,183 @@
+"""Queries for sources, sinks, column rules, set operations, strings and reshaping."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from facetry.functions import rules
+from facetry.operators import scaling
+from facetry.plans.registry import query
+from facetry.plans.sites import neighbours, r
+from facetry.session import shared_dir, table
+from facetry.sources import io
+
+
+def folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_s11_atoms_round_trip", "SELECT p_brand AS material, count(*) AS n, round(sum(p_size), 4) AS z, round(sum(p_retailprice), 3) AS chi, CAST(count(*) * 0 AS BIGINT) AS radii FROM part GROUP BY p_brand")
+def s1(spark, sf_dir):
+    """Atoms of each brand written in the fixed column order and read back."""
+    df = table(spark, sf_dir, "part").select(F.col("p_brand").alias("material"), F.col("p_partkey").alias("site_index"), F.col("p_size").alias("atomic_number"), F.col("p_retailprice").alias("electronegativity"))
+    path = folder(spark, "atoms")
+    io.write_csv(io.ordered_atoms(df), path)
+    back = spark.read.option("header", True).schema("material string, site_index int, " + ", ".join(f"{c} double" for c in io.ATOM_COLUMNS)).csv(path)
+    return back.groupBy("material").agg(F.count(F.lit(1)).alias("n"), r(F.sum("atomic_number"), "z", 4), r(F.sum("electronegativity"), "chi", 3), F.count("ionic_radius").alias("radii"))
+
+
+@query("s2_s12_tensor_round_trip", "SELECT CAST(l_orderkey AS INTEGER) AS site_index, round(sum(l_quantity * l_quantity), 4) AS trace FROM lineitem GROUP BY l_orderkey")
+def s2(spark, sf_dir):
+    q = F.sum(F.col("l_quantity") * F.col("l_quantity"))
+    df = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("int").alias("site_index")).agg(q.alias("t")).select("site_index", F.array("t", *[F.lit(0.0)] * 8).alias("tensor"))
+    path = folder(spark, "tensors")
+    io.write_csv(io.tensor_rows(df), path)
+    return io.scan_tensors(spark, path).select("site_index", r(F.col("tensor")[0] + F.col("tensor")[4] + F.col("tensor")[8], "trace", 4))
+
+
+@query("s7_s14_embedding_round_trip", "SELECT CAST(label AS VARCHAR) AS model, count(*) AS n, round(sum(embedding[1]), 3) AS first FROM embeddings GROUP BY label")
+def s7(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("model"), F.col("vec_id").cast("string").alias("material"), F.lit(0.0).alias("computation_time"), F.col("embedding").cast("array<double>").alias("emb"))
+    path = folder(spark, "emb")
+    io.write_csv(io.embedding_rows(e, 64), path, ["model"])
+    back = io.scan_embeddings(spark, path, 64)
+    return back.groupBy(F.col("model").cast("string").alias("model")).agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("emb")[0]), "first", 3))
+
+
+@query("s10_grid_scan", "SELECT l_returnflag AS field, count(*) AS n, round(sum(l_tax), 4) AS value FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_returnflag")
+def s10(spark, sf_dir):
+    path = folder(spark, "grid")
+    io.write_grid(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("field"), F.col("l_linenumber").alias("i"), F.col("l_tax").alias("value")), path)
+    return io.scan_grid(spark, path, "A").groupBy("field").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), "value", 4))
+
+
+@query("s13_ids_first", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def s13(spark, sf_dir):
+    return io.ids_first(table(spark, sf_dir, "lineitem").select("l_quantity", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+
+
+@query("s16_validation_json", "SELECT l_returnflag, count(*) AS total FROM lineitem GROUP BY l_returnflag")
+def s16(spark, sf_dir):
+    path = folder(spark, "validation")
+    table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("total")).write.json(path)
+    return spark.read.schema("l_returnflag string, total long").json(path)
+
+
+@query("s6_y4_config_defaults", "SELECT json_extract_string(props, '$.k')::INTEGER % 10 AS k, CAST(0.5 AS DOUBLE) AS gamma, count(*) AS n FROM events GROUP BY ALL")
+def s6(spark, sf_dir):
+    """JSON fields with defaults for keys that are not there."""
+    p = F.from_json("props", "k int, gamma double")
+    return table(spark, sf_dir, "events").select((p["k"] % 10).alias("k"), p["gamma"].alias("gamma")).select("k", io.with_default("gamma", 0.5).alias("gamma")).groupBy("k", "gamma").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s17_unprocessed", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def s17(spark, sf_dir):
+    return io.unprocessed(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("s18_load_report", "WITH h AS (SELECT l_orderkey, bool_or(l_linenumber % 3 = 0) AS a, bool_or(l_linenumber % 3 = 1) AS b, bool_or(l_linenumber % 3 = 2) AS c FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS material, a AND b AS loaded, c AS has_2 FROM h")
+def s18(spark, sf_dir):
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("material"), (F.col("l_linenumber") % 3).alias("k"))
+    return io.load_report(files).select("material", "loaded", "has_2")
+
+
+@query("p1_p3_p6_columns", "SELECT p_partkey, p_retailprice FROM part")
+def p1(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumnRenamed("p_size", "site_size").withColumnRenamed("p_name", "element_name")
+    return df.select("p_partkey", *[c for c in io.numeric_columns(df) if c not in ("p_partkey",)])
+
+
+@query("p2_include_list", "SELECT p_brand, count(*) AS n FROM part WHERE p_brand IN ('Brand#1', 'Brand#7') GROUP BY p_brand")
+def p2(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(F.col("p_brand").isin("Brand#1", "Brand#7")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p4_p5_keys", "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity FROM lineitem")
+def p4(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.lit("a").alias("site1_element"), F.col("l_orderkey").alias("site_i"), F.col("l_partkey").alias("site_j"), F.col("l_suppkey").alias("site_k"), "l_quantity")
+    keys = io.triangle_keys(df)
+    return io.edge_features(df).select(*[F.col(k).alias(n) for k, n in zip(keys, ("l_orderkey", "l_partkey", "l_suppkey"))], "l_quantity")
+
+
+@query("p14_l7_mask")
+def p14(spark, sf_dir):
+    m = scaling.masked(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x")), "x", F.lit(-1.0), 0.3, 11, "p_partkey")
+    return m.groupBy("_masked").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("x") == -1.0).cast("int")).alias("tokens"))
+
+
+@query("j16_all_pairs", "SELECT a.r_regionkey, a.n_nationkey AS i, b.n_nationkey AS j FROM (SELECT *, n_regionkey AS r_regionkey FROM nation) a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def j16(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_nationkey").alias("i"))
+    return n.join(n.withColumnRenamed("i", "j"), "r_regionkey").where("i < j")
+
+
+@query("j12_j15_remap", "SELECT c_custkey AS site, coalesce(round(o, 2), 0) AS value FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS o FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
+def j12(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("site")).agg(F.max("o_totalprice").alias("o"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site")).join(o, "site", "left").select("site", F.coalesce(F.round("o", 2), F.lit(0.0)).alias("value"))
+
+
+@query("j18_j19_residual_join", "SELECT c_custkey, round(c_acctbal - m, 4) AS residual, n_name FROM customer JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS m FROM customer GROUP BY c_nationkey) ON k = c_nationkey JOIN nation ON n_nationkey = c_nationkey")
+def j18(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    mean = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return c.join(mean, "c_nationkey").join(n, "c_nationkey").select("c_custkey", r(F.col("c_acctbal") - F.col("m"), "residual", 4), "n_name")
+
+
+@query("u1_distinct_pairs", "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem")
+def u1(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+
+
+@query("u5_u6_union_missing", "SELECT n_name AS name, n_regionkey AS region, NULL::VARCHAR AS comment FROM nation UNION ALL SELECT r_name, NULL, 'METRICS' FROM region")
+def u5(spark, sf_dir):
+    a = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return a.unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit("METRICS").alias("comment")), allowMissingColumns=True)
+
+
+@query("u7_unmatched_ids", "(SELECT 'left' AS side, c_custkey AS id FROM customer EXCEPT SELECT 'left', o_custkey FROM orders) UNION ALL (SELECT 'right', o_custkey FROM orders EXCEPT SELECT 'right', c_custkey FROM customer)")
+def u7(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    return c.subtract(o).select(F.lit("left").alias("side"), "id").unionAll(o.subtract(c).select(F.lit("right").alias("side"), "id"))
+
+
+@query("t1_canonical_order", "SELECT l_orderkey AS center, string_agg(l_returnflag, '' ORDER BY l_returnflag) AS kinds FROM lineitem GROUP BY l_orderkey")
+def t1(spark, sf_dir):
+    return neighbours(spark, sf_dir).groupBy("center").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element", "d"))), lambda x: x["element"]), "").alias("kinds"))
+
+
+@query("t4_head", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 5")
+def t4(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey").limit(5)
+
+
+@query("r3_r4_names", "SELECT p_partkey, replace(p_name, ' ', '-') AS name, concat(p_brand, '_', p_size) AS descriptor FROM part")
+def r3(spark, sf_dir):
+    name = rules.base_name(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_partkey") % 2 == 0, "-gpaw-optimized.cif").otherwise("-optimized")))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.concat_ws("_", "p_brand", F.col("p_size").cast("string")).alias("descriptor"))
+
+
+@query("y1_y5_vectors", "SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS e0, round(embedding[64]::DOUBLE, 5) AS e63, len(embedding) + 1 AS n FROM embeddings")
+def y1(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0))))
+    return e.select("vec_id", r(F.col("v")[0], "e0", 5), r(F.col("v")[63], "e63", 5), F.size("v").cast("long").alias("n"))
+
+
+@query("y2_wide_to_long", "SELECT property, count(*) AS n, round(sum(value), 3) AS total FROM (UNPIVOT (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) ON size, price INTO NAME property VALUE value) GROUP BY property")
+def y2(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return p.unpivot("p_partkey", ["size", "price"], "property", "value").groupBy("property").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), "total", 3))
+
+
+@query("y3_metrics_map", "SELECT p_brand, round(max(p_size), 4) AS high, round(avg(p_size), 4) AS mean FROM part GROUP BY p_brand")
+def y3(spark, sf_dir):
+    m = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.map_from_arrays(F.array(F.lit("high"), F.lit("mean")), F.array(F.max("p_size").cast("double"), F.avg("p_size"))).alias("m"))
+    return m.select("p_brand", r(F.col("m")["high"], "high", 4), r(F.col("m")["mean"], "mean", 4))
+
+
+@query("a16_a27_dataset_stats", "SELECT count(DISTINCT l_orderkey) AS materials, count(*) AS bonds, round(count(*) / count(DISTINCT l_orderkey), 6) AS mean_bonds, count(DISTINCT l_returnflag) AS models FROM lineitem")
+def a16(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.countDistinct("l_orderkey").alias("materials"), F.count(F.lit(1)).alias("bonds"), r(F.count(F.lit(1)) / F.countDistinct("l_orderkey"), "mean_bonds"), F.countDistinct("l_returnflag").alias("models"))
