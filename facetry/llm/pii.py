@@ -152,4 +152,5 @@ def replaced(docs: DataFrame, key: str = "set-a-secret-key", text: str = "text",
         .withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(F.array_join(
             F.zip_with(F.split(F.col(text), PATTERN, -1), F.col("_hits"), lambda p, h: F.concat(p, F.when(h.isNull(), "").otherwise(F.coalesce(F.try_element_at("_map", h), h)))), "")))
     )
-    return done.select(*docs.columns, count).unionAll(rest.select(*docs.columns, count))
+    keep = [c for c in docs.columns if c != count]
+    return done.select(*keep, count).unionAll(rest.select(*keep, count))
