@@ -4,7 +4,7 @@ A fingerprint is cut into three segments. When two fingerprints differ in at mos
 their segments differs in at most one bit (4 < 2 * 3), so some variant of it with one bit masked is
 equal in both. Every distinct fingerprint is indexed under all one-wildcard variants of each segment
 (64 keys), equal keys meet by hash partitioning, and pairs are verified by the Hamming distance of
-the whole. Inside a key only a spanning set of links is kept, never all pairs of a group; keys with
+the whole. Inside a key, in the order of fingerprints, only a spanning set of links is kept, never all pairs of a group; keys with
 more than ``block`` fingerprints are compared block by block in tasks of bounded size.
 
 Exact copies share one fingerprint, so they never multiply candidates. Edge cases: null, empty and
@@ -14,6 +14,7 @@ each; null ids take part but are only a component's id if it has no other (then
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,22 +97,22 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _spanning(fps: np.ndarray, other: np.ndarray | None, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever the pairs within ``most`` bits connect, inside fps or from fps to other.
 
-    Each fingerprint in turn is linked to one member of every class it touches, so a group of g near
-    copies gives g - 1 links.
+    Breadth first: each reached fingerprint takes all near ones that no other has reached yet, so a group
+    of g near copies gives g - 1 links, and a tight one is done after a few steps.
     """
-    first = 0 if other is None else len(other)
-    pool = fps if other is None else np.concatenate((other, fps))
-    label = np.arange(len(pool))
+    rest = [fps] if other is None else [fps, other]
     out = []
-    for i in range(max(1, first), len(pool)):
-        reach = pool[: first or i]
-        near = np.flatnonzero(_apart(reach, pool[i]) <= most)
-        if len(near):
-            classes, at = np.unique(label[near], return_index=True)
-            at = at[classes != label[i]]
-            if len(at):
-                out.append((np.repeat(pool[i : i + 1], len(at), 0), reach[near[at]]))
-            label[np.isin(label, np.append(classes, label[i]))] = min(classes.min(), label[i])
+    while len(rest[0]):
+        reached = deque([(0, rest[0][:1])])
+        rest[0] = rest[0][1:]
+        while reached:
+            side, x = reached.popleft()
+            far = len(rest) - 1 - side
+            near = _apart(rest[far], x) <= most
+            if near.any():
+                hits, rest[far] = rest[far][near], rest[far][~near]
+                out.append((hits, np.repeat(x, len(hits), 0)))
+                reached.extend((far, hits[i : i + 1]) for i in range(len(hits)))
     return out
 
 
@@ -125,13 +126,20 @@ def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1,
         sizes = np.diff(np.r_[starts, len(k)])
         got = []
         few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= short), sizes))
+        least = np.arange(len(k))
+        met = []
         for step in range(1, short):
             few = few[few + step < len(k)]
             few = few[k[few + step] == k[few]]
             if not len(few):
                 break
             near = few[_apart(f[few], f[few + step]) <= most]
-            got.append((f[near + step], f[near]))
+            least[near + step] = near
+            met.append((near + step, near))
+        for a, b in met:
+            # b near least[a], which is near a: that pair links them, so this one adds nothing.
+            adds = (b == least[a]) | (_apart(f[b], f[least[a]]) > most)
+            got.append((f[a[adds]], f[b[adds]]))
         for s, n in zip(starts[sizes > short], sizes[sizes > short]):
             for x in range(s, s + n, block):
                 here = f[x : min(x + block, s + n)]
@@ -142,7 +150,7 @@ def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1,
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for x in (a, b) for i in range(banks)], names=[f"{x}{i}" for x in "uv" for i in range(banks)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key, all rows of a key in one task; the last key of a batch waits for the next batch."""
+        """Rows come sorted by key and fingerprint, all rows of a key in one task; the last key of a batch waits for the next batch."""
         hold_k, hold_f = np.empty(0, np.int64), np.empty((0, banks), np.uint64)
         for batch in batches:
             k = np.concatenate((hold_k, batch.column(0).to_numpy()))
@@ -154,9 +162,21 @@ def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1,
         if len(hold_k):
             yield pairs(hold_k, hold_f)
 
-    met = keyed.select("k", *cols).repartition("k").sortWithinPartitions("k")
-    found = met.mapInArrow(run, ", ".join(f"{x}{i} long" for x in "uv" for i in range(banks))).distinct()
-    return found.select(*[F.struct(*[F.col(f"{x}{i}").alias(f"f{i}") for i in range(banks)]).alias(x) for x in "uv"])
+    # In the same order under every key, a group's fingerprints mostly link to the same few: distinct() leaves a few links each.
+    met = keyed.select("k", *cols).repartition("k").sortWithinPartitions("k", *cols)
+    found = met.mapInArrow(run, ", ".join(f"{x}{i} long" for x in "uv" for i in range(banks)))
+    a, b = (F.struct(*[F.col(f"{x}{i}").alias(f"f{i}") for i in range(banks)]) for x in "uv")
+    return found.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """Links with the same components as ``found`` (u > v), where each u's other ends point at its least one.
+
+    Inside a key most links run from a greater fingerprint to the key's least, so windows stay small (about
+    a link a key); links of a hot group that came from different keys fall together before the components' joins.
+    """
+    least = F.min("v").over(W.partitionBy("u"))
+    return found.withColumn("least", least).select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
 
 
 def grouped(docs: DataFrame, shingle: int, most: int, segments: int, banks: int, extra: tuple[str, ...]) -> DataFrame:
@@ -164,7 +184,7 @@ def grouped(docs: DataFrame, shingle: int, most: int, segments: int, banks: int,
     cols = [f"f{k}" for k in range(banks)]
     fps = written(fingerprints(docs, shingle, banks, extra).select("doc_id", *extra, F.struct(*cols).alias("f")), "simhash")
     distinct = fps.groupBy("f").agg(F.min("doc_id").alias("least"))
-    linked = components(links(distinct.select("f.*"), most, segments, banks)).withColumnRenamed("node", "f")
+    linked = components(gathered(gathered(links(distinct.select("f.*"), most, segments, banks)))).withColumnRenamed("node", "f")
     ids = linked.join(distinct, "f").withColumn("component_id", F.min("least").over(W.partitionBy("component"))).select("f", "component_id")
     known = distinct.join(ids, "f", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(known, "f").select("doc_id", *extra, "f", "component_id")
