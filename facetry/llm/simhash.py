@@ -179,22 +179,23 @@ def gathered(found: DataFrame) -> DataFrame:
     return found.withColumn("least", least).select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
 
 
-def grouped(docs: DataFrame, shingle: int, most: int, segments: int, banks: int, extra: tuple[str, ...]) -> DataFrame:
-    """doc_id, *extra, f (struct of fingerprints), component_id for every row."""
+def classes(docs: DataFrame, shingle: int, most: int, segments: int, banks: int, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, *extra, f: struct of fingerprints, for every row; f, root: fingerprint that stands for its component, component_id)."""
     cols = [f"f{k}" for k in range(banks)]
     fps = written(fingerprints(docs, shingle, banks, extra).select("doc_id", *extra, F.struct(*cols).alias("f")), "simhash")
     distinct = fps.groupBy("f").agg(F.min("doc_id").alias("least"))
     linked = components(gathered(gathered(links(distinct.select("f.*"), most, segments, banks)))).withColumnRenamed("node", "f")
-    ids = linked.join(distinct, "f").withColumn("component_id", F.min("least").over(W.partitionBy("component"))).select("f", "component_id")
-    known = distinct.join(ids, "f", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(known, "f").select("doc_id", *extra, "f", "component_id")
+    ids = linked.join(distinct, "f").withColumn("component_id", F.min("least").over(W.partitionBy("component"))).select("f", "component", "component_id")
+    known = distinct.join(ids, "f", "left").select("f", F.coalesce("component", "f").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return fps, known
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row."""
     if most > 5:
         raise ValueError("three segments with one wildcard find at most 5 differing bits")
-    return grouped(docs, shingle, most, 3, 1, ()).select("doc_id", F.lower(F.lpad(F.hex("f.f0"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, known = classes(docs, shingle, most, 3, 1, ())
+    return fps.join(known, "f").select("doc_id", F.lower(F.lpad(F.hex("f.f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 3, most: int = 31, segments: int = 4) -> DataFrame:
@@ -204,8 +205,9 @@ def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 3, most: int =
     of its bits on average, so ``most`` = 31 of 192. Candidates share a one-wildcard segment of any bank.
     """
     marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    groups = grouped(marked, shingle, most, segments, banks, ("_row",))
-    first = groups.groupBy("f", "component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("k"))
-    keep = first.groupBy("component_id").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
+    fps, known = classes(marked, shingle, most, segments, banks, ("_row",))
+    # Copies share f: one row of each is left before the join, so that no hot fingerprint meets in one task.
+    first = fps.groupBy("f").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("k"))
+    keep = first.join(known, "f").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k")))
     return kept.drop("_id", "_k").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
