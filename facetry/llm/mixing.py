@@ -59,9 +59,12 @@ def source_targets(totals: DataFrame, weights: DataFrame | None = None, most: fl
     )
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, most: float = 3.0, block_words: int = 64, shard_words: int = 1 << 18, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text)."""
-    sized = written(docs.select("doc_id", "source", n_words().alias("size")), "mix-sizes")
+def mix(docs: DataFrame, weights: DataFrame | None = None, most: float = 3.0, block_words: int = 64, shard_words: int = 1 << 18, seed: int = 17, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text).
+
+    ``also`` names columns of ``docs`` to hand on; sid and shard then follow, null for rows outside the shards.
+    """
+    sized = written(docs.select("doc_id", "source", n_words().alias("size"), *also), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(totals, weights, most).withColumn("_all", F.lit(0)))
     many = targets.count()
@@ -109,23 +112,36 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, most: float = 3.0, bl
 
     taken = F.floor(F.col("won") / F.col("blocks")).cast("long") * F.col("size") + upto("_end") - upto("_start")
     out = ["doc_id", "source", "size", "source_size", "target"]
-    return spots.join(chosen, ["sid", "shard"]).select(*out, taken.cast("long").alias("taken")).unionAll(wordless.select(*out, F.lit(0).cast("long").alias("taken")))
+    where = [*also, "sid", "shard"] if also else []
+    nowhere = [*also, F.lit(None).cast("long").alias("sid"), F.lit(None).cast("long").alias("shard")] if also else []
+    return spots.join(chosen, ["sid", "shard"]).select(*out, taken.cast("long").alias("taken"), *where).unionAll(wordless.select(*out, F.lit(0).cast("long").alias("taken"), *nowhere))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """Rows of ``docs`` as the mix repeats them: each document stays ``round(taken / size)`` times.
+def mixed_documents(docs: DataFrame, seed: int = 17, **kw) -> DataFrame:
+    """Rows of ``docs`` as the mix repeats them, so that whole documents make up the words taken.
 
-    Documents are matched by (doc_id, source, size); rows equal in these share their copies, the
-    extra one going to the first of them. Documents without words are not part of a mix.
+    A shard's taken words over its words are its copies a document: all get the whole part, and one more
+    go to a systematic sample of the fraction. Documents stand by size, so the sample has its share of
+    every length and misses the shard's words by about one document; the count left over at a shard's end
+    is carried to the next shard of its source. Documents without words are not part of a mix. Equal rows
+    are known by their hash and share their copies.
     """
-    key = ["doc_id", "source", "_size"]
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    rows = mix(marked, seed=seed, also=("_row",), **kw).where("sid is not null")
+    units = written(rows.groupBy("sid", "shard", "_row", F.col("size").alias("_size")).agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken")), "mix-units")
+    shards = units.groupBy("sid", "shard").agg((F.sum("taken") / F.sum(F.col("n") * F.col("_size"))).alias("ratio"), F.sum("n").alias("rows"))
+    share = F.col("ratio") - F.floor("ratio")
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "sid"), F.lit(1 << 20)) / (1 << 20)
+    earlier = F.sum(share * F.col("rows")).over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    shards = shards.select("sid", "shard", F.floor("ratio").alias("base"), share.alias("share"), (start + F.coalesce(earlier, F.lit(0.0))).alias("_at")).withColumn("_at", F.col("_at") - F.floor("_at"))
+    run = W.partitionBy("sid", "shard").orderBy("_size", F.xxhash64(F.lit(seed + 4), "_row"), "_row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = lambda n: F.floor(F.col("share") * n + F.col("_at"))
     plan = (
-        mix(docs, **kw).where("size > 0")
-        .groupBy("doc_id", "source", F.col("size").alias("_size"))
-        .agg(F.floor(F.sum("taken") / F.first("size") / F.count(F.lit(1)) + 0.5).cast("int").alias("_copies"))
-        .where("_copies > 0")
+        units.withColumn("_upto", F.sum("n").over(run)).join(shards, ["sid", "shard"])
+        .select("_row", "_size", "n", (F.col("n") * F.col("base") + upto(F.col("_upto")) - upto(F.col("_upto") - F.col("n"))).alias("_all"))
+        .where("_all > 0")
     )
-    right = plan.select(*[F.col(c).alias(f"_r{c}") for c in key], "_copies")
-    rows = docs.withColumn("_size", n_words())
-    match = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in key]
-    return rows.join(right, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    met = marked.withColumn("_size", n_words()).join(plan, ["_row", "_size"])
+    place = F.row_number().over(W.partitionBy("_row", "_size").orderBy("_row"))
+    copies = F.floor(F.col("_all") / F.col("n")) + F.when(F.col("_place") <= F.col("_all") % F.col("n"), 1).otherwise(0)
+    return met.withColumn("_place", place).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(c) for c in docs.columns])

@@ -97,6 +97,23 @@ def test_mix(spark, docs):
     assert copies.columns == docs.columns and copies.where("text is null").count() == 0
 
 
+@pytest.mark.parametrize("weights", [(1.0, 10.0, 3.0), (3.0, 1.0, 2.0)])
+def test_mixed_documents_meet_the_targets_with_long_documents(spark, weights):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(400, 2000)), "abc"[i % 20 // 7]) for i in range(1500)]
+    rows += [rows[0]] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = spark.createDataFrame(list(zip("abc", weights)), "source string, weight double")
+    target = {r["source"]: r["target"] for r in mixing.mix(df, mix).select("source", "target").distinct().collect()}
+    kept = mixing.mixed_documents(df, weights=mix).collect()
+    size = {(i, s): len(t.split()) for i, t, s in rows}
+    for s, want in target.items():
+        assert abs(sum(size[r["doc_id"], s] for r in kept if r["source"] == s) - want) < 6000
+        whole = sum(size[i, x] for i, _, x in rows if x == s)
+        share = sum(r["source"] == s and size[r["doc_id"], s] > 1700 for r in kept) / sum(x == s and size[i, x] > 1700 for i, _, x in rows)
+        assert abs(share - want / whole) < 0.15
+
+
 def base_counts(t):
     w = words(t)
     n = len(w)
