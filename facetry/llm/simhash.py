@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.operators.components import components
-from facetry.session import cut, written
+from facetry.session import cut, small, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -44,25 +44,34 @@ def _bank(hashes: np.ndarray, bank: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int = 4, banks: int = 1) -> list[int]:
-    """Majority votes of the shingles' XXH64 (seed 42), bit by bit; works in slices of bounded size."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles, repeats too; a text of fewer words is one shingle, a wordless one has none."""
     import xxhash
 
     words = text.translate(LOWER).translate(BLANK).split()
     if not words:
-        return [0] * banks
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
     h = xxhash.xxh64_intdigest
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray, banks: int) -> list[int]:
+    """Majority votes of the hashes, bit by bit; works in slices of bounded size."""
     votes = np.zeros((banks, 64), np.int64)
-    for i in range(0, n, 1 << 16):
-        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts[i : i + (1 << 16)], stops[i : i + (1 << 16)])], np.uint64)
+    for i in range(0, len(hashes), 1 << 16):
         for k in range(banks):
-            votes[k] += np.unpackbits(_bank(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return [int(np.packbits(v * 2 > n, bitorder="little").view("<u8")[0]) for v in votes]
+            votes[k] += np.unpackbits(_bank(hashes[i : i + (1 << 16)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int(np.packbits(v * 2 > len(hashes), bitorder="little").view("<u8")[0]) for v in votes]
+
+
+def fingerprint(text: bytes, shingle: int = 4, banks: int = 1) -> list[int]:
+    """Majority votes of the shingles' hashes."""
+    return majority(shingle_hashes(text, shingle), banks)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, banks: int = 1, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -198,16 +207,129 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     return fps.join(known, "f").select("doc_id", F.lower(F.lpad(F.hex("f.f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 3, most: int = 31, segments: int = 4) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, banks: int, whole: bool) -> DataFrame:
+    """The columns of ``docs`` (text last) but text, then set_id (128 bits of the shingle set), n, and f0 .. of the set (each shingle votes once) or, if ``whole``, its bytes."""
+    added = [("set_id", "binary"), ("n", "long"), *([("shingles", "binary")] if whole else [(f"f{k}", "long") for k in range(banks)])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            texts = [x.as_py() or b"" for x in b.column(b.num_columns - 1).cast(pa.binary())]
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            out = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+            if whole:
+                out.append(pa.array([x.tobytes() for x in sets], pa.binary()))
+            else:
+                fps = np.array([majority(x, banks) for x in sets], np.uint64).reshape(-1, banks).view(np.int64)
+                out += [pa.array(fps[:, k]) for k in range(banks)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], names=[*b.schema.names[:-1], *[n for n, _ in added]])
+
+    return docs.mapInArrow(run, docs.drop("text").select("*", *[F.lit(None).cast(t).alias(n) for n, t in added]).schema)
+
+
+def similar(x: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of ``others`` have a Jaccard similarity with x of at least ``least`` (sorted sets without repeats)."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    yes = np.zeros(len(others), bool)
+    fit = np.flatnonzero((sizes > 0) & (np.minimum(sizes, len(x)) >= least * np.maximum(sizes, len(x)) - 1e-9))
+    for i in range(0, len(fit), 1024):
+        part = fit[i : i + 1024]
+        values = np.concatenate([others[j] for j in part])
+        hit = x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+        both = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes[part])[:-1]], dtype=np.int64)
+        yes[part] = both >= least * (len(x) + sizes[part] - both) - 1e-9
+    return yes
+
+
+def _similar_links(fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, most: int, least: float) -> list[tuple[int, int]]:
+    """Spanning links (positions) of the pairs within ``most`` bits whose sets are similar; pairs of side 0 and 1 only, unless all are of side 0.
+
+    Breadth first as in :func:`_spanning`, but a row is reached only by a pair that was compared exactly.
+    """
+    one = not sides.any()
+    rest = [np.flatnonzero(sides == 0), np.flatnonzero(sides == (0 if one else 1))]
+    out = []
+    while len(rest[0]):
+        reached = deque([(0, rest[0][0])])
+        rest[0] = rest[0][1:]
+        while reached:
+            side, x = reached.popleft()
+            far = 0 if one else 1 - side
+            near = np.flatnonzero(_apart(fps[rest[far]], fps[x]) <= most)
+            near = near[similar(sets[x], [sets[i] for i in rest[far][near]], least)] if len(near) else near
+            if len(near):
+                hits, rest[far] = rest[far][near], np.delete(rest[far], near)
+                out += [(int(y), int(x)) for y in hits]
+                reached.extend((far, y) for y in hits)
+    return out
+
+
+def verified_links(nodes: DataFrame, most: int, banks: int, least: float) -> DataFrame:
+    """Links (u, v: set_id) between similar rows of each (group, i, j); nodes: group, i, j, side, set_id, shingles, f0 ..
+
+    All pairs of a group within ``most`` bits are compared by their sets; only a spanning set of the similar
+    ones is returned. A task holds one (group, i, j) at a time.
+    """
+    cols = [f"f{k}" for k in range(banks)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets, sides, fps = None, [], [], [], []
+
+        def done() -> pa.RecordBatch:
+            got = _similar_links(np.array(fps, np.int64).reshape(-1, banks).view(np.uint64), sets, np.array(sides), most, least)
+            return pa.RecordBatch.from_arrays([pa.array([ids[pair[k]] for pair in got], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for g, i, j, side, set_id, shingles, *f in zip(*[c.to_pylist() for c in b.columns]):
+                if (g, i, j) != key:
+                    if len(ids) > 1:
+                        yield done()
+                    key, ids, sets, sides, fps = (g, i, j), [], [], [], []
+                elif set_id == ids[-1] and side == sides[-1]:
+                    continue  # an equal row
+                ids.append(set_id)
+                sets.append(np.frombuffer(shingles, np.uint64))
+                sides.append(side)
+                fps.append(f)
+        if len(ids) > 1:
+            yield done()
+
+    dealt = nodes.select("group", "i", "j", "side", "set_id", "shingles", *cols).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "set_id")
+    found = dealt.mapInArrow(run, "u binary, v binary")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 4, most: int = 60, segments: int = 4, least: float = 0.8, block: int = 1 << 21) -> DataFrame:
     """Rows of ``docs`` with one row left of each near-duplicate group, that of the smallest doc_id.
 
-    ``banks`` fingerprints of 64 bits make a longer one: shingle sets of similarity 0.8 differ in 15 %
-    of its bits on average, so ``most`` = 31 of 192. Candidates share a one-wildcard segment of any bank.
+    Two texts are linked when the Jaccard similarity of their sets of ``shingle``-word shingles is at least
+    ``least``; texts without words are alike. ``banks`` fingerprints of 64 bits only find candidates: those of
+    sets of similarity 0.8 differ in 15 % of the bits on average (39 of 256), so ``most`` = 60, and a pair
+    must share a one-wildcard segment of any bank. The components of candidates part the texts into groups;
+    in a group all pairs within ``most`` bits are compared by their exact sets, and the similar pairs are
+    linked. Groups with more than ``block`` shingles are compared as pairs of blocks, each in a task of its own.
     """
+    cols = [f"f{k}" for k in range(banks)]
     marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    fps, known = classes(marked, shingle, most, segments, banks, ("_row",))
-    # Copies share f: one row of each is left before the join, so that no hot fingerprint meets in one task.
-    first = fps.groupBy("f").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("k"))
-    keep = first.join(known, "f").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
+    rows = written(shingle_sets(marked.select("doc_id", "_row", "text"), shingle, banks, False), "shingle-sets")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
+    # Texts of one set share set_id: one row of each goes on, so that copies never meet in one task.
+    texts = written(rows.groupBy("set_id").agg(F.min(order).alias("k"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in cols]), "texts")
+    loose = components(gathered(gathered(links(texts.where("n > 0").select(*cols).distinct(), most, segments, banks))))
+    same = texts.where("n > 0").groupBy(*cols).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.struct(*cols).alias("node"))
+    parts = written(loose.unionAll(same.select("node", F.col("node").alias("component")).join(loose, "node", "left_anti")), "loose")
+    grouped = written(
+        texts.join(parts.select("node.*", F.xxhash64("component").alias("group")), cols).select("set_id", "group", "n", "k", *cols), "groups"
+    )
+    sizes = cut(grouped.groupBy("group").agg(F.sum("n").alias("_n")).select("group", F.ceil(F.col("_n") / block).cast("int").alias("parts")))
+    placed = grouped.join(small(sizes, sizes.count()), "group").withColumn("_b", F.pmod(F.xxhash64(F.lit(7), "set_id"), F.col("parts")).cast("int"))
+    chosen = placed.select("set_id", "group", "parts", "_b", *cols, F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
+    met = marked.select("doc_id", "_row", "text").join(chosen, (F.col("_row") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = shingle_sets(met.select(*[F.col(c) for c in ("group", "parts", "_b", *cols)], "text"), shingle, banks, True).drop("n")
+    # Each block meets every block, itself within; side 1 is the higher block of a pair.
+    at = sets.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("side"), "set_id", "shingles", *cols)
+    linked = components(gathered(gathered(verified_links(at, most, banks, least)))).withColumnRenamed("node", "set_id")
+    keep = texts.join(linked, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k")))
     return kept.drop("_id", "_k").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)

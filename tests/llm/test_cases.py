@@ -229,6 +229,28 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert sorted(d for d in got if d is not None) == list(range(30)) and got.count(None) == 2
 
 
+@pytest.mark.parametrize("block", [1 << 21, 2000])
+def test_deduplicated_checks_similarity(spark, block):
+    """Pairs of 200 shingles: 178 shared make 0.802, 171 make 0.747."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        for j, shared in ((0, 178), (1000, 171)):
+            same = fresh(shared + 4)
+            rows += [(2 * i + j, " ".join(same + fresh(200 - shared))), (2 * i + 1 + j, " ".join(same + fresh(200 - shared)))]
+    # A group around one text: the copies near it go, those under the limit stay.
+    hub = fresh(204)
+    rows += [(3000, " ".join(hub))] + [(3001 + i, " ".join(hub[:-20] + fresh(20))) for i in range(40)] + [(3100 + i, " ".join(hub[:-60] + fresh(60))) for i in range(40)]
+    rows += [(4000, None), (4001, " "), (4002, rows[0][1].upper()), (4003, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.deduplicated(df, block=block).collect()}
+    assert sum(2 * i in got for i in range(60)) == 60 and sum(2 * i + 1 in got for i in range(60)) <= 3
+    assert all(i in got for i in range(1000, 1120))
+    assert 3000 in got and not got & set(range(3001, 3041)) and got >= set(range(3100, 3140))
+    assert got & set(range(4000, 4004)) == {4000}
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mail Bob.Lee@Mail8.example.com or bob.lee@mail8.example.com. Call +1 (407) 555-7710, 407-555-7710."),
