@@ -92,9 +92,10 @@ def l16(spark, sf_dir):
 @query("l17_l18_clusters")
 def l17(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    c = ev.clustered(e, "embedding", ev.k_means(e, "embedding", (3,), 2)[3])
-    s = ev.silhouette(c.where("vec_id % 50 = 0"), c, "vec_id", "embedding", "cluster")
-    return s.agg(F.count(F.lit(1)).alias("n"), r(F.avg("silhouette"), "silhouette", 4))
+    for k, model in ev.k_means(e, "embedding").items():
+        e = ev.clustered(e, "embedding", model).withColumnRenamed("cluster", f"k{k}")
+    s = ev.mean_silhouettes(e, "vec_id", "embedding", {k: f"k{k}" for k in (2, 3, 4, 5)})
+    return s.select("k", "n", r(F.col("silhouette"), "silhouette", 4), "best")
 
 
 @query("l18_label_silhouette", "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(list_distance(a.e, b.e)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL), s AS (SELECT vec_id, max(d) FILTER (WHERE la = lb) AS a, min(d) FILTER (WHERE la <> lb) AS b FROM p GROUP BY vec_id) SELECT vec_id, round(coalesce((b - a) / greatest(a, b), 0), 5) + 0.0 AS silhouette FROM s")

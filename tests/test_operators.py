@@ -174,6 +174,17 @@ def test_silhouette_and_cosine(spark):
     assert len(cos) == 25 and cos[0, 1] == 0 and math.isclose(cos[2, 4], 1)
 
 
+def test_mean_silhouettes_cover_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(6 * (i % 3), 1, 2)], i % 2, i % 3) for i in range(60)] + [(60, [50.0, 50.0], 0, 0)]
+    df = spark.createDataFrame(rows, "id int, e array<double>, k2 int, k3 int")
+    got = {r["k"]: r for r in ev.mean_silhouettes(df, "id", "e", {2: "k2", 3: "k3"}, block=7).collect()}
+    for k in (2, 3):
+        want = ev.silhouette(df, df, "id", "e", f"k{k}").agg(F.avg("silhouette")).first()[0]
+        assert math.isclose(got[k]["silhouette"], want, abs_tol=1e-9) and got[k]["n"] == 61
+    assert got[3]["best"] and not got[2]["best"]
+
+
 def test_paths(spark):
     line = graph(spark, [(1, 2), (2, 3), (3, 4)])
     assert sorted(r["path"] for r in pa.simple_paths(line, ["material"], 3).collect()) == [[1, 2, 3], [2, 3, 4]]
