@@ -31,19 +31,21 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, most: int = 4096,
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long" + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, nth = np.array([end_id], np.uint16).tobytes(), 0
+        nth = 0
         for b in batches:
-            ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            for x, y in slices(texts):
-                rows: list[tuple] = []
-                for i, raw in zip(range(x, y), encoder(vocabulary, False).encode(texts[x:y])):
-                    wide = np.frombuffer(raw + end, np.uint16).astype("<u4")
-                    for s in range(0, len(wide), most):
-                        part = wide[s : s + most].tobytes()
-                        rows.append((i, s, len(part) // 4, zlib.crc32(part), len(wide), nth) + ((part,) if keep_ids else ()))
-                        nth += 1
-                at, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(pa.int64()), *[pa.array(r, pa.binary() if k == 5 else pa.int64()) for k, r in enumerate(rest)]], names=[c.split()[0] for c in schema.split(", ")])
+            for x, y in slices(b.column(1)):
+                ids, tokens = encoder(vocabulary, False, end_id).encode(b.column(1).slice(x, y - x))
+                wide = ids.astype("<u4")
+                cuts = -(-tokens // most)
+                doc = np.repeat(np.arange(len(tokens)), cuts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * most
+                length = np.minimum(most, tokens[doc] - start)
+                at = (np.cumsum(tokens) - tokens)[doc] + start
+                parts = [wide[a:z] for a, z in zip(at, at + length)]
+                crcs = np.fromiter(map(zlib.crc32, parts), np.int64, len(parts))
+                columns = [b.column(0).take(pa.array(doc + x)).cast(pa.int64()), *map(pa.array, (start, length, crcs, tokens[doc], np.arange(nth, nth + len(doc))))]
+                nth += len(doc)
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([p.tobytes() for p in parts], pa.binary())] if keep_ids else []), names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

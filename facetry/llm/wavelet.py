@@ -5,11 +5,13 @@ above. Planes are stored in compressed blocks with the number of ones before eac
 reads one block a plane. The file also lists document ids and lengths.
 
 Layout: b"FWM1", header length (uint32), JSON header, then the sections it lists (offset, size): the
-directory and, plane by plane, the blocks. Shards are ranges of doc_id in ascending order, written to
-the shared folder under a temporary name and moved, so a repeated task replaces equal bytes.
+directory and, plane by plane, the blocks. A task holds a range of doc_id in ascending order and closes
+a shard whenever its texts reach ``shard_bytes``, so memory is bounded by that and one text, however
+sizes are spread. Files are written to the shared folder under a temporary name and moved, so a repeated
+task replaces equal bytes.
 
-Edge cases: null and empty texts are the end id alone; null ids come first; equal ids stay neighbours;
-an empty table has no files and no rows.
+Edge cases: null and empty texts are the end id alone; null ids come first; rows of equal ids stand by
+their text; an empty table has no files and no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.llm.tokens import encoder, slices
-from facetry.session import cut, shared_dir, small
+from facetry.session import cut, shared_dir
 
 MAGIC, BLOCK = b"FWM1", 1 << 16  # bytes of a plane's block before compression
+STEP = 1 << 17  # tokens that are parted at once, so that their positions stay in the processor's cache
+
+
+def parted(now: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(packed bits of ``level``, tokens with the bit clear and then those with it set, in their order)."""
+    out, ones = np.empty_like(now), np.empty_like(now)
+    bits, bit = np.empty(-(-len(now) // 8), np.uint8), now.dtype.type(1 << level)
+    z = o = 0
+    for a in range(0, len(now), STEP):
+        x = now[a : a + STEP]
+        is_one = (x & bit) != 0
+        bits[a // 8 : -(-(a + len(x)) // 8)] = np.packbits(is_one, bitorder="little")
+        i = np.flatnonzero(is_one)
+        np.take(x, i, out=ones[o : o + len(i)], mode="clip")
+        o += len(i)
+        i = np.flatnonzero(~is_one)
+        np.take(x, i, out=out[z : z + len(i)], mode="clip")
+        z += len(i)
+    out[z:] = ones[:o]
+    return bits, out
 
 
 def build(tokens: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
@@ -41,15 +64,13 @@ def build(tokens: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) ->
     directory = pack(json.dumps(doc_ids).encode() + b"\n" + lengths.astype("<i8").tobytes())
     sections, planes, now = [directory], [], tokens
     for level in range(levels - 1, -1, -1):
-        ones = (now >> level) & 1 == 1
-        bits = np.packbits(ones, bitorder="little")
+        bits, now = parted(now, level)
         before, ends = [0], []
         for a in range(0, len(bits), BLOCK):
             ends.append(len(sections))
             before.append(before[-1] + int(np.bitwise_count(bits[a : a + BLOCK]).sum()))
             sections.append(pack(bits[a : a + BLOCK].tobytes()))
         planes.append({"blocks": ends, "ones": before})
-        now = np.concatenate((now[~ones], now[ones]))
     at = np.cumsum([0, *map(len, sections)]).tolist()
     header = json.dumps({"n": len(tokens), "levels": levels, "at": at, "planes": planes}).encode()
     return MAGIC + struct.pack("<I", len(header)) + header + b"".join(sections)
@@ -139,15 +160,22 @@ class WaveletFile:
 
     def decode(self) -> np.ndarray:
         """All tokens: the planes undone from the last to the first."""
-        out = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
+        now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
+        up = np.empty_like(now)
         for p in range(self.levels - 1, -1, -1):
-            raw = b"".join(self._section(i) for i in self.planes[p]["blocks"])
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
-            zeros, up = self._zeros(p), np.empty_like(out)
-            up[~ones] = out[:zeros]
-            up[ones] = out[zeros:] | out.dtype.type(1 << (self.levels - 1 - p))
-            out = up
-        return out
+            bits = np.frombuffer(b"".join(self._section(i) for i in self.planes[p]["blocks"]), np.uint8)
+            z, o, bit = 0, self._zeros(p), now.dtype.type(1 << (self.levels - 1 - p))
+            for a in range(0, self.n, STEP):
+                y = up[a : a + STEP]
+                is_one = np.unpackbits(bits[a // 8 : (a + STEP) // 8], count=len(y), bitorder="little").view(bool)
+                i = np.flatnonzero(is_one)
+                y[i] = now[o : o + len(i)] | bit
+                o += len(i)
+                i = np.flatnonzero(~is_one)
+                y[i] = now[z : z + len(i)]
+                z += len(i)
+            now, up = up, now
+        return now
 
 
 def _place(uri: str):
@@ -160,56 +188,61 @@ def _place(uri: str):
 
 
 def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 0, shard_bytes: int = 24 << 20) -> DataFrame:
-    """Write the shards; shard, path, docs, tokens of each (a small table, cut from its lineage)."""
+    """Write the shards; part, nth, path, docs, tokens of each (a small table, cut from its lineage).
+
+    (part, nth) order the shards by doc_id.
+    """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    parts = max(1, -(-total // shard_bytes))
+
+    def save(part: int, nth: int, attempt: int, ids: list[int | None], tokens: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
+        name = f"{folder}/shard-{part:06d}-{nth:04d}.fwm"
+        files, path = _place(name)
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(f"{path}.{attempt}") as f:
+            f.write(build(np.concatenate(tokens), ids, np.concatenate(lengths)))
+        files.move(f"{path}.{attempt}", path)
+        return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "path": [name], "docs": [len(ids)], "tokens": [sum(map(len, tokens))]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids: list[int | None] = []
-        got: list[bytes] = []
-        end = np.array([end_id], np.uint16).tobytes()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        nth, held, ids, tokens, lengths = 0, 0, [], [], []
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids += b.column(0).to_pylist()
-            for x, y in slices(texts):
-                got += [r + end for r in encoder(vocabulary, True).encode(texts[x:y])]
-        if not ids:
-            return
-        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 2
-        tokens = np.frombuffer(b"".join(got), np.uint16)
-        del got
-        task = TaskContext.get()
-        files, path = _place(f"{folder}/shard-{task.partitionId():06d}.fwm")
-        files.create_dir(path.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(f"{path}.{task.taskAttemptId()}") as f:
-            f.write(build(tokens, ids, lengths))
-        files.move(f"{path}.{task.taskAttemptId()}", path)
-        yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [f"{folder}/shard-{task.partitionId():06d}.fwm"], "docs": [len(ids)], "tokens": [len(tokens)]})
-
-    ranged = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    return cut(ranged.mapInArrow(run, "shard long, path string, docs long, tokens long"))
+            for x, y in slices(b.column(1)):
+                texts = b.column(1).slice(x, y - x)
+                got = encoder(vocabulary, True, end_id).encode(texts)
+                ids += b.column(0).slice(x, y - x).to_pylist()
+                tokens.append(got[0])
+                lengths.append(got[1])
+                held += pc.sum(pc.binary_length(texts)).as_py() or 0
+                if held >= shard_bytes:
+                    yield save(part, nth, attempt, ids, tokens, lengths)
+                    nth, held, ids, tokens, lengths = nth + 1, 0, [], [], []
+        if ids:
+            yield save(part, nth, attempt, ids, tokens, lengths)
+
+    ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    return cut(ranged.mapInArrow(run, "part long, nth long, path string, docs long, tokens long"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    based = manifest.select("path", (F.sum("tokens").over(W.orderBy("part", "nth")) - F.col("tokens")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 files, name = _place(path)
                 with files.open_input_file(name) as f:
                     wavelet = WaveletFile(f)
                     ids, lengths = wavelet.documents()
-                    tokens = wavelet.decode()
+                    tokens = wavelet.decode().astype("<u4")
                 at = np.concatenate(([0], np.cumsum(lengths)))
-                crcs = [zlib.crc32(tokens[x:y].astype("<u4")) for x, y in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(at[:-1]), pa.array(lengths), pa.array(crcs, pa.int64())], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                crcs = np.fromiter((zlib.crc32(tokens[x:y]) for x, y in zip(at, at[1:])), np.int64, len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base + at[:-1]), pa.array(lengths), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = manifest.count()
-    base = manifest.select("shard", (F.sum("tokens").over(W.orderBy("shard")) - F.col("tokens")).alias("base"))
-    rows = manifest.select("shard", "path").repartition(max(1, n), "path").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(small(base, n), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return based.repartition(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

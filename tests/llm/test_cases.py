@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetry.llm import ann, apportion, mixing, packing, pii, quality, sharding, simhash, suffixes, warc, wavelet
+from facetry.llm import ann, apportion, mixing, packing, pii, quality, sharding, simhash, suffixes, tokens, warc, wavelet
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string, fp double, sid int, at string, n_entities int"
@@ -361,15 +361,34 @@ def test_communication_matrix_is_hypergeometric(spark):
     assert abs(np.mean(seen) - mean) < 4 * std / math.sqrt(60) and 0.6 * std < np.std(seen) < 1.5 * std
 
 
+@pytest.mark.parametrize("name, spaces, end", [("byte_bpe_50k.json", True, 0), ("word_bpe_49k.json", False, 2)])
+@pytest.mark.parametrize("most", [5, 1_000_000])
+def test_chunk_encoder_equals_the_library(name, spaces, end, most):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary(name)
+    bits = ["a", "é", "Ω", "中", "12", " ", "  ", "\n", "\n\n", "\t", ".", ",", "...", "?!", "'", "'s", "don't", "\x01", "\u00a0", "\u0301", "<|endoftext|>", "-", "word", "Word,", "ok."]
+    rng = random.Random(7)
+    texts = [None, "", "\n", " ", "end\n", "a\n\n\nb c, d.", "zwölf; 3.5, 7!! Ωm. 中文. ok", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000))]
+    library, ours = Tokenizer.from_file(path), tokens.ChunkEncoder(path, spaces, end, most)
+    for x in range(0, len(texts), 700):
+        part = texts[x : x + 700]
+        ids, lengths = ours.encode(pa.array(part, pa.string()))
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        for t, a, b in zip(part, at, at[1:]):
+            assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids + [end], t
+
+
 def test_wavelet_file():
     rng = np.random.default_rng(5)
     for n, top in ((0, 10), (1, 1), (1000, 3), (700_000, 50_257)):
-        tokens = (rng.integers(0, top, n) ** 2 // max(1, top)).astype(np.uint16)
-        w = wavelet.WaveletFile(wavelet.build(tokens, [1, None], np.array([n, 0])))
-        assert (w.decode() == tokens).all() and w.documents()[0] == [1, None]
+        ids = (rng.integers(0, top, n) ** 2 // max(1, top)).astype(np.uint16)
+        w = wavelet.WaveletFile(wavelet.build(ids, [1, None], np.array([n, 0])))
+        assert (w.decode() == ids).all() and w.documents()[0] == [1, None]
         for i in rng.integers(0, n, 4) if n else []:
-            token = int(tokens[i])
-            where = np.flatnonzero(tokens == token)
+            token = int(ids[i])
+            where = np.flatnonzero(ids == token)
             assert w.access(int(i)) == token and w.count(token) == len(where) and w.rank(token, int(i)) == (where < i).sum()
             assert w.select(token, len(where) - 1) == where[-1] and w.select(token, 0) == where[0]
         assert w.count(60_000) == 0
@@ -381,6 +400,7 @@ def test_wavelet_shards(spark, docs):
     path = vocabulary("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
     manifest = wavelet.write_shards(docs, path, shard_bytes=100_000)
+    assert manifest.agg(F.max("nth")).first()[0] > 0
     rows = wavelet.read_shards(manifest).collect()
     ids = {d: np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for d, t, _, _ in edge_rows() if d is not None}
     assert len(rows) == len(edge_rows()) and manifest.count() > 1
