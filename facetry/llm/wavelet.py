@@ -195,7 +195,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // shard_bytes))
+    parts = max(1, -(-total * 4 // (3 * shard_bytes)))  # ranges vary in bytes; most should fit one shard
 
     def save(part: int, nth: int, attempt: int, ids: list[int | None], tokens: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
         name = f"{folder}/shard-{part:06d}-{nth:04d}.fwm"
@@ -212,7 +212,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         nth, held, ids, tokens, lengths = 0, 0, [], [], []
         for b in batches:
-            for x, y in slices(b.column(1)):
+            for x, y in slices(b.column(1), min(6_000_000, shard_bytes)):
                 texts = b.column(1).slice(x, y - x)
                 got = encoder(vocabulary, True, end_id).encode(texts)
                 ids += b.column(0).slice(x, y - x).to_pylist()
