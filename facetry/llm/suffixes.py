@@ -10,9 +10,13 @@ follow, for each place, how far to the left and right it agrees with some other
 ``length`` bytes.
 
 Exact copies of texts are found first and are removed whole; one of them stands for all in the
-search. Groups of more than ``most`` contexts are dealt out by the windows themselves instead, so no
-group has to fit one task. Edge cases: null texts are empty; texts under ``length`` bytes keep every
-byte; periodic texts pick many equal places, of which one a document is sent on.
+search. A task sorts at most ``most`` contexts of a group: a larger group is first parted by what stands
+around the gram (:func:`parted_groups`), so no group has to fit one task, and its parts are sorted the
+same way. Texts are known by two 64-bit hashes.
+
+Edge cases: null texts are empty; texts under ``length`` bytes keep every byte; periodic texts pick many
+equal places, of which one row a document and context is sent on; repeated rows are copies of each
+other; only doc_id and text are read, so further columns do not clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.session import written
+from facetry.session import small, written
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE = 1 << 20
@@ -210,13 +214,103 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, spans, texts): facts row, doc_id, n_bytes, whole_sha256, copies a row of ``docs``; spans row, spans
-    array<struct<start,end>> (merged) of texts without copies; texts row, text of the rows that have spans or were searched."""
+CONTEXT = "g1 long, g2 long, k1 long, k2 long, at array<long>, left binary, right binary"
+SPAN = "k1 long, k2 long, start long, end long"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
+def compared(contexts: DataFrame, length: int) -> DataFrame:
+    """Spans of the contexts (columns of CONTEXT) of each group (g1, g2) that agree with others: each of ``at`` less L and plus R."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group is finished when the next one begins."""
+        held: list[tuple] = []
+
+        def finish() -> list[tuple[int, int, int, int]]:
+            lefts = [x for r in held for x in [r[5]] * min(2, len(r[4]))]
+            rights = [x for r in held for x in [r[6]] * min(2, len(r[4]))]
+            got, i, out = extents(lefts, rights, length) if len(lefts) > 1 else [(0, 0)], 0, []
+            for _, _, k1, k2, at, _, _ in held:
+                l, r = got[i]  # noqa: E741
+                i += min(2, len(at))
+                if l + r:
+                    out += [(k1, k2, a - l, a + r) for a in at]
+            return out
+
+        for b in batches:
+            rows: list[tuple[int, int, int, int]] = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][:2] != r[:2]:
+                    rows += finish()
+                    held = []
+                held.append(r)
+            if rows:
+                yield _table(rows, SPAN)
+        if held and (rows := finish()):
+            yield _table(rows, SPAN)
+
+    return contexts.select("g1", "g2", "k1", "k2", "at", "left", "right").repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(run, SPAN)
+
+
+def parted_groups(contexts: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """What :func:`compared` gives, for groups of any size; no task holds more than ``most`` contexts.
+
+    A window that starts o bytes before the gram holds ``o`` bytes to its left and ``length - o`` from it on.
+    For a range s <= o <= e, contexts that share such a window agree on the inner part (s to the left,
+    length - e from the gram on), and contexts that agree on the outer part (e, length - s) share them all.
+    So a group is parted by inner parts; where a part is still too large, contexts equal in their outer part
+    are settled, one of them stands for all, and the two halves of the range follow. Every step is a count
+    by hash, and equal contexts never come together in a task.
+    """
+    two = lambda *c: [F.xxhash64(F.lit(i), *c) for i in (1, 2)]
+    n_left, n_right = F.octet_length("left"), F.octet_length("right")
+    ids = dict(zip(("c1", "c2"), two("g1", "g2", "left", "right")))
+    placed = written(contexts.select("*", *[v.alias(k) for k, v in ids.items()]), "contexts")
+    distinct = placed.groupBy("c1", "c2").agg(F.sum(F.size("at")).alias("n"), *[F.first(c).alias(c) for c in ("g1", "g2", "left", "right")])
+    distinct = written(distinct, "distinct-contexts")
+    found = [distinct.where((F.col("n") > 1) & (n_left + n_right >= length)).select("c1", "c2", (-n_left).alias("start"), n_right.alias("end"))]
+    lone = F.array(F.lit(0).cast("long"))
+    rows, bounded = distinct.select("g1", "g2", "c1", "c2", "left", "right", F.lit(0).alias("s"), F.lit(length - gram).alias("e")), []
+    while True:
+        part = lambda l, r: [F.substr("left", F.lit(1), F.col(l)), F.substr("right", F.lit(1), length - F.col(r))]
+        inner, outer = two("g1", "g2", "s", "e", *part("s", "e")), two("g1", "g2", "s", "e", *part("e", "s"))
+        keyed = rows.where((n_left >= F.col("s")) & (n_right >= length - F.col("e")))
+        keyed = written(keyed.select("*", *[c.alias(n) for n, c in zip(("p1", "p2", "f1", "f2"), inner + outer)]), "keyed-contexts")
+        alike = keyed.groupBy("p1", "p2", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c1", "c2", "g1", "g2", "left", "right", "s", "e")).alias("x"))
+        alike = written(alike, "alike-contexts")
+        sizes = alike.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("open"))
+        from_, to = F.greatest(F.col("s"), length - n_right), F.least(F.col("e"), n_left)
+        settled = keyed.join(alike.where("n > 1").select("p1", "p2", "f1", "f2"), ["p1", "p2", "f1", "f2"], "left_semi")
+        found.append(settled.where(from_ <= to).select("c1", "c2", (-to).alias("start"), (length - from_).alias("end")))
+        going = alike.join(sizes.where("open > 0 and m > 1"), ["p1", "p2"])
+        bounded.append(going.where(F.col("m") <= most).select(F.col("p1").alias("g1"), F.col("p2").alias("g2"), F.col("x.c1").alias("k1"), F.col("x.c2").alias("k2"), lone.alias("at"), "x.left", "x.right"))
+        mid = F.floor((F.col("s") + F.col("e")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("s"), mid.alias("e")), F.struct((mid + 1).alias("s"), F.col("e")))
+        rows = going.where((F.col("m") > most) & (F.col("x.s") < F.col("x.e"))).select("x.*")
+        rows = rows.withColumn("h", F.explode(halves)).select("g1", "g2", "c1", "c2", "left", "right", "h.s", "h.e")
+        if rows.isEmpty():
+            break
+    for part_ in bounded:
+        found.append(compared(part_, length).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "start", "end"))
+    spans = found[0]
+    for f in found[1:]:
+        spans = spans.unionAll(f)
+    widest = spans.groupBy("c1", "c2").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return placed.join(widest, ["c1", "c2"]).select("k1", "k2", F.explode("at").alias("a"), "start", "end").select("k1", "k2", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end")).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(marked, copied, spans, searched). marked: doc_id, text, k1, k2, n_bytes of every row; copied: k1, k2, copies of texts
+    that stand in several rows (``length`` bytes or more); spans: k1, k2, spans array<struct<start,end>> of other
+    texts; searched: k1, k2, text, copies of the texts that were compared."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select(
-        "doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(length), text).alias("k2"), F.octet_length(text).cast("long").alias("n_bytes"))
-    long_texts = marked.where(F.col("n_bytes") >= length)
+    marked = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(length), text).alias("k2"), F.octet_length(text).cast("long").alias("n_bytes"))
+    long_texts = marked.where(F.col("n_bytes") >= length).withColumn("row", F.xxhash64("doc_id", "k1"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,97 +321,68 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: in
                 ends = np.flatnonzero(np.r_[np.diff(hashes[order]) != 0, True]) + 1 if len(at) else []
                 rows += [(k1, k2, int(hashes[order[e - 1]]), at[order[s:e]].tolist()) for s, e in zip([0, *ends[:-1]], ends)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["k1", "k2", "h", "at"])
+                yield _table(rows, "k1 long, k2 long, h long, at array<long>")
 
-    facts = written(marked.select("doc_id", "row", "k1", "k2", "n_bytes", F.sha2(F.encode("text", "UTF-8"), 256).alias("whole_sha256")), "facts")
-    texts = facts.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
+    texts = written(long_texts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "texts")
     picked = written(long_texts.select("k1", "k2", "text").mapInArrow(pick, "k1 long, k2 long, h long, at array<long>").dropDuplicates(["k1", "k2", "h"]), "places")
     # n bounds the contexts of a group: periodic texts hold many places, of which few differ.
     shared = picked.groupBy("h").agg(F.sum(F.size("at")).alias("c"), F.sum(F.least(F.size("at"), F.lit(64))).cast("long").alias("n")).where("c > 1").drop("c")
-    chosen = picked.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "h", "n")).alias("at")).join(texts, ["k1", "k2"]).select("row", "copies", "at")
-    searched = written(long_texts.select("row", "text").join(chosen, "row").dropDuplicates(["row"]), "searched")
+    chosen = picked.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "h", "n")).alias("at")).join(texts, ["k1", "k2"])
+    # One row of each text goes on: copies have other values of ``row`` and meet nobody.
+    searched = written(long_texts.select("k1", "k2", "row", "text").join(chosen, ["k1", "k2", "row"]).dropDuplicates(["k1", "k2"]).drop("row"), "searched")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a distinct (h, left, right) of a document; alike: whether it stands there twice or more; at: all its places."""
+        """One row a distinct (gram, left, right) of a document, with all its places; ``left`` is reversed."""
         for b in batches:
             for x in range(0, len(b), 64):
                 rows = []
-                for row, data, at in zip(b.column(0).to_pylist()[x : x + 64], b.column(1).slice(x, 64).cast(pa.binary()), b.column(2).slice(x, 64).to_pylist()):
+                for k1, k2, data, at in zip(*(b.column(i).to_pylist()[x : x + 64] for i in (0, 1)), b.column(2).slice(x, 64).cast(pa.binary()), b.column(3).slice(x, 64).to_pylist()):
                     data, alike = data.as_py(), defaultdict(list)
                     for p in at:
                         for a in p["at"]:
                             alike[p["h"], p["n"], data[max(0, a - length + gram) : a][::-1], data[a : a + length]].append(a)
-                    rows += [(h, n, row, where, left, right) for (h, n, left, right), where in alike.items()]
+                    rows += [(h, n, k1, k2, where, left, right) for (h, n, left, right), where in alike.items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["h", "n", "row", "at", "left", "right"])
+                    yield _table(rows, CONTEXT)
 
-    around = searched.select("row", "text", "at").mapInArrow(surround, "h long, n long, row long, at array<long>, left binary, right binary")
+    around = searched.select("k1", "k2", "text", "at").mapInArrow(surround, CONTEXT)
+    found = compared(around.where(F.col("g2") <= most), length)
+    hot = around.where(F.col("g2") > most)
+    if not shared.where(F.col("n") > most).isEmpty():
+        found = found.unionAll(parted_groups(hot, length, gram, most))
+    spans = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return marked, texts.where("copies > 1").select("k1", "k2", "copies"), spans, searched
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by h; a group is finished when the next one begins."""
-        held: list[tuple] = []
 
-        def finish() -> list[tuple[int, int, int]]:
-            lefts = [x for r in held for x in [r[3]] * min(2, len(r[2]))]
-            rights = [x for r in held for x in [r[4]] * min(2, len(r[2]))]
-            got, i, out = extents(lefts, rights, length) if len(lefts) > 1 else [(0, 0)], 0, []
-            for _, row, at, _, _ in held:
-                l, r = got[i]  # noqa: E741
-                i += min(2, len(at))
-                if l + r:
-                    out += [(row, a - l, a + r) for a in at]
-            return out
+def without_repeats(docs: DataFrame, length: int = 400, hot: int = 4096, **kw) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and text (those as text) of every row.
 
-        for b in batches:
-            rows: list[tuple[int, int, int]] = []
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[0][0] != r[0]:
-                    rows += finish()
-                    held = []
-                held.append(r)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["row", "start", "end"])
-        if held and (rows := finish()):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["row", "start", "end"])
-
-    usual = around.where(F.col("n") <= most).select("h", "row", "at", "left", "right").repartition("h").sortWithinPartitions("h").mapInArrow(compare, "row long, start long, end long")
-    # Groups of more places than a task should hold: their windows are counted one by one, by hash partitioning.
-    both = F.concat(F.reverse(F.decode("left", "ISO-8859-1")), F.decode("right", "ISO-8859-1"))
-    windows = (
-        around.where(F.col("n") > most)
-        .select("h", "row", "at", both.alias("b"), F.octet_length("left").alias("l"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("l"))).alias("o")).withColumn("s", F.substr("b", F.col("l") - F.col("o") + 1, F.lit(length))).where(F.length("s") == length)
-        .select("h", "o", "row", "at", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(length), "s").alias("s2"))
-    )
-    twice = windows.groupBy("h", "o", "s1", "s2").agg(F.sum(F.size("at")).alias("c")).where("c > 1").drop("c")
-    dealt = windows.join(twice, ["h", "o", "s1", "s2"], "left_semi").select("row", F.explode("at").alias("a"), "o").select("row", (F.col("a") - F.col("o")).alias("start"), (F.col("a") - F.col("o") + length).alias("end"))
-    spans = usual.unionAll(dealt).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return facts, spans, searched
-
-
-def without_repeats(docs: DataFrame, length: int = 400, **kw) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary; null where the whole text stays) of every row."""
-    facts, spans, searched = repeated_spans(docs, length, **kw)
+    A cut can part the bytes of a character; ``text`` leaves the rest of such a character out.
+    """
+    marked, copied, spans, searched = repeated_spans(docs, length, **kw)
+    result = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string"
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for row, data, found in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
+            for k1, k2, data, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3).to_pylist()):
                 data, runs = data.as_py(), _merged([(s["start"], s["end"]) for s in found])
                 at = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[x:y] for x, y in zip(at[::2], at[1::2]))
-                rows.append((row, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((k1, k2, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["row", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    lone = searched.where("copies = 1").select("row", "text").join(spans, "row").mapInArrow(cut_out, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    copied = facts.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    nothing = hashlib.sha256(b"").hexdigest()
-    whole = F.coalesce(F.col("copies"), F.lit(1)) > 1
-    return facts.join(copied, ["k1", "k2"], "left").join(lone, "row", "left").select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
-        F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-    )
+                yield _table(rows, result)
+
+    lone = searched.where("copies = 1").select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(cut_out, result)
+    whole = [F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"), F.lit("").alias("text")]
+    cleaned = lone.unionAll(copied.where(F.col("copies") <= hot).select("k1", "k2", *whole)).withColumnRenamed("text", "_text").withColumn("_cut", F.lit(True))
+    # Texts with very many copies are few; they are told apart before the join, so that it has no hot key.
+    common = copied.where(F.col("copies") > hot).select("k1", "k2", F.lit(True).alias("_common"))
+    rows = marked.join(small(common, common.count()), ["k1", "k2"], "left")
+    gone = rows.where("_common").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), *whole[1:])
+    met = rows.where("_common is null").join(cleaned, ["k1", "k2"], "left")
+    pick = lambda cut, uncut: F.when(F.col("_cut"), cut).otherwise(uncut)
+    return gone.unionByName(met.select(
+        "doc_id", "n_bytes", pick(F.coalesce("n_removed", "n_bytes"), F.lit(0)).cast("long").alias("n_removed"), pick(F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
+        pick(F.col("kept_sha256"), F.sha2(F.encode("text", "UTF-8"), 256)).alias("kept_sha256"), pick(F.col("kept"), F.encode("text", "UTF-8")).alias("kept"), pick(F.col("_text"), F.col("text")).alias("text"),
+    ))

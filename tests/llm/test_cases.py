@@ -461,7 +461,7 @@ def slow_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram, most", [(40, 10, 200_000), (40, 10, 3), (25, 20, 200_000)])
+@pytest.mark.parametrize("length, gram, most", [(40, 10, 200_000), (40, 10, 3), (40, 10, 20), (25, 20, 200_000)])
 def test_repeated_bytes(spark, length, gram, most):
     rng = random.Random(3)
     base = ["".join(rng.choice("abc") for _ in range(60)) for _ in range(6)]
@@ -475,13 +475,29 @@ def test_repeated_bytes(spark, length, gram, most):
 
 def test_repeated_bytes_on_edge_rows(spark, docs):
     got = suffixes.without_repeats(docs).collect()
-    want = Counter((r[0], *w) for r, w in zip(edge_rows(), slow_removal([(t or "").encode()[:3000] for _, t, _, _ in edge_rows()], 400)) if len((r[1] or "").encode()) <= 3000)
-    assert len(got) == len(edge_rows())
-    assert all(Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)[k] == n for k, n in want.items())
+    want = Counter((r[0], *w) for r, w in zip(edge_rows(), slow_removal([(t or "").encode() for _, t, _, _ in edge_rows()], 400)))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert all(r["text"].encode() == bytes(r["kept"]) and hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
     assert all(r["n_removed"] == r["n_bytes"] for r in got if r["doc_id"] in (7, 8))
     assert suffixes.without_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeated_bytes_of_a_large_group(spark, hot):
+    """One passage in most texts, with equal and with different surroundings, and near copies of it."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    passage = say(90)
+    near = [passage[:k] + "x" + passage[k + 1 :] for k in range(0, 90, 7)]
+    texts = [say(rng.randint(0, 40)) + passage + say(rng.randint(0, 40)) for _ in range(60)] + [rng.choice(["", "abab", say(3)]) + passage[rng.randint(0, 30) :] for _ in range(40)]
+    texts += [say(rng.randint(0, 9)) + rng.choice(near) + say(5) for _ in range(60)] + [texts[0]] * 5 + [passage + passage]
+    rows = list(enumerate(texts))
+    want = Counter((i, *w) for (i, _), w in zip(rows, slow_removal([t.encode() for t in texts], 40)))
+    for most in (2, 10, 50):
+        got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, hot=hot, gram=10, most=most).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
 def test_deep_shallow_sorting():
     rng = random.Random(9)
     stem = bytes(rng.choice(b"ab") for _ in range(500))
