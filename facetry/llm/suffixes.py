@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.session import small, written
+from facetry.session import cut, small, written
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE = 1 << 20
@@ -285,13 +285,17 @@ def parted_groups(contexts: DataFrame, length: int, gram: int, most: int) -> Dat
         alike = written(alike, "alike-contexts")
         sizes = alike.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("open"))
         from_, to = F.greatest(F.col("s"), length - n_right), F.least(F.col("e"), n_left)
-        settled = keyed.join(alike.where("n > 1").select("p1", "p2", "f1", "f2"), ["p1", "p2", "f1", "f2"], "left_semi")
-        found.append(settled.where(from_ <= to).select("c1", "c2", (-to).alias("start"), (length - from_).alias("end")))
-        going = alike.join(sizes.where("open > 0 and m > 1"), ["p1", "p2"])
-        bounded.append(going.where(F.col("m") <= most).select(F.col("p1").alias("g1"), F.col("p2").alias("g2"), F.col("x.c1").alias("k1"), F.col("x.c2").alias("k2"), lone.alias("at"), "x.left", "x.right"))
+        spread = keyed.select("p1", "p2", "f1", "f2", "c1", "c2", from_.alias("from"), to.alias("to")).where("from <= to")
+        settled = spread.join(alike.where("n > 1").select("p1", "p2", "f1", "f2"), ["p1", "p2", "f1", "f2"], "left_semi")
+        found.append(settled.select("c1", "c2", (-F.col("to")).alias("start"), (length - F.col("from")).alias("end")))
+        # Parts beyond ``most`` are few and told apart first, so that the join of the others has bounded keys.
+        large = cut(sizes.where(F.col("m") > most).select("p1", "p2", F.col("open").alias("large")))
+        marked = alike.join(small(large, large.count()), ["p1", "p2"], "left")
+        bounded_ = marked.where("large is null").join(sizes.where("open > 0 and m > 1"), ["p1", "p2"])
+        bounded.append(bounded_.select(F.col("p1").alias("g1"), F.col("p2").alias("g2"), F.col("x.c1").alias("k1"), F.col("x.c2").alias("k2"), lone.alias("at"), "x.left", "x.right"))
         mid = F.floor((F.col("s") + F.col("e")) / 2).cast("int")
         halves = F.array(F.struct(F.col("s"), mid.alias("e")), F.struct((mid + 1).alias("s"), F.col("e")))
-        rows = going.where((F.col("m") > most) & (F.col("x.s") < F.col("x.e"))).select("x.*")
+        rows = marked.where((F.col("large") > 0) & (F.col("x.s") < F.col("x.e"))).select("x.*")
         rows = rows.withColumn("h", F.explode(halves)).select("g1", "g2", "c1", "c2", "left", "right", "h.s", "h.e")
         if rows.isEmpty():
             break
@@ -304,7 +308,7 @@ def parted_groups(contexts: DataFrame, length: int, gram: int, most: int) -> Dat
     return placed.join(widest, ["c1", "c2"]).select("k1", "k2", F.explode("at").alias("a"), "start", "end").select("k1", "k2", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end")).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(marked, copied, spans, searched). marked: doc_id, text, k1, k2, n_bytes of every row; copied: k1, k2, copies of texts
     that stand in several rows (``length`` bytes or more); spans: k1, k2, spans array<struct<start,end>> of other
     texts; searched: k1, k2, text, copies of the texts that were compared."""
