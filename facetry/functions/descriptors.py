@@ -75,8 +75,10 @@ def reduction_factor(a: Column, b: Column, c: Column) -> Column:
     return g.safe_div(F.least(a, b, c), (a + b + c) / 3)
 
 
-def scaled_cosine_error(a: Column, b: Column, n: int, gamma: float = 2.0) -> Column:
-    of = lambda x, y: g.let(g.norm(x, n) * g.norm(y, n), lambda m: g.safe_div(g.dot(x, y, n), m, 0.0))
+def scaled_cosine_error(a: Column, b: Column, gamma: float = 2.0) -> Column:
+    """(1 - cosine)^gamma of two vectors of any one length; the cosine with a zero vector is 0."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    of = lambda x, y: g.let(F.sqrt(dot(x, x) * dot(y, y)), lambda m: g.safe_div(dot(x, y), m, 0.0))
     return F.pow(1 - g.let2(a, b, of), F.lit(gamma))
 
 

@@ -123,6 +123,16 @@ def nearest_image(delta: Column) -> Column:
     return F.array(*[delta[i] - F.bround(delta[i]) for i in range(3)])
 
 
+def midpoint(p: Column, q: Column) -> Column:
+    """Middle of two points."""
+    return scale(add(p, q), 0.5)
+
+
+def barycentre(p: Column, q: Column, r: Column) -> Column:
+    """Mean of three points."""
+    return scale(add(add(p, q), r), 1 / 3)
+
+
 def triangle(p: Column, q: Column, r: Column) -> Column:
     """Struct: area, angle_variance, shape_factor, sphericity, circumradius2, of three points."""
     return let3(sub(q, p), sub(r, q), sub(p, r), _triangle)

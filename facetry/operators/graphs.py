@@ -32,23 +32,33 @@ def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def three_cycles(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, u, v, n3: common neighbours of the ends of each edge. Wedges meet the edge that closes them."""
+    """keys, u, v, n3: common neighbours of the ends of each edge. Wedges meet the edge that closes them.
+
+    Edges point to the end of higher degree (then the greater id), so a hub is the centre of few wedges.
+    """
     e = edges.where("u <> v")
-    up = e.select(*keys, F.col("u").alias("a"), F.col("v").alias("b"))
+    degree = degrees(e, keys)
+    ends = e.join(degree.select(*keys, F.col("node").alias("u"), F.col("degree").alias("_du")), [*keys, "u"]).join(degree.select(*keys, F.col("node").alias("v"), F.col("degree").alias("_dv")), [*keys, "v"])
+    low = (F.col("_du") < F.col("_dv")) | ((F.col("_du") == F.col("_dv")) & (F.col("u") < F.col("v")))
+    up = ends.select(*keys, F.when(low, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("b"))
     wedge = up.join(up.withColumnRenamed("b", "c"), [*keys, "a"]).where("b < c")
     closed = wedge.join(e.select(*keys, F.col("u").alias("b"), F.col("v").alias("c")), [*keys, "b", "c"])
-    sides = closed.select(*keys, F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "ac", "bc")])).alias("s")).select(*keys, "s.u", "s.v")
+    sides = closed.select(*keys, F.explode(F.array(*[F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")) for x, y in ("ab", "ac", "bc")])).alias("s")).select(*keys, "s.u", "s.v")
     n = sides.groupBy(*keys, "u", "v").agg(F.count(F.lit(1)).alias("n3"))
     return edges.join(n, [*keys, "u", "v"], "left").fillna(0, ["n3"])
 
 
 def four_cycles(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, u, v, n4, n4_halved: cycles u-k-l-v through each edge, and the floor of half their number."""
+    """keys, u, v, n4, n4_halved: cycles u-k-l-v through each edge, and the floor of half their number.
+
+    For each neighbour k of u, the ends k and v have their common neighbours but u itself as l. Common
+    neighbours are counted once for each pair, so paths of three edges are never listed.
+    """
     e = edges.where("u <> v")
     ways = both_ways(e, keys)
+    common = ways.join(ways.withColumnRenamed("b", "c"), [*keys, "a"]).where("b <> c").groupBy(*keys, F.col("b").alias("k"), F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("m"))
     k = e.join(ways.select(*keys, F.col("a").alias("u"), F.col("b").alias("k")), [*keys, "u"]).where("k <> v")
-    kl = k.join(ways.select(*keys, F.col("a").alias("k"), F.col("b").alias("l")), [*keys, "k"]).where("l <> u and l <> v")
-    n = kl.join(ways.select(*keys, F.col("a").alias("l"), F.col("b").alias("v")), [*keys, "l", "v"], "left_semi").groupBy(*keys, "u", "v").agg(F.count(F.lit(1)).alias("n4"))
+    n = k.join(common.where("m > 1"), [*keys, "k", "v"]).groupBy(*keys, "u", "v").agg(F.sum(F.col("m") - 1).alias("n4"))
     return edges.join(n, [*keys, "u", "v"], "left").fillna(0, ["n4"]).withColumn("n4_halved", F.floor(F.col("n4") / 2))
 
 

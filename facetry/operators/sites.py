@@ -96,16 +96,22 @@ def range_join(points: DataFrame, radius: float, keys: list[str], site: str, coo
     return a.join(b, [*keys, *[f"_g{i}" for i in range(len(coords))]]).where((F.col("center") != F.col("nbr")) & (square <= radius * radius)).select(*keys, "center", "nbr", F.sqrt(square).alias("distance"))
 
 
-def periodic_range_join(sites: DataFrame, cells: DataFrame, radius: float, images: int = 1, keys: tuple[str, ...] = ("material",)) -> DataFrame:
+def periodic_range_join(sites: DataFrame, cells: DataFrame, radius: float, keys: tuple[str, ...] = ("material",)) -> DataFrame:
     """keys, center, nbr, image, vec, distance of all periodic neighbours within ``radius``.
 
-    sites: keys, site, frac array<double>; cells: keys, cell array<double>[9]. Images -m..m of the one
-    side are laid out, then both sides meet by cells of the radius.
+    sites: keys, site, frac array<double>; cells: keys, cell array<double>[9]. Along each axis the images -m..m
+    of the one side are laid out, m being the radius over the cell's height (the distance of the faces) rounded
+    up, so no image is missed; then both sides meet by cubes of the radius.
     """
     placed = sites.join(cells, list(keys)).withColumn("frac", F.array(*[g.wrap01(F.col("frac")[i]) for i in range(3)]))
-    shifts = F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k)) for i in range(-images, images + 1) for j in range(-images, images + 1) for k in range(-images, images + 1)])
+    axes = [g.vec(*[F.col("cell")[3 * i + j] for j in range(3)]) for i in range(3)]
+    faces = [g.norm(g.cross(axes[(i + 1) % 3], axes[(i + 2) % 3])) for i in range(3)]
+    most = [F.ceil(radius * faces[i] / F.abs(g.determinant(F.col("cell")))).cast("int") for i in range(3)]
+    there = placed.withColumns({f"_m{i}": m for i, m in enumerate(most)})
+    for i in range(3):
+        there = there.withColumn(f"_m{i}", F.explode(F.sequence(-F.col(f"_m{i}"), F.col(f"_m{i}"))))
     grid = lambda p: [F.floor(F.col(p)[i] / radius) for i in range(3)]
-    there = placed.select(*keys, F.col("site").alias("nbr"), F.explode(shifts).alias("image"), "frac", "cell").withColumn("q", g.frac_to_cart(F.col("cell"), g.add(F.col("frac"), F.col("image")))).drop("frac", "cell")
+    there = there.select(*keys, F.col("site").alias("nbr"), F.array("_m0", "_m1", "_m2").alias("image"), "frac", "cell").withColumn("q", g.frac_to_cart(F.col("cell"), g.add(F.col("frac"), F.col("image")))).drop("frac", "cell")
     there = there.select("*", *[c.alias(f"_g{i}") for i, c in enumerate(grid("q"))])
     here = placed.select(*keys, F.col("site").alias("center"), g.frac_to_cart(F.col("cell"), F.col("frac")).alias("p"))
     here = here.select("*", *[c.alias(f"_g{i}") for i, c in enumerate(grid("p"))])

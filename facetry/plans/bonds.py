@@ -138,21 +138,33 @@ def m4(spark, sf_dir):
     return placed(spark, sf_dir).withColumn("x", g.triangle(F.col("pi"), F.col("pj"), F.col("pk"))).select("material", "i", "j", "k", r(x["area"], "area", 5), r(x["shape_factor"], "shape_factor", 5), r(F.when(x["area"] > 0.01, x["sphericity"]), "sphericity", 4))
 
 
-@query("m16_m33_triangle_projection", f"WITH {P_SQL} SELECT material, i, j, k, round(CASE WHEN area > 0.01 THEN 3.0 END, 6) AS identity_projection, round(nx / 2 + ny / 2 + nz / 2, 4) + 0.0 AS flux FROM h")
+@query("m6_centres", f"WITH {E_SQL}, {T_SQL}, {N_SQL} SELECT material, i, j, k, round((a.price + b.price) / 2, 4) AS middle, round((a.price + b.price + c.price) / 3, 4) AS centre_x, round((a.size + b.size + c.size) / 3, 4) AS centre_y FROM tri JOIN n a ON a.node = i JOIN n b ON b.node = j JOIN n c ON c.node = k")
+def m6(spark, sf_dir):
+    """Middle of the first side and barycentre of each triple."""
+    at = nodes(spark, sf_dir).select("material", "node", g.vec(F.col("price"), F.col("size"), F.lit(0.0)).alias("x"))
+    t = gr.wedges(edges(spark, sf_dir), K)
+    for c in "ijk":
+        t = t.join(at.select("material", F.col("node").alias(c), F.col("x").alias(f"x{c}")), ["material", c])
+    p = [F.col(f"x{c}") for c in "ijk"]
+    return t.select("material", "i", "j", "k", r(g.midpoint(p[0], p[1])[0], "middle", 4), r(g.barycentre(*p)[0], "centre_x", 4), r(g.barycentre(*p)[1], "centre_y", 4))
+
+
+@query("m16_m33_triangle_projection", f"WITH {P_SQL} SELECT material, i, j, k, round(CASE WHEN area > 0.01 THEN (nx*nx + 2*nx*ny + 3*ny*ny + 4*nz*nz) / (4*area*area) END, 4) AS projection, round(nx / 2 + ny / 2 + nz / 2, 4) + 0.0 AS flux FROM h")
 def m16(spark, sf_dir):
-    eye = F.array(*[F.lit(1.0 if i in (0, 4, 8) else 0.0) for i in range(9)])
+    tensors = [F.array(*[F.lit(float(x)) for x in m]) for m in ((1, 0, 0, 0, 2, 0, 0, 0, 3), (0, 0, 0, 0, 1, 0, 0, 0, 1), (0, 1, 0, 1, 0, 0, 0, 0, 0))]
     p = [F.col(c) for c in ("pi", "pj", "pk")]
     area = g.norm(g.cross(g.sub(p[1], p[0]), g.sub(p[2], p[0]))) / 2
-    return placed(spark, sf_dir).select("material", "i", "j", "k", r(F.when(area > 0.01, d.normal_projection([eye] * 3, *p)), "identity_projection"), r(d.gradient_flux([g.vec(1.0, 1.0, 1.0)] * 3, *p), "flux", 4))
+    return placed(spark, sf_dir).select("material", "i", "j", "k", r(F.when(area > 0.01, d.normal_projection(tensors, *p)), "projection", 4), r(d.gradient_flux([g.vec(1.0, 1.0, 1.0)] * 3, *p), "flux", 4))
 
 
-@query("m32_stress_flow", f"WITH {P_SQL} SELECT material, i, j, k, round(CASE WHEN area > 0.01 THEN 0.0 END, 4) AS closed_flow FROM h")
+@query("m32_stress_flow", f"""WITH {P_SQL} SELECT material, i, j, k, round(CASE WHEN area > 0.01 THEN 0.0 END, 4) AS closed_flow,
+    round(CASE WHEN area > 0.01 THEN sqrt(greatest(0, 14 + 2 * (ik*ik - ij*ij - jk*jk) / (ij*jk) + 6 * (ij*ij - jk*jk - ik*ik) / (jk*ik) + 3 * (jk*jk - ij*ij - ik*ik) / (ij*ik))) END, 4) AS flow FROM h""")
 def m32(spark, sf_dir):
-    """Weights equal to the sides' lengths close the polygon of normals: the flow vanishes."""
+    """Weights 1, 2, 3; and weights equal to the sides' lengths, which close the polygon of normals."""
     p = [F.col(c) for c in ("pi", "pj", "pk")]
     length = [g.norm(g.sub(p[b], p[a])) for a, b in ((0, 1), (1, 2), (2, 0))]
     area = g.norm(g.cross(g.sub(p[1], p[0]), g.sub(p[2], p[0]))) / 2
-    return placed(spark, sf_dir).select("material", "i", "j", "k", r(F.when(area > 0.01, d.stress_flow(*p, *length)), "closed_flow", 4))
+    return placed(spark, sf_dir).select("material", "i", "j", "k", r(F.when(area > 0.01, d.stress_flow(*p, *length)), "closed_flow", 4), r(F.when(area > 0.01, d.stress_flow(*p, F.lit(1.0), F.lit(2.0), F.lit(3.0))), "flow", 4))
 
 
 @query("a10_a13_vertex_statistics", f"WITH {E_SQL}, {T_SQL}, {N_SQL}, v AS (SELECT tri.*, unnest([i, j, k]) AS node FROM tri) SELECT material, i, j, k, round(avg(price), 4) AS avg_price, round(var_pop(price), 4) AS var_price, max(price) AS max_price, round(9 * var_pop(size), 4) AS vfe_laplacian_variance FROM v LEFT JOIN n USING (node) GROUP BY material, i, j, k")

@@ -126,8 +126,8 @@ def l6(spark, sf_dir):
     return p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), r(F.avg("e"), "mean", 4), r(F.stddev_pop("e"), "std", 4))
 
 
-@query("m26_m27_cosine_error", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id, round(power(1 - list_cosine_similarity(a.e[1:4], b.e[1:4]), 2), 6) AS error FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+@query("m26_m27_cosine_error", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id, round(power(1 - list_cosine_similarity(a.e, b.e), 2), 6) AS error FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
 def m26(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("a"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    return both.select("vec_id", r(d.scaled_cosine_error(F.col("a"), F.col("b"), 4), "error"))
+    return both.select("vec_id", r(d.scaled_cosine_error(F.col("a"), F.col("b")), "error"))

@@ -168,6 +168,19 @@ def j8(spark, sf_dir):
     return s.range_join(table(spark, sf_dir, "part"), 6.0, ["p_brand"], "p_partkey", ("p_size", "p_retailprice")).select("p_brand", "center", "nbr", r(F.col("distance"), "distance"))
 
 
+@query("j8_periodic_range_join", """WITH p AS (SELECT p_brand, p_partkey, p_partkey % 7 / 7 AS fx, p_size / 50 - floor(p_size / 50) AS fy, p_partkey % 11 / 11 AS fz FROM part WHERE p_partkey % 2 = 0),
+    m AS (SELECT a.p_brand, a.p_partkey AS center, b.p_partkey AS nbr, i, j, k, 3 * (b.fx + i - a.fx) + 2 * (b.fy + j - a.fy) AS x, 8 * (b.fy + j - a.fy) AS y, 9 * (b.fz + k - a.fz) AS z FROM p a JOIN p b ON a.p_brand = b.p_brand, range(-2, 3) s(i), range(-1, 2) t(j), range(-1, 2) u(k))
+    SELECT p_brand, center, nbr, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(sqrt(x*x + y*y + z*z), 6) AS distance FROM m WHERE sqrt(x*x + y*y + z*z) <= 4.0003 AND NOT (center = nbr AND i = 0 AND j = 0 AND k = 0)""")
+def j8_periodic(spark, sf_dir):
+    """Parts of a brand as sites of a skewed cell whose first height is under the radius."""
+    part = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    frac = g.vec(F.col("p_partkey") % 7 / 7, F.col("p_size") / 50, F.col("p_partkey") % 11 / 11)
+    site = part.select("p_brand", F.col("p_partkey").alias("site"), frac.alias("frac"))
+    cells = part.select("p_brand").distinct().select("p_brand", F.array(*[F.lit(x) for x in (3.0, 0.0, 0.0, 2.0, 8.0, 0.0, 0.0, 0.0, 9.0)]).alias("cell"))
+    got = s.periodic_range_join(site, cells, 4.0003, keys=("p_brand",))
+    return got.select("p_brand", "center", "nbr", *[F.col("image")[i].alias(c) for i, c in enumerate("ijk")], r(F.col("distance"), "distance"))
+
+
 @query("j9_minimum_image", "WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 7 AS f, l_tax * 11 AS h, l_quantity / 50 AS k FROM lineitem), q AS (SELECT *, f - round_even(f, 0) AS a, h - round_even(h, 0) AS b, k - round_even(k, 0) AS c FROM p) SELECT l_orderkey, l_linenumber, round(sqrt(16*a*a + 25*b*b + 36*c*c), 6) AS distance FROM q")
 def j9(spark, sf_dir):
     zero = F.array(*[F.lit(0.0)] * 3)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from facetry.functions import rules
-from facetry.operators import scaling
+from facetry.operators import evaluation, scaling, sites
 from facetry.plans.registry import query
 from facetry.plans.sites import neighbours, r
 from facetry.session import shared_dir, table
@@ -20,11 +20,12 @@ def folder(spark, name: str) -> str:
 
 @query("s1_s11_atoms_round_trip", "SELECT p_brand AS material, count(*) AS n, round(sum(p_size), 4) AS z, round(sum(p_retailprice), 3) AS chi, CAST(count(*) * 0 AS BIGINT) AS radii FROM part GROUP BY p_brand")
 def s1(spark, sf_dir):
-    """Atoms of each brand written in the fixed column order and read back."""
+    """Atoms of each brand written as one file a material, in the fixed column order, and scanned."""
     df = table(spark, sf_dir, "part").select(F.col("p_brand").alias("material"), F.col("p_partkey").alias("site_index"), F.col("p_size").alias("atomic_number"), F.col("p_retailprice").alias("electronegativity"))
     path = folder(spark, "atoms")
-    io.write_csv(io.ordered_atoms(df), path)
-    back = spark.read.option("header", True).schema("material string, site_index int, " + ", ".join(f"{c} double" for c in io.ATOM_COLUMNS)).csv(path)
+    files = io.ordered_atoms(df).groupBy("material").agg(io.csv_content("site_index", io.ATOM_COLUMNS).alias("content"))
+    io.write_named(files.select(F.concat("material", F.lit("-gpaw-0-Simplex-Features.csv")).alias("name"), "content"), path)
+    back = io.scan_atoms(spark, path)
     return back.groupBy("material").agg(F.count(F.lit(1)).alias("n"), r(F.sum("atomic_number"), "z", 4), r(F.sum("electronegativity"), "chi", 3), F.count("ionic_radius").alias("radii"))
 
 
@@ -72,6 +73,73 @@ def s6(spark, sf_dir):
     return table(spark, sf_dir, "events").select((p["k"] % 10).alias("k"), p["gamma"].alias("gamma")).select("k", io.with_default("gamma", 0.5).alias("gamma")).groupBy("k", "gamma").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s6_run_config", "SELECT n_name AS run, n_nationkey % 4 AS layers, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 0.5 ELSE 1.5 END AS gamma FROM nation")
+def s6_files(spark, sf_dir):
+    """A configuration file a nation; odd ones lack the key gamma."""
+    key = F.col("n_nationkey")
+    values = F.struct((key % 4).cast("int").alias("layers"), F.when(key % 2 == 0, key * 0.5).alias("gamma"))
+    path = folder(spark, "runs")
+    io.write_named(table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit("/args.json")).alias("name"), F.to_json(values).alias("content")), path)
+    return io.scan_run_config(spark, f"{path}/*/args.json").select("run", F.col("layers").cast("int").alias("layers"), io.with_default("gamma", 1.5).alias("gamma"))
+
+
+def structure_files(spark, sf_dir):
+    """A structure file a nation: its suppliers are sites of a box of sides 4, 5, 6 plus the nation's key."""
+    site = F.concat_ws(" ", F.lit(""), F.lit("Pb Pb1"), *[(F.col("s_suppkey") % m / m).cast("string") for m in (4, 5, 8)], F.lit("1.0"))
+    sites = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", site.alias("r")))).alias("a"))
+    key = F.col("n_nationkey").cast("string")
+    cell = [F.concat(F.lit(f"_cell_length_{k} "), (F.col("n_nationkey") + x).cast("string")) for k, x in zip("abc", (4, 5, 6))]
+    loop = F.lit("loop_\n _atom_site_type_symbol\n _atom_site_label\n _atom_site_fract_x\n _atom_site_fract_y\n _atom_site_fract_z\n _atom_site_occupancy")
+    content = F.concat_ws("\n", F.concat(F.lit("data_"), key), *cell, *[F.lit(f"_cell_angle_{k} 90") for k in ("alpha", "beta", "gamma")], loop, F.array_join(F.transform("a", lambda x: x["r"]), "\n"))
+    return table(spark, sf_dir, "nation").join(sites, "n_nationkey").select(F.concat(F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("-gpaw-optimized.cif")).alias("name"), content.alias("content"))
+
+
+@query("s3_list_materials", "SELECT DISTINCT replace(n_name, ' ', '_') AS material FROM nation JOIN supplier ON n_nationkey = s_nationkey")
+def s3(spark, sf_dir):
+    path = folder(spark, "structures")
+    io.write_named(structure_files(spark, sf_dir), path)
+    return io.list_materials(spark, path)
+
+
+@query("s4_structures", """SELECT replace(n_name, ' ', '_') AS material, CAST((n_nationkey + 4.0) * (n_nationkey + 5.0) * (n_nationkey + 6.0) AS DOUBLE) AS volume, count(*) AS sites, CAST(max(row_) AS INTEGER) AS last_site,
+        round(sum(s_suppkey % 4 / 4 * (n_nationkey + 4)), 6) AS x, round(sum(s_suppkey % 5 / 5 * (n_nationkey + 5)), 6) AS y, round(sum(s_suppkey % 8 / 8 * (n_nationkey + 6)), 6) AS z
+    FROM nation JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS row_ FROM supplier) ON n_nationkey = s_nationkey GROUP BY n_name, n_nationkey""")
+def s4(spark, sf_dir):
+    path = folder(spark, "structures")
+    io.write_named(structure_files(spark, sf_dir), path)
+    cells, sites = io.scan_structures(spark, f"{path}/*-optimized.cif")
+    box = cells.select("material", r(F.col("volume"), "volume", 6))
+    return sites.groupBy("material").agg(F.count(F.lit(1)).alias("sites"), F.max("site_index").alias("last_site"), *[r(F.sum(F.col("cart")[i]), c, 6) for i, c in enumerate("xyz")]).join(box, "material")
+
+
+@query("s5_charge_report", "SELECT 'r' || c_nationkey || '.dat' AS name, count(*) AS atoms, round(sum(c_acctbal), 2) AS electrons FROM customer GROUP BY c_nationkey")
+def s5(spark, sf_dir):
+    """A report a nation: two header lines, a line an atom, a rule and a total."""
+    line = F.concat_ws(" ", F.lit(" "), F.col("c_custkey").cast("string"), F.lit("0.0 0.0 0.0"), F.format_string("%.2f", "c_acctbal"), F.lit("1.0 2.0"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("r")))), lambda x: x["r"]), "\n")
+    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit(" # X Y Z CHARGE MIN DIST\n -----\n"), lines, F.lit("\n -----\n NUMBER OF ELECTRONS: 11.0\n")).alias("content"))
+    path = folder(spark, "charges")
+    io.write_named(files.select(F.concat(F.lit("r"), F.col("c_nationkey").cast("string"), F.lit(".dat")).alias("name"), "content"), path)
+    return io.scan_charge_report(spark, f"{path}/*.dat").groupBy("name").agg(F.count(F.lit(1)).alias("atoms"), r(F.sum("electrons"), "electrons", 2))
+
+
+@query("s8_labels_relation", "SELECT n_name, property, value, position FROM nation JOIN region ON r_regionkey = n_regionkey JOIN (VALUES ('AFRICA', 'gap', 1.5, 0), ('AFRICA', 'mass', -2.0, 0), ('ASIA', 'gap', 0.25, 1)) l(r, property, value, position) ON r = r_name")
+def s8(spark, sf_dir):
+    labels = io.labels_relation(spark, {"AFRICA": {"gap": 1.5, "mass": -2}, "ASIA": {"gap": 0.25}})
+    regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("material")).join(labels, "material")
+    return table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "property", "value", "position")
+
+
+@query("s9_global_features", "SELECT r_name AS material, CAST(count(*) AS INTEGER) AS members, round(CAST(sum(n_nationkey) AS DOUBLE) / 4, 4) AS quarter, 'h' || r_regionkey AS structure_hash FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey")
+def s9(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("members"), (F.sum("n_nationkey") / 4).alias("quarter"))
+    rows = rows.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("structure_hash", F.concat(F.lit("h"), F.col("r_regionkey").cast("string")))
+    files = rows.groupBy("r_name").agg(io.csv_content("r_regionkey", ["members", "quarter", "structure_hash"]).alias("content"))
+    path = folder(spark, "globals")
+    io.write_named(files.select(F.concat("r_name", F.lit("/"), "r_name", F.lit("-Global-Features.csv")).alias("name"), "content"), path)
+    return io.scan_global_features(spark, f"{path}/*/*-Global-Features.csv").select("material", "members", r(F.col("quarter"), "quarter", 4), "structure_hash")
+
+
 @query("s17_unprocessed", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def s17(spark, sf_dir):
     return io.unprocessed(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
@@ -113,10 +181,14 @@ def j16(spark, sf_dir):
     return n.join(n.withColumnRenamed("i", "j"), "r_regionkey").where("i < j")
 
 
-@query("j12_j15_remap", "SELECT c_custkey AS site, coalesce(round(o, 2), 0) AS value FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS o FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
+@query("j12_j15_remap", "SELECT c_nationkey AS material, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS site, coalesce(round(o, 2), 0) AS value FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS o FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
 def j12(spark, sf_dir):
+    """Values carried to the other ordering, in which every third customer is matched to another index."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("material"), F.col("c_custkey").alias("site"))
+    mapping = c.select("material", F.col("site").alias("right_site"), (F.col("site") + 1_000_000).alias("left_site"), F.when(F.col("site") % 3 == 0, "matched").otherwise("right_only").alias("status"))
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("site")).agg(F.max("o_totalprice").alias("o"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site")).join(o, "site", "left").select("site", F.coalesce(F.round("o", 2), F.lit(0.0)).alias("value"))
+    values = c.join(o.select("site", F.round("o", 2).alias("value")), "site", "left")
+    return sites.remapped(values, mapping, ["material"], F.lit(0.0)).select("material", "site", "value")
 
 
 @query("j18_j19_residual_join", "SELECT c_custkey, round(c_acctbal - m, 4) AS residual, n_name FROM customer JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS m FROM customer GROUP BY c_nationkey) ON k = c_nationkey JOIN nation ON n_nationkey = c_nationkey")
@@ -127,6 +199,15 @@ def j18(spark, sf_dir):
     return c.join(mean, "c_nationkey").join(n, "c_nationkey").select("c_custkey", r(F.col("c_acctbal") - F.col("m"), "residual", 4), "n_name")
 
 
+@query("j19_aligned_labels", "WITH a AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS position FROM customer) SELECT c_custkey, position, round(c_acctbal, 2) AS value, n FROM a JOIN (SELECT c_custkey AS k, length(c_mktsegment) AS n FROM customer) ON k = c_custkey")
+def j19(spark, sf_dir):
+    """Two tables that must hold the same keys in the same order."""
+    c = table(spark, sf_dir, "customer")
+    left = evaluation.positions(c.select("c_custkey", F.round("c_acctbal", 2).alias("value")), ["c_custkey"])
+    right = evaluation.positions(c.select("c_custkey", F.length("c_mktsegment").cast("long").alias("n")), ["c_custkey"])
+    return evaluation.aligned(left, right, "c_custkey", "position").select("c_custkey", "position", "value", "n")
+
+
 @query("u1_distinct_pairs", "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem")
 def u1(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()

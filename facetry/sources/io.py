@@ -6,6 +6,9 @@ position becomes ``site_index``; all other files are ordinary CSV or JSON scans.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +35,13 @@ KINDS = ("0-Simplex-Features", "1-Simplex-Features", "2-Simplex-Features")
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """The last part of a file's URI, with escaped characters as they are."""
+    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
 
 
 def whole_lines(spark: SparkSession, path: str) -> DataFrame:
     """name, line_no, line of every file: a file is one row until it is split, so the order is the file's."""
-    files = spark.read.option("wholetext", True).text(path).select(file_name(F.col("_metadata.file_path")).alias("name"), "value")
+    files = spark.read.text(path, wholetext=True).select(file_name(F.col("_metadata.file_path")).alias("name"), "value")
     return files.select("name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
@@ -82,7 +86,7 @@ def list_materials(spark: SparkSession, directory: str) -> DataFrame:
 
 def scan_structures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(lattices, sites) of flat P1 files: cell keys by name, sites from the _atom_site_ loop in file order."""
-    files = spark.read.option("wholetext", True).text(path).select(base_name(file_name(F.col("_metadata.file_path"))).alias("material"), F.col("value").alias("t"))
+    files = spark.read.text(path, wholetext=True).select(base_name(file_name(F.col("_metadata.file_path"))).alias("material"), F.col("value").alias("t"))
     number = lambda key: F.regexp_extract("t", rf"(?m)^{key}\s+([-+0-9.eE]+)", 1).try_cast("double")
     abc = [number(f"_cell_length_{k}") for k in "abc"] + [number(f"_cell_angle_{k}") for k in ("alpha", "beta", "gamma")]
     cells = files.select("material", "t", *[x.alias(n) for x, n in zip(abc, ("a", "b", "c", "alpha", "beta", "gamma"))])
@@ -148,6 +152,44 @@ def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (w.partitionBy(*by) if by else w).csv(path)
 
 
+def file_system(uri: str):
+    """(file system, path) of a Hadoop-style URI, for tasks that write files of their own."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def write_named(files: DataFrame, folder: str) -> int:
+    """One file a row (name, content) in ``folder``, for formats with a file a structure; the number of files.
+
+    A file is written under a temporary name and moved, so a repeated task replaces equal bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place, root = file_system(folder)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                path = f"{root}/{name}"
+                place.create_dir(path.rpartition("/")[0], recursive=True)
+                with place.open_output_stream(f"{path}.{TaskContext.get().taskAttemptId()}._COPYING_") as f:
+                    f.write((content or "").encode())
+                place.move(f"{path}.{TaskContext.get().taskAttemptId()}._COPYING_", path)
+            yield pa.RecordBatch.from_pydict({"n": [len(b)]})
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def csv_content(order: str, columns: list[str]) -> Column:
+    """Aggregate: header and rows of a CSV file, in the order of a column."""
+    row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"])
+    return F.concat(F.lit(",".join(columns) + "\n"), F.array_join(lines, "\n"), F.lit("\n"))
+
+
 def tensor_rows(df: DataFrame) -> DataFrame:
     return df.select("site_index", *[F.col("tensor")[i].alias(c) for i, c in enumerate(TENSOR_COLUMNS)])
 
