@@ -43,5 +43,19 @@ def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, heavy: int = 100_000) -> DataFrame:
+    """Inner join with ``right``, whose keys are unique and whose ``weight`` counts their rows in ``left``.
+
+    Keys of more than ``heavy`` rows are few; they are joined by broadcast (behind the count of ``small``), so
+    that no task receives all rows of such a key.
+    """
+    hot = cut(right.where(F.col(weight) > heavy))
+    n = hot.count()
+    if not n:
+        return left.join(right, keys)
+    usual = left.join(small(hot.select(*keys), n), keys, "left_anti").join(right.where(F.col(weight) <= heavy), keys)
+    return left.join(small(hot, n), keys).unionByName(usual)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
