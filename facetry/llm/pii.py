@@ -2,16 +2,21 @@
 
 One pattern finds e-mail and IPv4 addresses, phone, card, account and social security numbers,
 secrets and titled names. A surface is reduced to its parts: a phone number to its last ten digits,
-an e-mail to lower case, a titled name to given and family name with the title's gender and the
-name's script. Each distinct (type, part) gets a surrogate of the same shape from SHA-512 of key,
-type, part and attempt: digits for digits, letters for letters, names of the same gender and script.
-Parts whose surrogate another part has, or that is itself a part of the corpus, try again with the next
-attempt (from the fourth on with a longer surrogate, so rounds end). So distinct parts stay distinct,
-and the same part gets the same surrogate in every spelling and document.
-
-Only documents with candidates leave the map side; the others are passed on unchanged. Edge cases:
-null stays null, empty stays empty, texts of any length are scanned whole, repeated rows are replaced
-alike, other columns are kept as they are.
+an e-mail to lower case, a titled name to given and family name with gender and script. Each distinct
+(type, part) gets a surrogate of the same shape from SHA-512 of key, type, part and attempt: digits for
+digits, letters for letters, names of the same gender and script. Parts whose surrogate another part
+has, or that is itself a part of the corpus, try again with the next attempt (from the fourth on with a
+longer surrogate, so rounds end). So distinct parts stay distinct, and the same part gets the same
+surrogate in every spelling and document.
+
+A given name's gender is that of its title; where the title shows none, it is the one gender that the
+same document's titles show for the name, else the one that most titles of the corpus do. Names found
+by a title are also replaced where the same document repeats them, or a part of them, without a title.
+
+Texts are scanned for entities once and known by two 64-bit hashes; only those with entities are joined
+with their surrogates. Edge cases: null stays null, empty stays empty, texts of any length are scanned
+whole, repeated rows are replaced alike, other columns are kept as they are (working columns are named
+apart from them); an entity without a surrogate is masked, never passed on.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetry.session import cut, small
+from facetry.session import cut, spread_join, written
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "n": ["Dr", "Prof", "Mx"]}
@@ -66,7 +71,7 @@ def parts(s: Column) -> Column:
     names = F.regexp_extract_all(F.substr(s, F.length(lead) + 1), F.lit(r"[ -]?[^ -]+"), 0)
     named = F.transform(names, lambda n, i: F.struct(
         F.concat(F.when(i == 0, lead).otherwise(F.lit("")), F.regexp_extract(n, r"^[ -]?", 0)).alias("lead"),
-        F.when((i == F.size(names) - 1), F.concat_ws(":", F.lit("family"), F.lit("n"), script)).otherwise(F.concat_ws(":", F.lit("given"), gender, script)).alias("type"),
+        F.when(i == F.size(names) - 1, F.concat_ws(":", F.lit("family"), F.lit("n"), script)).otherwise(F.concat_ws(":", F.lit("given"), gender, script)).alias("type"),
         F.regexp_replace(n, "^[ -]", "").alias("surface"), F.lower(F.regexp_replace(n, "^[ -]", "")).alias("norm")))
     digits = F.regexp_replace(s, "[^0-9]", "")
     k = kind(s)
@@ -131,26 +136,53 @@ def settled(found: DataFrame, key: str) -> DataFrame:
         cores = judged.select("type", "norm", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt"))
 
 
+def gendered(names: DataFrame) -> DataFrame:
+    """``names`` (k1, k2, type, norm, ...) with the gender of given names settled, as the module says."""
+    part = lambda i: F.split_part("type", F.lit(":"), F.lit(i))
+    named = names.select("*", part(1).alias("_role"), part(2).alias("_own"), part(3).alias("_script"))
+    votes = named.where("_role = 'given'").groupBy("norm", "_script").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum((F.col("_own") == "m").cast("int")).alias("_m"), F.sum((F.col("_own") == "f").cast("int")).alias("_f"))
+    votes = votes.select("norm", "_script", "_rows", F.when(F.col("_m") > F.col("_f"), "m").when(F.col("_m") < F.col("_f"), "f").otherwise("n").alias("_most"))
+    here = W.partitionBy("k1", "k2", "norm", "_script")
+    has = lambda g: F.max((F.col("_own") == g).cast("int")).over(here) == 1
+    given = spread_join(named.where("_role = 'given'").withColumn("_hm", has("m")).withColumn("_hf", has("f")), votes, ["norm", "_script"], "_rows")
+    gender = F.when(F.col("_own") != "n", F.col("_own")).when(F.col("_hm") & ~F.col("_hf"), "m").when(F.col("_hf") & ~F.col("_hm"), "f").otherwise(F.col("_most"))
+    given = given.withColumn("type", F.concat_ws(":", F.lit("given"), gender, "_script"))
+    return given.select(*names.columns).unionAll(named.where("_role = 'family'").select(*names.columns))
+
+
 def replaced(docs: DataFrame, key: str = "set-a-secret-key", text: str = "text", count: str = "n_entities") -> DataFrame:
-    """``docs`` with surrogates in ``text`` and a column ``count`` (long): the entities found."""
-    hinted = docs.where(F.col(text).rlike(HINT))
-    rest = docs.where(~F.coalesce(F.col(text).rlike(HINT), F.lit(False))).withColumn(count, F.lit(0).cast("long"))
-    hits = F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0)
-    keyed = hinted.withColumn("_key", F.xxhash64(F.col(text)))
-    spots = cut(keyed.select("_key", F.explode(F.array_distinct(hits)).alias("surface")).distinct())
-    surfaces = spots.select("surface").distinct().select("surface", F.posexplode(parts(F.col("surface"))).alias("j", "p")).select(F.col("surface").alias("whole"), "j", "p.*")
-    cores = settled(surfaces, key)
-    stand_ins = cut(
-        surfaces.join(cores, ["type", "norm"])
-        .groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("j", F.concat("lead", rendered(F.col("type"), F.col("surface"), F.col("core"))).alias("s")))).alias("a"))
-        .select(F.col("whole").alias("surface"), F.array_join(F.transform("a", lambda x: x["s"]), "").alias("stand_in"))
-    )
-    maps = spots.join(small(stand_ins, stand_ins.count()), "surface").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("surface", "stand_in"))).alias("_map"))
-    done = (
-        keyed.join(maps, "_key", "left").withColumn("_hits", F.when(F.col("_map").isNotNull(), hits))
-        .withColumn(count, F.coalesce(F.size("_hits"), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(F.array_join(
-            F.zip_with(F.split(F.col(text), PATTERN, -1), F.col("_hits"), lambda p, h: F.concat(p, F.when(h.isNull(), "").otherwise(F.coalesce(F.try_element_at("_map", h), h)))), "")))
-    )
-    keep = [c for c in docs.columns if c != count]
-    return done.select(*keep, count).unionAll(rest.select(*keep, count))
+    """``docs`` with surrogates in ``text`` and a column ``count`` (long): the entities found by the pattern."""
+    others = [c for c in docs.columns if c not in (text, count)]
+    row = F.struct(*others) if others else F.lit(None).cast("int")
+    found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0))
+    marked = written(docs.select(row.alias("row"), F.col(text).alias("text"), F.when(F.size(found) > 0, found).alias("hits")), "entities")
+    held = marked.where("hits is not null").select("*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(key), "text").alias("k2"))
+    texts = held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.first("hits").alias("hits"))
+    spots = written(texts.select("k1", "k2", F.explode(F.array_distinct("hits")).alias("whole")).withColumn("kind", kind(F.col("whole"))), "spots")
+
+    names = spots.where("kind = 'name'").select("k1", "k2", "whole", F.posexplode(parts(F.col("whole"))).alias("j", "p")).select("k1", "k2", "whole", "j", "p.*")
+    names = written(gendered(names), "names")
+    plain = spots.where("kind <> 'name'").groupBy("whole").agg(F.count(F.lit(1)).alias("spots"))
+    plain = plain.select("whole", "spots", F.explode(parts(F.col("whole"))).alias("p")).select("whole", "spots", "p.*")
+    known = names.groupBy("type", "norm").agg(F.count(F.lit(1)).alias("uses"))
+    cores = settled(known.select("type", "norm").unionAll(plain.select("type", "norm")), key)
+
+    shown = rendered(F.col("type"), F.col("surface"), F.col("core")).alias("stand_in")
+    plain = plain.join(cores, ["type", "norm"]).select("whole", "spots", shown)
+    plain = spread_join(spots.where("kind <> 'name'").select("k1", "k2", "whole"), plain, ["whole"], "spots").select("k1", "k2", "whole", "stand_in")
+    named = written(spread_join(names, known.join(cores, ["type", "norm"]), ["type", "norm"], "uses").select("k1", "k2", "whole", "j", "type", "lead", "surface", shown), "named")
+    whole = named.groupBy("k1", "k2", "whole").agg(F.array_sort(F.collect_list(F.struct("j", F.concat("lead", "stand_in").alias("s")))).alias("a"))
+    whole = whole.select("k1", "k2", "whole", F.array_join(F.transform("a", lambda x: x["s"]), "").alias("stand_in"))
+    again = named.groupBy("k1", "k2", "surface").agg(F.min(F.struct("type", "stand_in")).alias("s")).groupBy("k1", "k2").agg(F.collect_list(F.struct(F.concat(F.lit(r"(?<![\p{L}\p{N}])"), "surface", F.lit(r"(?![\p{L}\p{N}])")).alias("find"), "surface", F.col("s.stand_in").alias("put"))).alias("again"))
+    maps = plain.unionAll(whole).groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("whole", "stand_in"))).alias("map"))
+    maps = maps.join(again, ["k1", "k2"], "left").join(texts.select("k1", "k2", "rows"), ["k1", "k2"])
+
+    repeats = lambda s: F.when(F.col("again").isNull(), s).otherwise(F.aggregate("again", s, lambda t, a: F.when(F.contains(t, a["surface"]), F.regexp_replace(t, a["find"], a["put"])).otherwise(t)))
+    stand_in = lambda h: F.coalesce(F.try_element_at("map", h), F.repeat(F.lit("*"), F.length(h)))
+    between = F.split("text", PATTERN, -1)
+    done = spread_join(held, maps, ["k1", "k2"], "rows").select(
+        "row", F.array_join(F.zip_with(between, "hits", lambda p, h: F.concat(repeats(p), F.when(h.isNull(), "").otherwise(stand_in(h)))), "").alias("text"), F.size("hits").cast("long").alias("n"))
+    rest = marked.where("hits is null").select("row", "text", F.lit(0).cast("long").alias("n"))
+    columns = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != count]
+    return done.unionAll(rest).select(*columns, F.col("n").alias(count))

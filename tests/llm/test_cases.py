@@ -274,6 +274,47 @@ def test_surrogates(spark):
     assert pii.replaced(df.limit(0)).count() == 0
 
 
+def test_surrogates_follow_a_person_through_a_document(spark):
+    rows = [
+        (1, "Mr. Alex Smith called. Later Dr. Alex Smith wrote; Alex Smith agreed; Smith left. Smithson and Alexa stay."), (2, "Dr. Alex Smith came."),
+        (3, "Mrs. Kim Lee met Mr. Kim Roe."), (4, "Alex Smith is not titled here."), (5, "Prof. Kim Lee"), (1, "Mr. Alex Smith called. Later Dr. Alex Smith wrote; Alex Smith agreed; Smith left. Smithson and Alexa stay."),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, k1 int, hits int, row int")
+    out = pii.replaced(df)
+    assert out.columns == ["doc_id", "text", "k1", "hits", "row", "n_entities"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. Later Dr\. (\w+) (\w+) wrote; (\w+) (\w+) agreed; (\w+) left\. Smithson and Alexa stay\.", got[1]["text"])
+    given, family = m[1], m[2]
+    assert m.groups() == (given, family, given, family, given, family, family) and given not in ("Alex", "Smith") and given.endswith("n")
+    assert got[2]["text"] == f"Dr. {given} {family} came." and got[4]["text"] == rows[3][1]
+    f, l, m_, r = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) (\w+)\.", got[3]["text"]).groups()
+    assert f != m_ and f.endswith("na") and m_.endswith("n") and l != r and got[5]["text"].endswith(l)
+    assert (got[1]["k1"], got[1]["hits"], got[1]["row"], got[1]["n_entities"]) == (1, 2, 3, 2)
+
+
+def test_surrogates_on_all_documents(spark):
+    """Entities found as the pattern finds them in Python; each stand-in is a function of its part, and one to one."""
+    import regex
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not __import__("os").path.exists(path):
+        pytest.skip("test tables are not here")
+    df = spark.read.parquet(path).select("doc_id", "text")
+    before = {r["doc_id"]: r["text"] for r in df.collect()}
+    pattern, after = regex.compile(pii.PATTERN), {r["doc_id"]: r for r in pii.replaced(df).collect()}
+    pairs = set()
+    for d, t in before.items():
+        hits, out = [m.group(0) for m in pattern.finditer(t or "")], after[d]
+        assert out["n_entities"] == len(hits)
+        if not hits:
+            assert out["text"] == t
+            continue
+        now = [m.group(0) for m in pattern.finditer(out["text"])]
+        assert len(now) == len(hits) and not any(regex.search(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(h)}(?![\p{{L}}\p{{N}}])", out["text"]) for h in hits)
+        pairs |= {(re.sub(r"[ ().+-]", "", a).lower()[-10:] if "@" not in a else a.lower(), re.sub(r"[ ().+-]", "", b).lower()[-10:] if "@" not in b else b.lower()) for a, b in zip(hits, now) if not regex.match(pii.NAME, a)}
+    assert pairs and len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
 def test_surrogates_never_collide(spark):
     """Two-digit parts fill their shape, so attempts must widen it."""
     found = spark.createDataFrame([("card", f"{i:02d}") for i in range(90)], "type string, norm string")
