@@ -4,8 +4,9 @@ A fingerprint is cut into three segments. When two fingerprints differ in at mos
 their segments differs in at most one bit (4 < 2 * 3), so some variant of it with one bit masked is
 equal in both. Every distinct fingerprint is indexed under all one-wildcard variants of each segment
 (64 keys), equal keys meet by hash partitioning, and pairs are verified by the Hamming distance of
-the whole. Inside a key, in the order of fingerprints, only a spanning set of links is kept, never all pairs of a group; keys with
-more than ``block`` fingerprints are compared block by block in tasks of bounded size.
+the whole. Inside a key only a spanning set of links is kept, never all pairs of a group. Keys are
+counted first: one with more than ``block`` fingerprints is dealt out in blocks by hash, and every pair
+of its blocks is a group of its own, so no task holds or compares more than two blocks at a time.
 
 Exact copies share one fingerprint, so they never multiply candidates. Edge cases: null, empty and
 wordless texts have the fingerprint 0 and link like any other; repeated rows and ids keep a row
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.operators.components import components
-from facetry.session import cut, small, written
+from facetry.session import cut, small, spread_join, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -125,7 +126,7 @@ def _spanning(fps: np.ndarray, other: np.ndarray | None, most: int) -> list[tupl
     return out
 
 
-def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1, block: int = 4096, short: int = 32) -> DataFrame:
+def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1, block: int = 1 << 15, short: int = 32) -> DataFrame:
     """Spanning links (u, v: structs of f0 ..) of distinct fingerprints with at most ``most`` bits apart over all banks."""
     cols = [f"f{k}" for k in range(banks)]
     keyed = distinct.select(*cols, F.explode(F.concat(*[variants(F.col(c), segments, k) for k, c in enumerate(cols)])).alias("k"))
@@ -150,11 +151,10 @@ def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1,
             adds = (b == least[a]) | (_apart(f[b], f[least[a]]) > most)
             got.append((f[a[adds]], f[b[adds]]))
         for s, n in zip(starts[sizes > short], sizes[sizes > short]):
-            for x in range(s, s + n, block):
-                here = f[x : min(x + block, s + n)]
-                got += _spanning(here, None, most)
-                for y in range(s, x, block):
-                    got += _spanning(here, f[y : y + block], most)
+            got += _spanning(f[s : s + n], None, most)
+        return ends(got)
+
+    def ends(got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate([g[i] for g in got]) if got else np.empty((0, banks), np.uint64) for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for x in (a, b) for i in range(banks)], names=[f"{x}{i}" for x in "uv" for i in range(banks)])
 
@@ -171,9 +171,37 @@ def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1,
         if len(hold_k):
             yield pairs(hold_k, hold_f)
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key, blocks i <= j and side (1 is block j of two); each (key, i, j) is one comparison."""
+        key, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            x, y = (np.concatenate(s) if s else np.empty((0, banks), np.uint64) for s in sides)
+            return ends(_spanning(x, None if key[1] == key[2] else y, most))
+
+        for b in batches:
+            k, f = np.stack([c.to_numpy().astype(np.int64) for c in b.columns[:4]], 1), np.stack([c.to_numpy().view(np.uint64) for c in b.columns[4:]], 1)
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1)]) if len(k) else []
+            for s, e in zip(starts, np.r_[starts[1:], len(k)]):
+                if tuple(k[s, :3]) != key:
+                    if key is not None:
+                        yield done()
+                    key, sides = tuple(k[s, :3]), ([], [])
+                sides[k[s, 3]].append(f[s:e])
+        if key is not None:
+            yield done()
+
+    schema = ", ".join(f"{x}{i} long" for x in "uv" for i in range(banks))
+    keyed = keyed.select("k", *cols)
+    large = cut(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("k", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    many = large.count()
+    usual = keyed.join(small(large.select("k"), many), "k", "left_anti") if many else keyed
     # In the same order under every key, a group's fingerprints mostly link to the same few: distinct() leaves a few links each.
-    met = keyed.select("k", *cols).repartition("k").sortWithinPartitions("k", *cols)
-    found = met.mapInArrow(run, ", ".join(f"{x}{i} long" for x in "uv" for i in range(banks)))
+    found = usual.repartition("k").sortWithinPartitions("k", *cols).mapInArrow(run, schema)
+    if many:
+        dealt = keyed.join(small(large, many), "k").withColumn("_b", F.pmod(F.xxhash64(*cols), F.col("parts")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("k", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("side"), *cols)
+        found = found.unionAll(dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "side", *cols).mapInArrow(meet, schema))
     a, b = (F.struct(*[F.col(f"{x}{i}").alias(f"f{i}") for i in range(banks)]) for x in "uv")
     return found.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
@@ -189,13 +217,15 @@ def gathered(found: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int, most: int, segments: int, banks: int, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, *extra, f: struct of fingerprints, for every row; f, root: fingerprint that stands for its component, component_id)."""
+    """(doc_id, *extra, f: struct of fingerprints, for every row; f, rows, root: fingerprint that stands for its component, component_id)."""
     cols = [f"f{k}" for k in range(banks)]
     fps = written(fingerprints(docs, shingle, banks, extra).select("doc_id", *extra, F.struct(*cols).alias("f")), "simhash")
-    distinct = fps.groupBy("f").agg(F.min("doc_id").alias("least"))
+    distinct = written(fps.groupBy("f").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
     linked = components(gathered(gathered(links(distinct.select("f.*"), most, segments, banks)))).withColumnRenamed("node", "f")
-    ids = linked.join(distinct, "f").withColumn("component_id", F.min("least").over(W.partitionBy("component"))).select("f", "component", "component_id")
-    known = distinct.join(ids, "f", "left").select("f", F.coalesce("component", "f").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    linked = linked.join(distinct.select("f", "least"), "f")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    ids = spread_join(linked.select("f", "component"), ids, ["component"], "size").select("f", "component", "component_id")
+    known = distinct.join(ids, "f", "left").select("f", "rows", F.coalesce("component", "f").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     return fps, known
 
 
@@ -204,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     if most > 5:
         raise ValueError("three segments with one wildcard find at most 5 differing bits")
     fps, known = classes(docs, shingle, most, 3, 1, ())
-    return fps.join(known, "f").select("doc_id", F.lower(F.lpad(F.hex("f.f0"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(fps, known, ["f"], "rows").select("doc_id", F.lower(F.lpad(F.hex("f.f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, banks: int, whole: bool) -> DataFrame:
@@ -301,7 +331,8 @@ def verified_links(nodes: DataFrame, most: int, banks: int, least: float) -> Dat
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 4, most: int = 60, segments: int = 4, least: float = 0.8, block: int = 1 << 21) -> DataFrame:
-    """Rows of ``docs`` with one row left of each near-duplicate group, that of the smallest doc_id.
+    """Rows of ``docs`` with one row left of each near-duplicate group, that of the smallest doc_id (nulls last; of
+    equal ids the row of the smallest hash). Extra columns may have any name.
 
     Two texts are linked when the Jaccard similarity of their sets of ``shingle``-word shingles is at least
     ``least``; texts without words are alike. ``banks`` fingerprints of 64 bits only find candidates: those of
@@ -311,7 +342,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 4, most: int =
     linked. Groups with more than ``block`` shingles are compared as pairs of blocks, each in a task of its own.
     """
     cols = [f"f{k}" for k in range(banks)]
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    names, whole = docs.columns, F.struct(*docs.columns)
+    marked = docs.select("doc_id", "text", whole.alias("_whole"), F.concat(F.hex(F.xxhash64(whole)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), whole))).alias("_row"))
     rows = written(shingle_sets(marked.select("doc_id", "_row", "text"), shingle, banks, False), "shingle-sets")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
     # Texts of one set share set_id: one row of each goes on, so that copies never meet in one task.
@@ -332,4 +364,4 @@ def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 4, most: int =
     linked = components(gathered(gathered(verified_links(at, most, banks, least)))).withColumnRenamed("node", "set_id")
     keep = texts.join(linked, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k")))
-    return kept.drop("_id", "_k").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "_row"]).select(*[F.col("_whole")[c].alias(c) for c in names])

@@ -224,6 +224,9 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     base = [fresh() for _ in range(30)]
     near = [" ".join("changed" if i == 150 else w for i, w in enumerate(t.split())) for t in base[:10]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(base + near + base[20:25])], "doc_id long, text string")
+    odd = df.select("*", F.lit(1).alias("_row"), F.lit("x").alias("_whole"), F.lit(2.0).alias("f0"), F.lit(3).alias("set_id"))
+    again = simhash.deduplicated(odd)
+    assert again.columns == odd.columns and again.count() == 30 and again.select("_row", "_whole", "f0", "set_id").distinct().count() == 1
     nameless = spark.createDataFrame([(None, fresh()), (None, fresh()), (None, base[0])], df.schema)
     got = [r["doc_id"] for r in simhash.deduplicated(df.unionAll(nameless)).collect()]
     assert sorted(d for d in got if d is not None) == list(range(30)) and got.count(None) == 2
