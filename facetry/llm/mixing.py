@@ -124,9 +124,10 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **kw) -> DataFrame:
     go to a systematic sample of the fraction. Documents stand by size, so the sample has its share of
     every length and misses the shard's words by about one document; the count left over at a shard's end
     is carried to the next shard of its source. Documents without words are not part of a mix. Equal rows
-    are known by their hash and share their copies.
+    are known by two hashes and share their copies. Extra columns may have any name.
     """
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    whole = F.struct(*docs.columns)
+    marked = docs.select("doc_id", "source", "text", whole.alias("_whole"), F.concat(F.hex(F.xxhash64(whole)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), whole))).alias("_row"))
     rows = mix(marked, seed=seed, also=("_row",), **kw).where("sid is not null")
     units = written(rows.groupBy("sid", "shard", "_row", F.col("size").alias("_size")).agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken")), "mix-units")
     shards = units.groupBy("sid", "shard").agg((F.sum("taken") / F.sum(F.col("n") * F.col("_size"))).alias("ratio"), F.sum("n").alias("rows"))
@@ -144,4 +145,4 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **kw) -> DataFrame:
     met = marked.withColumn("_size", n_words()).join(plan, ["_row", "_size"])
     place = F.row_number().over(W.partitionBy("_row", "_size").orderBy("_row"))
     copies = F.floor(F.col("_all") / F.col("n")) + F.when(F.col("_place") <= F.col("_all") % F.col("n"), 1).otherwise(0)
-    return met.withColumn("_place", place).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(c) for c in docs.columns])
+    return met.withColumn("_place", place).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col("_whole")[c].alias(c) for c in docs.columns])

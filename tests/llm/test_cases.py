@@ -93,6 +93,8 @@ def test_mix(spark, docs):
     again = mixing.mix(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in rows) == Counter((r["doc_id"], r["size"], r["taken"]) for r in again)
     assert mixing.mix(docs.limit(0)).count() == 0
+    odd = mixing.mixed_documents(docs.select("*", F.lit(1).alias("_size"), F.lit(2).alias("_row"), F.lit(3).alias("shard")))
+    assert odd.where("_size = 1 and _row = 2 and shard = 3").count() == odd.count() > 0
     copies = mixing.mixed_documents(docs)
     assert copies.columns == docs.columns and copies.where("text is null").count() == 0
 
@@ -136,6 +138,8 @@ def test_quality(spark, docs, labels):
     none = quality.score(docs, labels.limit(0), buckets=1 << 10)
     assert none.where("kept = base_failed").count() == 0
     assert quality.score(docs.limit(0), labels, buckets=1 << 10).count() == 0
+    odd = docs.select("*", F.lit(1).alias("_ratios"), F.lit(2).alias("_cut"), F.lit(3).alias("_quality"))
+    assert quality.kept_documents(odd, labels, buckets=1 << 10).where("_ratios = 1 and _cut = 2 and _quality = 3").count() == sum(r["kept"] for r in rows)
     kept = quality.kept_documents(docs, labels, buckets=1 << 10)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
 
@@ -550,3 +554,30 @@ def test_deep_shallow_sorting():
     ranked = [strings[i] for i in order]
     assert ranked == sorted(strings) and lcp[0] == 0
     assert all(n == suffixes.common(a, b) for a, b, n in zip(ranked, ranked[1:], lcp[1:]))
+
+
+def test_pipeline_on_edge_rows(spark, docs, labels, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns of any name go through all stages; so does an empty table."""
+    import corpus_pipeline
+
+    vocabulary("word_bpe_49k.json")
+    wide = docs.select("*", F.lit(1).alias("_row"), F.lit("x").alias("_quality"), F.lit(2).alias("rows"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (wide, wide.limit(0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            before, now = now, corpus_pipeline.written(stage(spark, now, str(tmp_path)), name)
+            if name != "packing":
+                assert now.columns == given.columns, name
+            if name in ("quality_rules", "simhash_dedup"):
+                assert now.exceptAll(before).count() == 0
+            if name == "simhash_dedup":
+                assert now.where("text is null").count() <= 1 and now.groupBy("text").count().where("count > 1").count() == 0
+    ids = {r[0] for r in edge_rows()}
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and {r["doc_id"] for r in rows} <= ids and all(0 < r["length"] <= 4096 for r in rows)
+    fill = Counter()
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096
