@@ -100,6 +100,27 @@ def variants(fp: Column, segments: int, bank: int = 0, bits: int = 64) -> Column
     return F.array(*keys)
 
 
+def large_keys(distinct: DataFrame, segments: int, banks: int, block: int) -> DataFrame:
+    """k, parts of the keys of :func:`variants` that may hold more than ``block`` fingerprints (parts: blocks to deal them to).
+
+    A key unites two values of a segment, so one of them holds more than half a block: whole segments are
+    counted (one row a segment, not one a variant), and only the variants of the large ones are looked at.
+    """
+    at = [round(64 * s / segments) for s in range(segments + 1)]
+    values = []
+    for bank in range(banks):
+        for s, (a, b) in enumerate(zip(at, at[1:])):
+            mask = ((1 << b) - 1) ^ ((1 << a) - 1)
+            part = F.shiftrightunsigned(F.col(f"f{bank}").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), a)
+            values.append(F.shiftleft(F.lit(bank * segments + s).cast("long"), 40).bitwiseOR(part))
+    large = distinct.select(F.explode(F.array(*values)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // 2)
+    segment, value = F.shiftright("x", 40), F.col("x").bitwiseAND(F.lit((1 << 40) - 1))
+    width = F.get(F.array(*[F.lit(b - a) for a, b in zip(at, at[1:])]), (segment % segments).cast("int"))
+    bits = large.select("n", segment.alias("s"), value.alias("v"), F.explode(F.sequence(F.lit(0), width - 1)).alias("i"))
+    key = F.shiftleft(F.col("s") * 64 + F.col("i"), 40).bitwiseOR(F.col("v").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i")))))
+    return bits.groupBy(key.alias("k")).agg(F.sum("n").alias("n")).select("k", F.ceil((F.col("n") + block // 2) / block).cast("int").alias("parts"))
+
+
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
@@ -193,7 +214,7 @@ def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1,
 
     schema = ", ".join(f"{x}{i} long" for x in "uv" for i in range(banks))
     keyed = keyed.select("k", *cols)
-    large = cut(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("k", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    large = cut(large_keys(distinct, segments, banks, block))
     many = large.count()
     usual = keyed.join(small(large.select("k"), many), "k", "left_anti") if many else keyed
     # In the same order under every key, a group's fingerprints mostly link to the same few: distinct() leaves a few links each.
@@ -339,29 +360,54 @@ def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 4, most: int =
     sets of similarity 0.8 differ in 15 % of the bits on average (39 of 256), so ``most`` = 60, and a pair
     must share a one-wildcard segment of any bank. The components of candidates part the texts into groups;
     in a group all pairs within ``most`` bits are compared by their exact sets, and the similar pairs are
-    linked. Groups with more than ``block`` shingles are compared as pairs of blocks, each in a task of its own.
+    linked. Groups with more than ``block`` shingles are dealt out in blocks. Each block is compared in itself and
+    with one text of its group, so a group of near copies is mostly linked at once; then the texts that are
+    not linked with that one, if any, meet every block. So a set is sent out again only for those.
     """
     cols = [f"f{k}" for k in range(banks)]
     names, whole = docs.columns, F.struct(*docs.columns)
     marked = docs.select("doc_id", "text", whole.alias("_whole"), F.concat(F.hex(F.xxhash64(whole)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), whole))).alias("_row"))
     rows = written(shingle_sets(marked.select("doc_id", "_row", "text"), shingle, banks, False), "shingle-sets")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "m")
     # Texts of one set share set_id: one row of each goes on, so that copies never meet in one task.
-    texts = written(rows.groupBy("set_id").agg(F.min(order).alias("k"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in cols]), "texts")
+    # Equal rows are counted (m), so that only rows that have equals must be made single in the end.
+    each = rows.groupBy("set_id", "doc_id", "_row").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in cols])
+    texts = written(each.groupBy("set_id").agg(F.min(order).alias("k"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in cols]), "texts")
     loose = components(gathered(gathered(links(texts.where("n > 0").select(*cols).distinct(), most, segments, banks))))
     same = texts.where("n > 0").groupBy(*cols).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.struct(*cols).alias("node"))
     parts = written(loose.unionAll(same.select("node", F.col("node").alias("component")).join(loose, "node", "left_anti")), "loose")
     grouped = written(
         texts.join(parts.select("node.*", F.xxhash64("component").alias("group")), cols).select("set_id", "group", "n", "k", *cols), "groups"
     )
-    sizes = cut(grouped.groupBy("group").agg(F.sum("n").alias("_n")).select("group", F.ceil(F.col("_n") / block).cast("int").alias("parts")))
+    sizes = cut(grouped.groupBy("group").agg(F.sum("n").alias("_n"), F.min("set_id").alias("_hub")).select("group", "_hub", F.ceil(F.col("_n") / block).cast("int").alias("parts")))
     placed = grouped.join(small(sizes, sizes.count()), "group").withColumn("_b", F.pmod(F.xxhash64(F.lit(7), "set_id"), F.col("parts")).cast("int"))
-    chosen = placed.select("set_id", "group", "parts", "_b", *cols, F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
+    chosen = placed.select("set_id", "group", "parts", "_b", "_hub", *cols, F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
     met = marked.select("doc_id", "_row", "text").join(chosen, (F.col("_row") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = shingle_sets(met.select(*[F.col(c) for c in ("group", "parts", "_b", *cols)], "text"), shingle, banks, True).drop("n")
-    # Each block meets every block, itself within; side 1 is the higher block of a pair.
-    at = sets.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("side"), "set_id", "shingles", *cols)
-    linked = components(gathered(gathered(verified_links(at, most, banks, least)))).withColumnRenamed("node", "set_id")
-    keep = texts.join(linked, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k")))
-    return kept.dropDuplicates(["doc_id", "_row"]).select(*[F.col("_whole")[c].alias(c) for c in names])
+    sets = shingle_sets(met.select(*[F.col(c) for c in ("group", "parts", "_b", "_hub", *cols)], "text"), shingle, banks, True)
+    sets = written(sets, "sets")
+    is_hub, every = F.col("set_id") == F.col("_hub"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = sets.withColumn("i", F.explode(F.when(is_hub, every("parts")).otherwise(F.array("_b")))).withColumn("j", F.col("i")).withColumn("side", F.lit(0))
+    found = written(verified_links(own, most, banks, least), "similar")
+    linked = components(gathered(gathered(found)))
+    dealt = sets.where("parts > 1")
+    if not dealt.isEmpty():
+        labelled = dealt.select("group", "set_id", "n", is_hub.alias("hub")).join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
+        hubs = labelled.where("hub").select("group", F.col("label").alias("main")).distinct()
+        apart = written(labelled.join(hubs, "group").where("label <> main").select("group", "set_id", "n").distinct(), "apart")
+        counts = apart.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("some"))
+        met = dealt.join(counts, "group")
+        asking = met.join(apart.select("set_id"), "set_id", "left_semi").withColumn("i", F.pmod(F.xxhash64(F.lit(9), "set_id"), F.col("some")).cast("int")).withColumn("j", F.explode(every("parts"))).withColumn("side", F.lit(0))
+        asked = met.withColumn("i", F.explode(every("some"))).withColumn("j", F.col("_b")).withColumn("side", F.lit(1))
+        found = found.unionAll(verified_links(asking.unionByName(asked), most, banks, least)).distinct()
+        linked = components(gathered(gathered(found)))
+    linked = linked.withColumnRenamed("node", "set_id")
+    keep = texts.join(linked, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"), F.col("k.m").alias("m"))
+    keep = written(keep, "keep")
+
+    def chosen_rows(some: DataFrame) -> DataFrame:
+        return marked.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k"))).select("doc_id", "_row", "_whole")
+
+    kept = chosen_rows(keep.where("m = 1"))
+    if not keep.where("m > 1").isEmpty():
+        kept = kept.unionAll(chosen_rows(keep.where("m > 1")).dropDuplicates(["doc_id", "_row"]))
+    return kept.select(*[F.col("_whole")[c].alias(c) for c in names])
