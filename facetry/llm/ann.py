@@ -12,7 +12,12 @@ meet pairwise. Queries left with under ``k`` answers are compared with all vecto
 
 Edge cases: null vectors, zero vectors, vectors holding null or non-finite components or not of the most
 common dimension take no part; repeated rows count once; an empty table gives no rows; ties go to the
-smaller id. The projections depend on the seed alone; nothing is fitted but the norm bands.
+smaller id. The projections depend on the seed alone; their number and that of the probes are fitted on
+a bounded sample (:func:`nearest`), and norm bands cover all vectors.
+
+A pair can be scored in several buckets, in matrix products of different shapes that differ in the last
+bits. Pairs are made single before they are counted, and the answers are scored once more, component by
+component in order, so a rerun gives the same bits; ties at a block's cut are kept in full.
 """
 
 from __future__ import annotations
@@ -118,6 +123,14 @@ def hashed(classes: DataFrame, dimension: int, tables: int, m: int, width: float
     return classes.select("cid", "embedding", "asks").mapInArrow(run, "bucket long, side int, cid long")
 
 
+def _top(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``n`` largest and of what differs from the last of them by rounding only."""
+    if scores.shape[1] <= n:
+        return tuple(np.indices(scores.shape).reshape(2, -1))
+    last = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+    return np.nonzero(scores >= last - 1e-12 * np.maximum(1.0, np.abs(last)))
+
+
 def _best(met: DataFrame, k: int) -> DataFrame:
     """met (bucket, block, side, cid, embedding) -> qid, cid, score: each asking class's best classes of a block."""
 
@@ -128,12 +141,19 @@ def _best(met: DataFrame, k: int) -> DataFrame:
             if not asks or not found:
                 return None
             q = np.concatenate([x[0] for x in asks])
-            scores, ids = np.concatenate([f[0] for f in found], 1), np.concatenate([f[1] for f in found], 1)
-            n = min(k, scores.shape[1])
-            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            who = np.repeat(q, n)
-            s, c = np.take_along_axis(scores, best, 1).ravel(), np.take_along_axis(ids, best, 1).ravel()
-            return pa.RecordBatch.from_arrays([pa.array(who), pa.array(c), pa.array(s)], names=["qid", "cid", "score"])
+            row, cid, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(cid), pa.array(score)], names=["qid", "cid", "score"])
+
+        def less() -> list:
+            """What was found, cut to each asking vector's best."""
+            row, cid, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+            order = np.lexsort((-score, row))
+            row, cid, score = row[order], cid[order], score[order]
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            first = np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+            last = score[np.minimum(first + k - 1, len(row) - 1)]
+            keep = (np.arange(len(row)) < first + k) | ((row[np.minimum(first + k - 1, len(row) - 1)] == row) & (score >= last - 1e-12 * np.maximum(1.0, np.abs(last))))
+            return [(row[keep], cid[keep], score[keep])]
 
         for batch in batches:
             bucket, block, side, cid, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), _rows(batch.column(4))
@@ -150,13 +170,10 @@ def _best(met: DataFrame, k: int) -> DataFrame:
                 elif asks:
                     y = x[s:e]
                     scores = np.concatenate([a[1] for a in asks]) @ y.T
-                    n = min(k, scores.shape[1])
-                    best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                    found.append((np.take_along_axis(scores, best, 1), cid[s:e][best]))
+                    row, col = _top(scores, k)
+                    found.append((row, cid[s:e][col], scores[row, col]))
                     if len(found) > 16:
-                        scores, ids = np.concatenate([f[0] for f in found], 1), np.concatenate([f[1] for f in found], 1)
-                        best = np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-                        found = [(np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1))]
+                        found = less()
         if (done := finish()) is not None:
             yield done
 
@@ -244,13 +261,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, w
     sizes = entries.groupBy("bucket").agg(F.sum(1 - F.col("side")).alias("x"), F.sum("side").alias("q")).where("x > 0 and q > 0").select(
         "bucket", F.ceil(F.col("x") / block_rows).alias("_x"), F.ceil(F.col("q") / block_rows).alias("_q"))
     met = _blocks(entries.join(sizes, "bucket"), "_x", "_q").join(classes.select("cid", "embedding"), "cid")
-    found = written(_best(met, k + 1), "found").distinct()
+    found = written(_best(met, k + 1).groupBy("qid", "cid").agg(F.max("score").alias("score")), "found")
     enough = found.groupBy("qid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > k)
     wanting = classes.where("asks").join(enough, F.col("cid") == F.col("qid"), "left_anti").select("cid", "embedding")
     full = everywhere(wanting)
     top = W.partitionBy("qid").orderBy(F.desc("score"), "least")
     ids = classes.select("cid", "ids", F.get("ids", F.lit(0)).alias("least"))
-    ranked = found.unionAll(full).dropDuplicates(["qid", "cid"]).join(ids, "cid").withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1).select("qid", "score", "ids")
+    both = found.unionAll(full).groupBy("qid", "cid").agg(F.max("score").alias("score")).join(ids, "cid")
+    # A few more than needed, by rounded score, so that rounding cannot push a tie out; then each is scored anew.
+    rounded = W.partitionBy("qid").orderBy(F.desc(F.round("score", 10)), "least")
+    near = both.withColumn("_r", F.row_number().over(rounded)).where(F.col("_r") <= k + 8).select("qid", "cid", "ids", "least")
+    near = near.join(classes.select("cid", F.col("embedding").alias("_y")), "cid").join(classes.where("asks").select(F.col("cid").alias("qid"), F.col("embedding").alias("_x")), "qid")
+    exact = F.aggregate(F.zip_with("_x", "_y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    ranked = near.select("qid", "ids", "least", exact.alias("score")).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1).select("qid", "score", "ids")
     queries = used.where("_asks").select(F.col("vec_id").alias("query_id"), "embedding").join(classes.where("asks").select("embedding", F.col("cid").alias("qid")), "embedding").select("query_id", "qid")
     answers = ranked.select("qid", "score", F.explode("ids").alias("vec_id"))
     short = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")

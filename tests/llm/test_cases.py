@@ -488,6 +488,16 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_at_equal_scores(spark):
+    """Many different vectors at one score: the smallest ids win, whatever the blocks."""
+    rows = [(i, [1.0, 0.0, float(1 + i * 7 % 300) / 400]) for i in range(1, 300)] + [(1000, [1.0, 0.0, 0.0]), (1020, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, every=1000, block_rows=40).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {1000: [(i, 1.0) for i in range(1, 21)]}
+
+
 def test_perturbations_come_in_order_of_cost():
     walls = np.array([0.04, 0.5, 0.09, 0.9, 0.2, 0.6])
     sets = ann.perturbations(walls, 50)
