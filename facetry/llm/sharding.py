@@ -1,14 +1,17 @@
 """Uniform shuffle into shards of exact size through a hypergeometric communication matrix [native].
 
-Input partitions hold n_1 .. n_V rows; targets (cells of shards) have exact sizes m_1 .. m_C. The
-number of rows that partition p sends to target c, under a uniform random permutation of all rows,
-is drawn exactly: the partitions form a binary tree, and every node deals the target capacities it
-received to its two halves by successive hypergeometric draws (inversion over the probability
-ratios, from the mode). Then rows are permuted inside their partition, cut by the partition's row of
-the matrix, exchanged, and permuted again inside their target, which gives gapless slots.
-
-Shards are cut into cells so that no task sorts more than a cell or a partition. The matrix has at
-most ``most_parts`` x (shards x cells) entries and never passes through the driver.
+Input partitions hold n_1 .. n_V rows; shards have exact sizes m_1 .. m_C. The number of rows that
+partition p sends to shard c, under a uniform random permutation of all rows, is drawn exactly: the
+partitions form a binary tree, and every node deals the shard capacities it received to its two
+halves by successive hypergeometric draws (inversion over the probability ratios, from the mode).
+Then rows are permuted inside their partition, cut by the partition's row of the matrix, exchanged,
+and permuted again inside their shard, which gives gapless slots.
+
+A partition holds about ``part_rows`` rows, or the root of the number of rows where that is more. The
+second permutation deals a shard's rows to cells of about ``cell_rows`` by the same hash that orders
+them, and sets a cell off by the counts of the cells before it. So no task sorts more than a partition
+or a cell. The matrix has partitions x shards entries, the nodes of its tree are spread over tasks, and
+it never passes through the driver.
 
 Edge cases: null text counts no bytes and has the crc of no bytes; repeated rows are separate rows;
 an empty table gives no rows; with fewer rows than shards the last shards stay empty.
@@ -51,61 +54,57 @@ def _draw(good: str, total: str, taken: str, key: str, seed: int) -> str:
 
 
 def communication_matrix(counts: DataFrame, sizes: list[int], levels: int, seed: int) -> DataFrame:
-    """counts (one row: column n, array<long> of 2^levels partition sizes) -> part, sends array<long>."""
+    """counts (one row: column n, array<long> of 2^levels partition sizes) -> part, sends array<long>.
+
+    A node carries the sizes of its own partitions only. Every fourth level its nodes are dealt to more tasks.
+    """
     caps = ", ".join(f"{s}L" for s in sizes)
     nodes = counts.select(F.expr(f"array({caps})").alias("caps"), F.lit(0).alias("node"), "n")
     for level in range(levels):
         half = 1 << (levels - level - 1)
-        left = f"aggregate(slice(n, node * {2 * half} + 1, {half}), 0L, (a, x) -> a + x)"
-        both = f"aggregate(slice(n, node * {2 * half} + 1, {2 * half}), 0L, (a, x) -> a + x)"
+        if level and level % 4 == 0:
+            nodes = nodes.repartition(min(1 << level, 4096), "node")
+        total, left = "aggregate(n, 0L, (a, x) -> a + x)", f"aggregate(slice(n, 1, {half}), 0L, (a, x) -> a + x)"
         draw = _draw("x.c", "s.n", "s.t", f"{level}, node, x.i", seed)
-        deal = f"""aggregate(transform(caps, (c, i) -> named_struct('c', c, 'i', i)), named_struct('n', {both}, 't', {left}, 'o', cast(array() as array<bigint>)),
+        deal = f"""aggregate(transform(caps, (c, i) -> named_struct('c', c, 'i', i)), named_struct('n', {total}, 't', {left}, 'o', cast(array() as array<bigint>)),
             (s, x) -> get(transform(array({draw}), d -> named_struct('n', s.n - x.c, 't', s.t - d, 'o', concat(s.o, array(d)))), 0)).o"""
-        nodes = nodes.withColumn("l", F.expr(deal)).select(
-            F.explode(F.expr("array(named_struct('caps', l, 'node', node * 2), named_struct('caps', zip_with(caps, l, (a, b) -> a - b), 'node', node * 2 + 1))")).alias("e"), "n"
-        ).select("e.caps", "e.node", "n")
+        first, second = f"named_struct('caps', l, 'node', node * 2, 'n', slice(n, 1, {half}))", f"named_struct('caps', zip_with(caps, l, (a, b) -> a - b), 'node', node * 2 + 1, 'n', slice(n, {half + 1}, {half}))"
+        nodes = nodes.withColumn("l", F.expr(deal)).select(F.explode(F.expr(f"array({first}, {second})")).alias("e")).select("e.*")
     return nodes.select(F.col("node").alias("part"), F.col("caps").alias("sends"))
 
 
-def cell_sizes(rows: int, shards: int, cells: int) -> list[tuple[int, int, int]]:
-    """(shard, first slot, size) of every cell: shard sizes differ by one at most, so do a shard's cells."""
-    out = []
-    for s in range(shards):
-        n = rows // shards + (s < rows % shards)
-        for c in range(cells):
-            out.append((s, n * c // cells, n * (c + 1) // cells - n * c // cells))
-    return out
-
-
-def shuffle_rows(rows: DataFrame, shards: int = 40, seed: int = 23, part_rows: int = 1 << 15, cell_rows: int = 1 << 18, most_parts: int = 1024, most_cells: int = 16) -> DataFrame:
+def shuffle_rows(rows: DataFrame, shards: int = 40, seed: int = 23, part_rows: int = 1 << 15, cell_rows: int = 1 << 18) -> DataFrame:
     """``rows`` with shard and slot, uniformly permuted, law "rows".
 
     ``rows`` is written once, so that each row keeps its partition and place when tasks are repeated.
     """
     kept = written(rows.withColumn("_at", F.monotonically_increasing_id()), "shuffle-rows")
     n = kept.count()
-    levels = max(0, math.ceil(math.log2(min(most_parts, max(1, n / part_rows)))))
-    cells = max(1, min(most_cells, round(n / shards / cell_rows)))
-    parts = 1 << levels
-    targets = cell_sizes(n, shards, cells)
+    levels = max(0, math.ceil(math.log2(max(1, n / max(part_rows, math.isqrt(n))))))
+    parts, cells = 1 << levels, max(1, round(n / shards / cell_rows))
     # The matrix's partitions are runs of 256 neighbouring input rows, dealt evenly.
     placed = kept.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), F.shiftright(F.col("_at"), 8)), F.lit(parts)).cast("int"))
-    counted = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("c"))
-    counts = counted.agg(F.map_from_entries(F.collect_list(F.struct("_part", "c"))).alias("m")).select(
-        F.expr(f"transform(sequence(0, {parts - 1}), i -> coalesce(try_element_at(m, i), 0L))").alias("n"))
-    matrix = communication_matrix(counts, [s for _, _, s in targets], levels, seed).select(F.col("part").alias("_part"), F.expr(
+    every = rows.sparkSession.range(parts).select(F.col("id").cast("int").alias("_part"), F.lit(0).alias("c"))
+    counted = placed.select("_part", F.lit(1).alias("c")).unionAll(every).groupBy("_part").agg(F.sum("c").alias("c"))
+    counts = counted.agg(F.transform(F.array_sort(F.collect_list(F.struct("_part", "c"))), lambda x: x["c"]).alias("n"))
+    matrix = communication_matrix(counts, [n // shards + (s < n % shards) for s in range(shards)], levels, seed).select(F.col("part").alias("_part"), F.expr(
         "aggregate(sends, cast(array() as array<bigint>), (a, x) -> concat(a, array(x + coalesce(get(a, size(a) - 1), 0L))))").alias("_upto"))
     matrix = written(matrix, "shuffle-matrix")
     local = W.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), "_at"), "_at")
+    again = F.xxhash64(F.lit(seed + 2), "_at")
     sent = (
         placed.withColumn("_r", F.row_number().over(local))
-        .join(F.broadcast(matrix) if parts * len(targets) <= 1 << 20 else matrix, "_part")
-        .withColumn("_cell", F.expr("size(filter(_upto, x -> x < _r))"))
+        .join(F.broadcast(matrix) if parts * shards <= 1 << 20 else matrix, "_part")
+        .withColumn("shard", F.expr("size(filter(_upto, x -> x < _r))"))
+        .withColumn("_cell", F.pmod(again, F.lit(cells)).cast("int"))
         .drop("_upto", "_part", "_r")
     )
-    again = W.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 2), "_at"), "_at")
-    first = F.expr("array(" + ", ".join(f"{a}L" for _, a, _ in targets) + ")")
-    return sent.withColumn("slot", F.row_number().over(again) - 1 + F.get(first, F.col("_cell"))).withColumn("shard", F.floor(F.col("_cell") / cells).cast("int")).drop("_cell", "_at")
+    sent = written(sent, "shuffle-sent")
+    own = W.partitionBy("shard").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    before = sent.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0))).drop("_n")
+    ranked = sent.withColumn("_own", F.row_number().over(W.partitionBy("shard", "_cell").orderBy(again, "_at")))
+    met = ranked.join(F.broadcast(before) if shards * cells <= 100_000 else before, ["shard", "_cell"])
+    return met.withColumn("slot", F.col("_own") - 1 + F.col("_before")).drop("_cell", "_at", "_own", "_before")
 
 
 def sharded(docs: DataFrame, shards: int = 40, seed: int = 23, **kw) -> DataFrame:
