@@ -396,6 +396,22 @@ def test_shards(spark, docs):
     assert sharding.sharded(docs.limit(0)).count() == 0
 
 
+def test_shards_of_many_partitions_and_cells(spark):
+    """A tree of several dealt levels: exact sizes, gapless slots, equal reruns, and a shuffle without trend."""
+    ids = spark.range(0, 5000, 1, 7).withColumnRenamed("id", "doc_id")
+    runs = [sharding.shuffle_rows(ids, 3, part_rows=20, cell_rows=100).collect() for _ in range(2)]
+    first, second = ({r["doc_id"]: (r["shard"], r["slot"]) for r in rows} for rows in runs)
+    assert len(runs[0]) == 5000 and first == second and set(first) == set(range(5000))
+    slots = defaultdict(dict)
+    for i, (shard, slot) in first.items():
+        slots[shard][slot] = i
+    assert [len(slots[s]) for s in range(3)] == [1667, 1667, 1666] and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    for v in slots.values():
+        order = np.array([v[k] for k in range(len(v))])
+        assert abs(order.mean() - 2499.5) < 4 * 1443 / math.sqrt(len(v))
+        assert abs(np.corrcoef(order, np.arange(len(v)))[0, 1]) < 4 / math.sqrt(len(v))
+
+
 def test_communication_matrix_is_hypergeometric(spark):
     counts = [40, 60, 10, 90]
     caps = [50, 100, 50]
