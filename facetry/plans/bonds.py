@@ -12,7 +12,7 @@ from facetry.functions import tensor as t
 from facetry.operators import graphs as gr
 from facetry.operators import triangles as tr
 from facetry.plans.registry import query
-from facetry.plans.sites import NB, neighbours, r
+from facetry.plans.sites import DIRECTION, EIGEN, NB, SITE, neighbours, r
 from facetry.session import table
 
 K = ["material"]
@@ -105,7 +105,9 @@ def m29(spark, sf_dir):
     return neighbours(spark, sf_dir).groupBy("center").agg(r(F.avg(d.axis_alignment(v, g.vec(1.0, 0.0, 0.0))), "a"), r(F.avg(d.axis_alignment(v, g.vec(0.0, 1.0, 0.0))), "b"))
 
 
-@query("m30_environment_alignment")
+@query("m30_environment_alignment", f"""WITH {NB}, {SITE}, {EIGEN}, {DIRECTION}, m AS (SELECT *, xx*xx + yy*yy + zz*zz + 2*(xy*xy + xz*xz + yz*yz) AS nn FROM v)
+    SELECT a.center, round(greatest(0, least(1, 0.6 * (a.xx*b.xx + a.yy*b.yy + a.zz*b.zz + 2*(a.xy*b.xy + a.xz*b.xz + a.yz*b.yz)) / sqrt(a.nn * b.nn)
+        + 0.4 * abs(a.c.x*b.c.x + a.c.y*b.c.y + a.c.z*b.c.z) / (a.len * b.len))), 3) AS alignment FROM m a JOIN m b ON b.center = a.center + 1""")
 def m30(spark, sf_dir):
     from facetry.operators.sites import structure_tensors
 
@@ -215,13 +217,25 @@ def g11(spark, sf_dir):
     return gr.pooled(nodes(spark, sf_dir).withColumn("f", F.array("size", "price")), K, "f", 2).select("material", r(F.col("mean")[0], "m0"), r(F.col("mean")[1], "m1", 4))
 
 
-@query("g12_h0_persistence")
+# An edge is in the forest unless smaller edges (by weight, then ends) join its ends.
+@query("g12_h0_persistence", f"""WITH RECURSIVE {E_SQL}, {N_SQL}, d AS (SELECT material, u, v, abs(a.price - b.price) AS x FROM e JOIN n a ON a.node = u JOIN n b ON b.node = v),
+    s AS (SELECT material, u, v, x, row_number() OVER (ORDER BY x, u, v) AS k FROM d WHERE x <= 150.0), o AS (SELECT material, u AS a, v AS b, k FROM s UNION ALL SELECT material, v, u, k FROM s),
+    reach AS (SELECT material, k, u AS node FROM s UNION SELECT r.material, r.k, o.b FROM reach r JOIN o ON o.material = r.material AND o.a = r.node AND o.k < r.k),
+    forest AS (SELECT s.material, s.x FROM s LEFT JOIN reach r ON r.k = s.k AND r.node = s.v WHERE r.k IS NULL)
+    SELECT p.material, coalesce(round(max(x), 4), 0.0) AS max_death, coalesce(round(stddev_pop(x), 4), 0.0) AS death_std FROM (SELECT DISTINCT p_brand AS material FROM part) p LEFT JOIN forest f ON f.material = p.material GROUP BY p.material""")
 def g12(spark, sf_dir):
     n = nodes(spark, sf_dir)
     return gr.h0_persistence(weighed(spark, sf_dir), n, K, "delta_price", 150.0).select("material", r(F.col("max_death"), "max_death", 4), r(F.col("death_std"), "death_std", 4))
 
 
-@query("g13_g15_graph_summary")
+@query("g13_g15_graph_summary", f"""WITH RECURSIVE {E_SQL}, reach AS (SELECT material, a AS node, a AS seen FROM w UNION SELECT r.material, r.node, w.b FROM reach r JOIN w ON w.material = r.material AND w.a = r.seen),
+    parts AS (SELECT material, count(DISTINCT first) AS components FROM (SELECT material, node, min(seen) AS first FROM reach GROUP BY material, node) GROUP BY material),
+    deg AS (SELECT material, a AS node, count(*) AS k FROM w GROUP BY material, a), ends AS (SELECT w.material, CAST(x.k AS DOUBLE) AS x, CAST(y.k AS DOUBLE) AS y FROM w JOIN deg x ON x.material = w.material AND x.node = w.a JOIN deg y ON y.material = w.material AND y.node = w.b),
+    mixed AS (SELECT material, count(*) AS m, sum(x * y) AS xy, sum(x) AS sx, sum(x * x) AS xx FROM ends GROUP BY material),
+    c AS (SELECT material, count(*) AS nodes FROM deg GROUP BY material), l AS (SELECT material, count(*) AS edges FROM e GROUP BY material)
+    SELECT material, nodes, edges, round(2 * edges / CAST(nodes * (nodes - 1) AS DOUBLE), 6) AS density, components, edges - nodes + components AS betti1,
+        CASE WHEN m * xx > sx * sx THEN round((m * xy - sx * sx) / (m * xx - sx * sx), 6) + 0.0 END AS assortativity
+    FROM c JOIN l USING (material) JOIN parts USING (material) JOIN mixed USING (material)""")
 def g13(spark, sf_dir):
     s = gr.graph_summary(edges(spark, sf_dir), K)
     return s.select("material", "nodes", "edges", r(F.col("density"), "density"), "components", "betti1", r(F.col("assortativity"), "assortativity"))
@@ -234,7 +248,10 @@ def g14(spark, sf_dir):
     return components(edges(spark, sf_dir), K)
 
 
-@query("g16_path_lengths")
+@query("g16_path_lengths", f"""WITH RECURSIVE {E_SQL}, far(material, source, node, hops) USING KEY (material, source, node) AS (SELECT DISTINCT material, a, a, 0 FROM w
+        UNION SELECT DISTINCT f.material, f.source, w.b, f.hops + 1 FROM far f JOIN w ON w.material = f.material AND w.a = f.node
+            WHERE NOT EXISTS (SELECT 1 FROM recurring.far s WHERE s.material = f.material AND s.source = f.source AND s.node = w.b))
+    SELECT material, round(avg(hops), 6) AS mean_path, max(hops) AS diameter FROM far WHERE hops > 0 GROUP BY material""")
 def g16(spark, sf_dir):
     p = gr.path_lengths(edges(spark, sf_dir), K).where("hops > 0")
     return p.groupBy("material").agg(r(F.avg("hops"), "mean_path"), F.max("hops").alias("diameter"))
@@ -245,7 +262,14 @@ def g17(spark, sf_dir):
     return gr.spectral_entropy(edges(spark, sf_dir), K).select("material", r(F.col("spectral_entropy"), "spectral_entropy"))
 
 
-@query("g18_wl_hash")
+def _wl_round(i: int) -> str:
+    return f"""h{i + 1} AS (SELECT x.material, x.node, md5(x.l || '|' || coalesce(near, '')) AS l FROM h{i} x LEFT JOIN (
+        SELECT w.material, w.a AS node, string_agg(y.l, ',' ORDER BY y.l) AS near FROM w JOIN h{i} y ON y.material = w.material AND y.node = w.b GROUP BY w.material, w.a) z ON z.material = x.material AND z.node = x.node)"""
+
+
+@query("g18_wl_hash", f"""WITH {E_SQL}, h0 AS (SELECT p_brand AS material, p_partkey AS node, md5(CAST(CAST(p_size AS DOUBLE) AS VARCHAR)) AS l FROM part), {_wl_round(0)}, {_wl_round(1)}, {_wl_round(2)},
+    hist AS (SELECT material, l || ':' || count(*) AS c FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY material, l)
+    SELECT material, md5(string_agg(c, ',' ORDER BY c)) AS wl_hash FROM hist GROUP BY material""")
 def g18(spark, sf_dir):
     return gr.wl_hash(edges(spark, sf_dir), nodes(spark, sf_dir), K, "size")
 
@@ -262,7 +286,11 @@ def u3(spark, sf_dir):
     return gr.cluster(edges(spark, sf_dir), K).select("material", "u", "v", F.size("members").cast("long").alias("members"))
 
 
-@query("a14_solid_angles")
+@query("a14_solid_angles", f"""WITH {NB}, k AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY x, y, z) AS k FROM nb),
+    t AS (SELECT a.center, abs(a.x * (b.y*c.z - b.z*c.y) + a.y * (b.z*c.x - b.x*c.z) + a.z * (b.x*c.y - b.y*c.x)) AS top,
+        a.d*b.d*c.d + (a.x*b.x + a.y*b.y + a.z*b.z) * c.d + (a.x*c.x + a.y*c.y + a.z*c.z) * b.d + (b.x*c.x + b.y*c.y + b.z*c.z) * a.d AS below
+        FROM k a JOIN k b ON b.center = a.center AND a.k < b.k JOIN k c ON c.center = a.center AND b.k < c.k)
+    SELECT s.center, coalesce(round(sum(2 * atan2(top, below)), 4), 0.0) AS solid_angle FROM (SELECT DISTINCT center FROM nb) s LEFT JOIN t ON t.center = s.center AND below > 1e-12 GROUP BY s.center""")
 def a14(spark, sf_dir):
     return tr.solid_angles(neighbours(spark, sf_dir), ["center"]).select("center", r(F.col("solid_angle"), "solid_angle", 4))
 

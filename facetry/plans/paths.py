@@ -9,7 +9,7 @@ from facetry.operators import paths as pa
 from facetry.operators.sites import bag_entropy, structure_tensors
 from facetry.plans.bonds import E_SQL, K, edges, nodes
 from facetry.plans.registry import query
-from facetry.plans.sites import NB, neighbours, r
+from facetry.plans.sites import EIGEN, NB, SITE, neighbours, r
 from facetry.session import table
 
 
@@ -44,7 +44,10 @@ def b5(spark, sf_dir):
     return pa.histogram_entropy(o, ["material"], "o_totalprice").select("material", r(F.col("entropy"), "entropy", 5))
 
 
-@query("b6_bulk_anisotropy")
+KIND_SITE = SITE.replace("SELECT center,", "SELECT center, element,").replace("GROUP BY center", "GROUP BY center, element")
+
+
+@query("b6_bulk_anisotropy", f"WITH {NB}, {KIND_SITE}, {EIGEN} SELECT element, round(avg((e1 - e3) / (xx + yy + zz)), 5) + 0.0 AS anisotropy FROM e GROUP BY element")
 def b6(spark, sf_dir):
     e = F.col("e")
     x = structure_tensors(neighbours(spark, sf_dir), ["center", "element"]).withColumn("e", t.eigenvalues(F.col("tensor")))
@@ -62,7 +65,18 @@ def b8(spark, sf_dir):
     return pa.force_covariance(f, ["element"], ("x", "y", "z"), ("d", "t", "one")).select("element", r(F.col("trace"), "trace", 5), r(F.col("torsion") / 1000, "torsion", 3))
 
 
-@query("b9_log_volume")
+def _log_det_sql(names: list[str], ridge: str = "1e-6") -> str:
+    """Pivots of the correlation matrix plus a ridge, one elimination step a table."""
+    n = range(len(names))
+    first = ", ".join(f"CASE WHEN stddev_pop({names[i]}) > 1e-12 AND stddev_pop({names[j]}) > 1e-12 THEN covar_pop({names[i]}, {names[j]}) / (stddev_pop({names[i]}) * stddev_pop({names[j]})) ELSE 0 END{f' + {ridge}' if i == j else ''} AS a{i}_{j}" for i in n for j in n if i <= j)
+    steps = [f"s0 AS (SELECT element, {first} FROM f GROUP BY element)"]
+    for k in n[:-1]:
+        rest = ", ".join(f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in n for j in n if k < i <= j)
+        steps.append(f"s{k + 1} AS (SELECT element, {rest}, {'ln(a0_0)' if k == 0 else f'total + ln(a{k}_{k})'} AS total FROM s{k})")
+    return ", ".join(steps) + f" SELECT element, round(total + ln(a{n[-1]}_{n[-1]}), 5) + 0.0 AS log_det FROM s{n[-1]}"
+
+
+@query("b9_log_volume", f"WITH {NB}, f AS (SELECT element, x, y, z, l_tax, l_partkey % 7 * 1.0::DOUBLE AS u, l_partkey % 11 * 1.0::DOUBLE AS v FROM nb), {_log_det_sql(['x', 'y', 'z', 'l_tax', 'u', 'v'])}")
 def b9(spark, sf_dir):
     n = neighbours(spark, sf_dir).withColumn("u", F.col("l_partkey") % 7 * 1.0).withColumn("v", F.col("l_partkey") % 11 * 1.0)
     return pa.log_volume(n, ["element"], ["x", "y", "z", "l_tax", "u", "v"]).select("element", r(F.col("log_det"), "log_det", 5))

@@ -84,9 +84,17 @@ def m7(spark, sf_dir):
     return s.structure_tensors(neighbours(spark, sf_dir), ["center"]).select("center", r(t.trace(x), "trace"), r(t.determinant(x), "determinant", 3), r(t.frobenius(x), "frobenius"))
 
 
-@query("m8_eigenvalues", f"""WITH {NB}, {SITE}, q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM site), p AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q),
+EIGEN = """q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM site), p AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q),
     f AS (SELECT *, CASE WHEN p > 1e-150 THEN ((xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz)) / (p*p*p) / 2 ELSE 0 END AS h FROM p),
-    e AS (SELECT *, q + 2*p*cos(acos(greatest(-1, least(1, h))) / 3) AS e1, q + 2*p*cos(acos(greatest(-1, least(1, h))) / 3 + 2*pi()/3) AS e3 FROM f)
+    e AS (SELECT *, q + 2*p*cos(acos(greatest(-1, least(1, h))) / 3) AS e1, q + 2*p*cos(acos(greatest(-1, least(1, h))) / 3 + 2*pi()/3) AS e3 FROM f)"""
+# The longest cross product of two rows of T - e1 I, by its length.
+DIRECTION = """c AS (SELECT *, unnest([{'x': xy*yz - xz*(yy-e1), 'y': xz*xy - (xx-e1)*yz, 'z': (xx-e1)*(yy-e1) - xy*xy},
+        {'x': xy*(zz-e1) - xz*yz, 'y': xz*xz - (xx-e1)*(zz-e1), 'z': (xx-e1)*yz - xy*xz},
+        {'x': (yy-e1)*(zz-e1) - yz*yz, 'y': yz*xz - xy*(zz-e1), 'z': xy*yz - (yy-e1)*xz}]) AS c FROM e),
+    v AS (SELECT * FROM (SELECT *, sqrt(c.x*c.x + c.y*c.y + c.z*c.z) AS len FROM c) QUALIFY row_number() OVER (PARTITION BY center ORDER BY len DESC) = 1)"""
+
+
+@query("m8_eigenvalues", f"""WITH {NB}, {SITE}, {EIGEN}
     SELECT center, round(e1, 4) AS e1, round(3*q - e1 - e3, 4) + 0.0 AS e2, round(e3, 4) + 0.0 AS e3, round(((e1-q)*(e1-q) + (2*q-e1-e3)*(2*q-e1-e3) + (e3-q)*(e3-q)) / 3, 3) AS variance FROM e""")
 def m8(spark, sf_dir):
     e, q = F.col("e"), t.trace(F.col("tensor")) / 3
@@ -102,7 +110,7 @@ def m9(spark, sf_dir):
     return s.structure_tensors(neighbours(spark, sf_dir), ["center"]).select("center", r(t.anisotropy(F.col("tensor")), "anisotropy"))
 
 
-@query("m10_principal_direction")
+@query("m10_principal_direction", f"WITH {NB}, {SITE}, {EIGEN}, {DIRECTION} SELECT center, round(abs(c.x) / len, 4) AS p0, round(abs(c.y) / len, 4) AS p1, round(abs(c.z) / len, 4) AS p2 FROM v")
 def m10(spark, sf_dir):
     v = t.principal_direction(F.col("tensor"))
     return s.structure_tensors(neighbours(spark, sf_dir), ["center"]).select("center", *[F.round(F.abs(v[i]), 4).alias(f"p{i}") for i in range(3)])
