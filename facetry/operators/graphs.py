@@ -5,6 +5,8 @@ Edges are u <= v without repeats. Joins are equalities on (keys, node); AQE spli
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.operators.components import components
-from facetry.session import cut
+from facetry.session import cut, written
 
 
 def simple_edges(pairs: DataFrame, keys: list[str], u: str, v: str, loops: bool = False) -> DataFrame:
@@ -106,22 +108,112 @@ def graph_summary(edges: DataFrame, keys: list[str]) -> DataFrame:
         F.when(spread > 0, (F.col("_m") * F.col("_xy") - F.col("_x") * F.col("_x")) / F.when(spread > 0, spread)).alias("assortativity"))
 
 
-def path_lengths(edges: DataFrame, keys: list[str], longest: int = 64) -> DataFrame:
-    """keys, source, node, hops between all connected pairs: breadth-first search from every node at once.
-
-    Each level joins the frontier with the edges and drops pairs already seen; it ends with an empty
-    frontier. The result holds all pairs of a graph, so graphs must be of bounded size.
+WORDS = 16  # long columns of a block of sources: 1,024 sources, a bit each
+
+
+def _source_bits(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, block, word, bit: a place of its own for each node. Nodes are dealt to blocks by hash, about half a
+    block each, and numbered inside; a block that gets too many goes on in further ones."""
+    per = 64 * WORDS
+    n = nodes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (per // 2)).alias("_b"))
+    dealt = nodes.join(n, keys).withColumn("_d", F.pmod(F.xxhash64("node"), F.col("_b")))
+    numbered = dealt.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_d").orderBy("node")) - 1)
+    at = F.col("_r") % per
+    return numbered.select(*keys, "node", (F.floor(F.col("_r") / per) * F.col("_b") + F.col("_d")).cast("long").alias("block"), F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
+
+
+def _small_distances(edges: DataFrame, bits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, block, hops, pairs: of graphs of bounded size; a task holds the edges of one graph and the bits of one block."""
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        is_edge = g["u"].notna().to_numpy()
+        e, s = g[is_edge], g[~is_edge]
+        nodes, at = np.unique(e[["u", "v"]].to_numpy(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        a, b = np.r_[a, b], np.r_[b, a]
+        order = np.argsort(b, kind="stable")
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        seen = np.zeros((len(nodes), WORDS), np.uint64)
+        seen[np.searchsorted(nodes, s["node"].to_numpy()), s["word"].to_numpy(int)] |= np.uint64(1) << s["bit"].to_numpy(np.uint64)
+        front, hops, pairs = seen.copy(), 0, []
+        while True:
+            reached = np.zeros_like(seen)
+            reached[b[starts]] = np.bitwise_or.reduceat(front[a], starts, axis=0)
+            front = reached & ~seen
+            found = int(np.bitwise_count(front).sum())
+            if not found:
+                break
+            seen |= front
+            hops += 1
+            pairs.append((hops, found))
+        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(pairs) for k in [*keys, "block"]}, "hops": [h for h, _ in pairs], "pairs": [n for _, n in pairs]})
+
+    held = bits.join(edges.select(*keys).distinct(), keys, "left_semi")
+    blocks = held.select(*keys, "block").distinct()
+    rows = edges.join(blocks, keys).select(*keys, "block", "u", "v", F.lit(None).cast(dict(edges.dtypes)["u"]).alias("node"), F.lit(None).cast("int").alias("word"), F.lit(None).cast("int").alias("bit"))
+    rows = rows.unionByName(held, allowMissingColumns=True)
+    return rows.groupBy(*keys, "block").applyInPandas(search, rows.select(*keys, "block", *[F.lit(0).cast("long").alias(c) for c in ("hops", "pairs")]).schema)
+
+
+def _large_distances(edges: DataFrame, bits: DataFrame, keys: list[str], blocks_at_once: int, levels: int) -> DataFrame:
+    """As above by DataFrame rounds: a row holds the bits of a block that reached a node; rows meet the edges, and bits that
+    arrive at a node are united by bit_or. ``levels`` rounds are planned at a time, then cut."""
+    ways = cut(both_ways(edges, keys))
+    words = [f"w{i}" for i in range(WORDS)]
+    own = cut(bits.join(edges.select(*keys).distinct(), keys, "left_semi").select(*keys, "node", "block", *[F.when(F.col("word") == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)]))
+    last = own.agg(F.max("block")).first()[0]
+    counted = None
+    for first in range(0, (-1 if last is None else last) + 1, blocks_at_once):
+        seen = own.where(F.col("block").between(first, first + blocks_at_once - 1)).withColumn("hops", F.lit(0).cast("long"))
+        seen = seen.withColumns({f"n{i}": F.col(w) for i, w in enumerate(words)})  # n: the bits that are new in this round
+        hop = 0
+        while True:
+            for _ in range(levels):
+                hop += 1
+                moved = seen.where(F.col("hops") == hop - 1).select(*keys, F.col("node").alias("a"), "block", *[f"n{i}" for i in range(WORDS)]).join(ways, [*keys, "a"])
+                arrived = moved.groupBy(*keys, F.col("b").alias("node"), "block").agg(*[F.bit_or(f"n{i}").alias(f"_a{i}") for i in range(WORDS)])
+                both = seen.join(arrived, [*keys, "node", "block"], "full_outer")
+                old = [F.coalesce(F.col(w), F.lit(0).cast("long")) for w in words]
+                new = [F.coalesce(F.col(f"_a{i}"), F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(o)) for i, o in enumerate(old)]
+                any_new = new[0]
+                for x in new[1:]:
+                    any_new = any_new.bitwiseOR(x)
+                both = both.select(*keys, "node", "block", F.when(any_new != 0, F.lit(hop).cast("long")).otherwise(F.col("hops")).alias("hops"), *[o.bitwiseOR(x).alias(w) for o, x, w in zip(old, new, words)], *[F.when(any_new != 0, x).otherwise(F.col(f"n{i}")).alias(f"n{i}") for i, x in enumerate(new)], *[c for c in both.columns if c.startswith("h_")], F.when(any_new != 0, sum(F.bit_count(x) for x in new)).cast("long").alias(f"h_{hop}"))
+                seen = both
+            seen = written(seen, "reached")
+            made = [c for c in seen.columns if c.startswith("h_")]
+            part = seen.select(*keys, F.explode(F.array(*[F.struct(F.lit(int(c[2:])).cast("long").alias("hops"), F.col(c).alias("pairs")) for c in made])).alias("x")).select(*keys, "x.*").where("pairs is not null").groupBy(*keys, "hops").agg(F.sum("pairs").alias("pairs"))
+            part = cut(part)
+            counted = part if counted is None else counted.unionByName(part)
+            seen = seen.drop(*made)
+            if seen.where(F.col("hops") == hop).isEmpty():
+                break
+    return counted if counted is not None else edges.select(*keys, F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("pairs")).limit(0)
+
+
+def distances(edges: DataFrame, keys: list[str], whole: int = 50_000, blocks_at_once: int = 16, levels: int = 4) -> DataFrame:
+    """keys, hops, pairs: ordered pairs of nodes at each number of hops from one another, from every node at once.
+
+    Breadth-first search with a bit a source: 1,024 sources are a block, and a level unites the bits that arrive at a
+    node. Pairs are counted by their bits, never listed. Graphs of up to ``whole`` edges are searched a block a task;
+    larger ones by joins over all tasks, ``blocks_at_once`` blocks at a time, so rows stay under blocks x nodes. Paths may be of any length.
     """
-    ways = cut(both_ways(edges.where("u <> v"), keys))
-    seen = cut(ways.select(*keys, F.col("a").alias("source"), F.col("a").alias("node")).distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
-    for hop in range(1, longest + 1):
-        step = frontier.select(*keys, "source", F.col("node").alias("a")).join(ways, [*keys, "a"]).select(*keys, "source", F.col("b").alias("node")).distinct()
-        frontier = cut(step.join(seen, [*keys, "source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if not frontier.limit(1).count():
-            return seen
-        seen = cut(seen.unionAll(frontier))
-    raise ValueError("a graph has longer paths than allowed")
+    e = cut(edges.where("u <> v").select(*keys, "u", "v"))
+    size = cut(e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_e")))
+    bits = cut(_source_bits(e.select(*keys, F.explode(F.array("u", "v")).alias("node")).distinct(), keys))
+    of = lambda some: e.join(some.select(*keys), keys, "left_semi")
+    small, large = size.where(F.col("_e") <= whole), size.where(F.col("_e") > whole)
+    found = _small_distances(of(small), bits, keys).select(*keys, "hops", "pairs")
+    if not large.isEmpty():
+        found = found.unionByName(_large_distances(of(large), bits, keys, blocks_at_once, levels))
+    return found.groupBy(*keys, "hops").agg(F.sum("pairs").alias("pairs"))
+
+
+def path_lengths(edges: DataFrame, keys: list[str], whole: int = 50_000) -> DataFrame:
+    """keys, mean_path, diameter over all connected pairs of different nodes."""
+    d = distances(edges, keys, whole)
+    return d.groupBy(*keys).agg((F.sum(F.col("hops") * F.col("pairs")) / F.sum("pairs")).alias("mean_path"), F.max("hops").alias("diameter"))
 
 
 def spanning_forest(edges: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -149,6 +241,59 @@ def h0_persistence(edges: DataFrame, nodes: DataFrame, keys: list[str], weight:
     return nodes.select(*keys).distinct().join(deaths, keys, "left").fillna(0.0, ["max_death", "death_std"])
 
 
+def _prim(points: np.ndarray, radius: float) -> np.ndarray:
+    """Edge lengths up to ``radius`` of a minimum spanning tree of the points."""
+    out, rest = [], np.arange(1, len(points))
+    best = np.linalg.norm(points[1:] - points[0], axis=1)
+    while len(rest):
+        i = int(best.argmin())
+        out.append(best[i])
+        here, rest, best = points[rest[i]], np.delete(rest, i), np.delete(best, i)
+        best = np.minimum(best, np.linalg.norm(points[rest] - here, axis=1))
+    d = np.array(out)
+    return d[d <= radius]
+
+
+def centre_persistence(neighbours: DataFrame, keys: list[str], site: str, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), fingerprints: DataFrame | None = None, whole: int = 64) -> DataFrame:
+    """keys (of the centres), max_death, death_std: finite deaths of the Rips filtration of each centre's neighbours.
+
+    neighbours: keys, site (unique in a centre), coords. Edges up to ``radius`` take part; fewer than two neighbours give
+    0, 0. With ``fingerprints`` (keys, fingerprint) a neighbourhood is computed once for each fingerprint, at its
+    smallest centre, and joined back. Neighbourhoods of up to ``whole`` points are a row each and take a spanning tree there; larger
+    ones find their edges by a range join inside the centre and their forests by rounds over all centres at once.
+    """
+    from facetry.operators.sites import range_join
+
+    counted = neighbours.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if fingerprints is not None:
+        known = fingerprints.join(counted, keys)
+        known = known.join(known.groupBy("fingerprint").agg(F.min(F.struct(*keys)).alias("_r")), "fingerprint")
+        chosen = known.where(F.struct(*keys) == F.col("_r")).select(*keys, "_n")
+    else:
+        chosen = counted
+    chosen = cut(chosen)
+    asked = neighbours.select(*keys, F.col(site).alias("_s"), *[F.col(c).cast("double").alias(c) for c in coords])
+    few = asked.join(chosen.where(F.col("_n").between(2, whole)).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.array(*coords)).alias("_p"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            deaths = [_prim(np.array([list(x) for x in p]), radius) for p in b.pop("_p")]
+            yield b.assign(max_death=[d.max() if len(d) else 0.0 for d in deaths], death_std=[d.std() if len(d) else 0.0 for d in deaths])
+
+    found = few.mapInPandas(run, few.select(*keys, F.lit(0.0).alias("max_death"), F.lit(0.0).alias("death_std")).schema)
+    many = chosen.where(F.col("_n") > whole)
+    if not many.isEmpty():
+        own = {k: f"_k{i}" for i, k in enumerate(keys)}  # range_join has columns of its own
+        pairs = range_join(asked.join(many.select(*keys), keys, "left_semi").withColumnsRenamed(own), radius, [*own.values()], "_s", coords).where("center < nbr")
+        pairs = pairs.select(*[F.col(v).alias(k) for k, v in own.items()], F.col("center").alias("u"), F.col("nbr").alias("v"), "distance")
+        forest = spanning_forest(pairs, keys, "distance")
+        found = found.unionByName(forest.groupBy(*keys).agg(F.max("w").alias("max_death"), F.stddev_pop("w").alias("death_std")))
+    if fingerprints is not None:
+        found = found.select(F.struct(*keys).alias("_r"), "max_death", "death_std")
+        return known.join(found, "_r", "left").select(*keys, "max_death", "death_std").fillna(0.0, ["max_death", "death_std"])
+    return counted.join(found, keys, "left").select(*keys, "max_death", "death_std").fillna(0.0, ["max_death", "death_std"])
+
+
 def spectral_entropy(edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, spectral_entropy (bits) of the combinatorial Laplacian's spectrum; one dense solve a graph, graphs in parallel."""
 

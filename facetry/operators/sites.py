@@ -8,7 +8,6 @@ one row a task in the shuffle.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.functions import geometry as g
@@ -147,48 +146,6 @@ def fingerprints(neighbours: DataFrame, keys: list[str], digits: int = 4) -> Dat
     return neighbours.groupBy(*keys).agg(bag.alias("bag")).select(*keys, F.sha2(F.to_json(F.struct("bag")), 256).alias("fingerprint"))
 
 
-def match_orderings(left: DataFrame, right: DataFrame, keys: list[str], far: float = 0.1) -> DataFrame:
-    """keys, left_site, right_site, distance, far, same_element, status: sites of two orderings paired by equal
-    fingerprint and nearest position, mutually and repeatedly until one side of each (keys, fingerprint) is used
-    up; the unmatched of both sides follow, with them sites without a position.
-
-    Both sides: keys, site, fingerprint, element, x, y, z. Symmetric ties fall to the smaller site, where an
-    optimal assignment could choose otherwise. Sites at equal positions (9 digits) are paired first, in the order
-    of sites. Each further round pairs all mutual nearest sites, at least one of every open group.
-    """
-    from facetry.session import cut
-
-    a = left.select(*keys, "fingerprint", F.col("site").alias("left_site"), F.col("element").alias("e1"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    b = right.select(*keys, "fingerprint", F.col("site").alias("right_site"), F.col("element").alias("e2"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    distance = F.sqrt(sum((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in "xyz"))
-
-    def numbered(side: DataFrame, s: str, n: int) -> DataFrame:
-        at = [(F.round(f"{c}{n}", 9) + 0.0).alias(f"_{c}") for c in "xyz"]
-        placed = side.select("*", *at)
-        return placed.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "fingerprint", "_x", "_y", "_z").orderBy(s)))
-
-    group = [*keys, "fingerprint"]
-    pairs = cut(numbered(a, "left_site", 1).join(numbered(b, "right_site", 2), [*group, "_x", "_y", "_z", "_n"]).withColumn("distance", distance).drop("_x", "_y", "_z", "_n"))
-    without = lambda side, got, s: side.join(got.select(*keys, s), [*keys, s], "left_anti")
-    open_a, open_b = without(a, pairs, "left_site"), without(b, pairs, "right_site")
-    # Sites of one position and group are alike, so a round takes the k-th of one with the k-th of the other.
-    spots = lambda side, s, n: side.groupBy(*group, *[(F.round(f"{c}{n}", 9) + 0.0).alias(f"{c}{n}") for c in "xyz"]).agg(F.count(F.lit(1)).alias(f"n{n}"), F.min(s).alias(s))
-    while True:
-        near = spots(open_a, "left_site", 1).join(spots(open_b, "right_site", 2), group).withColumn("_d", F.round(distance, 9)).where("_d is not null")
-        best = {s: W.partitionBy(*group, *[f"{c}{n}" for c in "xyz"]).orderBy("_d", o) for s, n, o in (("left", 1, "right_site"), ("right", 2, "left_site"))}
-        mutual = near.withColumn("r1", F.row_number().over(best["left"])).withColumn("r2", F.row_number().over(best["right"])).where("r1 = 1 and r2 = 1")
-        mutual = cut(mutual.select(*group, *[F.col(f"{c}{n}").alias(f"_{c}{n}") for n in (1, 2) for c in "xyz"]))
-        if not mutual.limit(1).count():
-            break
-        one, two = (numbered(side, s, n).withColumnsRenamed({f"_{c}": f"_{c}{n}" for c in "xyz"}) for side, s, n in ((open_a, "left_site", 1), (open_b, "right_site", 2)))
-        got = cut(one.join(mutual, [*group, *[f"_{c}1" for c in "xyz"]]).join(two, [*group, *[f"_{c}2" for c in "xyz"], "_n"]).withColumn("distance", distance).select(*pairs.columns))
-        pairs = pairs.unionAll(got)
-        open_a, open_b = cut(without(open_a, got, "left_site")), cut(without(open_b, got, "right_site"))
-    done = pairs.select(*keys, "left_site", "right_site", "distance", (F.col("distance") > far).alias("far"), (F.col("e1") == F.col("e2")).alias("same_element"), F.lit("matched").alias("status"))
-    rest = lambda side, s, status: without(side, pairs, s).select(*keys, s, F.lit(status).alias("status"))
-    return done.unionByName(rest(a, "left_site", "left_only"), allowMissingColumns=True).unionByName(rest(b, "right_site", "right_only"), allowMissingColumns=True)
-
-
 def remapped(values: DataFrame, mapping: DataFrame, keys: list[str], default: Column | None = None) -> DataFrame:
     """Values (keys, site, ...) carried to the other ordering (keys, left_site, right_site); sites without a
     counterpart keep their own index, missing values take ``default``."""

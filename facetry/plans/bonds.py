@@ -228,6 +228,22 @@ def g12(spark, sf_dir):
     return gr.h0_persistence(weighed(spark, sf_dir), n, K, "delta_price", 150.0).select("material", r(F.col("max_death"), "max_death", 4), r(F.col("death_std"), "death_std", 4))
 
 
+# As above, with a centre's neighbours in place of a brand's parts.
+@query("g12_centre_persistence", f"""WITH RECURSIVE {NB}, k AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY x, y, z) AS k FROM nb),
+    d AS (SELECT a.center, a.k AS u, b.k AS v, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS x FROM k a JOIN k b ON a.center = b.center AND a.k < b.k),
+    s AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY x, u, v) AS r FROM d WHERE x <= 6.0), o AS (SELECT center, u AS a, v AS b, r FROM s UNION ALL SELECT center, v, u, r FROM s),
+    reach AS (SELECT center, r, u AS node FROM s UNION SELECT q.center, q.r, o.b FROM reach q JOIN o ON o.center = q.center AND o.a = q.node AND o.r < q.r),
+    forest AS (SELECT s.center, s.x FROM s LEFT JOIN reach q ON q.center = s.center AND q.r = s.r AND q.node = s.v WHERE q.r IS NULL)
+    SELECT c.center, coalesce(round(max(x), 6), 0.0) AS max_death, coalesce(round(stddev_pop(x), 6), 0.0) AS death_std FROM (SELECT DISTINCT center FROM nb) c LEFT JOIN forest f ON f.center = c.center GROUP BY c.center""")
+def g12_centres(spark, sf_dir):
+    """Rips deaths of every order's neighbourhood, computed once for each bag of neighbours' coordinates."""
+    n = neighbours(spark, sf_dir)
+    # Sums of hashes need no list of a centre's neighbours.
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "x", "y", "z").cast("decimal(38,0)")).cast("string")
+    bags = n.groupBy("center").agg(F.concat_ws("/", F.count(F.lit(1)).cast("string"), total(1), total(2)).alias("fingerprint"))
+    return gr.centre_persistence(n, ["center"], "l_linenumber", 6.0, fingerprints=bags).select("center", r(F.col("max_death"), "max_death"), r(F.col("death_std"), "death_std"))
+
+
 @query("g13_g15_graph_summary", f"""WITH RECURSIVE {E_SQL}, reach AS (SELECT material, a AS node, a AS seen FROM w UNION SELECT r.material, r.node, w.b FROM reach r JOIN w ON w.material = r.material AND w.a = r.seen),
     parts AS (SELECT material, count(DISTINCT first) AS components FROM (SELECT material, node, min(seen) AS first FROM reach GROUP BY material, node) GROUP BY material),
     deg AS (SELECT material, a AS node, count(*) AS k FROM w GROUP BY material, a), ends AS (SELECT w.material, CAST(x.k AS DOUBLE) AS x, CAST(y.k AS DOUBLE) AS y FROM w JOIN deg x ON x.material = w.material AND x.node = w.a JOIN deg y ON y.material = w.material AND y.node = w.b),
@@ -253,8 +269,7 @@ def g14(spark, sf_dir):
             WHERE NOT EXISTS (SELECT 1 FROM recurring.far s WHERE s.material = f.material AND s.source = f.source AND s.node = w.b))
     SELECT material, round(avg(hops), 6) AS mean_path, max(hops) AS diameter FROM far WHERE hops > 0 GROUP BY material""")
 def g16(spark, sf_dir):
-    p = gr.path_lengths(edges(spark, sf_dir), K).where("hops > 0")
-    return p.groupBy("material").agg(r(F.avg("hops"), "mean_path"), F.max("hops").alias("diameter"))
+    return gr.path_lengths(edges(spark, sf_dir), K).select("material", r(F.col("mean_path"), "mean_path"), "diameter")
 
 
 @query("g17_spectral_entropy")

@@ -10,6 +10,7 @@ from facetry.functions import descriptors as d
 from facetry.functions import geometry as g
 from facetry.functions import rules
 from facetry.functions import tensor as t
+from facetry.operators import matching as mt
 from facetry.operators import sites as s
 from facetry.plans.registry import query
 from facetry.session import table
@@ -23,7 +24,7 @@ SITE = """site AS (SELECT center, sum(x*x) AS xx, sum(y*y) AS yy, sum(z*z) AS zz
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = F.col("l_quantity") / 10, F.col("l_extendedprice") / 10000, F.col("l_discount") * 10
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("center"), F.col("l_returnflag").alias("element"), "l_partkey", "l_tax", x.alias("x"), y.alias("y"), z.alias("z"), F.sqrt(x * x + y * y + z * z).alias("d"))
+        F.col("l_orderkey").alias("center"), F.col("l_returnflag").alias("element"), "l_linenumber", "l_partkey", "l_tax", x.alias("x"), y.alias("y"), z.alias("z"), F.sqrt(x * x + y * y + z * z).alias("d"))
 
 
 def r(c, name: str, digits: int = 6):
@@ -203,13 +204,26 @@ def j10(spark, sf_dir):
     return s.rounded_lookup(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("v")), known, ["v"], 0, "w", 1.0).select("c_custkey", "w")
 
 
-@query("j11_match_orderings")
+# Points of one sequence lie far apart, so each site's own image is its nearest; where a group lacks a site on one side, nothing is paired.
+@query("j11_match_orderings", """WITH l AS (SELECT c_nationkey AS material, c_mktsegment AS f, c_custkey AS k, CASE WHEN c_custkey % 50 = 0 THEN 0.15 ELSE 0.02 + 0.01 * (c_custkey % 3) END AS shift FROM customer),
+    g AS (SELECT material, f, count(*) = count(*) FILTER (WHERE k % 149 <> 0) AS fair FROM l GROUP BY material, f), b AS (SELECT * FROM l JOIN g USING (material, f))
+    SELECT material, k AS left_site, CASE WHEN fair THEN k + 1000000 END AS right_site, CASE WHEN fair THEN CAST(round(shift, 6) AS DOUBLE) END AS distance, CASE WHEN fair THEN shift > 0.1 END AS far, CASE WHEN fair THEN k % 29 <> 0 END AS same_element, CASE WHEN fair THEN 'matched' ELSE 'left_only' END AS status FROM b
+    UNION ALL SELECT material, NULL, k + 1000000, NULL, NULL, NULL, 'right_only' FROM b WHERE NOT fair AND k % 149 <> 0""")
 def j11(spark, sf_dir):
-    """Customers of a nation in two orders: by key, and moved by a little and numbered by balance."""
-    c = table(spark, sf_dir, "customer").where(F.col("c_acctbal").isNotNull())
-    left = c.select(F.col("c_nationkey").alias("material"), F.col("c_custkey").alias("site"), F.col("c_mktsegment").alias("element"), F.round(F.col("c_acctbal"), -2).cast("string").alias("fingerprint"), (F.col("c_acctbal") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    right = left.withColumn("site", F.col("site") + 1_000_000).withColumn("x", F.col("x") + 0.01)
-    return s.match_orderings(left, right, ["material"]).select("material", "left_site", "right_site", r(F.col("distance"), "distance"), "far", "same_element", "status")
+    """Customers of a nation as sites of a periodic cell in two orders: by key, and moved by a little, some over the cell's
+    faces and some far, a few with another element, and a few left out."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("material"), k, F.col("c_mktsegment").alias("fingerprint"))
+    shift = F.when(k % 50 == 0, 0.15).otherwise(0.02 + 0.01 * (k % 3))
+    part = lambda step, extra=0.0: k * step - F.floor(k * step) + extra
+    steps = (0.8191725134, 0.6710436067, 0.5497004779)
+    cell = F.array(*[F.lit(x) for x in (40.0, 0.0, 0.0, 0.0, 30.0, 0.0, 0.0, 0.0, 20.0)]).alias("cell")
+    left = c.select("material", k.alias("site"), "fingerprint", F.col("fingerprint").alias("element"), g.vec(*map(part, steps)).alias("pos"), cell)
+    right = c.where(k % 149 != 0).select(
+        "material", (k + 1_000_000).alias("site"), "fingerprint", F.when(k % 29 == 0, F.lit("OTHER")).otherwise(F.col("fingerprint")).alias("element"),
+        g.vec(g.wrap01(part(steps[0], shift / 40)), part(steps[1]), part(steps[2])).alias("pos"))
+    got = mt.match_orderings(left, right, ["material"])
+    return got.select("material", "left_site", "right_site", r(F.col("distance"), "distance"), "far", "same_element", "status")
 
 
 @query("j14_element_lookup", "SELECT l.l_orderkey, count(*) AS n, count(p.p_partkey) AS known, round(avg(p.p_size), 6) AS mean_size FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_size < 40) p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey")

@@ -29,6 +29,38 @@ def s1(spark, sf_dir):
     return back.groupBy("material").agg(F.count(F.lit(1)).alias("n"), r(F.sum("atomic_number"), "z", 4), r(F.sum("electronegativity"), "chi", 3), F.count("ionic_radius").alias("radii"))
 
 
+@query("s1_bonds_by_header", """SELECT p_brand AS material, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS first_sites, CAST(sum(l_linenumber) AS BIGINT) AS second_sites, max(l_returnflag) AS element, round(sum(l_quantity), 3) AS distance,
+        round(sum(CASE WHEN p_brand LIKE '%1' THEN l_tax END), 4) + 0.0 AS alignment, round(sum(CASE WHEN p_brand NOT LIKE '%1' THEN l_discount END), 4) + 0.0 AS coupling FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
+def s1_bonds(spark, sf_dir):
+    """Bonds of each brand in a file of its own; the files differ in the order of their columns and in one column."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("material")), "l_partkey").select(
+        "material", F.col("l_orderkey").alias("site1_index"), F.col("l_linenumber").alias("site2_index"), F.col("l_returnflag").alias("site1_element"), F.col("l_quantity").alias("bond_distance"), F.col("l_tax").alias("tensor_alignment"), F.col("l_discount").alias("symplectic_coupling"))
+    path, last = folder(spark, "bonds"), F.substring("material", -1, 1).cast("int") % 3
+    orders = (["bond_distance", "site1_element", "site2_index", "symplectic_coupling", "site1_index"], ["site1_index", "site2_index", "site1_element", "bond_distance", "tensor_alignment"], ["site1_element", "symplectic_coupling", "bond_distance", "site1_index", "site2_index"])
+    for k, columns in enumerate(orders):
+        part = rows.where(F.when(F.col("material").endswith("1"), 1).otherwise(F.when(last == 1, 0).otherwise(last)) == k)
+        files = part.withColumn("_o", F.struct("site1_index", "site2_index")).groupBy("material").agg(io.csv_content("_o", columns).alias("content"))
+        io.write_named(files.select(F.concat("material", F.lit(io.BOND_SUFFIX)).alias("name"), "content"), path)
+    return io.scan_bonds(spark, path).groupBy("material").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("site1_index").alias("first_sites"), F.sum("site2_index").alias("second_sites"), F.max("site1_element").alias("element"),
+        r(F.sum("bond_distance"), "distance", 3), r(F.sum("tensor_alignment"), "alignment", 4), r(F.sum("symplectic_coupling"), "coupling", 4))
+
+
+@query("s17_incremental_results", """SELECT 'm' || (o_custkey % 40) AS material, o_custkey, count(*) AS n, round(sum(o_totalprice) * CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 1 END, 2) AS total
+    FROM orders WHERE o_custkey % 40 NOT IN (4, 14, 24, 34) GROUP BY o_custkey""")
+def s17_results(spark, sf_dir):
+    """Totals of the customers in half the groups, then in all (finished ones are skipped), then in the even groups made anew
+    with doubled totals, where groups ending in 4 have no rows any more."""
+    m = F.col("o_custkey") % 40
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("m"), m.cast("string")).alias("material"), "o_custkey", "o_totalprice", m.alias("m"))
+    path = folder(spark, "results")
+    total = lambda times: lambda rows: rows.groupBy("material", "o_custkey", "m").agg(F.count(F.lit(1)).alias("n"), (F.sum("o_totalprice") * times).alias("total"))
+    io.write_results(orders.where("m % 4 < 2"), total(1), path, "material")
+    io.write_results(orders, total(1), path, "material")
+    io.write_results(orders, lambda rows: total(2)(rows).where("m % 10 <> 4"), path, "material", orders.where("m % 2 = 0").select("material").distinct())
+    return io.read_results(spark, path, "material").select("material", "o_custkey", "n", F.round("total", 2).alias("total"))
+
+
 @query("s2_s12_tensor_round_trip", "SELECT CAST(l_orderkey AS INTEGER) AS site_index, round(sum(l_quantity * l_quantity), 4) AS trace FROM lineitem GROUP BY l_orderkey")
 def s2(spark, sf_dir):
     q = F.sum(F.col("l_quantity") * F.col("l_quantity"))
@@ -137,7 +169,7 @@ def s9(spark, sf_dir):
     files = rows.groupBy("r_name").agg(io.csv_content("r_regionkey", ["members", "quarter", "structure_hash"]).alias("content"))
     path = folder(spark, "globals")
     io.write_named(files.select(F.concat("r_name", F.lit("/"), "r_name", F.lit("-Global-Features.csv")).alias("name"), "content"), path)
-    return io.scan_global_features(spark, f"{path}/*/*-Global-Features.csv").select("material", "members", r(F.col("quarter"), "quarter", 4), "structure_hash")
+    return io.scan_global_features(spark, f"{path}/*/*-Global-Features.csv", {"members": "int"}).select("material", "members", r(F.col("quarter"), "quarter", 4), "structure_hash")
 
 
 @query("s17_unprocessed", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

@@ -32,10 +32,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read it back: a columnar, compressed lineage cut."""
+    """Write as Parquet in the shared folder and read it back: a columnar, compressed lineage cut.
+
+    The size that Spark then knows is that of the files. A checkpoint hands on the estimate of its plan instead, which
+    joins multiply, so loops of many rounds are cut this way.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def removed(*frames: DataFrame) -> None:
+    """Delete the folders of ``written`` relations whose readers have all been written themselves."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:

@@ -1,12 +1,12 @@
 """Readers and writers of structure, feature, tensor, grid, embedding and report files.
 
 Files of one row order (atoms) are read whole, one row a file, and split with their position, so the
-position becomes ``site_index``; all other files are ordinary CSV or JSON scans.
+position becomes ``site_index``; other tables are CSV scans whose columns go by each file's own header, or JSON scans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions.geometry import frac_to_cart, lattice
 from facetry.functions.rules import base_name
+from facetry.session import cut
 
 # The columns of an atom table in order.
 ATOM_COLUMNS = [
@@ -31,6 +32,12 @@ CORE_COLUMNS = [
     "structure_chemistry_incompatibility", "lie_algebra_norm", "lie_algebra_principal_angle", "local_variational_free_energy",
 ]
 TENSOR_COLUMNS = [f"T_struct_{i}{j}" for i in range(3) for j in range(3)]
+BOND_SUFFIX, TRIANGLE_SUFFIX = "-gpaw-1-Simplex-Features.csv", "-gpaw-2-Simplex-Features.csv"
+# The columns of bond and triangle tables that are not doubles.
+ID_TYPES = {
+    "site1_index": "int", "site2_index": "int", "site1_element": "string", "site2_element": "string", "image_x": "int", "image_y": "int", "image_z": "int",
+    "atom_index_i": "int", "atom_index_j": "int", "atom_index_k": "int", "atom_symbol_i": "string", "atom_symbol_j": "string", "atom_symbol_k": "string",
+}
 KINDS = ("0-Simplex-Features", "1-Simplex-Features", "2-Simplex-Features")
 
 
@@ -61,10 +68,54 @@ def no_nan(x: Column) -> Column:
     return F.when(F.isnan(x), None).otherwise(x)
 
 
-def scan_table(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """A CSV table of pairs or triples with ``material`` from the file name, headers merged by name."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return df.withColumn("material", F.replace(file_name(F.input_file_name()), F.lit(suffix), F.lit("")))
+def file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, header (array<string>) of each CSV file: its first line, from the file's first split alone. Empty files are absent."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), "value", F.monotonically_increasing_id().alias("_n"))
+    first = lines.where("_at = 0").groupBy("path").agg(F.min_by("value", "_n").alias("line"))
+    names = F.transform(F.split(F.regexp_replace("line", "^\ufeff|\r$", ""), ","), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    # Read again, a path is a pattern: what patterns give a meaning is escaped.
+    return first.select(F.regexp_replace(plain, r"([\\{}\[\]*?])", r"\\$1").alias("path"), names.alias("header"))
+
+
+def scan_named(spark: SparkSession, path: str | list[str], types: dict[str, str] | None = None, default: str = "double", base: str | None = None, most: int = 1000) -> DataFrame:
+    """The rows of CSV files with the columns of all their headers, each by its name, and ``_path``.
+
+    Files may hold other columns, or the same in another order: the headers are a manifest with one row a file, files of
+    one header are read together with the schema that it gives, and the parts are united by name; what a file lacks is
+    NULL. Folders ``name=value`` under ``base`` are columns too. ``types`` has the types of columns that are not of type ``default``; nothing is inferred. More than ``most``
+    different headers raise an error.
+    """
+    types = types or {}
+    grouped = file_headers(spark, path).groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy(F.to_json("header")).limit(most + 1).collect()
+    if len(grouped) > most:
+        raise ValueError(f"more than {most} different headers")
+    out = None
+    for r in grouped:
+        if len(set(r["header"])) < len(r["header"]):
+            raise ValueError(f"a header names a column twice: {r['header']}")
+        schema = ", ".join(f"`{c}` {types.get(c, default)}" for c in r["header"])
+        reader = spark.read.schema(schema).option("header", True).option("nanValue", "nan")
+        part = (reader.option("basePath", base) if base else reader).csv(r["paths"]).withColumn("_path", F.col("_metadata.file_path"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], ", ".join([*[f"`{c}` {t}" for c, t in types.items()], "_path string"]))
+    numbers = {c for c, t in out.dtypes if t in ("double", "float")}
+    return out.select(*[no_nan(F.col(c)).alias(c) if c in numbers else F.col(c) for c in out.columns])
+
+
+def scan_table(spark: SparkSession, path: str | list[str], suffix: str, types: dict[str, str] | None = None) -> DataFrame:
+    """A CSV table of pairs or triples with ``material`` from the file name, columns by name (:func:`scan_named`)."""
+    df = scan_named(spark, path, ID_TYPES | (types or {}))
+    return df.withColumn("material", F.replace(file_name(F.col("_path")), F.lit(suffix), F.lit(""))).drop("_path")
+
+
+def scan_bonds(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_table(spark, f"{directory}/*{BOND_SUFFIX}", BOND_SUFFIX)
+
+
+def scan_triangles(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_table(spark, f"{directory}/*{TRIANGLE_SUFFIX}", TRIANGLE_SUFFIX)
 
 
 def scan_tensors(spark: SparkSession, path: str) -> DataFrame:
@@ -118,9 +169,10 @@ def with_default(column: str, default) -> Column:
     return F.coalesce(F.col(column), F.lit(default))
 
 
-def scan_embeddings(spark: SparkSession, path: str, size: int = 128) -> DataFrame:
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return df.select("model", "material", "computation_time", F.array(*[F.col(f"emb_{i}").cast("double") for i in range(size)]).alias("emb"))
+def scan_embeddings(spark: SparkSession, path: str | list[str], size: int = 128) -> DataFrame:
+    """model, material, computation_time, emb array<double>, columns by name; the columns of partition folders count too."""
+    df = scan_named(spark, path, {"model": "string", "material": "string"}, base=path if isinstance(path, str) and "*" not in path else None)
+    return df.select("model", "material", "computation_time", F.array(*[F.col(f"emb_{i}") for i in range(size)]).alias("emb"))
 
 
 def labels_relation(spark: SparkSession, labels: dict[str, dict[str, float]]) -> DataFrame:
@@ -129,8 +181,10 @@ def labels_relation(spark: SparkSession, labels: dict[str, dict[str, float]]) ->
     return spark.createDataFrame(rows, "material string, property string, value double, position int")
 
 
-def scan_global_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).csv(path).withColumn("material", F.regexp_replace(file_name(F.input_file_name()), r"-Global-Features\.csv$", ""))
+def scan_global_features(spark: SparkSession, path: str | list[str], types: dict[str, str] | None = None) -> DataFrame:
+    """A row a material from files of possibly different headers; columns are doubles but the hash and those in ``types``."""
+    df = scan_named(spark, path, {"structure_hash": "string"} | (types or {}))
+    return df.withColumn("material", F.regexp_replace(file_name(F.col("_path")), r"-Global-Features\.csv$", "")).drop("_path")
 
 
 def write_grid(grid: DataFrame, path: str) -> None:
@@ -208,6 +262,45 @@ def unprocessed(inputs: DataFrame, done: DataFrame, key: str, overwrite: bool =
     return inputs if overwrite else inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
+def finished(spark: SparkSession, path: str, key: str, kind: str = "string") -> DataFrame:
+    """key, run: the keys whose results stand in ``path``, each with the run that wrote them last; empty before the first run."""
+    schema = f"`{key}` {kind}, run long"
+    try:
+        manifest = spark.read.schema(schema).parquet(f"{path}/manifest")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    return manifest.groupBy(key).agg(F.max("run").alias("run"))
+
+
+def write_results(inputs: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, key: str, overwrite: DataFrame | bool = False) -> int:
+    """Make and write the results of the inputs that have none yet, or that ``overwrite`` (True, or a relation of keys) names; the run's number.
+
+    Results are partitioned by ``key``, and a run replaces exactly the partitions of its own keys. The manifest of
+    finished keys is appended last, so a run that dies leaves its keys unfinished and the next one writes them again. A row carries its
+    run; rows of an older run than its key's last one are not read, so a key whose new result is empty has no rows.
+    """
+    spark, kind = inputs.sparkSession, dict(inputs.dtypes)[key]
+    done = cut(finished(spark, path, key, kind))
+    run = (done.agg(F.max("run")).first()[0] or 0) + 1
+    todo = unprocessed(inputs, done, key, overwrite is True)
+    if isinstance(overwrite, DataFrame):
+        todo = unprocessed(inputs, done.join(overwrite.select(key), key, "left_anti"), key)
+    keys = cut(todo.select(key).distinct().withColumn("run", F.lit(run).cast("long")))
+    rows = make(todo).withColumn("_run", F.lit(run).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{path}/rows")
+    keys.write.mode("append").parquet(f"{path}/manifest")
+    return run
+
+
+def read_results(spark: SparkSession, path: str, key: str, kind: str = "string") -> DataFrame:
+    """The finished results of all keys."""
+    done = finished(spark, path, key, kind)
+    rows = spark.read.parquet(f"{path}/rows").withColumn(key, F.col(key).cast(kind))
+    return rows.join(done.withColumnRenamed("run", "_run"), [key, "_run"]).drop("_run")
+
+
 def load_report(files: DataFrame, required: tuple[int, ...] = (0, 1)) -> DataFrame:
     """files (material, k) -> material, has_0, has_1, has_2, loaded, missing."""
     has = files.groupBy("material").agg(*[F.max((F.col("k") == k).cast("int")).cast("boolean").alias(f"has_{k}") for k in range(3)])
