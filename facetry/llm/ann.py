@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetry.session import small, written
+from facetry.session import cut, small, written
 
 BAND = math.log(1.25)
 
@@ -189,6 +189,13 @@ def _blocks(rows: DataFrame, indexed: str, asking: str) -> DataFrame:
         "block", F.when(F.col("side") == 0, F.col("_own") * F.col(asking) + F.col("_other")).otherwise(F.col("_other") * F.col(asking) + F.col("_own")))
 
 
+def everywhere_rows(classes: DataFrame, asks: DataFrame, n: int, n_asks: int, block_rows: int) -> DataFrame:
+    """The rows that are sent out so that ``n_asks`` classes meet all ``n``: each vector once for each block of askers, each asker once for each block of vectors."""
+    blocks = lambda rows: F.lit(max(1, -(-rows // block_rows))).cast("long")
+    both = classes.select("cid", "embedding", F.lit(0).alias("side")).unionAll(asks.select("cid", "embedding", F.lit(1).alias("side")))
+    return _blocks(both.withColumn("_x", blocks(n)).withColumn("_q", blocks(n_asks)), "_x", "_q").withColumn("bucket", F.lit(0).cast("long"))
+
+
 def tuned(asks: np.ndarray, answers: list[np.ndarray], stock: np.ndarray, tables: int, width: float, target: float, deepest: int, seed: int) -> tuple[int, int, float]:
     """(m, probes, recall): the setting that visits the smallest share of ``stock`` and finds ``target`` of the answers."""
     unit = lambda x: np.concatenate((x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))), 1)
@@ -242,12 +249,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, w
     size = F.expr("sqrt(aggregate(embedding, 0D, (a, x) -> a + x * x))")
     facts = classes.agg(F.count(F.lit(1)).alias("n"), F.first(F.size("embedding")).alias("d"), F.collect_set(F.floor(F.log(size) / BAND)).alias("bands")).first()
     n, dimension = facts["n"], facts["d"] or 1
-    all_blocks = F.lit(max(1, -(-n // block_rows))).cast("long")
 
     def everywhere(asks: DataFrame) -> DataFrame:
         """Exact best classes of the given classes: they meet all vectors, block by block."""
-        both = classes.select("cid", "embedding", F.lit(0).alias("side")).unionAll(asks.select("cid", "embedding", F.lit(1).alias("side"))).withColumn("_x", all_blocks).withColumn("_q", all_blocks)
-        return _best(_blocks(both, "_x", "_q").withColumn("bucket", F.lit(0).cast("long")), k + 1)
+        return _best(everywhere_rows(classes, asks, n, asks.count(), block_rows), k + 1)
 
     by_hash = F.xxhash64("embedding")
     trial = written(classes.where("asks").orderBy(by_hash).limit(sample), "trial")
@@ -256,18 +261,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 8, w
     m, probes = 1, 3
     if shown:
         some = classes.orderBy(by_hash).limit(stock).select("embedding").collect()
-        m, probes, _ = tuned(np.array([r["embedding"] for r in shown]), [np.array(r["near"]) for r in shown], np.array([r["embedding"] for r in some]), tables, width, target, max(1, round(math.log2(max(2, n / 64)) / 2)), seed)
+        m, probes, _ = tuned(np.array([r["embedding"] for r in shown]), [np.array(r["near"]) for r in shown], np.array([r["embedding"] for r in some]), tables, width, target, max(1, round(math.log2(max(2, n / 64)))), seed)
     entries = written(hashed(classes, dimension, tables, m, width, probes, sorted(facts["bands"] or []), seed), "entries")
     sizes = entries.groupBy("bucket").agg(F.sum(1 - F.col("side")).alias("x"), F.sum("side").alias("q")).where("x > 0 and q > 0").select(
         "bucket", F.ceil(F.col("x") / block_rows).alias("_x"), F.ceil(F.col("q") / block_rows).alias("_q"))
     met = _blocks(entries.join(sizes, "bucket"), "_x", "_q").join(classes.select("cid", "embedding"), "cid")
     found = written(_best(met, k + 1).groupBy("qid", "cid").agg(F.max("score").alias("score")), "found")
     enough = found.groupBy("qid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > k)
-    wanting = classes.where("asks").join(enough, F.col("cid") == F.col("qid"), "left_anti").select("cid", "embedding")
-    full = everywhere(wanting)
+    wanting = cut(classes.where("asks").join(enough, F.col("cid") == F.col("qid"), "left_anti").select("cid", "embedding"))
+    if not wanting.isEmpty():
+        found = found.unionAll(everywhere(wanting))
     top = W.partitionBy("qid").orderBy(F.desc("score"), "least")
     ids = classes.select("cid", "ids", F.get("ids", F.lit(0)).alias("least"))
-    both = found.unionAll(full).groupBy("qid", "cid").agg(F.max("score").alias("score")).join(ids, "cid")
+    both = found.groupBy("qid", "cid").agg(F.max("score").alias("score")).join(ids, "cid")
     # A few more than needed, by rounded score, so that rounding cannot push a tie out; then each is scored anew.
     rounded = W.partitionBy("qid").orderBy(F.desc(F.round("score", 10)), "least")
     near = both.withColumn("_r", F.row_number().over(rounded)).where(F.col("_r") <= k + 8).select("qid", "cid", "ids", "least")

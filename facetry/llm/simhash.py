@@ -21,11 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetry.operators.components import components
-from facetry.session import cut, small, spread_join, written
+from facetry.operators.components import components, with_least
+from facetry.session import cut, removed, small, spread_join, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -230,11 +229,13 @@ def links(distinct: DataFrame, most: int = 4, segments: int = 3, banks: int = 1,
 def gathered(found: DataFrame) -> DataFrame:
     """Links with the same components as ``found`` (u > v), where each u's other ends point at its least one.
 
-    Inside a key most links run from a greater fingerprint to the key's least, so windows stay small (about
-    a link a key); links of a hot group that came from different keys fall together before the components' joins.
+    Inside a key most links run from a greater fingerprint to the key's least; links of a hot group that came
+    from different keys fall together before the components' joins.
     """
-    least = F.min("v").over(W.partitionBy("u"))
-    return found.withColumn("least", least).select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
+    found = cut(found)
+    least = found.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
+    met = with_least(found, least, [], found.count(), "u")
+    return met.select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, shingle: int, most: int, segments: int, banks: int, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -373,27 +374,31 @@ def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 4, most: int =
     # Equal rows are counted (m), so that only rows that have equals must be made single in the end.
     each = rows.groupBy("set_id", "doc_id", "_row").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in cols])
     texts = written(each.groupBy("set_id").agg(F.min(order).alias("k"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in cols]), "texts")
+    removed(rows)
     loose = components(gathered(gathered(links(texts.where("n > 0").select(*cols).distinct(), most, segments, banks))))
     same = texts.where("n > 0").groupBy(*cols).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.struct(*cols).alias("node"))
     parts = written(loose.unionAll(same.select("node", F.col("node").alias("component")).join(loose, "node", "left_anti")), "loose")
     grouped = written(
         texts.join(parts.select("node.*", F.xxhash64("component").alias("group")), cols).select("set_id", "group", "n", "k", *cols), "groups"
     )
+    removed(parts)
     sizes = cut(grouped.groupBy("group").agg(F.sum("n").alias("_n"), F.min("set_id").alias("_hub")).select("group", "_hub", F.ceil(F.col("_n") / block).cast("int").alias("parts")))
     placed = grouped.join(small(sizes, sizes.count()), "group").withColumn("_b", F.pmod(F.xxhash64(F.lit(7), "set_id"), F.col("parts")).cast("int"))
     chosen = placed.select("set_id", "group", "parts", "_b", "_hub", *cols, F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"))
     met = marked.select("doc_id", "_row", "text").join(chosen, (F.col("_row") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = shingle_sets(met.select(*[F.col(c) for c in ("group", "parts", "_b", "_hub", *cols)], "text"), shingle, banks, True)
     sets = written(sets, "sets")
+    removed(grouped)
     is_hub, every = F.col("set_id") == F.col("_hub"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = sets.withColumn("i", F.explode(F.when(is_hub, every("parts")).otherwise(F.array("_b")))).withColumn("j", F.col("i")).withColumn("side", F.lit(0))
     found = written(verified_links(own, most, banks, least), "similar")
-    linked = components(gathered(gathered(found)))
+    linked, done = components(gathered(gathered(found))), [texts, sets, found]
     dealt = sets.where("parts > 1")
     if not dealt.isEmpty():
         labelled = dealt.select("group", "set_id", "n", is_hub.alias("hub")).join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
         hubs = labelled.where("hub").select("group", F.col("label").alias("main")).distinct()
         apart = written(labelled.join(hubs, "group").where("label <> main").select("group", "set_id", "n").distinct(), "apart")
+        done.append(apart)
         counts = apart.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("some"))
         met = dealt.join(counts, "group")
         asking = met.join(apart.select("set_id"), "set_id", "left_semi").withColumn("i", F.pmod(F.xxhash64(F.lit(9), "set_id"), F.col("some")).cast("int")).withColumn("j", F.explode(every("parts"))).withColumn("side", F.lit(0))
@@ -403,6 +408,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, banks: int = 4, most: int =
     linked = linked.withColumnRenamed("node", "set_id")
     keep = texts.join(linked, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_k"), F.col("k.m").alias("m"))
     keep = written(keep, "keep")
+    removed(*done)
 
     def chosen_rows(some: DataFrame) -> DataFrame:
         return marked.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k"))).select("doc_id", "_row", "_whole")
