@@ -7,11 +7,15 @@ an e-mail to lower case, a titled name to given and family name with gender and
 digits, letters for letters, names of the same gender and script. Parts whose surrogate another part
 has, or that is itself a part of the corpus, try again with the next attempt (from the fourth on with a
 longer surrogate, so rounds end). So distinct parts stay distinct, and the same part gets the same
-surrogate in every spelling and document.
+surrogate in every spelling and document. Names are kept distinct over given and family names of all
+genders together. A possessive 's stays as it is; initials get whole names, as there are too few letters.
 
 A given name's gender is that of its title; where the title shows none, it is the one gender that the
 same document's titles show for the name, else the one that most titles of the corpus do. Names found
-by a title are also replaced where the same document repeats them, or a part of them, without a title.
+by a title are also replaced where the same document repeats them without a title: the parts side by
+side anywhere; a single part only where it is no ordinary word, that is if the document has it neither
+in lower case nor, untitled, at the start of a sentence, and not after an article or before another
+capital. So a lone family name that begins a sentence stays as it is.
 
 Texts are scanned for entities once and known by two 64-bit hashes; only those with entities are joined
 with their surrogates. Edge cases: null stays null, empty stays empty, texts of any length are scanned
@@ -30,7 +34,9 @@ from facetry.session import cut, spread_join, written
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "n": ["Dr", "Prof", "Mx"]}
 TITLE = "(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + ")"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\.? \p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}}"
+# A word of a name, ending before a possessive 's; or initials.
+WORD = r"(?:\p{Lu}(?:\p{L}|['’](?![sS](?![\p{L}\p{N}]))(?=\p{L}))+|(?:\p{Lu}\.)+)"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\.? {WORD}(?:[ -]{WORD}){{0,2}}"
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
@@ -125,12 +131,13 @@ def rendered(kind_: Column, surface: Column, core: Column) -> Column:
 
 def settled(found: DataFrame, key: str) -> DataFrame:
     """type, norm -> core, with every collision resolved; the loop's driver side sees one count a round."""
+    family = lambda t: F.when(F.col(t).contains(":"), "name").otherwise(F.col(t))
     cores = found.select("type", "norm").distinct().withColumn("attempt", F.lit(0))
     while True:
         now = cut(cores.withColumn("core", surrogate(F.col("type"), F.col("norm"), F.col("attempt"), key)))
-        real = now.select(F.col("type").alias("_t"), F.col("norm").alias("_n")).withColumn("_real", F.lit(True))
-        rank = F.row_number().over(W.partitionBy("type", F.lower("core")).orderBy("norm"))
-        judged = cut(now.withColumn("_rank", rank).join(real, (F.col("type") == F.col("_t")) & (F.lower("core") == F.lower("_n")), "left").dropDuplicates(["type", "norm"]).withColumn("_again", (F.col("_rank") > 1) | F.col("_real").isNotNull()))
+        real = now.select(family("type").alias("_t"), F.lower("norm").alias("_n")).distinct().withColumn("_real", F.lit(True))
+        rank = F.row_number().over(W.partitionBy("_kind", F.lower("core")).orderBy("norm", "type"))
+        judged = cut(now.withColumn("_kind", family("type")).withColumn("_rank", rank).join(real, (F.col("_kind") == F.col("_t")) & (F.lower("core") == F.col("_n")), "left").withColumn("_again", (F.col("_rank") > 1) | F.col("_real").isNotNull()))
         if not judged.where("_again").limit(1).count():
             return judged.select("type", "norm", "core")
         cores = judged.select("type", "norm", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt"))
@@ -153,7 +160,9 @@ def gendered(names: DataFrame) -> DataFrame:
 
 def replaced(docs: DataFrame, key: str = "set-a-secret-key", text: str = "text", count: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates in ``text`` and a column ``count`` (long): the entities found by the pattern."""
-    others = [c for c in docs.columns if c not in (text, count)]
+    while count in docs.columns:
+        count += "_"
+    others = [c for c in docs.columns if c != text]
     row = F.struct(*others) if others else F.lit(None).cast("int")
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0))
     marked = written(docs.select(row.alias("row"), F.col(text).alias("text"), F.when(F.size(found) > 0, found).alias("hits")), "entities")
@@ -174,15 +183,28 @@ def replaced(docs: DataFrame, key: str = "set-a-secret-key", text: str = "text",
     named = written(spread_join(names, known.join(cores, ["type", "norm"]), ["type", "norm"], "uses").select("k1", "k2", "whole", "j", "type", "lead", "surface", shown), "named")
     whole = named.groupBy("k1", "k2", "whole").agg(F.array_sort(F.collect_list(F.struct("j", F.concat("lead", "stand_in").alias("s")))).alias("a"))
     whole = whole.select("k1", "k2", "whole", F.array_join(F.transform("a", lambda x: x["s"]), "").alias("stand_in"))
-    again = named.groupBy("k1", "k2", "surface").agg(F.min(F.struct("type", "stand_in")).alias("s")).groupBy("k1", "k2").agg(F.collect_list(F.struct(F.concat(F.lit(r"(?<![\p{L}\p{N}])"), "surface", F.lit(r"(?![\p{L}\p{N}])")).alias("find"), "surface", F.col("s.stand_in").alias("put"))).alias("again"))
+    apart = lambda word: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), word, F.lit(r"(?![\p{L}\p{N}])"))
+    spaced = lambda x, c: F.concat(F.regexp_extract(x["lead"], "[ -]$", 0), x[c])
+    rows = named.groupBy("k1", "k2", "whole").agg(F.array_sort(F.collect_list(F.struct("j", "lead", "surface", "stand_in"))).alias("a")).where("size(a) > 1")
+    side = lambda c: F.array_join(F.transform("a", lambda x, i: F.when(i == 0, x[c]).otherwise(spaced(x, c))), "")
+    rows = rows.select("k1", "k2", side("surface").alias("surface"), side("stand_in").alias("put")).withColumn("single", F.lit(False)).withColumn("find", apart(F.replace("surface", F.lit("."), F.lit(r"\."))))
+    lone = named.where(~F.col("surface").contains(".")).groupBy("k1", "k2", "surface").agg(F.min(F.struct("type", "stand_in")).alias("s"))
+    lone = lone.select("k1", "k2", "surface", F.col("s.stand_in").alias("put"), F.lit(True).alias("single"), F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<!(?<![\p{L}])(?:[Aa]|[Aa]n|[Tt]he) )"), "surface", F.lit(r"(?![\p{L}\p{N}]|[ -]\p{Lu}\p{L})")).alias("find"))
+    every = rows.groupBy("k1", "k2", "surface", "single", "find").agg(F.min("put").alias("put")).unionByName(lone)
+    again = every.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("single", (-F.length("surface")).alias("n"), "surface", "find", "put"))).alias("again"))
     maps = plain.unionAll(whole).groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("whole", "stand_in"))).alias("map"))
     maps = maps.join(again, ["k1", "k2"], "left").join(texts.select("k1", "k2", "rows"), ["k1", "k2"])
 
-    repeats = lambda s: F.when(F.col("again").isNull(), s).otherwise(F.aggregate("again", s, lambda t, a: F.when(F.contains(t, a["surface"]), F.regexp_replace(t, a["find"], a["put"])).otherwise(t)))
     stand_in = lambda h: F.coalesce(F.try_element_at("map", h), F.repeat(F.lit("*"), F.length(h)))
-    between = F.split("text", PATTERN, -1)
-    done = spread_join(held, maps, ["k1", "k2"], "rows").select(
-        "row", F.array_join(F.zip_with(between, "hits", lambda p, h: F.concat(repeats(p), F.when(h.isNull(), "").otherwise(stand_in(h)))), "").alias("text"), F.size("hits").cast("long").alias("n"))
+    # What stands between the entities; \x00 marks their places.
+    untitled = F.array_join("_between", "\x00")
+    starts = lambda word: F.concat(F.lit(r"(?:^|[.!?…][\"'”’)]{0,3}\s|\n)\s{0,9}"), word, F.lit(r"(?![\p{L}\p{N}]|[ -]\p{Lu}\p{L})"))
+    ordinary = lambda a: F.contains(F.col("_gaps"), F.lower(a["surface"])) & F.regexp_like(F.col("_gaps"), apart(F.lower(a["surface"]))) | F.regexp_like(F.col("_gaps"), starts(a["surface"]))
+    usable = F.filter("again", lambda a: F.contains(F.col("_gaps"), a["surface"]) & (~a["single"] | ~ordinary(a)))
+    repeats = lambda s: F.when(F.col("_again").isNull(), s).otherwise(F.aggregate("_again", s, lambda t, a: F.when(F.contains(t, a["surface"]), F.regexp_replace(t, a["find"], a["put"])).otherwise(t)))
+    met = spread_join(held, maps, ["k1", "k2"], "rows").withColumn("_between", F.split("text", PATTERN, -1)).withColumn("_gaps", untitled).withColumn("_again", usable)
+    done = met.select(
+        "row", F.array_join(F.zip_with("_between", "hits", lambda p, h: F.concat(repeats(p), F.when(h.isNull(), "").otherwise(stand_in(h)))), "").alias("text"), F.size("hits").cast("long").alias("n"))
     rest = marked.where("hits is null").select("row", "text", F.lit(0).cast("long").alias("n"))
-    columns = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != count]
+    columns = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
     return done.unionAll(rest).select(*columns, F.col("n").alias(count))

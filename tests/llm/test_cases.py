@@ -267,7 +267,7 @@ def test_surrogates(spark):
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_entities int")
     got = {r["doc_id"]: r for r in pii.replaced(df).collect()}
     text = {k: r["text"] for k, r in got.items()}
-    assert text[4] is None and text[5] == "" and text[6] == rows[5][1] and got[6]["n_entities"] == 0 and pii.replaced(df).count() == len(rows)
+    assert text[4] is None and text[5] == "" and text[6] == rows[5][1] and got[6]["n_entities_"] == 0 and got[6]["n_entities"] == 5 and pii.replaced(df).count() == len(rows)
     mails = re.findall(r"\S+@\S+\.com", text[1])
     assert len(mails) == 2 and mails[0].lower() == mails[1].lower() and "bob.lee" not in text[1].lower()
     phones = re.findall(r"\+1 \((\d{3})\) (\d{3})-(\d{4}), (\d{3})-(\d{3})-(\d{4})", text[1])[0]
@@ -299,6 +299,35 @@ def test_surrogates_follow_a_person_through_a_document(spark):
     assert (got[1]["k1"], got[1]["hits"], got[1]["row"], got[1]["n_entities"]) == (1, 2, 3, 2)
 
 
+def test_surrogates_leave_possessives_and_ordinary_words(spark):
+    rows = [
+        (1, "Mr. Smith left. Mr. Smith's car stayed."), (2, "Mrs. Rose May came in May. May I ask whether a Rose is a Rose?"),
+        (3, "Dr. Will Green spoke. Will you join the Green Party?"), (4, "Mr. A.B. and Ms. J. O’Brien’s dog met O’Brien later."), (5, "Dr. Mark Stone said a stone has a mark; then Mark Stone sat, and Stone rose."),
+    ]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_entities int")
+    out = pii.replaced(df)
+    assert out.columns == ["doc_id", "text", "n_entities", "n_entities_"] and {r["n_entities"] for r in out.collect()} == {5}
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    a, b = re.fullmatch(r"Mr\. (\w+) left\. Mr\. (\w+)'s car stayed\.", got[1]).groups()
+    assert a == b != "Smith"
+    given, family = re.fullmatch(r"Mrs\. (\w+) (\w+) came in May\. May I ask whether a Rose is a Rose\?", got[2]).groups()
+    assert given != "Rose" and family != "May"
+    assert re.fullmatch(r"Dr\. (?!Will)\w+ (?!Green)\w+ spoke\. Will you join the Green Party\?", got[3])
+    m = re.fullmatch(r"Mr\. (\w+) and Ms\. (\w+) (\w+)’s dog met (\w+) later\.", got[4])
+    assert m and m[3] == m[4] and len({m[1], m[2], m[3]}) == 3
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) said a stone has a mark; then (\w+) (\w+) sat, and Stone rose\.", got[5])
+    assert m and (m[1], m[2]) == (m[3], m[4]) and "Mark" not in m.groups()
+
+
+def test_names_stay_distinct_over_all_kinds_of_names(spark):
+    """A given name's surrogate that is another's family name gets the next attempt."""
+    first = spark.createDataFrame([("given:m:latin", "bob"), ("family:n:latin", "lee")], "type string, norm string")
+    core = {r["type"]: r["core"] for r in pii.settled(first, "key").collect()}
+    again = first.unionAll(spark.createDataFrame([("family:n:latin", core["given:m:latin"].lower())], first.schema))
+    cores = [r["core"].lower() for r in pii.settled(again, "key").collect()]
+    assert len(set(cores)) == 3 and not set(cores) & {r["norm"] for r in again.collect()}
+
+
 def test_surrogates_on_all_documents(spark):
     """Entities found as the pattern finds them in Python; each stand-in is a function of its part, and one to one."""
     import regex
