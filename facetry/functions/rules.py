@@ -50,7 +50,7 @@ def d_class(z: Column) -> Column:
     )
 
 
-def d_activation(z: Column, coordination: Column, strong: Column, weak: Column) -> Column:
+def d_activation(z: Column, coordination: Column, strong: Column) -> Column:
     """Struct: activated, factor, field, bonding from coordination number and ligand counts."""
     has = d_class(z)["has_d"]
     high = coordination >= 4
@@ -95,13 +95,11 @@ def coordination_number(label: Column) -> Column:
     number = F.create_map(*[x for i, r in enumerate(ROMAN) for x in (F.lit(r), F.lit(i + 1))])
     longest = "|".join(sorted(ROMAN, key=len, reverse=True))
     said = F.upper(F.trim(label))
-    out = F.when(said.rlike(r"^[+-]?[0-9]+$"), F.expr("null").cast("int"))
     tried = [F.when(said.rlike(r"^[+-]?[0-9]+$"), said.try_cast("int")), F.try_element_at(number, said)]
     stripped = [F.regexp_extract(said, f"^({longest}){s}$", 1) for s in SUFFIXES]
     tried += [F.try_element_at(number, F.coalesce(*[F.nullif(s, F.lit("")) for s in stripped]))]
     tried += [F.try_element_at(number, F.nullif(F.regexp_extract(said, f"^({longest})", 1), F.lit("")))]
     tried += [F.when(said.contains(r), F.lit(ROMAN.index(r) + 1)) for r in sorted(ROMAN, key=lambda x: -len(x))]
-    del out
     return F.coalesce(*tried).cast("int")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.operators.components import components
-from facetry.session import cut, written
+from facetry.session import cut, removed, small, written
 
 
 def simple_edges(pairs: DataFrame, keys: list[str], u: str, v: str, loops: bool = False) -> DataFrame:
@@ -80,6 +80,22 @@ def wedge_centres(triples: DataFrame, edges: DataFrame, keys: list[str]) -> Data
     return there.withColumn("centre", F.when(has(0, 1), F.col("i")).when(has(0, 2), F.col("j")).when(has(1, 2), F.col("k"))).drop("sides")
 
 
+def wedge_images(centred: DataFrame, edges: DataFrame, keys: list[str], distance: str = "distance") -> DataFrame:
+    """``centred`` (keys, i, j, k, centre) with first, second (the other two, in order), and the image of the neighbour that
+    stands for each: image_first, image_second, seen from the centre; edges: keys, u, v, image (of v from u), distance.
+
+    Of several images of a neighbour the nearest is taken, then the least. Rows without a centre have NULLs.
+    """
+    turned = F.transform("image", lambda x: -x)
+    ways = edges.select(*keys, F.col("u").alias("centre"), F.col("v").alias("_o"), "image", F.col(distance).alias("_d")).unionAll(edges.where("u <> v").select(*keys, F.col("v").alias("centre"), F.col("u").alias("_o"), turned.alias("image"), F.col(distance).alias("_d")))
+    near = ways.groupBy(*keys, "centre", "_o").agg(F.min(F.struct("_d", "image")).alias("_n")).select(*keys, "centre", "_o", F.col("_n.image").alias("_image"))
+    others = F.filter(F.array("i", "j", "k"), lambda x: x != F.col("centre"))
+    out = centred.withColumn("first", F.get(others, F.lit(0))).withColumn("second", F.get(others, F.lit(1)))
+    for side in ("first", "second"):
+        out = out.join(near.withColumnsRenamed({"_o": side, "_image": f"image_{side}"}), [*keys, "centre", side], "left")
+    return out.select(*centred.columns, "first", "second", "image_first", "image_second")
+
+
 def end_attributes(edges: DataFrame, nodes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Edges with delta_ and avg_ of each node column; NULL where an end lacks it."""
     side = lambda end: nodes.select(*keys, F.col("node").alias(end), *[F.col(c).alias(f"_{end}_{c}") for c in columns])
@@ -203,8 +219,8 @@ def distances(edges: DataFrame, keys: list[str], whole: int = 50_000, blocks_at_
     size = cut(e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_e")))
     bits = cut(_source_bits(e.select(*keys, F.explode(F.array("u", "v")).alias("node")).distinct(), keys))
     of = lambda some: e.join(some.select(*keys), keys, "left_semi")
-    small, large = size.where(F.col("_e") <= whole), size.where(F.col("_e") > whole)
-    found = _small_distances(of(small), bits, keys).select(*keys, "hops", "pairs")
+    little, large = size.where(F.col("_e") <= whole), size.where(F.col("_e") > whole)
+    found = _small_distances(of(little), bits, keys).select(*keys, "hops", "pairs")
     if not large.isEmpty():
         found = found.unionByName(_large_distances(of(large), bits, keys, blocks_at_once, levels))
     return found.groupBy(*keys, "hops").agg(F.sum("pairs").alias("pairs"))
@@ -294,8 +310,20 @@ def centre_persistence(neighbours: DataFrame, keys: list[str], site: str, radius
     return counted.join(found, keys, "left").select(*keys, "max_death", "death_std").fillna(0.0, ["max_death", "death_std"])
 
 
-def spectral_entropy(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, spectral_entropy (bits) of the combinatorial Laplacian's spectrum; one dense solve a graph, graphs in parallel."""
+def spectral_entropy(edges: DataFrame, keys: list[str], dense: int = 2000, probes: int = 16, steps: int = 40, seed: int = 17) -> DataFrame:
+    """keys, spectral_entropy (bits) of the combinatorial Laplacian's spectrum.
+
+    With T the sum of degrees, it is log2 T less the sum of v log2 v over all eigenvalues v, divided by T; that sum adds up
+    over connected components, which are solved apart. Components of up to ``dense`` nodes take a dense solve in a task.
+    Larger ones take stochastic Lanczos quadrature: ``probes`` vectors of random signs, ``steps`` multiplications by joins
+    with the edges. Their part is then an estimate; its standard error is about its spread over the probes by the root of
+    their number (for n nodes in the order of 1 / sqrt(n * probes) of the part).
+    """
+    e = cut(edges.where("u <> v").select(*keys, "u", "v"))
+    parts = components(e, keys).select(*keys, F.col("node").alias("u"), "component")
+    e = cut(e.join(parts, [*keys, "u"]))
+    of = [*keys, "component"]
+    sizes = cut(parts.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")))
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         nodes, at = np.unique(g[["u", "v"]].to_numpy(), return_inverse=True)
@@ -306,24 +334,74 @@ def spectral_entropy(edges: DataFrame, keys: list[str]) -> DataFrame:
         np.fill_diagonal(laplacian, 0)
         np.fill_diagonal(laplacian, -laplacian.sum(1))
         values = np.linalg.eigvalsh(laplacian)
-        p = values[values > 1e-12] / values.sum()
-        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "spectral_entropy": [float(-(p * np.log2(p)).sum())]})
+        values = values[values > 1e-12]
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "s": [float((values * np.log2(values)).sum())]})
 
-    e = edges.where("u <> v").select(*keys, "u", "v")
-    return e.groupBy(*keys).applyInPandas(solve, e.select(*keys).schema.add("spectral_entropy", "double"))
+    few = e.join(sizes.where(F.col("_n") <= dense).select(*of), of, "left_semi")
+    sums = few.groupBy(*of).applyInPandas(solve, e.select(*keys, F.lit(0.0).alias("s")).schema)
+    large = sizes.where(F.col("_n") > dense)
+    if not large.isEmpty():
+        sums = sums.unionByName(_lanczos_sums(e.join(large.select(*of), of, "left_semi"), large, keys, probes, steps, seed))
+    degrees_ = e.groupBy(*keys).agg((2.0 * F.count(F.lit(1))).alias("_t"))
+    return degrees_.join(sums.groupBy(*keys).agg(F.sum("s").alias("_s")), keys).select(*keys, (F.log2("_t") - F.col("_s") / F.col("_t")).alias("spectral_entropy"))
+
+
+def _lanczos_sums(edges: DataFrame, sizes: DataFrame, keys: list[str], probes: int, steps: int, seed: int) -> DataFrame:
+    """keys, s: estimates of the sum of v log2 v over the eigenvalues of each component."""
+    of, each = [*keys, "component"], range(probes)
+    ways = written(both_ways(edges, of), "ways")
+    nodes = ways.groupBy(*of, F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("deg")).join(sizes, of)
+    sign = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(p), "node"), F.lit(2)) * 2 - 1) / F.sqrt("_n") for p in each]
+    zero = F.array(*[F.lit(0.0)] * probes)
+    state = written(nodes.select(*of, "node", "deg", F.array(*sign).alias("v"), zero.alias("before"), zero.alias("beta")), "lanczos")
+    told = None
+    for step in range(steps):
+        near = state.select(*of, F.col("node").alias("b"), "v").join(ways, [*of, "b"]).groupBy(*of, F.col("a").alias("node")).agg(F.array(*[F.sum(F.col("v")[p]) for p in each]).alias("y"))
+        w = F.array(*[F.col("deg") * F.col("v")[p] - F.col("y")[p] - F.col("beta")[p] * F.col("before")[p] for p in each])
+        moved = written(state.join(near, [*of, "node"]).select(*of, "node", "deg", "v", w.alias("w")), "lanczos")
+        # The rest after taking off alpha v has the squared length |w|^2 - alpha^2, as v has length 1.
+        facts = moved.groupBy(*of).agg(F.array(*[F.sum(F.col("v")[p] * F.col("w")[p]) for p in each]).alias("alpha"), F.array(*[F.sum(F.col("w")[p] * F.col("w")[p]) for p in each]).alias("q"))
+        beta = F.zip_with("alpha", "q", lambda a, q: F.sqrt(F.greatest(q - a * a, F.lit(0.0))))
+        facts = written(facts.select(*of, F.lit(step).alias("step"), "alpha", beta.alias("beta")), "coefficients")
+        told = facts if told is None else told.unionByName(facts)
+        rest = F.array(*[F.when(F.col("beta")[p] > 1e-9, (F.col("w")[p] - F.col("alpha")[p] * F.col("v")[p]) / F.col("beta")[p]).otherwise(0.0) for p in each])
+        following = written(moved.join(small(facts, sizes.count()), of).select(*of, "node", "deg", rest.alias("next"), F.col("v").alias("before"), "beta").withColumnRenamed("next", "v"), "lanczos")
+        removed(state, moved)
+        state = following
+
+    def quadrature(g: pd.DataFrame) -> pd.DataFrame:
+        g, out = g.sort_values("step"), []
+        alpha, beta = np.stack(g["alpha"].to_list()), np.stack(g["beta"].to_list())
+        for p in each:
+            ends = np.flatnonzero(beta[:, p] <= 1e-9)
+            m = int(ends[0]) + 1 if len(ends) else len(alpha)
+            values, vectors = np.linalg.eigh(np.diag(alpha[:m, p]) + np.diag(beta[: m - 1, p], 1) + np.diag(beta[: m - 1, p], -1))
+            good = values > 1e-9
+            out.append(float((vectors[0, good] ** 2 * values[good] * np.log2(values[good])).sum()))
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "s": [float(g["_n"].iloc[0] * np.mean(out))]})
+
+    met = told.join(sizes, of)
+    return met.groupBy(*of).applyInPandas(quadrature, edges.select(*keys, F.lit(0.0).alias("s")).schema)
+
+
+def label_sum(label: str) -> Column:
+    """Aggregate: a text that stands for a bag of md5 labels whatever their order: number and two sums of 60 bits each."""
+    part = lambda at: F.sum(F.conv(F.substring(label, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.concat_ws("|", F.count(F.lit(1)).cast("string"), part(1), part(16))
 
 
 def wl_hash(edges: DataFrame, nodes: DataFrame, keys: list[str], label: str, rounds: int = 3) -> DataFrame:
-    """keys, wl_hash (32 hex digits): equal for relabelled graphs."""
+    """keys, wl_hash (32 hex digits): equal for relabelled graphs. Bags of labels are summed, so neither a hub's neighbours
+    nor a graph's labels are gathered in a row."""
     ways = both_ways(edges, keys)
     now = nodes.select(*keys, "node", F.md5(F.col(label).cast("string")).alias("l"))
     history = now
     for i in range(rounds):
-        near = ways.join(now.select(*keys, F.col("node").alias("b"), "l"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("l")), ",").alias("near"))
+        near = ways.join(now.select(*keys, F.col("node").alias("b"), "l"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(label_sum("l").alias("near"))
         now = cut(now.join(near, [*keys, "node"], "left").select(*keys, "node", F.md5(F.concat_ws("|", "l", F.coalesce("near", F.lit("")))).alias("l")))
         history = history.unionAll(now)
     histogram = history.groupBy(*keys, "l").agg(F.count(F.lit(1)).alias("c"))
-    return histogram.groupBy(*keys).agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "l", F.col("c").cast("string")))), ",")).alias("wl_hash"))
+    return histogram.select(*keys, F.md5(F.concat_ws(":", "l", F.col("c").cast("string"))).alias("_m")).groupBy(*keys).agg(F.md5(label_sum("_m")).alias("wl_hash"))
 
 
 def scatter_sum(edges: DataFrame, keys: list[str], feature: str, n: int) -> DataFrame:
@@ -354,8 +432,8 @@ def top_nodes(nodes: DataFrame, keys: list[str], score: str, ratio: float) -> Da
 
 
 def random_nodes(nodes: DataFrame, keys: list[str], rate: float, seed: int) -> DataFrame:
-    """Exactly int(rate * n) nodes of each graph, by seeded hash."""
-    ranked = nodes.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "node"), "node")))
+    """Exactly int(rate * n) nodes of each graph, by the md5 of seed and node."""
+    ranked = nodes.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string"))), "node")))
     n = nodes.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) * rate).alias("_n"))
     return ranked.join(n, keys).where("_r <= _n").drop("_r", "_n")
 

@@ -11,7 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from facetry.functions import geometry as g
+from facetry.functions.descriptors import wrap_norm
 from facetry.operators.graphs import both_ways
+from facetry.operators.quantiles import quantiles
 from facetry.session import cut
 
 
@@ -39,6 +42,69 @@ def along(paths: DataFrame, nodes: DataFrame, keys: list[str], columns: list[str
     return spots.join(nodes.select(*keys, "node", *columns), [*keys, "node"])
 
 
+def path_values(paths: DataFrame, nodes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, path, one array a column: the values of a path's nodes in its order, in one row. Paths of unknown nodes are absent."""
+    packed = along(paths, nodes, keys, columns).groupBy(*keys, "path").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_s"))
+    return packed.where(F.size("_s") == F.size("path")).select(*keys, "path", *[F.col(f"_s.{c}").alias(c) for c in columns])
+
+
+def path_steps(paths: DataFrame, edges: DataFrame, keys: list[str], vectors: list[str]) -> DataFrame:
+    """keys, path, one array a column: the vectors of a path's edges in its order, negated where an edge is walked from v to u.
+
+    edges: keys, u, v, and vectors (array<double>) from u to v; of parallel edges the least (all vectors as one) is taken.
+    """
+    each = edges.groupBy(*keys, "u", "v").agg(F.min(F.struct(*vectors)).alias("_e")).select(*keys, "u", "v", *[F.col(f"_e.{c}").alias(c) for c in vectors])
+    back = each.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), *[F.transform(c, lambda x: 0.0 - x).alias(c) for c in vectors])
+    pairs = F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda a, b: F.struct(a.alias("u"), b.alias("v")))
+    spots = paths.select(*keys, "path", F.posexplode(pairs).alias("pos", "e")).select(*keys, "path", "pos", "e.u", "e.v")
+    packed = spots.join(each.unionByName(back), [*keys, "u", "v"]).groupBy(*keys, "path").agg(F.array_sort(F.collect_list(F.struct("pos", *vectors))).alias("_s"))
+    return packed.where(F.size("_s") == F.size("path") - 1).select(*keys, "path", *[F.col(f"_s.{c}").alias(c) for c in vectors])
+
+
+def _mean(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.when(F.size(x) > 0, F.size(x))
+
+
+def path_covariance(x: Column, y: Column) -> Column:
+    """Population covariance of two arrays."""
+    return g.let2(x, y, lambda a, b: g.let2(_mean(a), _mean(b), lambda p, q: _mean(F.zip_with(a, b, lambda u, v: (u - p) * (v - q)))))
+
+
+def path_autocorrelation(x: Column) -> Column:
+    """Correlation of an array without its last and without its first value; NULL if one of them is constant."""
+    both = lambda a, b: g.safe_div(path_covariance(a, b), F.sqrt(path_covariance(a, a) * path_covariance(b, b)), None)
+    return g.let(x, lambda v: g.let2(F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), both))
+
+
+def path_entropy(x: Column, bins: int = 10) -> Column:
+    """Entropy (bits) of the values in equal bins from the least to the greatest; 0 where all are equal."""
+    place = lambda v, lo, hi: F.least(F.lit(bins - 1), F.floor((v - lo) / F.when(hi > lo, hi - lo) * bins))
+    share = lambda at, b: F.size(F.filter(at, lambda p: p == b)) / F.size(at)
+    each = lambda at: F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0.0), lambda s, b: s - g.let(share(at, b), lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0)))
+    return F.when(F.array_max(x) > F.array_min(x), g.let(F.transform(x, lambda v: place(v, F.array_min(x), F.array_max(x))), each)).otherwise(0.0)
+
+
+def path_curvature(steps: Column) -> Column:
+    """Mean angle between one step and the next; NULL for fewer than two steps or a step of no length."""
+    angle = lambda a, b: g.let2(a, b, lambda p, q: g.let(g.norm(p) * g.norm(q), lambda m: F.when(m > 1e-10, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g.dot(p, q) / F.when(m > 1e-10, m)))))))
+    return g.let(steps, lambda s: F.when(F.size(s) > 1, _mean(F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), angle))))
+
+
+def path_wrapping(images: Column, cell: Column) -> Column:
+    """Norm of the Cartesian sum of the steps' images over the number of points."""
+    total = F.array(*[_sum_of(images, i) for i in range(3)])
+    return wrap_norm(total, cell, F.size(images) + 1)
+
+
+def _sum_of(vectors: Column, i: int) -> Column:
+    return F.aggregate(vectors, F.lit(0.0), lambda s, v: s + v[i])
+
+
+def path_gradient(forces: Column) -> Column:
+    """Mean squared length of the difference of one vector and the next."""
+    return g.let(forces, lambda f: F.when(F.size(f) > 1, _mean(F.zip_with(F.slice(f, F.lit(1), F.size(f) - 1), F.slice(f, F.lit(2), F.size(f) - 1), lambda a, b: g.let(g.sub(b, a), lambda d: g.dot(d, d))))))
+
+
 def path_statistics(spots: DataFrame, keys: list[str], x: str, y: str, bins: int = 10) -> DataFrame:
     """keys, path, covariance (x, y), entropy of x in bins of its path's range, range and maximum of x, mean squared
     step of x, autocorrelation of x."""
@@ -75,7 +141,9 @@ def packing_fraction(sites: DataFrame, keys: list[str], radius: str, volume: Col
 def histogram_entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, entropy (bits) of a histogram whose bin width is the smaller of Freedman-Diaconis' and Sturges';
     0 where all values are equal."""
-    f = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("iqr"))
+    f = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    q = quantiles(df, keys, value, [0.25, 0.75]).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    f = f.join(q, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").select(*f.columns, "iqr")
     spread = F.col("hi") - F.col("lo")
     sturges = spread / (F.log2(F.col("n").cast("double")) + 1)
     fd = 2 * F.col("iqr") / F.pow(F.col("n").cast("double"), 1 / 3)

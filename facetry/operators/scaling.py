@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetry.functions.geometry import cross, let, norm, sub
+from facetry.operators.quantiles import quantiles
+
 METHODS = ("standard", "minmax", "robust", "zscore", "none")
 
 
@@ -12,7 +15,7 @@ def fit(train: DataFrame, columns: list[str], methods: dict[str, str] | str = "s
     """keys, {column}_shift and {column}_scale of each column; a zero spread scales by 1.
 
     standard: mean, population std; zscore: mean, sample std; minmax: minimum, range; robust: median,
-    interquartile range by exact linear interpolation.
+    interquartile range by exact linear interpolation (:func:`quantiles`, so hot keys are no buffer).
     """
     each = {c: methods if isinstance(methods, str) else methods[c] for c in columns}
     if bad := set(each.values()) - set(METHODS):
@@ -23,10 +26,17 @@ def fit(train: DataFrame, columns: list[str], methods: dict[str, str] | str = "s
         x = F.col(c)
         shift, scale = {
             "standard": lambda: (F.avg(x), one(F.stddev_pop(x))), "zscore": lambda: (F.avg(x), one(F.stddev_samp(x))), "minmax": lambda: (F.min(x), one(F.max(x) - F.min(x))),
-            "robust": lambda: (F.percentile(x, 0.5), one(F.percentile(x, 0.75) - F.percentile(x, 0.25))), "none": lambda: (F.lit(0.0), F.lit(1.0)),
+            "robust": lambda: (F.lit(0.0), F.lit(1.0)), "none": lambda: (F.lit(0.0), F.lit(1.0)),
         }[method]()
         made += [shift.alias(f"{c}_shift"), scale.alias(f"{c}_scale")]
-    return train.groupBy(*(keys or [])).agg(*made)
+    fitted = train.groupBy(*(keys or [])).agg(*made)
+    for c in [c for c, method in each.items() if method == "robust"]:
+        q = quantiles(train, keys or [], c, [0.25, 0.5, 0.75])
+        own = q.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys or [])], F.col("q")[1].alias("_shift"), one(F.col("q")[2] - F.col("q")[0]).alias("_scale"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys or [])] or [F.lit(True)]
+        met = fitted.join(own if keys else F.broadcast(own), same, "left")
+        fitted = met.select(*[F.col("_shift").alias(x) if x == f"{c}_shift" else F.coalesce("_scale", F.lit(1.0)).alias(x) if x == f"{c}_scale" else F.col(x) for x in fitted.columns])
+    return fitted
 
 
 def _joined(df: DataFrame, fitted: DataFrame, keys: list[str] | None) -> DataFrame:
@@ -60,8 +70,9 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def unit_hash(seed: int, *columns: str) -> Column:
-    """A uniform number in [0, 1) from a seeded hash: the same in every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 53).cast("long")) / float(1 << 53)
+    """A uniform number in [0, 1) of 52 bits from the md5 of seed and columns: the same in every run and engine."""
+    said = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def jitter(seed: int, sigma: float, *columns: str) -> Column:
@@ -70,6 +81,23 @@ def jitter(seed: int, sigma: float, *columns: str) -> Column:
     return sigma * F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-300)))) * F.cos(2 * 3.141592653589793 * v)
 
 
+def jittered(nodes: DataFrame, edges: DataFrame, triangles: DataFrame, keys: list[str], noise: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, triangles) of a structure whose sites are moved by ``noise`` (x, y, z, e.g. :func:`jitter`), with what
+    hangs on the coordinates made anew: ``step`` of each edge, and ``normal`` of each triangle (over its length + 1e-8).
+
+    nodes: keys, node, x, y, z; edges: keys, u, v; triangles: keys, i, j, k. Edges and triangles of unknown nodes have NULLs.
+    """
+    moved = nodes.withColumns({c: F.col(c) + n for c, n in zip("xyz", noise)})
+    at = lambda end: moved.select(*keys, F.col("node").alias(end), F.array("x", "y", "z").alias(f"_{end}"))
+    e, t = edges, triangles
+    for end in "uv":
+        e = e.join(at(end), [*keys, end], "left")
+    for end in "ijk":
+        t = t.join(at(end), [*keys, end], "left")
+    normal = let(cross(sub(F.col("_j"), F.col("_i")), sub(F.col("_k"), F.col("_i"))), lambda n: let(norm(n) + 1e-8, lambda m: F.array(*[n[i] / m for i in range(3)])))
+    return moved, e.select(*edges.columns, sub(F.col("_v"), F.col("_u")).alias("step")), t.select(*triangles.columns, normal.alias("normal"))
+
+
 def masked(df: DataFrame, column: str, token: Column, rate: float, seed: int, *ids: str) -> DataFrame:
     """df with column replaced by ``token`` where a hashed uniform is under ``rate``, and the flag _masked."""
     flag = unit_hash(seed, *ids) < rate

@@ -27,6 +27,21 @@ def structure_tensors(neighbours: DataFrame, keys: list[str], weight: Column | f
     return sums.select(*keys, t.symmetric(*[F.col(f"s{p}") for p in ("xx", "yy", "zz", "xy", "xz", "yz")]).alias("tensor"))
 
 
+def with_external(sites: DataFrame, external: DataFrame, keys: list[str], tensor: str = "tensor", given: str = "external") -> DataFrame:
+    """``sites`` with ``algebra`` array<double>[9]: the external tensor of the site, else the generator of its structure
+    tensor's principal direction, and ``from_external``. external: keys (unique) and ``given``; a null one counts as absent."""
+    met = sites.join(external.select(*keys, F.col(given).alias("_given")), keys, "left")
+    return met.select(*sites.columns, F.coalesce("_given", t.lie_generator(t.principal_direction(F.col(tensor)))).alias("algebra"), F.col("_given").isNotNull().alias("from_external"))
+
+
+def ends_with_external(rows: DataFrame, external: DataFrame, keys: list[str], ends: list[str], site: str, given: str = "external") -> DataFrame:
+    """Bonds or triangles with ``external_{end}`` of each end's site: NULL where a site has none, as nothing stands in for it here."""
+    out = rows
+    for end in ends:
+        out = out.join(external.select(*keys, F.col(site).alias(end), F.col(given).alias(f"external_{end}")), [*keys, end], "left")
+    return out.select(*rows.columns, *[f"external_{end}" for end in ends])
+
+
 def with_lonely(features: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
     """Sites without neighbours: a tensor of 1e-12 on the diagonal, as the empty sum is regularised."""
     lone = F.array(*[F.lit(TINY if i in (0, 4, 8) else 0.0) for i in range(9)])

@@ -10,6 +10,7 @@ from facetry.functions import descriptors as d
 from facetry.functions import geometry as g
 from facetry.functions import tensor as t
 from facetry.operators import graphs as gr
+from facetry.operators import scaling as sc
 from facetry.operators import triangles as tr
 from facetry.plans.registry import query
 from facetry.plans.sites import DIRECTION, EIGEN, NB, SITE, neighbours, r
@@ -68,6 +69,48 @@ def g6(spark, sf_dir):
     return gr.wedge_centres(gr.wedges(e, K), e, K)
 
 
+@query("g6_wedge_images", f"""WITH {E_SQL}, {T_SQL}, m AS (SELECT e.*, (u + v) % 3 - 1 AS ia, u % 2 AS ib, abs(u - v) % 4 AS ic FROM e), z AS (SELECT material, u AS a, v AS b, ia, ib, ic FROM m UNION ALL SELECT material, v, u, -ia, -ib, -ic FROM m),
+    c AS (SELECT tri.*, CASE WHEN ij.u IS NOT NULL AND ik.u IS NOT NULL THEN i WHEN ij.u IS NOT NULL AND jk.u IS NOT NULL THEN j ELSE k END AS centre FROM tri LEFT JOIN e ij ON ij.material = tri.material AND ij.u = i AND ij.v = j LEFT JOIN e ik ON ik.material = tri.material AND ik.u = i AND ik.v = k LEFT JOIN e jk ON jk.material = tri.material AND jk.u = j AND jk.v = k),
+    o AS (SELECT *, CASE WHEN centre = i THEN j ELSE i END AS first, CASE WHEN centre = k THEN j ELSE k END AS second FROM c)
+    SELECT o.*, p.ia AS a1, p.ib AS b1, p.ic AS c1, q.ia AS a2, q.ib AS b2, q.ic AS c2 FROM o JOIN z p ON p.material = o.material AND p.a = centre AND p.b = first JOIN z q ON q.material = o.material AND q.a = centre AND q.b = second""")
+def g6_images(spark, sf_dir):
+    """Centres of triples with the images of the two neighbours; every edge also has a farther image that is not taken."""
+    e = edges(spark, sf_dir)
+    image = F.array((F.col("u") + F.col("v")) % 3 - 1, F.col("u") % 2, F.abs(F.col("u") - F.col("v")) % 4)
+    near = e.withColumn("image", image).withColumn("distance", F.lit(1.0))
+    far = e.withColumn("image", F.array(*[F.lit(-9).cast("long")] * 3)).withColumn("distance", F.lit(2.0))
+    got = gr.wedge_images(gr.wedge_centres(gr.wedges(e, K), e, K), near.unionByName(far), K)
+    return got.select("material", "i", "j", "k", "centre", "first", "second", *[F.col(f"image_{side}")[n].alias(f"{c}{m}") for m, side in ((1, "first"), (2, "second")) for n, c in enumerate("abc")])
+
+
+@query("l6_jittered_edges", f"""WITH {E_SQL}, q AS (SELECT p_partkey AS node, p_size + (p_partkey % 5 - 2) / 100 AS x, p_retailprice / 100 - (p_partkey % 3) / 50 AS y, p_partkey % 7 + 0.01 AS z FROM part)
+    SELECT material, u, v, round(b.x - a.x, 6) AS dx, round(b.y - a.y, 6) AS dy, round(b.z - a.z, 6) + 0.0 AS dz FROM e JOIN q a ON a.node = u JOIN q b ON b.node = v""")
+def l6_edges(spark, sf_dir):
+    """Steps of the edges after sites have moved by offsets that both engines know."""
+    return shaken(spark, sf_dir)[1].select("material", "u", "v", *[r(F.col("step")[n], f"d{c}") for n, c in enumerate("xyz")])
+
+
+@query("l6_jittered_normals", f"""WITH {E_SQL}, {T_SQL}, q AS (SELECT p_partkey AS node, p_size + (p_partkey % 5 - 2) / 100 AS x, p_retailprice / 100 - (p_partkey % 3) / 50 AS y, p_partkey % 7 + 0.01 AS z FROM part),
+    s AS (SELECT tri.*, (b.y-a.y)*(c.z-a.z) - (b.z-a.z)*(c.y-a.y) AS nx, (b.z-a.z)*(c.x-a.x) - (b.x-a.x)*(c.z-a.z) AS ny, (b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) AS nz FROM tri JOIN q a ON a.node = i JOIN q b ON b.node = j JOIN q c ON c.node = k),
+    m AS (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) + 1e-8 AS m FROM s) SELECT material, i, j, k, round(nx / m, 5) + 0.0 AS nx, round(ny / m, 5) + 0.0 AS ny, round(nz / m, 5) + 0.0 AS nz FROM m""")
+def l6_normals(spark, sf_dir):
+    return shaken(spark, sf_dir)[2].select("material", "i", "j", "k", *[r(F.col("normal")[n], f"n{c}", 5) for n, c in enumerate("xyz")])
+
+
+def shaken(spark, sf_dir):
+    at = table(spark, sf_dir, "part").select(F.col("p_brand").alias("material"), F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"), (F.col("p_partkey") % 7).cast("double").alias("z"))
+    e = edges(spark, sf_dir)
+    return sc.jittered(at, e, gr.wedges(e, K), K, [(F.col("node") % 5 - 2) / 100, -(F.col("node") % 3) / 50, F.lit(0.01)])
+
+
+@query("m33_reduction_factor", f"WITH {E_SQL}, {T_SQL}, {N_SQL} SELECT material, i, j, k, round(least(a.size, b.size, c.size) / ((a.size + b.size + c.size) / 3), 6) AS factor FROM tri JOIN n a ON a.node = i JOIN n b ON b.node = j JOIN n c ON c.node = k")
+def m33(spark, sf_dir):
+    t_ = gr.wedges(edges(spark, sf_dir), K)
+    for c in "ijk":
+        t_ = t_.join(nodes(spark, sf_dir).select("material", F.col("node").alias(c), F.col("size").alias(f"s{c}")), ["material", c])
+    return t_.select("material", "i", "j", "k", r(d.reduction_factor(F.col("si"), F.col("sj"), F.col("sk")), "factor"))
+
+
 @query("j1_m19_bond_attributes", f"WITH {E_SQL}, {N_SQL} SELECT material, u, v, round(abs(a.price - b.price), 4) AS delta_price, round((a.price + b.price) / 2, 4) AS avg_price, abs(a.size - b.size) AS delta_size, (a.size + b.size) / 2 AS avg_size, round(1 - exp(-power(a.size / 10 - b.size / 10, 2) / 4), 6) AS ionic_character FROM e LEFT JOIN n a ON a.node = u LEFT JOIN n b ON b.node = v")
 def j1(spark, sf_dir):
     return weighed(spark, sf_dir).select("material", "u", "v", r(F.col("delta_price"), "delta_price", 4), r(F.col("avg_price"), "avg_price", 4), "delta_size", "avg_size", r(d.ionic_character(F.col("delta_size") / 10, F.lit(0.0)), "ionic_character"))
@@ -277,14 +320,17 @@ def g17(spark, sf_dir):
     return gr.spectral_entropy(edges(spark, sf_dir), K).select("material", r(F.col("spectral_entropy"), "spectral_entropy"))
 
 
+BAG = "count(*) || '|' || sum(('0x' || substr({c}, 1, 15))::BIGINT) || '|' || sum(('0x' || substr({c}, 16, 15))::BIGINT)"
+
+
 def _wl_round(i: int) -> str:
     return f"""h{i + 1} AS (SELECT x.material, x.node, md5(x.l || '|' || coalesce(near, '')) AS l FROM h{i} x LEFT JOIN (
-        SELECT w.material, w.a AS node, string_agg(y.l, ',' ORDER BY y.l) AS near FROM w JOIN h{i} y ON y.material = w.material AND y.node = w.b GROUP BY w.material, w.a) z ON z.material = x.material AND z.node = x.node)"""
+        SELECT w.material, w.a AS node, {BAG.format(c="y.l")} AS near FROM w JOIN h{i} y ON y.material = w.material AND y.node = w.b GROUP BY w.material, w.a) z ON z.material = x.material AND z.node = x.node)"""
 
 
 @query("g18_wl_hash", f"""WITH {E_SQL}, h0 AS (SELECT p_brand AS material, p_partkey AS node, md5(CAST(CAST(p_size AS DOUBLE) AS VARCHAR)) AS l FROM part), {_wl_round(0)}, {_wl_round(1)}, {_wl_round(2)},
-    hist AS (SELECT material, l || ':' || count(*) AS c FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY material, l)
-    SELECT material, md5(string_agg(c, ',' ORDER BY c)) AS wl_hash FROM hist GROUP BY material""")
+    hist AS (SELECT material, md5(l || ':' || count(*)) AS c FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY material, l)
+    SELECT material, md5({BAG.format(c="c")}) AS wl_hash FROM hist GROUP BY material""")
 def g18(spark, sf_dir):
     return gr.wl_hash(edges(spark, sf_dir), nodes(spark, sf_dir), K, "size")
 
@@ -296,9 +342,9 @@ def g19(spark, sf_dir):
     return both.groupBy("material").agg(r(F.avg((F.col("a") != F.col("b")).cast("double")), "fraction"))
 
 
-@query("u2_u3_u4_clusters", f"WITH {E_SQL} SELECT material, u, v, (SELECT count(DISTINCT x.b) FROM w x WHERE x.material = e.material AND (x.a = e.u OR x.a = e.v)) AS members FROM e")
+@query("u2_u3_u4_clusters", f"WITH {E_SQL}, o AS (SELECT e.material, e.u, e.v, unnest([e.u, e.v]) AS a FROM e), m AS (SELECT o.material, o.u, o.v, w.b FROM o JOIN w ON w.material = o.material AND w.a = o.a UNION SELECT material, u, v, a FROM o) SELECT material, u, v, count(*) AS n, string_agg(b, ',' ORDER BY b) AS members FROM m GROUP BY material, u, v")
 def u3(spark, sf_dir):
-    return gr.cluster(edges(spark, sf_dir), K).select("material", "u", "v", F.size("members").cast("long").alias("members"))
+    return gr.cluster(edges(spark, sf_dir), K).select("material", "u", "v", F.size("members").cast("long").alias("n"), F.array_join("members", ",").alias("members"))
 
 
 @query("a14_solid_angles", f"""WITH {NB}, k AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY x, y, z) AS k FROM nb),
@@ -315,9 +361,9 @@ def t3(spark, sf_dir):
     return gr.top_nodes(nodes(spark, sf_dir), K, "price", 0.25).select("material", "node")
 
 
-@query("t5_random_nodes", "SELECT p_brand AS material, CAST(floor(0.3 * count(*)) AS BIGINT) AS n FROM part GROUP BY p_brand")
+@query("t5_random_nodes", "SELECT p_brand AS material, p_partkey AS node FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('5|' || p_partkey), p_partkey) AS k, floor(0.3 * count(*) OVER (PARTITION BY p_brand)) AS m FROM part) WHERE k <= m")
 def t5(spark, sf_dir):
-    return gr.random_nodes(nodes(spark, sf_dir), K, 0.3, 5).groupBy("material").agg(F.count(F.lit(1)).alias("n"))
+    return gr.random_nodes(nodes(spark, sf_dir), K, 0.3, 5).select("material", "node")
 
 
 @query("w5_node_offsets", "SELECT p_brand AS material, CAST(coalesce(sum(n) OVER (ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)")

@@ -92,8 +92,7 @@ def l16(spark, sf_dir):
 @query("l17_l18_clusters")
 def l17(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    for k, model in ev.k_means(e, "embedding").items():
-        e = ev.clustered(e, "embedding", model).withColumnRenamed("cluster", f"k{k}")
+    e = ev.clustered(e, "embedding", ev.k_means(e, "embedding"))
     s = ev.mean_silhouettes(e, "vec_id", "embedding", {k: f"k{k}" for k in (2, 3, 4, 5)})
     return s.select("k", "n", r(F.col("silhouette"), "silhouette", 4), "best")
 

@@ -50,7 +50,7 @@ def d4(spark, sf_dir):
     return gd.laplacian(grid(spark, sf_dir), ["field"]).select("i", "j", "k", r(F.col("laplacian"), "laplacian", 5))
 
 
-@query("d2_vector_sample", f"WITH {D_SQL}, {S_SQL.split(', ', 1)[1] if False else S_SQL[len(G_SQL) + 2:]}, s AS (SELECT p_partkey, sum(w * d_i * 7) AS gx, sum(w * d_j * 5) AS gy, sum(w * d_k * 6) AS gz FROM co JOIN df USING (i, j, k) GROUP BY p_partkey) SELECT p_partkey, round(gx, 4) + 0.0 AS gx, round(sqrt(gx*gx + gy*gy + gz*gz), 4) AS norm FROM s")
+@query("d2_vector_sample", f"WITH {D_SQL}, {S_SQL[len(G_SQL) + 2:]}, s AS (SELECT p_partkey, sum(w * d_i * 7) AS gx, sum(w * d_j * 5) AS gy, sum(w * d_k * 6) AS gz FROM co JOIN df USING (i, j, k) GROUP BY p_partkey) SELECT p_partkey, round(gx, 4) + 0.0 AS gx, round(sqrt(gx*gx + gy*gy + gz*gz), 4) AS norm FROM s")
 def d2(spark, sf_dir):
     g = cut(gd.gradient(grid(spark, sf_dir), N, ["field"]))
     return gd.sampled_vector(at(spark, sf_dir), g, ["gx", "gy", "gz"], N, ["field"], "p_partkey").select("p_partkey", r(F.col("gx"), "gx", 4), r(F.col("norm"), "norm", 4))

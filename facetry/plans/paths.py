@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facetry.functions import geometry as g
 from facetry.functions import tensor as t
 from facetry.operators import paths as pa
 from facetry.operators.sites import bag_entropy, structure_tensors
 from facetry.plans.bonds import E_SQL, K, edges, nodes
 from facetry.plans.registry import query
 from facetry.plans.sites import EIGEN, NB, SITE, neighbours, r
-from facetry.session import table
+from facetry.session import cut, table
 
 
 @query("b1_global_moments", "SELECT l_returnflag AS material, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, round(var_pop(l_quantity), 5) AS variance FROM lineitem GROUP BY l_returnflag")
@@ -97,3 +98,27 @@ def b12(spark, sf_dir):
     spots = pa.along(pa.simple_paths(edges(spark, sf_dir), K, 3), nodes(spark, sf_dir), K, ["size", "price"])
     s = pa.over_paths(pa.path_statistics(spots, K, "size", "price"), K, ["range", "maximum", "covariance", "step_square"])
     return s.select("material", "paths", r(F.col("mean_range"), "mean_range", 5), "max_maximum", r(F.col("mean_covariance"), "mean_covariance", 3), r(F.col("mean_step_square"), "mean_step_square", 4))
+
+
+@query("b12_path_features", f"""WITH {E_SQL}, n AS (SELECT p_partkey AS node, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y, CAST(p_partkey % 7 AS DOUBLE) AS z, CAST(p_partkey % 11 AS DOUBLE) AS q FROM part),
+    s AS (SELECT material, a, b, CASE WHEN a < b THEN 1 ELSE -1 END AS f, least(a, b) % 3 - 1 AS i, greatest(a, b) % 2 AS j FROM w),
+    p AS (SELECT s.material, a.x AS x1, b.x AS x2, c.x AS x3, a.q AS q1, b.q AS q2, c.q AS q3, b.x-a.x AS ux, b.y-a.y AS uy, b.z-a.z AS uz, c.x-b.x AS vx, c.y-b.y AS vy, c.z-b.z AS vz, s.f*s.i + t.f*t.i AS wi, s.f*s.j + t.f*t.j AS wj
+        FROM s JOIN s t ON t.material = s.material AND t.a = s.b AND t.b <> s.a JOIN n a ON a.node = s.a JOIN n b ON b.node = s.b JOIN n c ON c.node = t.b WHERE s.a < t.b),
+    r AS (SELECT *, sqrt((ux*ux+uy*uy+uz*uz) * (vx*vx+vy*vy+vz*vz)) AS m, least(x1, x2, x3) AS lo, greatest(x1, x2, x3) AS hi FROM p),
+    g AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE len(list_distinct([least(9, floor((x1-lo)/(hi-lo)*10)), least(9, floor((x2-lo)/(hi-lo)*10)), least(9, floor((x3-lo)/(hi-lo)*10))])) END AS kinds FROM r)
+    SELECT material, count(*) AS paths, round(avg(CASE WHEN m > 1e-10 THEN acos(greatest(-1, least(1, (ux*vx+uy*vy+uz*vz) / m))) END), 5) AS mean_curvature, round(max(sqrt(16*wi*wi + 25*wj*wj) / 3), 5) AS max_wrapping, round(avg(sqrt(16*wi*wi + 25*wj*wj) / 3), 5) AS mean_wrapping,
+        round(avg((ux*ux+uy*uy+uz*uz + vx*vx+vy*vy+vz*vz) / 2), 3) AS mean_gradient, round(avg((x1*q1+x2*q2+x3*q3)/3 - (x1+x2+x3)*(q1+q2+q3)/9), 4) AS mean_charge_potential, round(avg(CASE kinds WHEN 1 THEN 0 WHEN 2 THEN log2(3) - 2/3 ELSE log2(3) END), 5) AS mean_entropy,
+        round(avg(CASE WHEN x1 <> x2 AND x2 <> x3 THEN sign((x2-x1)*(x3-x2)) END), 5) AS mean_autocorrelation FROM g GROUP BY material""")
+def b12_features(spark, sf_dir):
+    """Curvature, wrapping norm, force gradient, charge-potential covariance, entropy and autocorrelation of each path of three
+    parts, from one row a path: places as forces, size as charge, key mod 11 as potential."""
+    at = table(spark, sf_dir, "part").select(F.col("p_brand").alias("material"), F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("x"), g.vec(F.col("p_size"), F.col("p_retailprice") / 100, F.col("p_partkey") % 7).alias("force"), (F.col("p_partkey") % 11).cast("double").alias("q"))
+    e = edges(spark, sf_dir)
+    place = lambda end: at.select("material", F.col("node").alias(end), F.col("force").alias(f"p{end}"))
+    e = e.join(place("u"), ["material", "u"]).join(place("v"), ["material", "v"]).select("material", "u", "v", g.sub(F.col("pv"), F.col("pu")).alias("step"), g.vec(F.col("u") % 3 - 1, F.col("v") % 2, F.lit(0.0)).alias("image"))
+    paths = cut(pa.simple_paths(e, K, 3))
+    rows = pa.path_values(paths, at, K, ["x", "q", "force"]).join(pa.path_steps(paths, e, K, ["step", "image"]), [*K, "path"])
+    cell = F.array(*[F.lit(x) for x in (4.0, 0.0, 0.0, 0.0, 5.0, 0.0, 0.0, 0.0, 6.0)])
+    made = rows.select(*K, "path", pa.path_curvature(F.col("step")).alias("curvature"), pa.path_wrapping(F.col("image"), cell).alias("wrapping"), pa.path_gradient(F.col("force")).alias("gradient"), pa.path_covariance(F.col("x"), F.col("q")).alias("charge_potential"), pa.path_entropy(F.col("x")).alias("entropy"), pa.path_autocorrelation(F.col("x")).alias("autocorrelation"))
+    s = pa.over_paths(made, K, ["curvature", "wrapping", "gradient", "charge_potential", "entropy", "autocorrelation"])
+    return s.select("material", "paths", r(F.col("max_wrapping"), "max_wrapping", 5), *[r(F.col(f"mean_{c}"), f"mean_{c}", n) for c, n in (("curvature", 5), ("wrapping", 5), ("gradient", 3), ("charge_potential", 4), ("entropy", 5), ("autocorrelation", 5))])

@@ -177,12 +177,12 @@ def j8(spark, sf_dir):
     return s.range_join(table(spark, sf_dir, "part"), 6.0, ["p_brand"], "p_partkey", ("p_size", "p_retailprice")).select("p_brand", "center", "nbr", r(F.col("distance"), "distance"))
 
 
-@query("j8_periodic_range_join", """WITH p AS (SELECT p_brand, p_partkey, p_partkey % 7 / 7 AS fx, p_size / 50 - floor(p_size / 50) AS fy, p_partkey % 11 / 11 AS fz FROM part WHERE p_partkey % 2 = 0),
+@query("j8_periodic_range_join", """WITH p AS (SELECT p_brand, p_partkey, p_partkey % 7 / 7 AS fx, p_size / 50 - floor(p_size / 50) AS fy, p_partkey % 11 / 11 AS fz FROM part),
     m AS (SELECT a.p_brand, a.p_partkey AS center, b.p_partkey AS nbr, i, j, k, 3 * (b.fx + i - a.fx) + 2 * (b.fy + j - a.fy) AS x, 8 * (b.fy + j - a.fy) AS y, 9 * (b.fz + k - a.fz) AS z FROM p a JOIN p b ON a.p_brand = b.p_brand, range(-2, 3) s(i), range(-1, 2) t(j), range(-1, 2) u(k))
     SELECT p_brand, center, nbr, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(sqrt(x*x + y*y + z*z), 6) AS distance FROM m WHERE sqrt(x*x + y*y + z*z) <= 4.0003 AND NOT (center = nbr AND i = 0 AND j = 0 AND k = 0)""")
 def j8_periodic(spark, sf_dir):
     """Parts of a brand as sites of a skewed cell whose first height is under the radius."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    part = table(spark, sf_dir, "part")
     frac = g.vec(F.col("p_partkey") % 7 / 7, F.col("p_size") / 50, F.col("p_partkey") % 11 / 11)
     site = part.select("p_brand", F.col("p_partkey").alias("site"), frac.alias("frac"))
     cells = part.select("p_brand").distinct().select("p_brand", F.array(*[F.lit(x) for x in (3.0, 0.0, 0.0, 2.0, 8.0, 0.0, 0.0, 0.0, 9.0)]).alias("cell"))
@@ -226,6 +226,42 @@ def j11(spark, sf_dir):
     return got.select("material", "left_site", "right_site", r(F.col("distance"), "distance"), "far", "same_element", "status")
 
 
+V_SQL = "v AS (SELECT o_orderkey AS center, o_totalprice / 100000 AS x, o_custkey % 7 - 3.0 AS y, o_custkey % 5 - 2.0 AS z FROM orders WHERE o_orderkey % 3 <> 1)"
+
+
+def external(spark, sf_dir):
+    """Skew tensors of two thirds of the sites."""
+    v = g.vec(F.col("o_totalprice") / 100000, F.col("o_custkey") % 7 - 3.0, F.col("o_custkey") % 5 - 2.0)
+    return table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("center"), t.skew(v).alias("external"))
+
+
+@query("j6_site_external_tensor", f"""WITH {NB}, {V_SQL} SELECT c.center, v.center IS NOT NULL AS from_external, round(CASE WHEN v.center IS NULL THEN sqrt(2) ELSE sqrt(2 * (x*x + y*y + z*z)) END, 8) AS lie_norm,
+    round(CASE WHEN v.center IS NULL THEN 1 ELSE sqrt(x*x + y*y + z*z) END, 8) AS principal_angle FROM (SELECT DISTINCT center FROM nb) c LEFT JOIN v USING (center)""")
+def j6(spark, sf_dir):
+    """External tensor of a site, else the generator of its structure tensor's principal direction."""
+    met = s.with_external(s.structure_tensors(neighbours(spark, sf_dir), ["center"]), external(spark, sf_dir), ["center"])
+    return met.select("center", "from_external", r(t.lie_norm(F.col("algebra")), "lie_norm", 8), r(t.principal_angle(F.col("algebra")), "principal_angle", 8))
+
+
+@query("j6_fallback_incompatibility", f"""WITH {NB}, {SITE}, {EIGEN}, {DIRECTION}, {V_SQL},
+    m AS (SELECT w.center, coalesce(v.x, w.c.x / w.len) AS a, coalesce(v.y, w.c.y / w.len) AS b, coalesce(v.z, w.c.z / w.len) AS c FROM (SELECT * EXCLUDE v FROM (SELECT center, c, len, 0 AS v FROM v_)) w LEFT JOIN v USING (center))
+    SELECT center, round(sqrt(2) * sqrt((b*3 - c*2)*(b*3 - c*2) + (c*1 - a*3)*(c*1 - a*3) + (a*2 - b*1)*(a*2 - b*1)) / sqrt(14), 3) AS incompatibility FROM m""".replace("    v AS (SELECT * FROM (SELECT *, sqrt(c.x", "    v_ AS (SELECT * FROM (SELECT *, sqrt(c.x"))
+def j6_incompatibility(spark, sf_dir):
+    """Commutator of the tensor, external or derived, with the generator of the direction 1, 2, 3."""
+    met = s.with_external(s.structure_tensors(neighbours(spark, sf_dir), ["center"]), external(spark, sf_dir), ["center"])
+    return met.select("center", r(t.frobenius(t.commutator(F.col("algebra"), t.lie_generator(g.vec(1.0, 2.0, 3.0)))), "incompatibility", 3))
+
+
+@query("j6_bond_external_tensors", f"""WITH {V_SQL}, b AS (SELECT o_orderkey AS u, o_orderkey + 1 AS v FROM orders)
+    SELECT b.u, b.v, p.center IS NOT NULL AS has_u, q.center IS NOT NULL AS has_v, round(sqrt(2) * sqrt((p.y*q.z - p.z*q.y)*(p.y*q.z - p.z*q.y) + (p.z*q.x - p.x*q.z)*(p.z*q.x - p.x*q.z) + (p.x*q.y - p.y*q.x)*(p.x*q.y - p.y*q.x)), 8) AS lie_incompatibility
+    FROM b LEFT JOIN v p ON p.center = b.u LEFT JOIN v q ON q.center = b.v""")
+def j6_bonds(spark, sf_dir):
+    """Bonds between an order and the next number: NULL unless both ends have an external tensor."""
+    bonds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("u"), (F.col("o_orderkey") + 1).alias("v"))
+    met = s.ends_with_external(bonds, external(spark, sf_dir), [], ["u", "v"], "center")
+    return met.select("u", "v", F.col("external_u").isNotNull().alias("has_u"), F.col("external_v").isNotNull().alias("has_v"), r(t.frobenius(t.commutator(F.col("external_u"), F.col("external_v"))), "lie_incompatibility", 8))
+
+
 @query("j14_element_lookup", "SELECT l.l_orderkey, count(*) AS n, count(p.p_partkey) AS known, round(avg(p.p_size), 6) AS mean_size FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_size < 40) p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey")
 def j14(spark, sf_dir):
     elements = table(spark, sf_dir, "part").where("p_size < 40").select("p_partkey", "p_size")
@@ -277,10 +313,9 @@ def a18(spark, sf_dir):
     return s.rank_of(v.join(many, "p_brand", "left_semi"), ["p_brand"])
 
 
-@query("r5_fingerprint", f"WITH {NB} SELECT center, count(*) AS n FROM nb GROUP BY center")
+@query("r5_fingerprint", f"""WITH {NB} SELECT center, sha256('{{"bag":[' || string_agg('{{"element":"' || element || '","d":' || round_even(d, 4) || '}}', ',' ORDER BY element, round_even(d, 4)) || ']}}') AS fingerprint FROM nb GROUP BY center""")
 def r5(spark, sf_dir):
-    n = neighbours(spark, sf_dir)
-    return s.fingerprints(n, ["center"]).join(n.groupBy("center").agg(F.count(F.lit(1)).alias("n")), "center").where(F.length("fingerprint") == 64).select("center", "n")
+    return s.fingerprints(neighbours(spark, sf_dir), ["center"])
 
 
 D_SQL = """CASE WHEN p_size2 < 21 THEN 'too_high_energy' WHEN p_size2 BETWEEN 21 AND 30 THEN '3d_transition' WHEN p_size2 BETWEEN 39 AND 48 THEN '4d_transition' WHEN p_size2 BETWEEN 72 AND 80 THEN '5d_transition' WHEN p_size2 BETWEEN 81 AND 118 THEN 'post_transition_d' WHEN p_size2 BETWEEN 31 AND 38 OR p_size2 BETWEEN 49 AND 56 OR p_size2 BETWEEN 58 AND 71 THEN 'filled_d_sublayer' END"""
@@ -302,7 +337,7 @@ def p7(spark, sf_dir):
     SELECT p_partkey, (has AND (cn >= 4 OR strong > 0)) AS activated, CAST(factor AS DOUBLE) AS factor, CASE WHEN has AND strong > 0 THEN 'strong' ELSE 'weak' END AS field, CASE WHEN p_size2 IN (35, 53) THEN 'environment_fingerprint' WHEN p_size2 BETWEEN 81 AND 86 THEN 'semi_core_interaction' WHEN factor > 0.5 AND has THEN 'coordination_induced' END AS value_type,
     CAST(CASE WHEN level = 'valence' THEN 1e-3 WHEN p_size2 BETWEEN 81 AND 86 THEN 1e-4 WHEN level = 'semi_core' THEN 5e-3 WHEN level = 'core_like' THEN 1e-2 ELSE 1e-3 END AS DOUBLE) AS threshold FROM f""")
 def p9(spark, sf_dir):
-    z, a = F.col("z"), rules.d_activation(F.col("z"), F.col("p_size") % 9, F.col("p_size") % 2, F.lit(0))
+    z, a = F.col("z"), rules.d_activation(F.col("z"), F.col("p_size") % 9, F.col("p_size") % 2)
     return atoms(spark, sf_dir).select("p_partkey", a["activated"].alias("activated"), a["factor"].alias("factor"), a["field"].alias("field"), rules.d_value(z, a["factor"])["value_type"].alias("value_type"), rules.density_threshold(z, F.lit("d")).alias("threshold"))
 
 

@@ -70,13 +70,13 @@ def s2(spark, sf_dir):
     return io.scan_tensors(spark, path).select("site_index", r(F.col("tensor")[0] + F.col("tensor")[4] + F.col("tensor")[8], "trace", 4))
 
 
-@query("s7_s14_embedding_round_trip", "SELECT CAST(label AS VARCHAR) AS model, count(*) AS n, round(sum(embedding[1]), 3) AS first FROM embeddings GROUP BY label")
+@query("s7_s14_embedding_round_trip", "SELECT CAST(label AS VARCHAR) AS model, count(*) AS n, round(sum(embedding[1]), 3) AS first, round(sum(list_sum(list_transform(range(1, 65), lambda i: i * round(embedding[i]::DOUBLE, 6)))), 2) AS weighed FROM embeddings GROUP BY label")
 def s7(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("model"), F.col("vec_id").cast("string").alias("material"), F.lit(0.0).alias("computation_time"), F.col("embedding").cast("array<double>").alias("emb"))
     path = folder(spark, "emb")
     io.write_csv(io.embedding_rows(e, 64), path, ["model"])
     back = io.scan_embeddings(spark, path, 64)
-    return back.groupBy(F.col("model").cast("string").alias("model")).agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("emb")[0]), "first", 3))
+    return back.groupBy(F.col("model").cast("string").alias("model")).agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("emb")[0]), "first", 3), r(F.sum(F.aggregate(F.transform("emb", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, v: s + v)), "weighed", 2))
 
 
 @query("s10_grid_scan", "SELECT l_returnflag AS field, count(*) AS n, round(sum(l_tax), 4) AS value FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_returnflag")
@@ -201,10 +201,19 @@ def p4(spark, sf_dir):
     return io.edge_features(df).select(*[F.col(k).alias(n) for k, n in zip(keys, ("l_orderkey", "l_partkey", "l_suppkey"))], "l_quantity")
 
 
-@query("p14_l7_mask")
+UNIT = "('0x' || substr(md5('{seed}|' || {id}), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query("p14_l7_mask", f"WITH u AS (SELECT p_partkey, p_size, {UNIT.format(seed=11, id='p_partkey')} AS u FROM part) SELECT p_partkey, u < 0.3 AS masked, CASE WHEN u < 0.3 THEN -1.0 ELSE p_size END::DOUBLE AS x FROM u")
 def p14(spark, sf_dir):
     m = scaling.masked(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x")), "x", F.lit(-1.0), 0.3, 11, "p_partkey")
-    return m.groupBy("_masked").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("x") == -1.0).cast("int")).alias("tokens"))
+    return m.select("p_partkey", F.col("_masked").alias("masked"), "x")
+
+
+@query("l6_jitter_noise", f"""WITH u AS (SELECT p_partkey, {UNIT.format(seed=3, id='p_partkey')} AS u, {UNIT.format(seed=4, id='p_partkey')} AS v FROM part)
+    SELECT p_partkey, round(0.05 * sqrt(-2 * ln(greatest(u, 1e-300))) * cos(2 * 3.141592653589793 * v), 9) + 0.0 AS noise FROM u""")
+def l6_noise(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", r(scaling.jitter(3, 0.05, "p_partkey"), "noise", 9))
 
 
 @query("j16_all_pairs", "SELECT a.r_regionkey, a.n_nationkey AS i, b.n_nationkey AS j FROM (SELECT *, n_regionkey AS r_regionkey FROM nation) a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

@@ -176,3 +176,20 @@ def test_components_of_hubs(spark):
     got = {r["node"]: r["component"] for r in cm.components(star.unionAll(more).unionAll(link)).collect()}
     assert len(got) == 6000 + 4003 + 3
     assert all(got[i] == 0 for i in range(6000)) and all(got[i] == 10_000 for i in range(20_000, 24_000)) and got[90_002] == 90_000
+
+
+def test_spectral_entropy_by_components_and_by_lanczos(spark):
+    rng = random.Random(1)
+    pairs = {(i, (i + 1) % 60) for i in range(60)} | {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(100, 101), (101, 102), (200, 201)}
+    e = spark.createDataFrame([("m", min(p), max(p)) for p in {tuple(sorted(p)) for p in pairs}], "material string, u int, v int")
+    edges = np.array([(r["u"], r["v"]) for r in e.collect()])
+    nodes, at = np.unique(edges, return_inverse=True)
+    lap = np.zeros((len(nodes), len(nodes)))
+    for a, b in at.reshape(-1, 2):
+        lap[a, b] = lap[b, a] = -1
+    np.fill_diagonal(lap, -lap.sum(1))
+    p = np.linalg.eigvalsh(lap)
+    p = p[p > 1e-12] / p.sum()
+    want = -(p * np.log2(p)).sum()
+    assert math.isclose(gr.spectral_entropy(e, ["material"]).first()[1], want, rel_tol=1e-9)
+    assert math.isclose(gr.spectral_entropy(e, ["material"], dense=10, probes=32, steps=12).first()[1], want, rel_tol=0.02)
