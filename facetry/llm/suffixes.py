@@ -215,6 +215,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 CONTEXT = "g1 long, g2 long, k1 long, k2 long, at array<long>, left binary, right binary"
+PLACES = 64
 SPAN = "k1 long, k2 long, start long, end long"
 
 
@@ -329,8 +330,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: in
 
     texts = written(long_texts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "texts")
     picked = written(long_texts.select("k1", "k2", "text").mapInArrow(pick, "k1 long, k2 long, h long, at array<long>").dropDuplicates(["k1", "k2", "h"]), "places")
-    # n bounds the contexts of a group: periodic texts hold many places, of which few differ.
-    shared = picked.groupBy("h").agg(F.sum(F.size("at")).alias("c"), F.sum(F.least(F.size("at"), F.lit(64))).cast("long").alias("n")).where("c > 1").drop("c")
+    # n bounds the contexts of a group but for documents with more than PLACES of its places: periodic texts hold many
+    # places, of which few differ, so those are counted below.
+    shared = picked.groupBy("h").agg(F.sum(F.size("at")).alias("c"), F.sum(F.least(F.size("at"), F.lit(PLACES))).cast("long").alias("n")).where("c > 1").drop("c")
     chosen = picked.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "h", "n")).alias("at")).join(texts, ["k1", "k2"])
     # One row of each text goes on: copies have other values of ``row`` and meet nobody.
     searched = written(long_texts.select("k1", "k2", "row", "text").join(chosen, ["k1", "k2", "row"]).dropDuplicates(["k1", "k2"]).drop("row"), "searched")
@@ -349,10 +351,28 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: in
                 if rows:
                     yield _table(rows, CONTEXT)
 
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct contexts beyond ``PLACES`` of each gram that a document holds at more places than that."""
+        for b in batches:
+            rows = []
+            for data, at in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist()):
+                data = data.as_py()
+                for p in at:
+                    if len(p["at"]) > PLACES:
+                        rows.append((p["h"], len({(data[max(0, a - length + gram) : a], data[a : a + length]) for a in p["at"]}) - PLACES))
+            if rows:
+                yield _table(rows, "h long, more long")
+
+    many = searched.where(F.exists("at", lambda p: F.size(p["at"]) > PLACES)).select("text", "at")
+    more = cut(many.mapInArrow(beyond, "h long, more long").groupBy("h").agg(F.sum("more").alias("more")).where("more <> 0"))
     around = searched.select("k1", "k2", "text", "at").mapInArrow(surround, CONTEXT)
+    counted = F.col("n") + F.coalesce("more", F.lit(0))
+    if n_more := more.count():
+        # Now n is the number of contexts that stand in the group's documents, no estimate.
+        around = around.join(small(more.withColumnRenamed("h", "g1"), n_more), "g1", "left").withColumn("g2", F.col("g2") + F.coalesce("more", F.lit(0))).drop("more")
     found = compared(around.where(F.col("g2") <= most), length)
     hot = around.where(F.col("g2") > most)
-    if not shared.where(F.col("n") > most).isEmpty():
+    if not shared.join(more, "h", "left").where(counted > most).isEmpty():
         found = found.unionAll(parted_groups(hot, length, gram, most))
     spans = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return marked, texts.where("copies > 1").select("k1", "k2", "copies"), spans, searched
