@@ -636,3 +636,56 @@ def test_pipeline_on_edge_rows(spark, docs, labels, tmp_path):
     for r in rows:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 4096
+
+
+def test_no_task_compares_a_group_beyond_its_bound(spark, monkeypatch):
+    """One document repeats a line of 250 bytes 1,000 times in other surroundings; another shares a passage with it."""
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh") for _ in range(250))
+    text = "".join(line + "".join(rng.choice("uvwxyz") for _ in range(rng.randint(20, 60))) for _ in range(1000))
+    rows = [(1, text), (2, "start " + text[5_000:6_000] + " end"), (3, "clean " * 100 + str(rng.random()))]
+    df, seen, real = spark.createDataFrame(rows, "doc_id long, text string"), [], suffixes.compared
+
+    def watched(contexts, length):
+        seen.append(contexts.groupBy("g1", "g2").count().agg(F.max("count")).first()[0] or 0)
+        return real(contexts, length)
+
+    monkeypatch.setattr(suffixes, "compared", watched)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffixes.without_repeats(df, most=100).collect()}
+    assert max(seen) <= 100 and len(seen) > 1
+    assert got[1][1] >= 1000 and got[2][1] >= 1000 and got[2][1] < got[2][0]
+
+
+def test_audit_reads_the_bytes_of_the_files(spark, tmp_path):
+    """Bytes changed on disk after writing, a file cut short and one that is gone are found where they are."""
+    from facetry.sources.io import file_system
+
+    rows = [(i, f"record {i} " + "x" * (i % 90)) for i in range(3000)] + [(7, "record 7 again"), (None, "no id")]
+    df = spark.createDataFrame(rows, "record_id long, record string")
+    folder = f"file://{tmp_path}/second"
+    first, index = warc.replica(df, 5), warc.write_archive(df, 5, folder)
+    assert warc.audit(first, warc.read_archive(index, folder)).count() == 0
+    place, root = file_system(folder)
+    for r in index.where("record_id in (100, 2000)").collect():
+        with open(warc.file_path(root, r["file"]), "r+b") as f:
+            f.seek(r["offset"] + 3)
+            f.write(b"#")
+    last = index.where("file = 2").orderBy(F.desc("offset")).first()
+    with open(warc.file_path(root, 2), "r+b") as f:
+        f.truncate(last["offset"] + last["length"] - 1)
+    visited = []
+    got = {r["record_id"]: r["kind"] for r in warc.audit(first, warc.read_archive(index, folder), visited=visited).collect()}
+    assert got == {100: "changed", 2000: "changed", last["record_id"]: "changed"}
+    assert visited[0] == 1 and max(visited) <= 3
+    __import__("os").remove(warc.file_path(root, 2))
+    assert warc.audit(first, warc.read_archive(index, folder)).where("file = 2").count() == index.where("file = 2").count()
+
+
+def test_a_missing_record_moves_no_other_range(spark):
+    """Whatever record is lost, one or two nodes of a level differ."""
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(4000)], "record_id long, record string")
+    a = warc.replica(df, 1).cache()
+    for lost in (0, 17, 2222, 3999):
+        visited = []
+        assert [tuple(r) for r in warc.audit(a, a.where(f"record_id <> {lost}"), visited=visited).select("record_id", "kind").collect()] == [(lost, "missing")]
+        assert len(visited) >= 3 and max(visited) <= 2
