@@ -105,21 +105,14 @@ def path_gradient(forces: Column) -> Column:
     return g.let(forces, lambda f: F.when(F.size(f) > 1, _mean(F.zip_with(F.slice(f, F.lit(1), F.size(f) - 1), F.slice(f, F.lit(2), F.size(f) - 1), lambda a, b: g.let(g.sub(b, a), lambda d: g.dot(d, d))))))
 
 
-def path_statistics(spots: DataFrame, keys: list[str], x: str, y: str, bins: int = 10) -> DataFrame:
+def path_statistics(rows: DataFrame, keys: list[str], x: str, y: str, bins: int = 10) -> DataFrame:
     """keys, path, covariance (x, y), entropy of x in bins of its path's range, range and maximum of x, mean squared
-    step of x, autocorrelation of x."""
-    w = W.partitionBy(*keys, "path").orderBy("pos")
-    rows = spots.withColumn("_n", F.lead(x).over(w))
-    both = F.col("_n").isNotNull()
-    a, b = F.when(both, F.col(x)), F.col("_n")
-    facts = rows.groupBy(*keys, "path").agg(
-        F.covar_pop(x, y).alias("covariance"), (F.max(x) - F.min(x)).alias("range"), F.max(x).alias("maximum"), F.avg((b - a) * (b - a)).alias("step_square"),
-        F.covar_pop(a, b).alias("_c"), F.stddev_pop(a).alias("_a"), F.stddev_pop(b).alias("_b"), F.min(x).alias("_lo"))
-    spread = F.col("_a") * F.col("_b")
-    facts = facts.withColumn("autocorrelation", F.when(spread > 1e-12, F.col("_c") / F.when(spread > 1e-12, spread)))
-    binned = spots.join(facts.select(*keys, "path", "_lo", "range"), [*keys, "path"]).withColumn("_bin", F.when(F.col("range") > 0, F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("_lo")) / F.when(F.col("range") > 0, F.col("range")) * bins))).otherwise(0))
-    c = binned.groupBy(*keys, "path", "_bin").agg(F.count(F.lit(1)).alias("_m")).groupBy(*keys, "path").agg((F.log2(F.sum("_m").cast("double")) - F.sum(F.col("_m") * F.log2(F.col("_m").cast("double"))) / F.sum("_m") + 0.0).alias("entropy"))
-    return facts.drop("_c", "_a", "_b", "_lo").join(c, [*keys, "path"])
+    step of x, autocorrelation of x; ``rows`` as :func:`path_values` makes them, a path each, so nothing is shuffled."""
+    v = F.col(x)
+    step = g.let(v, lambda a: F.when(F.size(a) > 1, _mean(F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda p, q: (q - p) * (q - p)))))
+    return rows.select(
+        *keys, "path", path_covariance(v, F.col(y)).alias("covariance"), path_entropy(v, bins).alias("entropy"), (F.array_max(v) - F.array_min(v)).alias("range"),
+        F.array_max(v).alias("maximum"), step.alias("step_square"), path_autocorrelation(v).alias("autocorrelation"))
 
 
 def over_paths(statistics: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -53,14 +53,15 @@ def mean_onto_edges(triples: DataFrame, edges: DataFrame, keys: list[str], colum
 def solid_angles(neighbours: DataFrame, keys: list[str]) -> DataFrame:
     """keys, solid_angle: sum over all triples of a centre's neighbour vectors (0 under three).
 
-    Neighbours are numbered inside their centre and triples meet by joins, so centres are spread over
-    tasks by (key, number).
+    A row holds a neighbour and the vectors after it, and sums over their pairs inside itself; the rows of a
+    centre spread over tasks, then their sums meet.
     """
     numbered = neighbours.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("v"))
-    one = numbered.select(*keys, F.size("v").alias("n"), F.posexplode("v").alias("a", "va"), "v")
-    two = one.select(*keys, "n", "a", "va", "v", F.explode(F.expr("sequence(a + 1, n)")).alias("b")).where("b < n")
-    total = F.aggregate(F.slice("v", F.col("b") + 2, F.col("n")), F.lit(0.0), lambda s, w: s + g.solid_angle(_vec(F.col("va")), _vec(F.get("v", F.col("b"))), _vec(w)))
-    sums = two.withColumn("s", total).groupBy(*keys).agg(F.sum("s").alias("solid_angle"))
+    one = numbered.where("size(v) > 2").select(*keys, "v", F.posexplode("v").alias("a", "va")).where("a < size(v) - 2")
+    one = one.select(*keys, "va", F.slice("v", F.col("a") + 2, F.size("v")).alias("v")).repartition(*keys, F.xxhash64("va"))
+    inner = lambda b: F.aggregate(F.slice("v", b + 2, F.size("v")), F.lit(0.0), lambda s, w: s + g.solid_angle(_vec(F.col("va")), _vec(F.get("v", b)), _vec(w)))
+    total = F.aggregate(F.sequence(F.lit(0), F.size("v") - 2), F.lit(0.0), lambda s, b: s + inner(b))
+    sums = one.withColumn("s", total).groupBy(*keys).agg(F.sum("s").alias("solid_angle"))
     return numbered.select(*keys).join(sums, keys, "left").fillna(0.0, ["solid_angle"])
 
 

@@ -95,8 +95,8 @@ def b11(spark, sf_dir):
 
 @query("b12_b13_path_statistics", f"WITH {E_SQL}, n AS (SELECT p_partkey AS node, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), p AS (SELECT x.material, a.x AS x1, b.x AS x2, c.x AS x3, a.y AS y1, b.y AS y2, c.y AS y3 FROM w x JOIN w y ON y.material = x.material AND y.a = x.b AND y.b <> x.a JOIN n a ON a.node = x.a JOIN n b ON b.node = x.b JOIN n c ON c.node = y.b WHERE x.a < y.b) SELECT material, count(*) AS paths, round(avg(greatest(x1, x2, x3) - least(x1, x2, x3)), 5) AS mean_range, max(greatest(x1, x2, x3)) AS max_maximum, round(avg((x1*y1 + x2*y2 + x3*y3) / 3 - (x1 + x2 + x3) * (y1 + y2 + y3) / 9), 3) AS mean_covariance, round(avg(((x2-x1)*(x2-x1) + (x3-x2)*(x3-x2)) / 2), 4) AS mean_step_square FROM p GROUP BY material")
 def b12(spark, sf_dir):
-    spots = pa.along(pa.simple_paths(edges(spark, sf_dir), K, 3), nodes(spark, sf_dir), K, ["size", "price"])
-    s = pa.over_paths(pa.path_statistics(spots, K, "size", "price"), K, ["range", "maximum", "covariance", "step_square"])
+    rows = pa.path_values(pa.simple_paths(edges(spark, sf_dir), K, 3), nodes(spark, sf_dir), K, ["size", "price"])
+    s = pa.over_paths(pa.path_statistics(rows, K, "size", "price"), K, ["range", "maximum", "covariance", "step_square"])
     return s.select("material", "paths", r(F.col("mean_range"), "mean_range", 5), "max_maximum", r(F.col("mean_covariance"), "mean_covariance", 3), r(F.col("mean_step_square"), "mean_step_square", 4))
 
 

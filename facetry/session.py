@@ -47,9 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def removed(*frames: DataFrame) -> None:
     """Delete the folders of ``written`` relations whose readers have all been written themselves."""
     for df in frames:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(df.sparkSession, df.written_to)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
