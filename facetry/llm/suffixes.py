@@ -259,7 +259,7 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def parted_groups(contexts: DataFrame, length: int, gram: int, most: int) -> DataFrame:
-    """What :func:`compared` gives, for groups of any size; no task holds more than ``most`` contexts.
+    """k1, k2, spans (array of start, end): what :func:`compared` gives, for groups of any size, a row a context; no task holds more than ``most`` contexts.
 
     A window that starts o bytes before the gram holds ``o`` bytes to its left and ``length - o`` from it on.
     For a range s <= o <= e, contexts that share such a window agree on the inner part (s to the left,
@@ -306,7 +306,9 @@ def parted_groups(contexts: DataFrame, length: int, gram: int, most: int) -> Dat
     for f in found[1:]:
         spans = spans.unionAll(f)
     widest = spans.groupBy("c1", "c2").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return placed.join(widest, ["c1", "c2"]).select("k1", "k2", F.explode("at").alias("a"), "start", "end").select("k1", "k2", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end")).alias("end"))
+    # A context's places stay one row: a text of many repeats has as many places as repeats.
+    each = F.transform("at", lambda a: F.struct((a + F.col("start")).alias("start"), (a + F.col("end")).alias("end")))
+    return placed.join(widest, ["c1", "c2"]).select("k1", "k2", each.alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -371,10 +373,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, most: in
         # Now n is the number of contexts that stand in the group's documents, no estimate.
         around = around.join(small(more.withColumnRenamed("h", "g1"), n_more), "g1", "left").withColumn("g2", F.col("g2") + F.coalesce("more", F.lit(0))).drop("more")
     found = compared(around.where(F.col("g2") <= most), length)
-    hot = around.where(F.col("g2") > most)
+    hot, parted = around.where(F.col("g2") > most), None
     if not shared.join(more, "h", "left").where(counted > most).isEmpty():
-        found = found.unionAll(parted_groups(hot, length, gram, most))
-    spans = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        parted = parted_groups(hot, length, gram, most)
+    found = found.distinct().select("k1", "k2", F.array(F.struct("start", "end")).alias("spans"))
+    spans = (found if parted is None else found.unionByName(parted)).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return marked, texts.where("copies > 1").select("k1", "k2", "copies"), spans, searched
 
 
