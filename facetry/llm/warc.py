@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetry.session import cut, shared_dir, written
+from facetry.session import cut, remove_folder, shared_dir, small, written
 from facetry.sources.io import file_system
 
 INDEX = "file long, seq long, record_id long, copy long, offset long, length long"
@@ -55,9 +55,16 @@ def write_archive(records: DataFrame, files: int, folder: str) -> DataFrame:
     repeated task leaves equal bytes.
     """
     known = records.select(F.col("record_id").cast("long").alias("record_id"), F.encode("record", "UTF-8").alias("record")).withColumn("digest", F.sha2("record", 256))
-    # Equal records are one row until they have their copy numbers, which deal them out to files.
-    alike = known.groupBy("record_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("record").alias("record"))
-    copies = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    # Records that have equals are one row until they have their copy numbers; the others, most of all, go to their file at once.
+    alike = cut(known.groupBy("record_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    n = alike.count()
+    copies = known.withColumn("copy", F.lit(1).cast("long"))
+    if n:
+        marked = alike.select(F.col("record_id").alias("_i"), F.col("digest").alias("_d"))
+        same = F.col("record_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d"))
+        each = known.join(small(marked, n), same, "left_semi").groupBy("record_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("record").alias("record"))
+        each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+        copies = copies.join(small(marked, n), same, "left_anti").unionByName(each)
     placed = copies.withColumn("file", F.conv(F.substring(F.md5(F.encode(key_name(), "UTF-8")), 1, 8), 16, 10).cast("long") % files)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +192,19 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16, visited: list[int
 
 def page_audit(pages: DataFrame, file_records: int = 1024, folder: str | None = None) -> DataFrame:
     """The pages' archive against a replica of it, both written as WARC files and read again. In the replica, by the md5 of
-    their url, some pages have one letter changed (first byte 00), some lost their last byte (01) and some are gone (02)."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    their url, some pages have one letter changed (first byte 00), some lost their last byte (01) and some are gone (02).
+    The files stay if a ``folder`` is given; else they are removed once their digests are known."""
+    kept, folder = folder is not None, folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     files = max(1, -(-pages.count() // file_records))
     mark = F.substring(F.md5(F.encode(F.coalesce(F.col("url"), F.lit("")), "UTF-8")), 1, 2)
     body = F.coalesce(F.col("html"), F.lit(""))
     damaged = F.when(mark == "00", F.concat(F.lit("~"), F.substring(body, 2, 1 << 30))).when(mark == "01", F.substring(body, F.lit(1), F.greatest(F.length(body) - 1, F.lit(0)))).otherwise(body)
     whole = pages.select(F.col("page_id").alias("record_id"), record_text(F.col("url"), F.col("html")).alias("record"))
     other = pages.where(mark != "02").select(F.col("page_id").alias("record_id"), record_text(F.col("url"), F.col("html"), damaged).alias("record"))
-    return audit(replica(whole, files, f"{folder}/first"), replica(other, files, f"{folder}/second"))
+    sides = []
+    for rows, name in ((whole, "first"), (other, "second")):
+        index = write_archive(rows, files, f"{folder}/{name}")
+        sides.append(written(read_archive(index, f"{folder}/{name}"), "replica"))
+        if not kept:
+            remove_folder(pages.sparkSession, f"{folder}/{name}")
+    return audit(*sides)
