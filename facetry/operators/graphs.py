@@ -183,7 +183,7 @@ def _large_distances(edges: DataFrame, bits: DataFrame, keys: list[str], blocks_
     for first in range(0, (-1 if last is None else last) + 1, blocks_at_once):
         seen = own.where(F.col("block").between(first, first + blocks_at_once - 1)).withColumn("hops", F.lit(0).cast("long"))
         seen = seen.withColumns({f"n{i}": F.col(w) for i, w in enumerate(words)})  # n: the bits that are new in this round
-        hop = 0
+        hop, before = 0, None
         while True:
             for _ in range(levels):
                 hop += 1
@@ -197,7 +197,10 @@ def _large_distances(edges: DataFrame, bits: DataFrame, keys: list[str], blocks_
                     any_new = any_new.bitwiseOR(x)
                 both = both.select(*keys, "node", "block", F.when(any_new != 0, F.lit(hop).cast("long")).otherwise(F.col("hops")).alias("hops"), *[o.bitwiseOR(x).alias(w) for o, x, w in zip(old, new, words)], *[F.when(any_new != 0, x).otherwise(F.col(f"n{i}")).alias(f"n{i}") for i, x in enumerate(new)], *[c for c in both.columns if c.startswith("h_")], F.when(any_new != 0, sum(F.bit_count(x) for x in new)).cast("long").alias(f"h_{hop}"))
                 seen = both
-            seen = written(seen, "reached")
+            stood = seen = written(seen, "reached")
+            if before is not None:
+                removed(before)
+            before = stood
             made = [c for c in seen.columns if c.startswith("h_")]
             part = seen.select(*keys, F.explode(F.array(*[F.struct(F.lit(int(c[2:])).cast("long").alias("hops"), F.col(c).alias("pairs")) for c in made])).alias("x")).select(*keys, "x.*").where("pairs is not null").groupBy(*keys, "hops").agg(F.sum("pairs").alias("pairs"))
             part = cut(part)
@@ -205,25 +208,47 @@ def _large_distances(edges: DataFrame, bits: DataFrame, keys: list[str], blocks_
             seen = seen.drop(*made)
             if seen.where(F.col("hops") == hop).isEmpty():
                 break
+        removed(before)
     return counted if counted is not None else edges.select(*keys, F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("pairs")).limit(0)
 
 
-def distances(edges: DataFrame, keys: list[str], whole: int = 50_000, blocks_at_once: int = 16, levels: int = 4) -> DataFrame:
+def distances(edges: DataFrame, keys: list[str], whole: int = 50_000, blocks_at_once: int = 16, levels: int = 4, apart: int = 4_096) -> DataFrame:
     """keys, hops, pairs: ordered pairs of nodes at each number of hops from one another, from every node at once.
 
     Breadth-first search with a bit a source: 1,024 sources are a block, and a level unites the bits that arrive at a
     node. Pairs are counted by their bits, never listed. Graphs of up to ``whole`` edges are searched a block a task;
     larger ones by joins over all tasks, ``blocks_at_once`` blocks at a time, so rows stay under blocks x nodes. Paths may be of any length.
+
+    No path leaves a component, so where a graph has over ``apart`` edges all are searched by components (small ones in
+    bundles): a source then meets its own component only, and copies of a graph cost as much as the graph each.
     """
-    e = cut(edges.where("u <> v").select(*keys, "u", "v"))
-    size = cut(e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_e")))
-    bits = cut(_source_bits(e.select(*keys, F.explode(F.array("u", "v")).alias("node")).distinct(), keys))
-    of = lambda some: e.join(some.select(*keys), keys, "left_semi")
+    e = written(edges.where("u <> v").select(*keys, "u", "v"), "edges")
+    of = keys
+    if not e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_e")).where(F.col("_e") > apart).isEmpty():
+        of, whole_graphs = [*keys, "_part"], e
+        e = written(_in_parts(e, keys), "edges")
+        removed(whole_graphs)
+    size = cut(e.groupBy(*of).agg(F.count(F.lit(1)).alias("_e")))
+    bits = written(_source_bits(e.select(*of, F.explode(F.array("u", "v")).alias("node")).distinct(), of), "bits")
+    some = lambda sizes: e.join(sizes.select(*of), of, "left_semi")
     little, large = size.where(F.col("_e") <= whole), size.where(F.col("_e") > whole)
-    found = _small_distances(of(little), bits, keys).select(*keys, "hops", "pairs")
+    found = _small_distances(some(little), bits, of).select(*keys, "hops", "pairs")
     if not large.isEmpty():
-        found = found.unionByName(_large_distances(of(large), bits, keys, blocks_at_once, levels))
-    return found.groupBy(*keys, "hops").agg(F.sum("pairs").alias("pairs"))
+        found = found.unionByName(_large_distances(some(large), bits, of, blocks_at_once, levels).select(*keys, "hops", "pairs"))
+    counted = written(found.groupBy(*keys, "hops").agg(F.sum("pairs").alias("pairs")), "distances")
+    removed(e, bits)
+    return counted
+
+
+def _in_parts(edges: DataFrame, keys: list[str], nodes: int = 512) -> DataFrame:
+    """Edges with ``_part``: their component, or for components of under ``nodes`` nodes a bundle of about twice as many nodes."""
+    parts = components(edges, keys)
+    sizes = parts.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n"))
+    bundles = sizes.where(F.col("_n") < nodes).groupBy(*keys).agg(F.ceil(F.sum("_n") / (2 * nodes)).alias("_b"))
+    named = sizes.join(bundles, keys, "left").select(
+        *keys, "component", F.when(F.col("_n") < nodes, F.concat(F.lit("bundle "), F.pmod(F.xxhash64("component"), F.col("_b")))).otherwise(F.concat(F.lit("component "), F.col("component"))).alias("_part"))
+    of_node = parts.join(named, [*keys, "component"]).select(*keys, F.col("node").alias("u"), "_part")
+    return edges.join(of_node, [*keys, "u"]).select(*keys, "_part", "u", "v")
 
 
 def path_lengths(edges: DataFrame, keys: list[str], whole: int = 50_000) -> DataFrame:

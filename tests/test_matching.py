@@ -193,3 +193,17 @@ def test_spectral_entropy_by_components_and_by_lanczos(spark):
     want = -(p * np.log2(p)).sum()
     assert math.isclose(gr.spectral_entropy(e, ["material"]).first()[1], want, rel_tol=1e-9)
     assert math.isclose(gr.spectral_entropy(e, ["material"], dense=10, probes=32, steps=12).first()[1], want, rel_tol=0.02)
+
+
+def test_distances_of_copies_need_no_rounds(spark, monkeypatch):
+    """A graph of copies beyond the size of one search is searched by its components, so its bits meet no joins."""
+    def refused(*_):
+        raise AssertionError("rounds of joins")
+
+    monkeypatch.setattr(gr, "_large_distances", refused)
+    rng = random.Random(5)
+    one = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)]
+    pairs = [(u + 100 * i, v + 100 * i) for i in range(20) for u, v in one] + [(i, i + 1) for i in range(9000, 9700)]
+    e = spark.createDataFrame(sorted({("a", min(p), max(p)) for p in pairs if p[0] != p[1]}), "material string, u int, v int")
+    got = {r["hops"]: r["pairs"] for r in gr.distances(e, ["material"], whole=1000, apart=500).collect()}
+    assert got == brute_distances(pairs)
