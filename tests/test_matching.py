@@ -205,5 +205,5 @@ def test_distances_of_copies_need_no_rounds(spark, monkeypatch):
     one = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)]
     pairs = [(u + 100 * i, v + 100 * i) for i in range(20) for u, v in one] + [(i, i + 1) for i in range(9000, 9700)]
     e = spark.createDataFrame(sorted({("a", min(p), max(p)) for p in pairs if p[0] != p[1]}), "material string, u int, v int")
-    got = {r["hops"]: r["pairs"] for r in gr.distances(e, ["material"], whole=1000, apart=500).collect()}
+    got = {r["hops"]: r["pairs"] for r in gr.distances(e, ["material"], whole=1500, apart=500).collect()}
     assert got == brute_distances(pairs)
