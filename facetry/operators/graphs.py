@@ -5,10 +5,12 @@ Edges are u <= v without repeats. Joins are equalities on (keys, node); AQE spli
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -409,24 +411,43 @@ def _lanczos_sums(edges: DataFrame, sizes: DataFrame, keys: list[str], probes: i
     return met.groupBy(*of).applyInPandas(quadrature, edges.select(*keys, F.lit(0.0).alias("s")).schema)
 
 
-def label_sum(label: str) -> Column:
-    """Aggregate: a text that stands for a bag of md5 labels whatever their order: number and two sums of 60 bits each."""
-    part = lambda at: F.sum(F.conv(F.substring(label, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    return F.concat_ws("|", F.count(F.lit(1)).cast("string"), part(1), part(16))
+def md5_in_order(rows: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
+    """keys and ``name``: the md5 of a key's texts in order, joined by commas. Spark sorts the rows, which are hashed as
+    they pass, so no key's texts are held together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(key, digest):
+            return pa.RecordBatch.from_arrays([*[pa.array([k], t) for k, t in zip(key, types)], pa.array([digest.hexdigest()])], names=[*keys, name])
+
+        now = digest = types = None
+        for b in batches:
+            types = [c.type for c in b.columns[:-1]]
+            for *key, x in zip(*[c.to_pylist() for c in b.columns]):
+                if digest is None or key != now:
+                    if digest is not None:
+                        yield given(now, digest)
+                    now, digest = key, hashlib.md5(x.encode())
+                else:
+                    digest.update(b"," + x.encode())
+        if digest is not None:
+            yield given(now, digest)
+
+    ordered = rows.select(*keys, text).repartition(*keys).sortWithinPartitions(*keys, text)
+    return ordered.mapInArrow(run, rows.select(*keys, F.lit("").alias(name)).schema)
 
 
 def wl_hash(edges: DataFrame, nodes: DataFrame, keys: list[str], label: str, rounds: int = 3) -> DataFrame:
-    """keys, wl_hash (32 hex digits): equal for relabelled graphs. Bags of labels are summed, so neither a hub's neighbours
-    nor a graph's labels are gathered in a row."""
-    ways = both_ways(edges, keys)
+    """keys, wl_hash (32 hex digits): equal for relabelled graphs. A node's label is hashed with all its neighbours' labels
+    in order (a row of 32 bytes a neighbour), a graph's hash is of all its labels and their counts in order."""
+    ways = written(both_ways(edges, keys), "ways")
     now = nodes.select(*keys, "node", F.md5(F.col(label).cast("string")).alias("l"))
     history = now
     for i in range(rounds):
-        near = ways.join(now.select(*keys, F.col("node").alias("b"), "l"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(label_sum("l").alias("near"))
+        near = ways.join(now.select(*keys, F.col("node").alias("b"), "l"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("l")), ",").alias("near"))
         now = cut(now.join(near, [*keys, "node"], "left").select(*keys, "node", F.md5(F.concat_ws("|", "l", F.coalesce("near", F.lit("")))).alias("l")))
         history = history.unionAll(now)
     histogram = history.groupBy(*keys, "l").agg(F.count(F.lit(1)).alias("c"))
-    return histogram.select(*keys, F.md5(F.concat_ws(":", "l", F.col("c").cast("string"))).alias("_m")).groupBy(*keys).agg(F.md5(label_sum("_m")).alias("wl_hash"))
+    return md5_in_order(histogram.select(*keys, F.concat_ws(":", "l", F.col("c").cast("string")).alias("_m")), keys, "_m", "wl_hash")
 
 
 def scatter_sum(edges: DataFrame, keys: list[str], feature: str, n: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Optimal pairing, per-centre persistence, bit-parallel distances and hubs, against brute force."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -207,3 +208,18 @@ def test_distances_of_copies_need_no_rounds(spark, monkeypatch):
     e = spark.createDataFrame(sorted({("a", min(p), max(p)) for p in pairs if p[0] != p[1]}), "material string, u int, v int")
     got = {r["hops"]: r["pairs"] for r in gr.distances(e, ["material"], whole=1500, apart=500).collect()}
     assert got == brute_distances(pairs)
+
+
+def test_wl_hash_reads_every_label_in_full(spark):
+    """The hash is the md5 of whole labels in order, not of sums of parts of them."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    labels, near = {0: "a", 1: "b", 2: "a"}, {0: [1], 1: [0, 2], 2: [1]}
+    now = {n: md5(x) for n, x in labels.items()}
+    bag = Counter(now.values())
+    for _ in range(3):
+        now = {n: md5(now[n] + "|" + ",".join(sorted(now[m] for m in near[n]))) for n in now}
+        bag.update(now.values())
+    want = md5(",".join(sorted(f"{x}:{c}" for x, c in bag.items())))
+    e = spark.createDataFrame([("g", 0, 1), ("g", 1, 2), ("h", 0, 1), ("h", 1, 2)], "material string, u int, v int")
+    n = spark.createDataFrame([(g, i, x) for g in "gh" for i, x in labels.items()], "material string, node int, label string")
+    assert {r["material"]: r["wl_hash"] for r in gr.wl_hash(e, n, ["material"], "label").collect()} == {"g": want, "h": want}
