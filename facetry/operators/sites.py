@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions import geometry as g
 from facetry.functions import tensor as t
-from facetry.session import spread
+from facetry.session import small, spread
 
 TINY = 1e-12
 
@@ -90,8 +90,9 @@ def first_coordination(*tables: DataFrame, keys: list[str]) -> DataFrame:
 
 def nearest_match(left: DataFrame, right: DataFrame, on: list[str], key: list[str], gap: Column, ties: list[Column]) -> DataFrame:
     """Each left row (unique by ``key``) with the right row of equal ``on`` and the smallest gap, by ``min_by``
-    in a hash aggregation: no window sorts all candidates of a hot key."""
-    both = left.join(right, on)
+    in an aggregation: no window sorts all candidates of a hot key. Left rows are spread by their key, so a task meets
+    the candidates of a bounded number of them."""
+    both = spread(left, 2_000, *key).join(small(right, right.count()), on)
     taken = [c for c in right.columns if c not in on]
     return both.groupBy(*on, *key).agg(F.min(F.struct(gap.alias("gap"), *[c.alias(f"t{i}") for i, c in enumerate(ties)], F.struct(*taken).alias("r"))).alias("best")).select(*on, *key, "best.gap", "best.r.*")
 
@@ -191,7 +192,7 @@ def fixed_by(sites: DataFrame, operations: DataFrame, tol: float = 1e-5) -> Data
 
     Sites and operations meet by their group column ``material``.
     """
-    both = sites.join(operations, "material")
+    both = spread(sites, 20_000, "material", "site").join(small(operations, operations.count()), "material")
     moved = [F.col(f"r{i}0") * F.col("x") + F.col(f"r{i}1") * F.col("y") + F.col(f"r{i}2") * F.col("z") + F.col(f"t{i}") - F.col(c) for i, c in enumerate("xyz")]
     whole = F.lit(True)
     for m in moved:
@@ -200,8 +201,9 @@ def fixed_by(sites: DataFrame, operations: DataFrame, tol: float = 1e-5) -> Data
 
 
 def orbit(vectors: DataFrame, operations: DataFrame, keys: list[str], digits: int = 5) -> DataFrame:
-    """keys, orbit_size, stabilizer_size of vectors x, y, z under the group's rotations."""
-    both = vectors.join(operations, "material")
+    """keys, orbit_size, stabilizer_size of vectors x, y, z under the group's rotations. Vectors are spread by their keys,
+    so a task meets the images of a bounded number of them."""
+    both = spread(vectors, 20_000, *keys).join(small(operations, operations.count()), "material")
     image = F.struct(*[(F.bround(F.col(f"r{i}0") * F.col("x") + F.col(f"r{i}1") * F.col("y") + F.col(f"r{i}2") * F.col("z"), digits) + 0.0).alias(f"i{i}") for i in range(3)])
     return both.groupBy(*keys).agg(F.countDistinct(image).alias("orbit_size"), F.count(F.lit(1)).alias("_n")).select(*keys, "orbit_size", F.bround(F.col("_n") / F.col("orbit_size")).cast("long").alias("stabilizer_size"))
 
