@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetry.operators.components import components
+from facetry.operators.components import WHOLE, bundled, components, numbered
 from facetry.session import cut, removed, small, written
 
 
@@ -115,6 +115,7 @@ def cluster(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def graph_summary(edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, nodes, edges, density, components, betti1, assortativity."""
+    edges = written(edges, "edges")
     n = degrees(edges, keys)
     parts = components(edges, keys).groupBy(*keys).agg(F.countDistinct("component").alias("components"))
     ways = both_ways(edges, keys).join(n.select(*keys, F.col("node").alias("a"), F.col("degree").alias("da")), [*keys, "a"]).join(n.select(*keys, F.col("node").alias("b"), F.col("degree").alias("db")), [*keys, "b"])
@@ -259,9 +260,42 @@ def path_lengths(edges: DataFrame, keys: list[str], whole: int = 50_000) -> Data
     return d.groupBy(*keys).agg((F.sum(F.col("hops") * F.col("pairs")) / F.sum("pairs")).alias("mean_path"), F.max("hops").alias("diameter"))
 
 
-def spanning_forest(edges: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """keys, u, v, weight of the minimum spanning forest, by Boruvka rounds over all graphs at once."""
-    e = cut(edges.where("u <> v").select(*keys, "u", "v", F.col(weight).alias("w")))
+def _first_joins(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The edges, taken in order, that join nodes not joined before."""
+    parent, kept = list(range(n)), []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(i)
+    return np.array(kept, int)
+
+
+def spanning_forest(edges: DataFrame, keys: list[str], weight: str, whole: int = WHOLE) -> DataFrame:
+    """keys, u, v, w of the minimum spanning forest (by weight, then ends). Graphs of up to ``whole`` edges take Kruskal's
+    in bundles, a bundle a task; larger ones Boruvka's rounds over all graphs at once."""
+    e = written(edges.where("u <> v").select(*keys, "u", "v", F.col(weight).alias("w")), "edges")
+    little, large = bundled(e, keys, ("u", "v"), whole, "w")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["w", "u", "v"], kind="stable")
+        nodes, _, a, b, _ = numbered(g, keys, ("u", "v"))
+        return g.iloc[_first_joins(len(nodes), a, b)][[*keys, "u", "v", "w"]]
+
+    done = None if little is None else written(little.groupBy("_bundle").applyInPandas(run, e.schema), "forest")
+    if large is None:
+        removed(e)
+        return done
+    found = _boruvka(large, keys)
+    return found if done is None else found.unionByName(done)
+
+
+def _boruvka(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`spanning_forest`, by rounds."""
+    e = cut(edges)
     labels = cut(e.select(*keys, F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("c", F.col("node")))
     forest = None
     while True:
@@ -346,9 +380,10 @@ def spectral_entropy(edges: DataFrame, keys: list[str], dense: int = 2000, probe
     with the edges. Their part is then an estimate; its standard error is about its spread over the probes by the root of
     their number (for n nodes in the order of 1 / sqrt(n * probes) of the part).
     """
-    e = cut(edges.where("u <> v").select(*keys, "u", "v"))
-    parts = components(e, keys).select(*keys, F.col("node").alias("u"), "component")
-    e = cut(e.join(parts, [*keys, "u"]))
+    whole_graphs = written(edges.where("u <> v").select(*keys, "u", "v"), "edges")
+    parts = components(whole_graphs, keys).select(*keys, F.col("node").alias("u"), "component")
+    e = written(whole_graphs.join(parts, [*keys, "u"]), "edges")
+    removed(whole_graphs)
     of = [*keys, "component"]
     sizes = cut(parts.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")))
 
