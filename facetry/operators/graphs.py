@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.operators.components import WHOLE, bundled, components, numbered
-from facetry.session import cut, removed, small, written
+from facetry.session import cut, removed, small, tasks, written
 
 
 def simple_edges(pairs: DataFrame, keys: list[str], u: str, v: str, loops: bool = False) -> DataFrame:
@@ -67,11 +67,18 @@ def four_cycles(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def wedges(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, i, j, k (i < j < k): all pairs of neighbours of a centre as unique sorted triples."""
-    ways = both_ways(edges.where("u <> v"), keys)
+    """keys, i, j, k (i < j < k): all pairs of neighbours of a centre as unique sorted triples, written to the shared folder.
+
+    Centres and triples are dealt to as many tasks as there are pairs for, which the degrees tell.
+    """
+    e = written(edges.where("u <> v").select(*keys, "u", "v"), "edges")
+    n = tasks(degrees(e, keys).agg(F.sum(F.expr("degree * (degree - 1) div 2"))).first()[0] or 0)
+    ways = both_ways(e, keys).repartition(n, *keys, "a")
     w = ways.join(ways.withColumnRenamed("b", "c"), [*keys, "a"]).where("b < c")
     t = F.array_sort(F.array("a", "b", "c"))
-    return w.select(*keys, t[0].alias("i"), t[1].alias("j"), t[2].alias("k")).distinct()
+    found = written(w.select(*keys, t[0].alias("i"), t[1].alias("j"), t[2].alias("k")).repartition(n, *keys, "i", "j", "k").distinct(), "wedges")
+    removed(e)
+    return found
 
 
 def wedge_centres(triples: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -287,6 +294,8 @@ def spanning_forest(edges: DataFrame, keys: list[str], weight: str, whole: int =
 
     done = None if little is None else written(little.groupBy("_bundle").applyInPandas(run, e.schema), "forest")
     if large is None:
+        if done is None:
+            return e.limit(0)
         removed(e)
         return done
     found = _boruvka(large, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.geometry import cross, let, norm, sub
+from facetry.session import tasks
 from facetry.operators.quantiles import quantiles
 
 METHODS = ("standard", "minmax", "robust", "zscore", "none")
@@ -92,8 +93,9 @@ def jittered(nodes: DataFrame, edges: DataFrame, triangles: DataFrame, keys: lis
     e, t = edges, triangles
     for end in "uv":
         e = e.join(at(end), [*keys, end], "left")
+    n = tasks(triangles.count())
     for end in "ijk":
-        t = t.join(at(end), [*keys, end], "left")
+        t = t.repartition(n, *keys, end).join(at(end).repartition(n, *keys, end), [*keys, end], "left")
     normal = let(cross(sub(F.col("_j"), F.col("_i")), sub(F.col("_k"), F.col("_i"))), lambda n: let(norm(n) + 1e-8, lambda m: F.array(*[n[i] / m for i in range(3)])))
     return moved, e.select(*edges.columns, sub(F.col("_v"), F.col("_u")).alias("step")), t.select(*triangles.columns, normal.alias("normal"))
 

@@ -1,4 +1,8 @@
-"""Triangle (2-simplex) operators: vertices i < j < k, edges by sorted pair."""
+"""Triangle (2-simplex) operators: vertices i < j < k, edges by sorted pair.
+
+Triples and their sides are dealt to tasks by their number wherever they meet, so a task's memory is that of some hundred
+thousand rows at any size of the input. Triples are counted first; ``graphs.wedges`` gives written ones, whose count is cheap.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions import geometry as g
+from facetry.session import tasks
 
 SIDES = ("ij", "jk", "ik")
 
 
 def vertex_statistics(triples: DataFrame, nodes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """avg_, var_ (population), max_ of node columns over the three vertices; NULL vertices are skipped."""
-    v = triples.select(*keys, "i", "j", "k", F.explode(F.array("i", "j", "k")).alias("node"))
-    known = v.join(nodes.select(*keys, "node", *columns), [*keys, "node"], "left")
-    return known.groupBy(*keys, "i", "j", "k").agg(*[x for c in columns for x in (F.avg(c).alias(f"avg_{c}"), F.var_pop(c).alias(f"var_{c}"), F.max(c).alias(f"max_{c}"), F.count(c).alias(f"n_{c}"))])
+    n = tasks(3 * triples.count())
+    v = triples.select(*keys, "i", "j", "k", F.explode(F.array("i", "j", "k")).alias("node")).repartition(n, *keys, "node")
+    known = v.join(nodes.select(*keys, "node", *columns).repartition(n, *keys, "node"), [*keys, "node"], "left")
+    return known.repartition(n, *keys, "i", "j", "k").groupBy(*keys, "i", "j", "k").agg(*[x for c in columns for x in (F.avg(c).alias(f"avg_{c}"), F.var_pop(c).alias(f"var_{c}"), F.max(c).alias(f"max_{c}"), F.count(c).alias(f"n_{c}"))])
 
 
 def energy_variance(statistics: DataFrame, column: str) -> DataFrame:
@@ -23,31 +29,47 @@ def energy_variance(statistics: DataFrame, column: str) -> DataFrame:
     return statistics.withColumn("vfe_variance", v).withColumn("vfe_laplacian_variance", 9 * v)
 
 
-def sides(triples: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a side: keys, i, j, k, side (0..2), u, v sorted."""
+def at_vertices(triples: DataFrame, nodes: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """Triples with columns of their vertices' nodes (``names``: column, its prefix before i, j, k); triples of unknown nodes are absent."""
+    n = tasks(triples.count())
+    for c in "ijk":
+        side = nodes.select(*keys, F.col("node").alias(c), *[F.col(x).alias(f"{prefix}{c}") for x, prefix in names.items()])
+        triples = triples.repartition(n, *keys, c).join(side.repartition(n, *keys, c), [*keys, c])
+    return triples
+
+
+def sides(triples: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """One row a side: keys, i, j, k, side (0..2), u, v sorted, and further columns."""
     pair = lambda n, a, b: F.struct(F.lit(n).alias("side"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    return triples.select(*keys, "i", "j", "k", F.explode(F.array(*[pair(n, *s) for n, s in enumerate(SIDES)])).alias("s")).select(*keys, "i", "j", "k", "s.side", "s.u", "s.v")
+    return triples.select(*keys, "i", "j", "k", *more, F.explode(F.array(*[pair(n, *s) for n, s in enumerate(SIDES)])).alias("s")).select(*keys, "i", "j", "k", "s.side", "s.u", "s.v", *more)
+
+
+def _with_edges(triples: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Sides with the other columns of their edge, NULL where a side is no edge; the rows of a triple are in one task."""
+    n = tasks(3 * triples.count())
+    met = sides(triples, keys).repartition(n, *keys, "u", "v").join(edges.repartition(n, *keys, "u", "v"), [*keys, "u", "v"], "left")
+    return met.repartition(n, *keys, "i", "j", "k")
 
 
 def edge_statistics(triples: DataFrame, edges: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """avg_, var_, max_, sum_ of edge columns over existing sides (sum: NULL if none), and the number of sides."""
-    known = sides(triples, keys).join(edges.select(*keys, "u", "v", F.lit(1).alias("_e"), *columns), [*keys, "u", "v"], "left")
+    known = _with_edges(triples, edges.select(*keys, "u", "v", F.lit(1).alias("_e"), *columns), keys)
     return known.groupBy(*keys, "i", "j", "k").agg(F.count("_e").alias("n_sides"), *[x for c in columns for x in (F.avg(c).alias(f"avg_{c}"), F.var_pop(c).alias(f"var_{c}"), F.max(c).alias(f"max_{c}"), F.sum(c).alias(f"sum_{c}"))])
 
 
 def side_vectors(triples: DataFrame, edges: DataFrame, keys: list[str], feature: str, n: int) -> DataFrame:
     """keys, i, j, k, sides: the three sides' vectors in order, zeros where a side is no edge, concatenated."""
     zero = F.array(*[F.lit(0.0)] * n)
-    known = sides(triples, keys).join(edges.select(*keys, "u", "v", feature), [*keys, "u", "v"], "left")
+    known = _with_edges(triples, edges.select(*keys, "u", "v", feature), keys)
     rows = known.groupBy(*keys, "i", "j", "k").agg(F.array_sort(F.collect_list(F.struct("side", F.coalesce(feature, zero).alias("f")))).alias("s"))
     return rows.select(*keys, "i", "j", "k", F.flatten(F.transform("s", lambda x: x["f"])).alias("sides"))
 
 
 def mean_onto_edges(triples: DataFrame, edges: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Edges with the mean of triangle columns over the triangles that hold them, 0 where none does, and their number."""
-    on = sides(triples.select(*keys, "i", "j", "k"), keys).join(triples.select(*keys, "i", "j", "k", *columns), [*keys, "i", "j", "k"])
-    mean = on.groupBy(*keys, "u", "v").agg(F.count(F.lit(1)).alias("n_triangles"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
-    return edges.select(*keys, "u", "v").join(mean, [*keys, "u", "v"], "left").fillna(0, ["n_triangles", *[f"mean_{c}" for c in columns]])
+    n = tasks(3 * triples.count())
+    mean = sides(triples, keys, *columns).repartition(n, *keys, "u", "v").groupBy(*keys, "u", "v").agg(F.count(F.lit(1)).alias("n_triangles"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+    return edges.select(*keys, "u", "v").repartition(n, *keys, "u", "v").join(mean, [*keys, "u", "v"], "left").fillna(0, ["n_triangles", *[f"mean_{c}" for c in columns]])
 
 
 def solid_angles(neighbours: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from facetry.operators import scaling as sc
 from facetry.operators import triangles as tr
 from facetry.plans.registry import query
 from facetry.plans.sites import DIRECTION, EIGEN, NB, SITE, neighbours, r
-from facetry.session import table
+from facetry.session import table, tasks, written
 
 K = ["material"]
 E_SQL = """lp AS (SELECT DISTINCT l_orderkey, l_partkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -25,7 +25,10 @@ T_SQL = "tri AS (SELECT DISTINCT x.material, least(x.a, x.b, y.b) AS i, x.a + x.
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("material")), "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    known = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("material")), "l_partkey")
+    # Dealt by order and brand once, for the repeats and for the pairs.
+    held = known.repartition(tasks(lines.count()), "l_orderkey", "material").distinct()
     pairs = held.join(held.withColumnRenamed("l_partkey", "other"), ["l_orderkey", "material"]).where("l_partkey < other")
     return gr.simple_edges(pairs, K, "l_partkey", "other")
 
@@ -105,9 +108,7 @@ def shaken(spark, sf_dir):
 
 @query("m33_reduction_factor", f"WITH {E_SQL}, {T_SQL}, {N_SQL} SELECT material, i, j, k, round(least(a.size, b.size, c.size) / ((a.size + b.size + c.size) / 3), 6) AS factor FROM tri JOIN n a ON a.node = i JOIN n b ON b.node = j JOIN n c ON c.node = k")
 def m33(spark, sf_dir):
-    t_ = gr.wedges(edges(spark, sf_dir), K)
-    for c in "ijk":
-        t_ = t_.join(nodes(spark, sf_dir).select("material", F.col("node").alias(c), F.col("size").alias(f"s{c}")), ["material", c])
+    t_ = tr.at_vertices(gr.wedges(edges(spark, sf_dir), K), nodes(spark, sf_dir), K, {"size": "s"})
     return t_.select("material", "i", "j", "k", r(d.reduction_factor(F.col("si"), F.col("sj"), F.col("sk")), "factor"))
 
 
@@ -165,10 +166,7 @@ def points(spark, sf_dir) -> DataFrame:
 
 
 def placed(spark, sf_dir) -> DataFrame:
-    triples, p = gr.wedges(edges(spark, sf_dir), K), points(spark, sf_dir)
-    for c in "ijk":
-        triples = triples.join(p.select("material", F.col("node").alias(c), F.col("p").alias(f"p{c}")), ["material", c])
-    return triples
+    return tr.at_vertices(gr.wedges(edges(spark, sf_dir), K), points(spark, sf_dir), K, {"p": "p"})
 
 
 P_SQL = f"""{E_SQL}, {T_SQL}, q AS (SELECT p_partkey AS node, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y, CAST(p_partkey % 7 AS DOUBLE) AS z FROM part),
@@ -187,9 +185,7 @@ def m4(spark, sf_dir):
 def m6(spark, sf_dir):
     """Middle of the first side and barycentre of each triple."""
     at = nodes(spark, sf_dir).select("material", "node", g.vec(F.col("price"), F.col("size"), F.lit(0.0)).alias("x"))
-    t = gr.wedges(edges(spark, sf_dir), K)
-    for c in "ijk":
-        t = t.join(at.select("material", F.col("node").alias(c), F.col("x").alias(f"x{c}")), ["material", c])
+    t = tr.at_vertices(gr.wedges(edges(spark, sf_dir), K), at, K, {"x": "x"})
     p = [F.col(f"x{c}") for c in "ijk"]
     return t.select("material", "i", "j", "k", r(g.midpoint(p[0], p[1])[0], "middle", 4), r(g.barycentre(*p)[0], "centre_x", 4), r(g.barycentre(*p)[1], "centre_y", 4))
 
@@ -223,7 +219,7 @@ ES_SQL = f"""WITH {E_SQL}, {T_SQL}, {N_SQL}, f AS (SELECT material, u, v, abs(a.
 
 @query("a11_a12_edge_statistics", f"{ES_SQL} SELECT p.material, i, j, k, count(f.u) AS n_sides, round(avg(dp), 4) AS avg_dp, round(sum(dp), 4) AS flux FROM p LEFT JOIN f ON f.material = p.material AND f.u = p.s.u AND f.v = p.s.v GROUP BY p.material, i, j, k")
 def a11(spark, sf_dir):
-    e = weighed(spark, sf_dir)
+    e = written(weighed(spark, sf_dir), "weighed")
     s = tr.edge_statistics(gr.wedges(e, K), e, K, ["delta_price"])
     return s.select("material", "i", "j", "k", "n_sides", r(F.col("avg_delta_price"), "avg_dp", 4), r(F.col("sum_delta_price"), "flux", 4))
 
@@ -237,7 +233,7 @@ def j4(spark, sf_dir):
 
 @query("j5_g9_triangle_means", f"{ES_SQL}, m AS (SELECT material, p.s.u AS u, p.s.v AS v, count(*) AS c, avg(i) AS mi FROM p GROUP BY ALL) SELECT e.material, e.u, e.v, coalesce(c, 0) AS n_triangles, round(coalesce(mi, 0), 4) AS mean_i FROM e LEFT JOIN m USING (material, u, v)")
 def j5(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    e = written(edges(spark, sf_dir), "edges")
     m = tr.mean_onto_edges(gr.wedges(e, K).withColumn("first", F.col("i").cast("double")), e, K, ["first"])
     return m.select("material", "u", "v", "n_triangles", r(F.col("mean_first"), "mean_i", 4))
 
