@@ -11,7 +11,7 @@ from facetry.operators.sites import bag_entropy, structure_tensors
 from facetry.plans.bonds import E_SQL, K, edges, nodes
 from facetry.plans.registry import query
 from facetry.plans.sites import EIGEN, NB, SITE, neighbours, r
-from facetry.session import cut, table
+from facetry.session import table
 
 
 @query("b1_global_moments", "SELECT l_returnflag AS material, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, round(var_pop(l_quantity), 5) AS variance FROM lineitem GROUP BY l_returnflag")
@@ -95,7 +95,7 @@ def b11(spark, sf_dir):
 
 @query("b12_b13_path_statistics", f"WITH {E_SQL}, n AS (SELECT p_partkey AS node, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), p AS (SELECT x.material, a.x AS x1, b.x AS x2, c.x AS x3, a.y AS y1, b.y AS y2, c.y AS y3 FROM w x JOIN w y ON y.material = x.material AND y.a = x.b AND y.b <> x.a JOIN n a ON a.node = x.a JOIN n b ON b.node = x.b JOIN n c ON c.node = y.b WHERE x.a < y.b) SELECT material, count(*) AS paths, round(avg(greatest(x1, x2, x3) - least(x1, x2, x3)), 5) AS mean_range, max(greatest(x1, x2, x3)) AS max_maximum, round(avg((x1*y1 + x2*y2 + x3*y3) / 3 - (x1 + x2 + x3) * (y1 + y2 + y3) / 9), 3) AS mean_covariance, round(avg(((x2-x1)*(x2-x1) + (x3-x2)*(x3-x2)) / 2), 4) AS mean_step_square FROM p GROUP BY material")
 def b12(spark, sf_dir):
-    rows = pa.path_values(pa.simple_paths(edges(spark, sf_dir), K, 3), nodes(spark, sf_dir), K, ["size", "price"])
+    rows = pa.walked(edges(spark, sf_dir), nodes(spark, sf_dir), K, 3, ["size", "price"])
     s = pa.over_paths(pa.path_statistics(rows, K, "size", "price"), K, ["range", "maximum", "covariance", "step_square"])
     return s.select("material", "paths", r(F.col("mean_range"), "mean_range", 5), "max_maximum", r(F.col("mean_covariance"), "mean_covariance", 3), r(F.col("mean_step_square"), "mean_step_square", 4))
 
@@ -116,8 +116,7 @@ def b12_features(spark, sf_dir):
     e = edges(spark, sf_dir)
     place = lambda end: at.select("material", F.col("node").alias(end), F.col("force").alias(f"p{end}"))
     e = e.join(place("u"), ["material", "u"]).join(place("v"), ["material", "v"]).select("material", "u", "v", g.sub(F.col("pv"), F.col("pu")).alias("step"), g.vec(F.col("u") % 3 - 1, F.col("v") % 2, F.lit(0.0)).alias("image"))
-    paths = cut(pa.simple_paths(e, K, 3))
-    rows = pa.path_values(paths, at, K, ["x", "q", "force"]).join(pa.path_steps(paths, e, K, ["step", "image"]), [*K, "path"])
+    rows = pa.walked(e, at, K, 3, ["x", "q", "force"], ["step", "image"])
     cell = F.array(*[F.lit(x) for x in (4.0, 0.0, 0.0, 0.0, 5.0, 0.0, 0.0, 0.0, 6.0)])
     made = rows.select(*K, "path", pa.path_curvature(F.col("step")).alias("curvature"), pa.path_wrapping(F.col("image"), cell).alias("wrapping"), pa.path_gradient(F.col("force")).alias("gradient"), pa.path_covariance(F.col("x"), F.col("q")).alias("charge_potential"), pa.path_entropy(F.col("x")).alias("entropy"), pa.path_autocorrelation(F.col("x")).alias("autocorrelation"))
     s = pa.over_paths(made, K, ["curvature", "wrapping", "gradient", "charge_potential", "entropy", "autocorrelation"])
