@@ -37,10 +37,10 @@ def s1_bonds(spark, sf_dir):
         "material", F.col("l_orderkey").alias("site1_index"), F.col("l_linenumber").alias("site2_index"), F.col("l_returnflag").alias("site1_element"), F.col("l_quantity").alias("bond_distance"), F.col("l_tax").alias("tensor_alignment"), F.col("l_discount").alias("symplectic_coupling"))
     path, last = folder(spark, "bonds"), F.substring("material", -1, 1).cast("int") % 3
     orders = (["bond_distance", "site1_element", "site2_index", "symplectic_coupling", "site1_index"], ["site1_index", "site2_index", "site1_element", "bond_distance", "tensor_alignment"], ["site1_element", "symplectic_coupling", "bond_distance", "site1_index", "site2_index"])
-    for k, columns in enumerate(orders):
-        part = rows.where(F.when(F.col("material").endswith("1"), 1).otherwise(F.when(last == 1, 0).otherwise(last)) == k)
-        files = part.withColumn("_o", F.struct("site1_index", "site2_index")).groupBy("material").agg(io.csv_content("_o", columns).alias("content"))
-        io.write_named(files.select(F.concat("material", F.lit(io.BOND_SUFFIX)).alias("name"), "content"), path)
+    kind = F.when(F.col("material").endswith("1"), 1).otherwise(F.when(last == 1, 0).otherwise(last))
+    of = lambda each: F.coalesce(*[F.when(kind == k, each(columns)) for k, columns in enumerate(orders)])
+    io.write_lines(rows.select(
+        F.concat("material", F.lit(io.BOND_SUFFIX)).alias("name"), of(lambda c: F.lit(",".join(c))).alias("header"), F.struct("site1_index", "site2_index").alias("o"), of(io.csv_line).alias("line")).where("line IS NOT NULL AND name IS NOT NULL"), path)
     return io.scan_bonds(spark, path).groupBy("material").agg(
         F.count(F.lit(1)).alias("n"), F.sum("site1_index").alias("first_sites"), F.sum("site2_index").alias("second_sites"), F.max("site1_element").alias("element"),
         r(F.sum("bond_distance"), "distance", 3), r(F.sum("tensor_alignment"), "alignment", 4), r(F.sum("symplectic_coupling"), "coupling", 4))

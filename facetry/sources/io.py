@@ -237,10 +237,55 @@ def write_named(files: DataFrame, folder: str) -> int:
     return files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def write_lines(lines: DataFrame, folder: str) -> int:
+    """One file a name in ``folder``, of its header and its lines; the number of files.
+
+    lines: name, header (one a name), o (any order), line. A task sorts the lines of its names and passes them on in batches,
+    so no file is held whole. Files are moved into place as in :func:`write_named`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place, root = file_system(folder)
+        mark = f".{TaskContext.get().taskAttemptId()}._COPYING_"
+        name, f, n = None, None, 0
+        try:
+            for b in batches:
+                names, headers = b.column(0).to_pylist(), b.column(1)
+                cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+                for start, end in zip(cuts, cuts[1:]):
+                    if start == end:
+                        continue
+                    if names[start] != name:
+                        if f is not None:
+                            f.close()
+                            place.move(f"{root}/{name}{mark}", f"{root}/{name}")
+                        name, n = names[start], n + 1
+                        place.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                        f = place.open_output_stream(f"{root}/{name}{mark}")
+                        f.write((headers[start].as_py() + "\n").encode())
+                    f.write(("\n".join(b.column(2).slice(start, end - start).to_pylist()) + "\n").encode())
+            if f is not None:
+                f.close()
+                place.move(f"{root}/{name}{mark}", f"{root}/{name}")
+                f = None
+        finally:
+            if f is not None:
+                f.close()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    ranged = lines.repartition("name").sortWithinPartitions("name", "o", "line").select("name", "header", "line")
+    return ranged.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def csv_line(columns: list[str]) -> Column:
+    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
 def csv_content(order: str, columns: list[str]) -> Column:
     """Aggregate: header and rows of a CSV file, in the order of a column."""
-    row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), csv_line(columns).alias("r")))), lambda x: x["r"])
     return F.concat(F.lit(",".join(columns) + "\n"), F.array_join(lines, "\n"), F.lit("\n"))
 
 
