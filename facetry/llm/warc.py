@@ -2,7 +2,9 @@
 
 A replica is a folder of WARC files and an index: file, position, record id, copy, offset, length. An audit reads the
 files again, range by range of the index, and hashes what it finds; a range beyond a file's end has the bytes that are
-there. Records in order of offset make trees: a record whose key (id and copy) hashes to a multiple of ``fanout`` begins
+there. Files may be packed, each record a gzip member as in .warc.gz: offset and length are then those of the unpacked
+file, ``at`` and ``stored`` the member's place; members are made before the records are shuffled, so shuffle and files
+both hold packed records only. A member that does not unpack has the digest of its bytes as they are. Records in order of offset make trees: a record whose key (id and copy) hashes to a multiple of ``fanout`` begins
 a new node, one that hashes to a multiple of its square begins a node of the next level too, and so on up to the file's
 root; files in order make nodes up to one root a replica. A node's hash covers the number of bytes in its range and its
 children's hashes in order. Because ranges begin at keys, a lost or added record changes the nodes above it and, if it
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from facetry.session import cut, remove_folder, shared_dir, small, written
 from facetry.sources.io import file_system
 
-INDEX = "file long, seq long, record_id long, copy long, offset long, length long"
+INDEX = "file long, seq long, record_id long, copy long, offset long, length long, at long, stored long"
+GZIP = 31  # zlib's window bits for a gzip member; its header has no time, so equal records make equal members
 
 
 def record_text(url: Column, payload: Column, stored: Column | None = None) -> Column:
@@ -48,8 +52,22 @@ def file_path(folder: str, file: int) -> str:
     return f"{folder}/part-{file:08d}.warc"
 
 
-def write_archive(records: DataFrame, files: int, folder: str) -> DataFrame:
-    """Write records (record_id, record) to ``files`` WARC files; the index (INDEX), cut from its lineage.
+def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``record``, the last column, as a gzip member."""
+    for b in batches:
+        packed = pa.array([zlib.compress(x.as_py(), 6, GZIP) for x in b.column("record")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
+
+
+def unpacked(stored: bytes) -> bytes:
+    try:
+        return zlib.decompress(stored, GZIP)
+    except zlib.error:
+        return stored
+
+
+def write_archive(records: DataFrame, files: int, folder: str, packed: bool = False) -> DataFrame:
+    """Write records (record_id, record) to ``files`` WARC files, ``packed`` or not; the index (INDEX), cut from its lineage.
 
     A file's records are in order of id, digest and copy. A file is written under a temporary name and moved, so a
     repeated task leaves equal bytes.
@@ -82,44 +100,49 @@ def write_archive(records: DataFrame, files: int, folder: str) -> DataFrame:
         for b in batches:
             rows = []
             for i in range(len(b)):
-                file, record_id, copy, record = (b.column(c)[i].as_py() for c in range(4))
+                file, record_id, copy, length, record = (b.column(c)[i].as_py() for c in range(5))
                 if file != now:
                     close()
-                    now, seq, offset = file, 0, 0
+                    now, seq, offset, at = file, 0, 0, 0
                     out = place.open_output_stream(f"{file_path(root, file)}.{attempt}")
                 out.write(record)
-                rows.append((file, seq, record_id, copy, offset, len(record)))
-                seq, offset = seq + 1, offset + len(record)
+                rows.append((file, seq, record_id, copy, offset, length, at, len(record)))
+                seq, offset, at = seq + 1, offset + length, at + len(record)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=INDEX.replace(",", "").split()[::2])
         close()
 
-    ordered = placed.select("file", "record_id", "copy", "record", "digest").repartition("file").sortWithinPartitions("file", "record_id", "digest", "copy")
-    return written(ordered.select("file", "record_id", "copy", "record").mapInArrow(save, INDEX), "warc-index")
+    placed = placed.select("file", "record_id", "copy", F.octet_length("record").cast("long").alias("length"), "digest", "record")
+    if packed:
+        placed = placed.mapInArrow(members, placed.schema)
+    ordered = placed.repartition("file").sortWithinPartitions("file", "record_id", "digest", "copy")
+    return written(ordered.drop("digest").mapInArrow(save, INDEX), "warc-index")
 
 
-def read_archive(index: DataFrame, folder: str) -> DataFrame:
-    """The index with ``digest``: SHA-256 of the bytes that each range of the files holds now. A file that is gone holds none."""
+def read_archive(index: DataFrame, folder: str, packed: bool = False) -> DataFrame:
+    """The index with ``digest``: SHA-256 of the bytes that each range of the files holds now, unpacked if they are
+    ``packed``. A file that is gone holds none."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, root = file_system(folder)
         now, f = None, None
         for b in batches:
             digests = []
-            for file, offset, length in zip(b.column("file").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist()):
+            for file, at, stored in zip(b.column("file").to_pylist(), b.column("at").to_pylist(), b.column("stored").to_pylist()):
                 if file != now:
                     if f is not None:
                         f.close()
                     now = file
                     f = place.open_input_file(file_path(root, file)) if place.get_file_info(file_path(root, file)).is_file else None
                     size = f.size() if f is not None else 0
-                digests.append(hashlib.sha256(f.read_at(length, offset) if offset < size else b"").hexdigest())
+                held = f.read_at(stored, at) if at < size else b""
+                digests.append(hashlib.sha256(unpacked(held) if packed else held).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests)], names=[*b.schema.names, "digest"])
         if f is not None:
             f.close()
 
     columns = INDEX.replace(",", "").split()[::2]
-    return index.select(*columns).repartition("file").sortWithinPartitions("file", "offset").mapInArrow(look, f"{INDEX}, digest string")
+    return index.select(*columns).repartition("file").sortWithinPartitions("file", "at").mapInArrow(look, f"{INDEX}, digest string")
 
 
 def replica(records: DataFrame, files: int, folder: str | None = None) -> DataFrame:
@@ -191,7 +214,7 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16, visited: list[int
 
 
 def page_audit(pages: DataFrame, file_records: int = 1024, folder: str | None = None) -> DataFrame:
-    """The pages' archive against a replica of it, both written as WARC files and read again. In the replica, by the md5 of
+    """The pages' archive against a replica of it, both written as packed WARC files and read again. In the replica, by the md5 of
     their url, some pages have one letter changed (first byte 00), some lost their last byte (01) and some are gone (02).
     The files stay if a ``folder`` is given; else they are removed once their digests are known."""
     kept, folder = folder is not None, folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
@@ -203,8 +226,8 @@ def page_audit(pages: DataFrame, file_records: int = 1024, folder: str | None =
     other = pages.where(mark != "02").select(F.col("page_id").alias("record_id"), record_text(F.col("url"), F.col("html"), damaged).alias("record"))
     sides = []
     for rows, name in ((whole, "first"), (other, "second")):
-        index = write_archive(rows, files, f"{folder}/{name}")
-        sides.append(written(read_archive(index, f"{folder}/{name}"), "replica"))
+        index = write_archive(rows, files, f"{folder}/{name}", packed=True)
+        sides.append(written(read_archive(index, f"{folder}/{name}", packed=True), "replica"))
         if not kept:
             remove_folder(pages.sparkSession, f"{folder}/{name}")
     return audit(*sides)

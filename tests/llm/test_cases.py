@@ -681,6 +681,27 @@ def test_audit_reads_the_bytes_of_the_files(spark, tmp_path):
     assert warc.audit(first, warc.read_archive(index, folder)).where("file = 2").count() == index.where("file = 2").count()
 
 
+def test_packed_archives_hold_the_same_records_in_less_room(spark, tmp_path):
+    """Members unpack to the plain file, offsets are those of the plain file, and damage to a member is found."""
+    import gzip
+
+    df = spark.createDataFrame([(i, f"record {i % 400} " + "word " * (i % 300)) for i in range(800)] + [(None, "")], "record_id long, record string")
+    plain, packed = warc.write_archive(df, 3, f"{tmp_path}/plain"), warc.write_archive(df, 3, f"{tmp_path}/packed", packed=True)
+    columns = ["file", "seq", "record_id", "copy", "offset", "length"]
+    assert sorted(plain.select(*columns).collect(), key=str) == sorted(packed.select(*columns).collect(), key=str)
+    for n in range(3):
+        raw, members = (open(warc.file_path(f"{tmp_path}/{kind}", n), "rb").read() for kind in ("plain", "packed"))
+        assert gzip.decompress(members) == raw and len(members) < len(raw) / 2
+    a = warc.read_archive(plain, f"{tmp_path}/plain")
+    assert warc.audit(a, warc.read_archive(packed, f"{tmp_path}/packed", packed=True)).count() == 0
+    r = packed.where("record_id = 299").first()
+    with open(warc.file_path(f"{tmp_path}/packed", r["file"]), "r+b") as f:
+        f.seek(r["at"] + r["stored"] - 6)
+        f.write(b"####")
+    got = warc.audit(a, warc.read_archive(packed, f"{tmp_path}/packed", packed=True)).collect()
+    assert [(x["record_id"], x["kind"], x["record_offset"]) for x in got] == [(299, "changed", r["offset"])]
+
+
 def test_a_missing_record_moves_no_other_range(spark):
     """Whatever record is lost, one or two nodes of a level differ."""
     df = spark.createDataFrame([(i, f"r{i}") for i in range(4000)], "record_id long, record string")
