@@ -327,47 +327,59 @@ def h0_persistence(edges: DataFrame, nodes: DataFrame, keys: list[str], weight:
     return nodes.select(*keys).distinct().join(deaths, keys, "left").fillna(0.0, ["max_death", "death_std"])
 
 
-def _prim(points: np.ndarray, radius: float) -> np.ndarray:
-    """Edge lengths up to ``radius`` of a minimum spanning tree of the points."""
-    out, rest = [], np.arange(1, len(points))
-    best = np.linalg.norm(points[1:] - points[0], axis=1)
-    while len(rest):
-        i = int(best.argmin())
-        out.append(best[i])
-        here, rest, best = points[rest[i]], np.delete(rest, i), np.delete(best, i)
-        best = np.minimum(best, np.linalg.norm(points[rest] - here, axis=1))
-    d = np.array(out)
-    return d[d <= radius]
+def _prim(points: np.ndarray) -> np.ndarray:
+    """Edge lengths of minimum spanning trees of B sets of n points (B x n x 3), all sets a step at a time: B x (n - 1)."""
+    sets, n = points.shape[:2]
+    out, every, here = np.empty((sets, n - 1)), np.arange(sets), np.zeros(sets, int)
+    best, outside = np.full((sets, n), np.inf), np.ones((sets, n), bool)
+    for i in range(n - 1):
+        outside[every, here] = False
+        best = np.where(outside, np.minimum(best, np.linalg.norm(points - points[every, here][:, None], axis=2)), np.inf)
+        here = best.argmin(axis=1)
+        out[:, i] = best[every, here]
+    return out
 
 
 def centre_persistence(neighbours: DataFrame, keys: list[str], site: str, radius: float, coords: tuple[str, ...] = ("x", "y", "z"), fingerprints: DataFrame | None = None, whole: int = 64) -> DataFrame:
     """keys (of the centres), max_death, death_std: finite deaths of the Rips filtration of each centre's neighbours.
 
-    neighbours: keys, site (unique in a centre), coords. Edges up to ``radius`` take part; fewer than two neighbours give
-    0, 0. With ``fingerprints`` (keys, fingerprint) a neighbourhood is computed once for each fingerprint, at its
-    smallest centre, and joined back. Neighbourhoods of up to ``whole`` points are a row each and take a spanning tree there; larger
-    ones find their edges by a range join inside the centre and their forests by rounds over all centres at once.
+    neighbours: keys, site (unique in a centre), coords; points that are not finite join nothing. Edges up to ``radius`` take
+    part; fewer than two neighbours give 0, 0. With ``fingerprints`` (keys, fingerprint, and n, the number of neighbours, which is
+    counted where it is absent) a neighbourhood is computed once for each fingerprint, at its smallest centre, and joined back.
+    Neighbourhoods of up to ``whole`` points are a row each and take a spanning tree there, those of one size of a batch together;
+    larger ones find their edges by a range join inside the centre and their forests by rounds over all centres at once.
     """
     from facetry.operators.sites import range_join
 
-    counted = neighbours.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    by, known = keys, neighbours.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if fingerprints is not None:
-        known = fingerprints.join(counted, keys)
-        known = known.join(known.groupBy("fingerprint").agg(F.min(F.struct(*keys)).alias("_r")), "fingerprint")
-        chosen = known.where(F.struct(*keys) == F.col("_r")).select(*keys, "_n")
-    else:
-        chosen = counted
-    chosen = cut(chosen)
+        by, known = ["fingerprint"], fingerprints if "n" in fingerprints.columns else fingerprints.join(known, keys)
+        # A null key meets no neighbours, so it must not stand for others.
+        known = known.select(*keys, "n", F.when(F.expr(" and ".join(f"`{k}` is not null" for k in keys)), F.col("fingerprint")).alias("fingerprint"))
+    known = written(known, "centres")
+    chosen = known.where("n > 1")
+    if fingerprints is not None:
+        first = chosen.where("fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct(*keys)).alias("_r"), F.first("n").alias("n"))
+        chosen = written(first.select("_r.*", "n", "fingerprint"), "chosen")
     asked = neighbours.select(*keys, F.col(site).alias("_s"), *[F.col(c).cast("double").alias(c) for c in coords])
-    few = asked.join(chosen.where(F.col("_n").between(2, whole)).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.array(*coords)).alias("_p"))
+    asked = asked.where(" and ".join(f"abs({c}) < double('infinity')" for c in coords))
+    few = asked.join(chosen.where(F.col("n") <= whole).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.array(*coords)).alias("_p"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            deaths = [_prim(np.array([list(x) for x in p]), radius) for p in b.pop("_p")]
-            yield b.assign(max_death=[d.max() if len(d) else 0.0 for d in deaths], death_std=[d.std() if len(d) else 0.0 for d in deaths])
-
-    found = few.mapInPandas(run, few.select(*keys, F.lit(0.0).alias("max_death"), F.lit(0.0).alias("death_std")).schema)
-    many = chosen.where(F.col("_n") > whole)
+            lists = b.column("_p")
+            size, points = lists.value_lengths().to_numpy(), lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(coords))
+            start, most, spread = np.cumsum(size) - size, np.zeros(len(b)), np.zeros(len(b))
+            for n in np.unique(size[size > 1]):
+                at = np.flatnonzero(size == n)
+                d = _prim(points[start[at][:, None] + np.arange(n)])
+                near = d <= radius
+                at, d, near = (x[near.any(axis=1)] for x in (at, d, near))
+                most[at], spread[at] = d.max(axis=1, where=near, initial=0.0), d.std(axis=1, where=near)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(most), pa.array(spread)], names=[*keys, "max_death", "death_std"])
+
+    found = few.mapInArrow(run, few.select(*keys, F.lit(0.0).alias("max_death"), F.lit(0.0).alias("death_std")).schema)
+    many = chosen.where(F.col("n") > whole)
     if not many.isEmpty():
         own = {k: f"_k{i}" for i, k in enumerate(keys)}  # range_join has columns of its own
         pairs = range_join(asked.join(many.select(*keys), keys, "left_semi").withColumnsRenamed(own), radius, [*own.values()], "_s", coords).where("center < nbr")
@@ -375,9 +387,8 @@ def centre_persistence(neighbours: DataFrame, keys: list[str], site: str, radius
         forest = spanning_forest(pairs, keys, "distance")
         found = found.unionByName(forest.groupBy(*keys).agg(F.max("w").alias("max_death"), F.stddev_pop("w").alias("death_std")))
     if fingerprints is not None:
-        found = found.select(F.struct(*keys).alias("_r"), "max_death", "death_std")
-        return known.join(found, "_r", "left").select(*keys, "max_death", "death_std").fillna(0.0, ["max_death", "death_std"])
-    return counted.join(found, keys, "left").select(*keys, "max_death", "death_std").fillna(0.0, ["max_death", "death_std"])
+        found = written(found.join(chosen.select(*keys, "fingerprint"), keys).select("fingerprint", "max_death", "death_std"), "deaths")
+    return known.join(found, by, "left").select(*keys, "max_death", "death_std").fillna(0.0, ["max_death", "death_std"])
 
 
 def spectral_entropy(edges: DataFrame, keys: list[str], dense: int = 2000, probes: int = 16, steps: int = 40, seed: int = 17) -> DataFrame:

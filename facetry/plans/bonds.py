@@ -277,9 +277,10 @@ def g12(spark, sf_dir):
 def g12_centres(spark, sf_dir):
     """Rips deaths of every order's neighbourhood, computed once for each bag of neighbours' coordinates."""
     n = neighbours(spark, sf_dir)
-    # Sums of hashes need no list of a centre's neighbours.
-    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "x", "y", "z").cast("decimal(38,0)")).cast("string")
-    bags = n.groupBy("center").agg(F.concat_ws("/", F.count(F.lit(1)).cast("string"), total(1), total(2)).alias("fingerprint"))
+    # Sums of hashes need no list of a centre's neighbours; sums of their halves stay in long.
+    h = [F.xxhash64(F.lit(seed), "x", "y", "z") for seed in (1, 2)]
+    bags = n.groupBy("center").agg(F.count(F.lit(1)).alias("n"), *[F.sum(half).alias(f"h{i}") for i, half in enumerate(y for x in h for y in (x.bitwiseAND(0xFFFFFFFF), F.shiftright(x, 32)))])
+    bags = bags.select("center", "n", F.concat_ws("/", *[F.col(c).cast("string") for c in ("n", "h0", "h1", "h2", "h3")]).alias("fingerprint"))
     return gr.centre_persistence(n, ["center"], "l_linenumber", 6.0, fingerprints=bags).select("center", r(F.col("max_death"), "max_death"), r(F.col("death_std"), "death_std"))
 
 

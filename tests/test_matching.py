@@ -129,6 +129,27 @@ def test_persistence_of_centres(spark):
         assert got.keys() == want.keys() and all(np.allclose(got[c], want[c]) for c in want)
 
 
+def test_persistence_of_null_centres_and_points(spark):
+    """A centre without a key has no deaths and stands for no other; a point that is not finite joins nothing."""
+    inf, nan = math.inf, math.nan
+    rows = [(c, i, float(3 * i), 0.0, 0.0) for c in (None, 4, 5) for i in range(3)] + [(6, 0, 0.0, 0.0, 0.0), (6, 1, 2.0, 0.0, 0.0), (6, 2, None, 0.0, 0.0), (6, 3, nan, 0.0, 0.0), (6, 4, inf, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "center int, site int, x double, y double, z double")
+    prints = df.groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("x", "y", "z").cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    for options in ({}, {"whole": 1}, {"fingerprints": prints}, {"fingerprints": prints.drop("n")}):
+        got = {r["center"]: (r["max_death"], r["death_std"]) for r in gr.centre_persistence(df, ["center"], "site", 4.0, **options).collect()}
+        assert got.pop(None, (0.0, 0.0)) == (0.0, 0.0) and got == {4: (3.0, 0.0), 5: (3.0, 0.0), 6: (2.0, 0.0)}
+
+
+def test_spanning_trees_of_many_sets_at_once():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 9, 40):
+        points = rng.random((50, n, 3))
+        for one, got in zip(points, gr._prim(points)):
+            pairs = sorted((math.dist(one[i], one[j]), i, j) for i in range(n) for j in range(i))
+            kept = gr._first_joins(n, *np.array([p[1:] for p in pairs]).T)
+            assert np.allclose(sorted(got), [pairs[i][0] for i in kept])
+
+
 def brute_distances(pairs):
     near = {}
     for u, v in pairs:
