@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,15 @@ def density_slope(rho_u: Column, rho_v: Column, distance: Column) -> Column:
 
 
 def axis_alignment(bond: Column, axis: Column) -> Column:
-    """exp(-|[M_bond, M_axis]|_F) for the generators of two directions."""
-    return F.exp(-t.frobenius(t.commutator(t.lie_generator(bond), t.lie_generator(axis))))
+    """exp(-|[M_bond, M_axis]|_F) for the generators of two directions; 1 for a zero vector, NULL for a null component.
+
+    The commutator of two generators is that of their cross product, so its norm is sqrt(2) sin of the angle. Plain
+    arithmetic, since it is asked for every bond: bound variables are interpreted, not compiled.
+    """
+    cross = [bond[i] * axis[j] - bond[j] * axis[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+    m, n, size = (F.sqrt(x[0] * x[0] + x[1] * x[1] + x[2] * x[2]) for x in (bond, axis, cross))
+    sine = F.when((m > g.TOLERANCE) & (n > g.TOLERANCE), size / F.when(m > g.TOLERANCE, m) / F.when(n > g.TOLERANCE, n))
+    return F.exp(-math.sqrt(2) * F.when(m.isNotNull() & n.isNotNull(), F.coalesce(sine, F.lit(0.0))))
 
 
 def environment_alignment(a: Column, b: Column) -> Column:

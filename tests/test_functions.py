@@ -51,6 +51,18 @@ def test_equilateral_and_flat_triangles(spark):
     assert abs(got["flow"]) < 1e-12
 
 
+def test_axis_alignment_is_compiled_and_equals_the_commutator(spark):
+    """Nothing is interpreted row by row (no higher-order function); nulls stay null, zero vectors give 1."""
+    rng = np.random.default_rng(4)
+    rows = [tuple(map(float, x)) for x in rng.normal(size=(200, 6))] + [(0.0,) * 3 + (1.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, x double, y double, z double")
+    u, v = g.vec("a", "b", "c"), g.vec("x", "y", "z")
+    by_definition = F.exp(-t.frobenius(t.commutator(t.lie_generator(u), t.lie_generator(v))))
+    got = df.select(d.axis_alignment(u, v).alias("got"), by_definition.alias("want"))
+    assert "transform" not in df.select(d.axis_alignment(u, v))._jdf.queryExecution().toString() and all(math.isclose(r["got"], r["want"]) for r in got.collect())
+    assert one(spark, x=d.axis_alignment(F.array(F.lit(1.0), F.lit(None).cast("double"), F.lit(0.0)), lit((1, 0, 0))))["x"] is None
+
+
 def test_generators_and_degenerate_inputs(spark):
     zero, v = lit((0, 0, 0)), lit((1, 2, 2))
     got = one(spark, n=t.lie_norm(t.skew(v)), a=t.principal_angle(t.skew(v)), z=t.frobenius(t.skew(zero)), u=g.unit(zero), ang=g.angle(zero, v), al=t.alignment(lit([0] * 9), lit([1] * 9)), bad=t.lie_norm(lit([1] * 9)))
