@@ -38,6 +38,27 @@ def at_vertices(triples: DataFrame, nodes: DataFrame, keys: list[str], names: di
     return triples
 
 
+def stress_flows(triples: DataFrame, weights: dict[str, tuple[float, float, float] | None], at: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """Triples with ``area`` and, for each name in ``weights``, the norm of the sum of the sides' outward in-plane unit
+    normals with those weights for the sides ij, jk, ki (None: their lengths); 0 for a flat triangle.
+
+    ``at``: prefixes of the vertices' coordinates, followed by i, j, k. A side's normal is its direction turned by a right
+    angle in the plane, so the sum of normals is as long as the sum of directions. Steps are columns of their own: each is
+    computed once and compiled, where bound variables (``functions.descriptors.stress_flow``) are interpreted.
+    """
+    root = lambda *xs: F.sqrt(xs[0] * xs[0] + xs[1] * xs[1] + xs[2] * xs[2])
+    side = lambda s: [F.col(f"_{s}{n}") for n in range(3)]
+    ends = ("ij", "jk", "ki")
+    out = triples.withColumns({f"_{a}{b}{n}": F.col(f"{c}{b}") - F.col(f"{c}{a}") for a, b in ends for n, c in enumerate(at)})
+    u, v = side("ij"), side("jk")
+    out = out.withColumns({f"_l{s}": root(*side(s)) for s in ends} | {f"_n{n}": u[i] * v[j] - u[j] * v[i] for n, (i, j) in enumerate(((1, 2), (2, 0), (0, 1)))})
+    out = out.withColumns({"area": root(*side("n")) / 2} | {f"_w{s}": g.safe_div(F.lit(1.0), F.col(f"_l{s}"), 0.0) for s in ends})
+    part = lambda w, m, n: F.col(f"_{ends[m]}{n}") * F.col(f"_w{ends[m]}") * (F.lit(float(w[m])) if w else F.col(f"_l{ends[m]}"))
+    out = out.withColumns({f"_{name}{n}": part(w, 0, n) + part(w, 1, n) + part(w, 2, n) for name, w in weights.items() for n in range(3)})
+    flows = {name: F.when(2 * F.col("area") > g.TOLERANCE, root(*side(name))).otherwise(F.when(F.col("area").isNotNull(), 0.0)) for name in weights}
+    return out.select(*triples.columns, "area", *[c.alias(name) for name, c in flows.items()])
+
+
 def sides(triples: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """One row a side: keys, i, j, k, side (0..2), u, v sorted, and further columns."""
     pair = lambda n, a, b: F.struct(F.lit(n).alias("side"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))

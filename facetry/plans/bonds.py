@@ -202,10 +202,9 @@ def m16(spark, sf_dir):
     round(CASE WHEN area > 0.01 THEN sqrt(greatest(0, 14 + 2 * (ik*ik - ij*ij - jk*jk) / (ij*jk) + 6 * (ij*ij - jk*jk - ik*ik) / (jk*ik) + 3 * (jk*jk - ij*ij - ik*ik) / (ij*ik))) END, 4) AS flow FROM h""")
 def m32(spark, sf_dir):
     """Weights 1, 2, 3; and weights equal to the sides' lengths, which close the polygon of normals."""
-    p = [F.col(c) for c in ("pi", "pj", "pk")]
-    length = [g.norm(g.sub(p[b], p[a])) for a, b in ((0, 1), (1, 2), (2, 0))]
-    area = g.norm(g.cross(g.sub(p[1], p[0]), g.sub(p[2], p[0]))) / 2
-    return placed(spark, sf_dir).select("material", "i", "j", "k", r(F.when(area > 0.01, d.stress_flow(*p, *length)), "closed_flow", 4), r(F.when(area > 0.01, d.stress_flow(*p, F.lit(1.0), F.lit(2.0), F.lit(3.0))), "flow", 4))
+    at = points(spark, sf_dir).select("material", "node", *[F.col("p")[n].alias(c) for n, c in enumerate("xyz")])
+    t_ = tr.stress_flows(tr.at_vertices(gr.wedges(edges(spark, sf_dir), K), at, K, {c: c for c in "xyz"}), {"closed_flow": None, "flow": (1.0, 2.0, 3.0)})
+    return t_.select("material", "i", "j", "k", *[r(F.when(F.col("area") > 0.01, F.col(c)), c, 4) for c in ("closed_flow", "flow")])
 
 
 @query("a10_a13_vertex_statistics", f"WITH {E_SQL}, {T_SQL}, {N_SQL}, v AS (SELECT tri.*, unnest([i, j, k]) AS node FROM tri) SELECT material, i, j, k, round(avg(price), 4) AS avg_price, round(var_pop(price), 4) AS var_price, max(price) AS max_price, round(9 * var_pop(size), 4) AS vfe_laplacian_variance FROM v LEFT JOIN n USING (node) GROUP BY material, i, j, k")

@@ -8,6 +8,7 @@ from facetry.functions import descriptors as d
 from facetry.functions import geometry as g
 from facetry.functions import rules
 from facetry.functions import tensor as t
+from facetry.operators import triangles as tr
 
 
 def one(spark, **columns):
@@ -51,6 +52,19 @@ def test_equilateral_and_flat_triangles(spark):
     assert abs(got["flow"]) < 1e-12
 
 
+def test_stress_flows_are_compiled_and_equal_the_sum_of_normals(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(map(float, x)) for x in rng.normal(size=(100, 9))] + [(0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0), (1.0,) * 9]
+    df = spark.createDataFrame([(n, *x) for n, x in enumerate(rows)] + [(-1, None, *rows[0][1:])], "id int, " + ", ".join(f"{c}{v} double" for v in "ijk" for c in "xyz"))
+    found = tr.stress_flows(df, {"closed": None, "flow": (1.0, 2.0, 3.0)})
+    p = [g.vec(*[f"{c}{v}" for c in "xyz"]) for v in "ijk"]
+    got = {x["id"]: x for x in found.withColumn("want", d.stress_flow(*p, F.lit(1.0), F.lit(2.0), F.lit(3.0))).collect()}
+    assert "transform" not in found._jdf.queryExecution().toString()
+    assert got[-1]["flow"] is None and got[-1]["area"] is None and len(got) == 103
+    assert all(math.isclose(x["flow"], x["want"], abs_tol=1e-9) and abs(x["closed"]) < 1e-9 for n, x in got.items() if n >= 0)
+    assert got[100]["flow"] == got[101]["flow"] == 0
+
+
 def test_axis_alignment_is_compiled_and_equals_the_commutator(spark):
     """Nothing is interpreted row by row (no higher-order function); nulls stay null, zero vectors give 1."""
     rng = np.random.default_rng(4)
