@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetry.operators import sites as s
+from facetry.plans.registry import QUERIES
 
 CELL = (3.0, 0.0, 0.0, 2.0, 8.0, 0.0, 0.0, 0.0, 9.0)
 
@@ -50,3 +51,9 @@ def test_periodic_sites_at_one_place_keep_every_image(spark, monkeypatch, block)
         if at <= 4.0003 and (a, b, i, j, k) != (a, a, 0, 0, 0):
             want.append((a, b, i, j, k, round(at, 9)))
     assert got == sorted(want) and len(got) > 2000
+
+
+@pytest.mark.parametrize("name", ["j8_range_join", "j8_periodic_range_join"])
+def test_distances_of_pairs_are_rounded_without_decimals(spark, name):
+    """``round`` makes a decimal number of every pair."""
+    assert " round(" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().replace("(round(", " round(")
