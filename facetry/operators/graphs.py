@@ -148,38 +148,91 @@ def _source_bits(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.select(*keys, "node", (F.floor(F.col("_r") / per) * F.col("_b") + F.col("_d")).cast("long").alias("block"), F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
 
 
-def _small_distances(edges: DataFrame, bits: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, block, hops, pairs: of graphs of bounded size; a task holds the edges of one graph and the bits of one block."""
+def _hops(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Numbers of pairs at 1, 2, .. hops from the sources; a -> b are the edges both ways between nodes 0 .. n - 1.
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        is_edge = g["u"].notna().to_numpy()
-        e, s = g[is_edge], g[~is_edge]
-        nodes, at = np.unique(e[["u", "v"]].to_numpy(), return_inverse=True)
-        a, b = at.reshape(-1, 2).T
-        a, b = np.r_[a, b], np.r_[b, a]
-        order = np.argsort(b, kind="stable")
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        seen = np.zeros((len(nodes), WORDS), np.uint64)
-        seen[np.searchsorted(nodes, s["node"].to_numpy()), s["word"].to_numpy(int)] |= np.uint64(1) << s["bit"].to_numpy(np.uint64)
-        front, hops, pairs = seen.copy(), 0, []
+    A bit a source, as many words of them a node as take some 32 MB. Nodes are ordered by degree, so the first, second ..
+    neighbours of all nodes that have one are united at once; fronts of few nodes take only those nodes' edges.
+    """
+    words, straight = int(min(WORDS, max(1, (1 << 22) // n))), 32
+    degree = np.bincount(b, minlength=n)
+    place = np.empty(n, int)
+    place[np.argsort(-degree, kind="stable")] = np.arange(n)
+    a, b, sources = place[a], place[b], place[sources]
+    order = np.argsort(b, kind="stable")
+    a, b = a[order].astype(np.int32), b[order].astype(np.int32)
+    degree = -np.sort(-degree)
+    first = np.cumsum(degree) - degree
+    nth = [a[first[degree > k] + k] for k in range(min(straight, int(degree[0])))]
+    late = np.arange(len(a)) - first[b] >= straight
+    starts_of = lambda x: np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    la, lb = a[late], b[late]
+    late = starts_of(lb)
+    seen, front, reached, moved = (np.empty((n, words), np.uint64) for _ in range(4))
+    counts: list[int] = []
+    for i in range(0, len(sources), 64 * words):
+        some = sources[i : i + 64 * words]
+        bit = np.arange(len(some))
+        seen[:] = 0
+        seen[some, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+        front[:] = seen
+        hop = 0
         while True:
-            reached = np.zeros_like(seen)
-            reached[b[starts]] = np.bitwise_or.reduceat(front[a], starts, axis=0)
-            front = reached & ~seen
-            found = int(np.bitwise_count(front).sum())
+            active = front.any(1)
+            if 8 * np.count_nonzero(active) < n:
+                there = active[a]
+                x, y = a[there], b[there]
+                starts = starts_of(y)
+                y = y[starts]
+                got = np.bitwise_or.reduceat(front[x], starts, axis=0) if len(x) else np.zeros((0, words), np.uint64)
+                got &= ~seen[y]
+                front[active] = 0
+                front[y] = got
+                seen[y] |= got
+            else:
+                reached[:] = 0
+                for from_ in nth:
+                    np.take(front, from_, axis=0, out=moved[: len(from_)], mode="clip")
+                    reached[: len(from_)] |= moved[: len(from_)]
+                if len(late):
+                    reached[lb[late]] |= np.bitwise_or.reduceat(front[la], late, axis=0)
+                np.bitwise_not(seen, out=front)
+                front &= reached
+                seen |= front
+                got = front
+            found = int(np.bitwise_count(got).sum())
             if not found:
                 break
-            seen |= front
-            hops += 1
-            pairs.append((hops, found))
-        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(pairs) for k in [*keys, "block"]}, "hops": [h for h, _ in pairs], "pairs": [n for _, n in pairs]})
+            if hop == len(counts):
+                counts.append(0)
+            counts[hop] += found
+            hop += 1
+    return np.array(counts, int)
+
 
-    held = bits.join(edges.select(*keys).distinct(), keys, "left_semi")
-    blocks = held.select(*keys, "block").distinct()
-    rows = edges.join(blocks, keys).select(*keys, "block", "u", "v", F.lit(None).cast(dict(edges.dtypes)["u"]).alias("node"), F.lit(None).cast("int").alias("word"), F.lit(None).cast("int").alias("bit"))
-    rows = rows.unionByName(held, allowMissingColumns=True)
-    return rows.groupBy(*keys, "block").applyInPandas(search, rows.select(*keys, "block", *[F.lit(0).cast("long").alias(c) for c in ("hops", "pairs")]).schema)
+def _small_distances(edges: DataFrame, sizes: DataFrame, keys: list[str], pairs: int = 1 << 30, turns: int = 16) -> DataFrame:
+    """keys, hops, pairs: of graphs of bounded size (``sizes``: keys, _e edges, _n nodes); a task holds the edges of one graph
+    and some of its nodes as sources. A graph goes to as many tasks as its edges times its nodes call for, at most ``turns``,
+    so that its edges are sent that often and no more."""
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        is_edge = (g["u"] != g["v"]).to_numpy()
+        e = g.loc[is_edge, ["u", "v"]].to_numpy()
+        nodes, at = np.unique(e, return_inverse=True)
+        u, v = at.reshape(-1, 2).T
+        counts = _hops(len(nodes), np.r_[u, v], np.r_[v, u], np.searchsorted(nodes, g.loc[~is_edge, "u"].to_numpy()))
+        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(counts) for k in keys}, "hops": np.arange(1, len(counts) + 1), "pairs": counts})
+
+    work = F.col("_e").cast("double") * F.col("_n")
+    dealt = written(sizes.select(*keys, work.alias("_w"), F.least(F.lit(turns), F.ceil(work / pairs)).cast("long").alias("_turns")), "turns")
+    total = dealt.agg(F.sum("_w"), F.sum("_turns")).first()
+    n = max(1, min(4 * (total[1] or 0), max(int((total[0] or 0) // (pairs // 8)), 1)))
+    near = edges.join(dealt.select(*keys, "_turns"), keys).select(*keys, "_turns", "u", "v")
+    ends = near.select(*keys, "_turns", F.explode(F.array("u", "v")).alias("u")).distinct()
+    # A source is a row that leads to itself, as no edge does; a null there would turn long numbers into floats.
+    sources = ends.select(*keys, F.pmod(F.xxhash64("u"), F.col("_turns")).alias("_turn"), "u", F.col("u").alias("v"))
+    rows = near.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_turns") - 1)).alias("_turn"), "u", "v").unionByName(sources).repartition(n, *keys, "_turn")
+    return rows.groupBy(*keys, "_turn").applyInPandas(search, rows.select(*keys, *[F.lit(0).cast("long").alias(c) for c in ("hops", "pairs")]).schema)
 
 
 def _large_distances(edges: DataFrame, bits: DataFrame, keys: list[str], blocks_at_once: int, levels: int) -> DataFrame:
@@ -222,12 +275,13 @@ def _large_distances(edges: DataFrame, bits: DataFrame, keys: list[str], blocks_
     return counted if counted is not None else edges.select(*keys, F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("pairs")).limit(0)
 
 
-def distances(edges: DataFrame, keys: list[str], whole: int = 50_000, blocks_at_once: int = 16, levels: int = 4, apart: int = 4_096) -> DataFrame:
+def distances(edges: DataFrame, keys: list[str], whole: int = WHOLE, blocks_at_once: int = 16, levels: int = 4, apart: int = 4_096) -> DataFrame:
     """keys, hops, pairs: ordered pairs of nodes at each number of hops from one another, from every node at once.
 
-    Breadth-first search with a bit a source: 1,024 sources are a block, and a level unites the bits that arrive at a
-    node. Pairs are counted by their bits, never listed. Graphs of up to ``whole`` edges are searched a block a task;
-    larger ones by joins over all tasks, ``blocks_at_once`` blocks at a time, so rows stay under blocks x nodes. Paths may be of any length.
+    Breadth-first search with a bit a source; a level unites the bits that arrive at a node. Pairs are counted by their
+    bits, never listed. Graphs of up to ``whole`` edges are searched in tasks that hold the graph, some sources a task;
+    larger ones by joins over all tasks, ``blocks_at_once`` blocks of 1,024 sources at a time, so rows stay under blocks x
+    nodes. Paths may be of any length.
 
     No path leaves a component, so where a graph has over ``apart`` edges all are searched by components (small ones in
     bundles): a source then meets its own component only, and copies of a graph cost as much as the graph each.
@@ -238,15 +292,16 @@ def distances(edges: DataFrame, keys: list[str], whole: int = 50_000, blocks_at_
         of, whole_graphs = [*keys, "_part"], e
         e = written(_in_parts(e, keys), "edges")
         removed(whole_graphs)
-    size = cut(e.groupBy(*of).agg(F.count(F.lit(1)).alias("_e")))
-    bits = written(_source_bits(e.select(*of, F.explode(F.array("u", "v")).alias("node")).distinct(), of), "bits")
+    nodes = e.select(*of, F.explode(F.array("u", "v")).alias("node")).distinct()
+    size = cut(e.groupBy(*of).agg(F.count(F.lit(1)).alias("_e")).join(nodes.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")), of))
     some = lambda sizes: e.join(sizes.select(*of), of, "left_semi")
     little, large = size.where(F.col("_e") <= whole), size.where(F.col("_e") > whole)
-    found = _small_distances(some(little), bits, of).select(*keys, "hops", "pairs")
+    found, used = _small_distances(some(little), little, of).select(*keys, "hops", "pairs"), [e]
     if not large.isEmpty():
-        found = found.unionByName(_large_distances(some(large), bits, of, blocks_at_once, levels).select(*keys, "hops", "pairs"))
+        bits = written(_source_bits(nodes.join(large.select(*of), of, "left_semi"), of), "bits")
+        found, used = found.unionByName(_large_distances(some(large), bits, of, blocks_at_once, levels).select(*keys, "hops", "pairs")), [e, bits]
     counted = written(found.groupBy(*keys, "hops").agg(F.sum("pairs").alias("pairs")), "distances")
-    removed(e, bits)
+    removed(*used)
     return counted
 
 
@@ -261,7 +316,7 @@ def _in_parts(edges: DataFrame, keys: list[str], nodes: int = 512) -> DataFrame:
     return edges.join(of_node, [*keys, "u"]).select(*keys, "_part", "u", "v")
 
 
-def path_lengths(edges: DataFrame, keys: list[str], whole: int = 50_000) -> DataFrame:
+def path_lengths(edges: DataFrame, keys: list[str], whole: int = WHOLE) -> DataFrame:
     """keys, mean_path, diameter over all connected pairs of different nodes."""
     d = distances(edges, keys, whole)
     return d.groupBy(*keys).agg((F.sum(F.col("hops") * F.col("pairs")) / F.sum("pairs")).alias("mean_path"), F.max("hops").alias("diameter"))
