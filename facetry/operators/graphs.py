@@ -6,7 +6,7 @@ Edges are u <= v without repeats. Joins are equalities on (keys, node); AQE spli
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,27 +148,48 @@ def _source_bits(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.select(*keys, "node", (F.floor(F.col("_r") / per) * F.col("_b") + F.col("_d")).cast("long").alias("block"), F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
 
 
-def _hops(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarray:
-    """Numbers of pairs at 1, 2, .. hops from the sources; a -> b are the edges both ways between nodes 0 .. n - 1.
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
 
-    A bit a source, as many words of them a node as take some 32 MB. Nodes are ordered by degree, so the first, second ..
-    neighbours of all nodes that have one are united at once; fronts of few nodes take only those nodes' edges.
-    """
-    words, straight = int(min(WORDS, max(1, (1 << 22) // n))), 32
+
+def _ranked(n: int, a: np.ndarray, b: np.ndarray, straight: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
+    """Nodes 0 .. n - 1 by degree: each one's place, the edges a -> b (both ways) between places in order of b, and
+    ``united(rows, by, out, room)``, which puts into ``out`` the rows of all neighbours of each place, united by the ufunc
+    ``by``. The first, second .. neighbours of all nodes that have one are taken at once; of hubs those beyond ``straight``
+    in a piece."""
     degree = np.bincount(b, minlength=n)
     place = np.empty(n, int)
     place[np.argsort(-degree, kind="stable")] = np.arange(n)
-    a, b, sources = place[a], place[b], place[sources]
+    a, b = place[a], place[b]
     order = np.argsort(b, kind="stable")
     a, b = a[order].astype(np.int32), b[order].astype(np.int32)
     degree = -np.sort(-degree)
     first = np.cumsum(degree) - degree
     nth = [a[first[degree > k] + k] for k in range(min(straight, int(degree[0])))]
     late = np.arange(len(a)) - first[b] >= straight
-    starts_of = lambda x: np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
     la, lb = a[late], b[late]
-    late = starts_of(lb)
-    seen, front, reached, moved = (np.empty((n, words), np.uint64) for _ in range(4))
+    late = _starts(lb)
+
+    def united(rows: np.ndarray, by: np.ufunc, out: np.ndarray, room: np.ndarray) -> None:
+        out[:] = 0
+        for from_ in nth:
+            np.take(rows, from_, axis=0, out=room[: len(from_)], mode="clip")
+            by(out[: len(from_)], room[: len(from_)], out=out[: len(from_)])
+        if len(late):
+            out[lb[late]] = by(out[lb[late]], by.reduceat(rows[la], late, axis=0))
+
+    return place, a, b, united
+
+
+def _hops(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Numbers of pairs at 1, 2, .. hops from the sources; a -> b are the edges both ways between nodes 0 .. n - 1.
+
+    A bit a source, as many words of them a node as take some 32 MB; fronts of few nodes take only those nodes' edges.
+    """
+    words = int(min(WORDS, max(1, (1 << 22) // n)))
+    place, a, b, united = _ranked(n, a, b)
+    sources = place[sources]
+    seen, front, reached, room = (np.empty((n, words), np.uint64) for _ in range(4))
     counts: list[int] = []
     for i in range(0, len(sources), 64 * words):
         some = sources[i : i + 64 * words]
@@ -182,7 +203,7 @@ def _hops(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarr
             if 8 * np.count_nonzero(active) < n:
                 there = active[a]
                 x, y = a[there], b[there]
-                starts = starts_of(y)
+                starts = _starts(y)
                 y = y[starts]
                 got = np.bitwise_or.reduceat(front[x], starts, axis=0) if len(x) else np.zeros((0, words), np.uint64)
                 got &= ~seen[y]
@@ -190,12 +211,7 @@ def _hops(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarr
                 front[y] = got
                 seen[y] |= got
             else:
-                reached[:] = 0
-                for from_ in nth:
-                    np.take(front, from_, axis=0, out=moved[: len(from_)], mode="clip")
-                    reached[: len(from_)] |= moved[: len(from_)]
-                if len(late):
-                    reached[lb[late]] |= np.bitwise_or.reduceat(front[la], late, axis=0)
+                united(front, np.bitwise_or, reached, room)
                 np.bitwise_not(seen, out=front)
                 front &= reached
                 seen |= front
@@ -446,43 +462,92 @@ def centre_persistence(neighbours: DataFrame, keys: list[str], site: str, radius
     return known.join(found, by, "left").select(*keys, "max_death", "death_std").fillna(0.0, ["max_death", "death_std"])
 
 
-def spectral_entropy(edges: DataFrame, keys: list[str], dense: int = 2000, probes: int = 16, steps: int = 40, seed: int = 17) -> DataFrame:
+def spectral_entropy(edges: DataFrame, keys: list[str], dense: int = 2000, probes: int = 16, steps: int = 40, seed: int = 17, whole: int = WHOLE) -> DataFrame:
     """keys, spectral_entropy (bits) of the combinatorial Laplacian's spectrum.
 
     With T the sum of degrees, it is log2 T less the sum of v log2 v over all eigenvalues v, divided by T; that sum adds up
     over connected components, which are solved apart. Components of up to ``dense`` nodes take a dense solve in a task.
-    Larger ones take stochastic Lanczos quadrature: ``probes`` vectors of random signs, ``steps`` multiplications by joins
-    with the edges. Their part is then an estimate; its standard error is about its spread over the probes by the root of
-    their number (for n nodes in the order of 1 / sqrt(n * probes) of the part).
+    Larger ones take stochastic Lanczos quadrature: ``probes`` vectors of random signs, ``steps`` multiplications; those of
+    up to ``whole`` edges in a task, others by joins with the edges. Their part is then an estimate; its standard error is
+    about its spread over the probes by the root of their number (for n nodes in the order of 1 / sqrt(n * probes) of the part).
     """
     whole_graphs = written(edges.where("u <> v").select(*keys, "u", "v"), "edges")
     parts = components(whole_graphs, keys).select(*keys, F.col("node").alias("u"), "component")
     e = written(whole_graphs.join(parts, [*keys, "u"]), "edges")
     removed(whole_graphs)
     of = [*keys, "component"]
-    sizes = cut(parts.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = cut(parts.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")).join(e.groupBy(*of).agg(F.count(F.lit(1)).alias("_e")), of))
+    small_, large = F.col("_n") <= dense, (F.col("_n") > dense) & (F.col("_e") > whole)
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         nodes, at = np.unique(g[["u", "v"]].to_numpy(), return_inverse=True)
         at = at.reshape(-1, 2)
-        laplacian = np.zeros((len(nodes), len(nodes)))
-        np.add.at(laplacian, (at[:, 0], at[:, 1]), -1.0)
-        np.add.at(laplacian, (at[:, 1], at[:, 0]), -1.0)
-        np.fill_diagonal(laplacian, 0)
-        np.fill_diagonal(laplacian, -laplacian.sum(1))
-        values = np.linalg.eigvalsh(laplacian)
-        values = values[values > 1e-12]
-        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "s": [float((values * np.log2(values)).sum())]})
-
-    few = e.join(sizes.where(F.col("_n") <= dense).select(*of), of, "left_semi")
-    sums = few.groupBy(*of).applyInPandas(solve, e.select(*keys, F.lit(0.0).alias("s")).schema)
-    large = sizes.where(F.col("_n") > dense)
+        if len(nodes) > dense:
+            signs = np.empty(len(nodes), int)
+            signs[at] = g[["_signs_u", "_signs_v"]].to_numpy()
+            s = _lanczos(len(nodes), np.r_[at[:, 0], at[:, 1]], np.r_[at[:, 1], at[:, 0]], signs, probes, steps)
+        else:
+            laplacian = np.zeros((len(nodes), len(nodes)))
+            np.add.at(laplacian, (at[:, 0], at[:, 1]), -1.0)
+            np.add.at(laplacian, (at[:, 1], at[:, 0]), -1.0)
+            np.fill_diagonal(laplacian, 0)
+            np.fill_diagonal(laplacian, -laplacian.sum(1))
+            values = np.linalg.eigvalsh(laplacian)
+            values = values[values > 1e-12]
+            s = float((values * np.log2(values)).sum())
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "s": [s]})
+
+    # Tasks are of as many components as make about a second: a dense solve of n nodes takes some n^3 steps.
+    work = F.when(small_, F.pow("_n", F.lit(3))).otherwise(F.lit(32.0 * probes * steps) * F.col("_e"))
+    n = sizes.where(~large).agg(F.sum(work), F.count(F.lit(1))).first()
+    n = max(1, min(4 * n[1], int((n[0] or 0) // 2e9) + 1))
+    signed = lambda end: sum((F.call_function("shiftleft", F.pmod(F.xxhash64(F.lit(seed), F.lit(p), end), F.lit(2)), F.lit(p)) for p in range(1, probes)), F.pmod(F.xxhash64(F.lit(seed), F.lit(0), end), F.lit(2)))
+    held = e.join(sizes.where(~large).select(*of, "_n"), of)
+    held = held.select(*of, "u", "v", *[F.when(F.col("_n") > dense, signed(end)).otherwise(0).alias(f"_signs_{end}") for end in "uv"]).repartition(n, *of)
+    sums = held.groupBy(*of).applyInPandas(solve, e.select(*keys, F.lit(0.0).alias("s")).schema)
+    large = sizes.where(large).drop("_e")
     if not large.isEmpty():
         sums = sums.unionByName(_lanczos_sums(e.join(large.select(*of), of, "left_semi"), large, keys, probes, steps, seed))
     degrees_ = e.groupBy(*keys).agg((2.0 * F.count(F.lit(1))).alias("_t"))
     return degrees_.join(sums.groupBy(*keys).agg(F.sum("s").alias("_s")), keys).select(*keys, (F.log2("_t") - F.col("_s") / F.col("_t")).alias("spectral_entropy"))
 
 
+def _quadrature(alpha: np.ndarray, beta: np.ndarray, n: int) -> float:
+    """The estimate of the sum of v log2 v over n eigenvalues from the coefficients (steps x probes)."""
+    out = []
+    for p in range(alpha.shape[1]):
+        ends = np.flatnonzero(beta[:, p] <= 1e-9)
+        m = int(ends[0]) + 1 if len(ends) else len(alpha)
+        values, vectors = np.linalg.eigh(np.diag(alpha[:m, p]) + np.diag(beta[: m - 1, p], 1) + np.diag(beta[: m - 1, p], -1))
+        good = values > 1e-9
+        out.append(float((vectors[0, good] ** 2 * values[good] * np.log2(values[good])).sum()))
+    return float(n * np.mean(out))
+
+
+def _lanczos(n: int, a: np.ndarray, b: np.ndarray, signs: np.ndarray, probes: int, steps: int) -> float:
+    """As :func:`_lanczos_sums` for one component; a -> b are its edges both ways, ``signs`` a bit a probe of each node. As
+    many probes go together as take some 32 MB a vector."""
+    place, _, to, united = _ranked(n, a, b)
+    bits, degree = np.empty(n, int), np.bincount(to, minlength=n)[:, None].astype(float)
+    bits[place] = signs
+    together = max(1, (1 << 22) // n)
+    alpha, beta = np.zeros((steps, probes)), np.zeros((steps, probes))
+    for first in range(0, probes, together):
+        some = np.arange(first, min(probes, first + together))
+        v = ((bits[:, None] >> some & 1) * 2 - 1) / np.sqrt(n)
+        before, y, room, last = np.zeros_like(v), np.empty_like(v), np.empty_like(v), 0.0
+        for step in range(steps):
+            united(v, np.add, y, room)
+            w = degree * v - y
+            w -= last * before
+            alpha[step, some] = now = np.einsum("ij,ij->j", v, w)
+            # The rest after taking off alpha v has the squared length |w|^2 - alpha^2, as v has length 1.
+            beta[step, some] = last = np.sqrt(np.maximum(np.einsum("ij,ij->j", w, w) - now * now, 0.0))
+            w -= now * v
+            before, v = v, np.divide(w, last, out=np.zeros_like(w), where=np.broadcast_to(last > 1e-9, w.shape))
+    return _quadrature(alpha, beta, n)
+
+
 def _lanczos_sums(edges: DataFrame, sizes: DataFrame, keys: list[str], probes: int, steps: int, seed: int) -> DataFrame:
     """keys, s: estimates of the sum of v log2 v over the eigenvalues of each component."""
     of, each = [*keys, "component"], range(probes)
@@ -507,15 +572,9 @@ def _lanczos_sums(edges: DataFrame, sizes: DataFrame, keys: list[str], probes: i
         state = following
 
     def quadrature(g: pd.DataFrame) -> pd.DataFrame:
-        g, out = g.sort_values("step"), []
-        alpha, beta = np.stack(g["alpha"].to_list()), np.stack(g["beta"].to_list())
-        for p in each:
-            ends = np.flatnonzero(beta[:, p] <= 1e-9)
-            m = int(ends[0]) + 1 if len(ends) else len(alpha)
-            values, vectors = np.linalg.eigh(np.diag(alpha[:m, p]) + np.diag(beta[: m - 1, p], 1) + np.diag(beta[: m - 1, p], -1))
-            good = values > 1e-9
-            out.append(float((vectors[0, good] ** 2 * values[good] * np.log2(values[good])).sum()))
-        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "s": [float(g["_n"].iloc[0] * np.mean(out))]})
+        g = g.sort_values("step")
+        s = _quadrature(np.stack(g["alpha"].to_list()), np.stack(g["beta"].to_list()), g["_n"].iloc[0])
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "s": [s]})
 
     met = told.join(sizes, of)
     return met.groupBy(*of).applyInPandas(quadrature, edges.select(*keys, F.lit(0.0).alias("s")).schema)
