@@ -4,6 +4,7 @@ joined when one order holds both."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetry.functions import descriptors as d
@@ -26,9 +27,12 @@ T_SQL = "tri AS (SELECT DISTINCT x.material, least(x.a, x.b, y.b) AS i, x.a + x.
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    known = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("material")), "l_partkey")
-    # Dealt by order and brand once, for the repeats and for the pairs.
-    held = known.repartition(tasks(lines.count()), "l_orderkey", "material").distinct()
+    known = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("material")), "l_partkey").where("l_orderkey is not null and material is not null")
+    # Dealt by order and brand once. Most lines are the only one of their brand in an order, or repeat a part; a sort finds the others.
+    w = W.partitionBy("l_orderkey", "material").orderBy("l_partkey")
+    sides = known.repartition(tasks(lines.count()), "l_orderkey", "material").withColumns({"_p": F.lag("l_partkey").over(w), "_n": F.lead("l_partkey").over(w)})
+    held = written(sides.where("(_p is null or _p <> l_partkey) and (_p is not null or _n is not null)").drop("_p", "_n"), "held")
+    held = held.repartition(tasks(held.count()), "l_orderkey", "material")
     pairs = held.join(held.withColumnRenamed("l_partkey", "other"), ["l_orderkey", "material"]).where("l_partkey < other")
     return gr.simple_edges(pairs, K, "l_partkey", "other")
 
